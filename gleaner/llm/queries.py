@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, chat, media, mixing, secret_scan, shards, simhash
+from gleaner.llm import ann, bpe, chat, language, media, mixing, secret_scan, shards, simhash, url_filter
 from gleaner.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.digest(table(spark, sf_dir, "documents"))
 
@@ -19,6 +24,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -30,6 +39,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, bits=2)
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
@@ -43,10 +56,13 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ann": op1_ann,
     "op2_shards": op2_shards,
     "op3_bpe": op3_bpe,
+    "op4_urls": op4_urls,
     "op5_chat": op5_chat,
     "op6_simhash": op6_simhash,
+    "op7_language": op7_language,
     "op8_secrets": op8_secrets,
     "op9_mixing": op9_mixing,
     "op10_media": op10_media,
