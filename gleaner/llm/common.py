@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleaner.session import reach
+
 #: Arrow batches of whole texts: few rows each, so a worker holds few long texts at once.
 TEXT_BATCH_BYTES = 8 << 20
 
@@ -53,7 +55,8 @@ class Cuts:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the bytes of an Arrow batch, for operators that hand whole texts to Python."""
+    """Ready Python workers: they can import this package, and get Arrow batches of bounded bytes."""
+    reach(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(re.sub(r"\D", "", str(spark.conf.get(key))) or 0) <= TEXT_BATCH_BYTES:
         spark.conf.set(key, str(TEXT_BATCH_BYTES))
