@@ -16,7 +16,6 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from gleaner.llm.common import small_batches
 
 #: Words that a worker remembers; at this many it starts anew, so memory is bounded.
-CACHED_WORDS = 150_000
+CACHED_WORDS = 400_000
 
 
 def byte_alphabet() -> list[str]:
@@ -35,31 +34,46 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in set(shown) else chr(next(spare)) for b in range(256)]
 
 
-def merge_word(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Merge neighbours, lowest rank first and leftmost among equals, until none is left."""
-    n = len(symbols)
-    text: list[str | None] = list(symbols)
-    left, right = list(range(-1, n - 1)), [*range(1, n), -1]
+def merge_word(ids: list[int], ranks: dict[int, int], made: list[int]) -> list[int]:
+    """Merge neighbours, lowest rank first and leftmost among equals, until none is left.
+
+    ``ranks`` has the rank of a pair ``left << 20 | right``, ``made`` the id that each rank
+    makes. A queue entry is ``rank << 32 | place``; it is stale if the pair now at its place
+    has another rank, which a pair with other symbols always has.
+    """
+    rank = ranks.get
     queue = []
-    for i in range(n - 1):
-        rank = ranks.get((symbols[i], symbols[i + 1]))
-        if rank is not None:
-            queue.append((rank, i, symbols[i], symbols[i + 1]))
-    heapq.heapify(queue)
+    for i in range(len(ids) - 1):
+        r = rank(ids[i] << 20 | ids[i + 1])
+        if r is not None:
+            queue.append(r << 32 | i)
+    if not queue:
+        return ids
+    if len(queue) > 1:
+        heapq.heapify(queue)
+    n = len(ids)
+    left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+    right[-1] = -1
+    pop, push = heapq.heappop, heapq.heappush
     while queue:
-        _, i, a, b = heapq.heappop(queue)
+        entry = pop(queue)
+        r, i = entry >> 32, entry & 0xFFFFFFFF
         j = right[i]
-        if text[i] != a or j < 0 or text[j] != b:
+        if ids[i] < 0 or j < 0 or rank(ids[i] << 20 | ids[j]) != r:
             continue  # stale
-        text[i], text[j] = a + b, None
-        right[i] = right[j]
-        if right[j] >= 0:
-            left[right[j]] = i
-        for at in (left[i], i):
-            after = right[at] if at >= 0 else -1
-            if after >= 0 and (rank := ranks.get((text[at], text[after]))) is not None:
-                heapq.heappush(queue, (rank, at, text[at], text[after]))
-    return [s for s in text if s is not None]
+        ids[i], ids[j] = made[r], -1
+        after = right[i] = right[j]
+        if after >= 0:
+            left[after] = i
+            r = rank(ids[i] << 20 | ids[after])
+            if r is not None:
+                push(queue, r << 32 | i)
+        before = left[i]
+        if before >= 0:
+            r = rank(ids[before] << 20 | ids[i])
+            if r is not None:
+                push(queue, r << 32 | before)
+    return [s for s in ids if s >= 0]
 
 
 class WordBpe:
@@ -71,10 +85,15 @@ class WordBpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model.get("end_of_word_suffix") or ""
         pairs = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"])
-        self.ranks = {p: i for i, p in enumerate(pairs)}
+        self.ranks: dict[int, int] = {}
+        self.made: list[int] = []
+        for rank, (a, b) in enumerate(pairs):
+            self.ranks[self.vocab[a] << 20 | self.vocab[b]] = rank
+            self.made.append(self.vocab[a + b])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in [*self.vocab.items(), *self.special.items()]}
-        self.bytes = byte_alphabet()
+        alphabet = byte_alphabet()
+        self.inner, self.last = ([self.vocab[c + end] for c in alphabet] for end in ("", self.end))
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"]).findall
         names = sorted(self.special, key=len, reverse=True)
@@ -87,9 +106,11 @@ class WordBpe:
         return text.lower()
 
     def word_ids(self, word: str) -> list[int]:
-        symbols = [self.bytes[b] for b in word.encode()]
-        symbols[-1] += self.end
-        return [self.vocab[s] for s in merge_word(symbols, self.ranks)]
+        data = word.encode()
+        inner = self.inner
+        ids = [inner[b] for b in data]
+        ids[-1] = self.last[data[-1]]
+        return merge_word(ids, self.ranks, self.made)
 
     def word(self, word: str) -> tuple[str, int, str]:
         """Ids and vocabulary strings of a word, each joined by a space, and their number."""
@@ -99,14 +120,17 @@ class WordBpe:
         got = self.cache[word] = (" ".join(map(str, ids)), len(ids), " ".join(self.strings[i] for i in ids))
         return got
 
-    def pieces(self, text: str) -> Iterator[tuple[str, int, str]]:
-        get = self.cache.get
-        for part in self.marks.split(text) if self.marks and "<|" in text else (text,):
+    def pieces(self, text: str) -> list[tuple[str, int, str]]:
+        get, word = self.cache.get, self.word
+        if not (self.marks and "<|" in text):
+            return [get(w) or word(w) for w in self.words(self.normal(text))]
+        out: list[tuple[str, int, str]] = []
+        for part in self.marks.split(text):
             if part in self.special:
-                yield str(self.special[part]), 1, part
+                out.append((str(self.special[part]), 1, part))
             else:
-                for w in self.words(self.normal(part)):
-                    yield get(w) or self.word(w)
+                out += [get(w) or word(w) for w in self.words(self.normal(part))]
+        return out
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for ids, _, _ in self.pieces(text) for i in ids.split()]
@@ -125,21 +149,22 @@ def loaded(path: str) -> WordBpe:
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per document: key, ``ids`` array<int> and ``decoded``, the text that the ids give back."""
+    """Per document: key, ``n_tokens``, ``ids`` array<int> and ``decoded_sha256``, of the text that the ids give back."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         bpe = loaded(path)
         for batch in batches:
-            ids, decoded = [], []
+            n, ids, decoded = [], [], []
             for t in batch.column(1).to_pylist():
                 found = bpe.encode(t or "")
+                n.append(len(found))
                 ids.append(found)
-                decoded.append(bpe.decode(found))
-            yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=[key, "ids", "decoded"])
+                decoded.append(hashlib.sha256(bpe.decode(found).encode()).hexdigest())
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=[key, "n_tokens", "ids", "decoded_sha256"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>, decoded string")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids array<int>, decoded_sha256 string")
 
 
 def digests(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -151,8 +176,8 @@ def digests(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
         for batch in batches:
             n, ids, decoded = [], [], []
             for t in batch.column(1).to_pylist():
-                found = list(bpe.pieces(t or ""))
-                n.append(sum(p[1] for p in found))
+                found = bpe.pieces(t or "")
+                n.append(sum([p[1] for p in found]))
                 ids.append(hashlib.sha256(" ".join([p[0] for p in found]).encode()).hexdigest())
                 decoded.append(hashlib.sha256(" ".join([p[2] for p in found]).encode()).hexdigest())
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])

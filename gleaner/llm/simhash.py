@@ -229,21 +229,22 @@ def _wide_keys(fps: np.ndarray) -> np.ndarray:
     return out
 
 
-def described(docs: DataFrame, size: int, text: str, key: str) -> DataFrame:
-    """Per row: key, ``same`` (of equal word sequences) and the wide fingerprint's words ``w0`` to ``w2``."""
+def described(docs: DataFrame, text: str, key: str, fine: int = 3) -> DataFrame:
+    """Per row: key, ``same`` (of equal word sequences), ``fp`` and the wide fingerprint's words ``w0`` to ``w2``."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            same, wide = [], []
+            same, fp, wide = [], [], []
             for t in batch.column(1).to_pylist():
                 words = words_of(t)
+                fp.append(majority(np.array(shingles(words, fine), np.uint64)))
                 same.append(int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True))
                 wide.append(wide_fingerprint(words))
             w = np.array(wide, np.uint64).reshape(-1, SEGMENTS // 3).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(same, pa.int64()), *(pa.array(w[:, k].copy()) for k in range(SEGMENTS // 3))], names=[key, "same", "w0", "w1", "w2"])
+            yield pa.record_batch([batch.column(0), pa.array(same, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), *(pa.array(w[:, k].copy()) for k in range(SEGMENTS // 3))], names=[key, "same", "fp", "w0", "w1", "w2"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind_of(docs, key)}, same long, w0 long, w1 long, w2 long")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind_of(docs, key)}, same long, fp long, w0 long, w1 long, w2 long")
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
@@ -295,40 +296,56 @@ def _sets(docs: DataFrame, size: int, text: str) -> DataFrame:
     return docs.select("same", text).mapInArrow(run, "same long, set binary")
 
 
-def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row: the key and ``component_id``, the smallest key that links of at least this similarity reach.
+def _alike(batches, similarity: float):
+    """(u, v, set of u, set of v) -> the pairs (u, v) whose sets are similar enough."""
+    for batch in batches:
+        ok = []
+        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            short, long = sorted((len(x), len(y)))
+            common = len(np.intersect1d(x, y, assume_unique=True)) if short and short >= similarity * long else 0
+            ok.append(common > 0 and common >= similarity * (len(x) + len(y) - common))
+        yield pa.record_batch([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    The similarity of two texts is that of their sets of ``size``-word shingles. Texts with
-    equal word sequences are one node. Candidates come from wide fingerprints, so a link can
-    be missed, the less likely the more similar its texts; none is made that does not hold.
+
+def copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, bits: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Per row: the key and ``component_id``, the smallest key that links reach.
+
+    Texts are linked if the sets of their ``size``-word shingles have at least this
+    similarity, or if their fingerprints differ in ``bits`` bits at most; texts with equal
+    word sequences are one node. Candidates for similarity come from wide fingerprints, so such a link
+    can be missed, the less likely the more similar its texts; none is made that does not hold.
     """
-    cuts = Cuts(docs.sparkSession, "similar")
-    rows = cuts.write(described(docs, size, text, key))
-    nodes = cuts.write(rows.groupBy("same").agg(F.min(key).alias("least"), *(F.min(w).alias(w) for w in ("w0", "w1", "w2"))))
+    cuts = Cuts(docs.sparkSession, "copies")
+    rows = cuts.write(described(docs, text, key))
+    nodes = cuts.write(rows.groupBy("same").agg(F.min(key).alias("least"), *(F.min(w).alias(w) for w in ("fp", "w0", "w1", "w2"))))
+    # fingerprints that links join: a star of the nodes that have them
+    fps = nodes.select("fp").distinct()
+    roots = components(linked(fps, bits), cuts)
+    group = nodes.select("same", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("same", F.coalesce("root", "fp").alias("root"))
+    stars = group.join(group.groupBy("root").agg(F.min("same").alias("v")), "root").select(F.col("same").alias("u"), "v").where("u <> v")
     pairs = cuts.write(_candidates(nodes))
     ends = pairs.select(F.col("u").alias("same")).unionByName(pairs.select(F.col("v").alias("same"))).distinct()
     # one text of each node that a pair names
-    owners = nodes.join(ends, "same").where("least is not null").select(F.col("least").alias(key), "same")
-    sets = cuts.write(_sets(docs.select(key, text).join(owners, key).dropDuplicates(["same"]), size, text))
-
-    def alike(batches):
-        for batch in batches:
-            ok = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                short, long = min(len(x), len(y)), max(len(x), len(y))
-                if not short or short < similarity * long:
-                    ok.append(False)
-                    continue
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(common >= similarity * (len(x) + len(y) - common))
-            yield pa.record_batch([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
-
-    small_batches(docs.sparkSession)
+    owners = nodes.join(ends, "same").select(F.col("least").alias(key), "same")
+    named = docs.select(key, text).join(owners, key).dropDuplicates(["same"])
+    sets = cuts.write(_sets(named, size, text))
     first = pairs.join(sets.select(F.col("same").alias("u"), F.col("set").alias("x")), "u")
     both = first.join(sets.select(F.col("same").alias("v"), F.col("set").alias("y")), "v").select("u", "v", "x", "y")
-    roots = cuts.write(components(both.mapInArrow(alike, "u long, v long"), cuts))
-    named = nodes.select("same", "least").join(roots.withColumnRenamed("node", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.select("same", "root").join(least, "root").select("same", "component_id")
+    alike = both.mapInArrow(lambda batches: _alike(batches, similarity), "u long, v long")
+    joined = cuts.write(components(alike.unionByName(stars), cuts))
+    belongs = nodes.select("same", "least").join(joined.withColumnRenamed("node", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
+    least = belongs.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = belongs.select("same", "root").join(least, "root").select("same", "component_id")
     return rows.join(of, "same").select(key, "component_id")
+
+
+def without_copies(docs: DataFrame, key: str = "doc_id", **more) -> DataFrame:
+    """``docs`` with one document of each group of copies, the one with the smallest key.
+
+    Rows that share that key are repeats of one document, and one of them stays. Rows with a
+    null key cannot be told apart by it, and all of them stay.
+    """
+    stay = copies(docs, key=key, **more).where("component_id is not null").select(F.col("component_id").alias("_id")).distinct()
+    kept = docs.join(stay, docs[key] == F.col("_id")).select(*docs.columns).dropDuplicates([key])
+    return kept.unionByName(docs.where(F.col(key).isNull()))
