@@ -7,7 +7,8 @@ was pushed is stale and is skipped. Decoding concatenates the vocabulary's strin
 The work is row-local, so the plan is one scan with one Arrow stage and no shuffle.
 
 Defined results: a null text counts as empty and has no tokens; repeated rows give
-repeated results; extra columns are ignored.
+repeated results; extra columns are ignored. Letters and digits are what the ``regex``
+module calls so; for characters assigned after Unicode 15.1 libraries differ.
 """
 
 from __future__ import annotations

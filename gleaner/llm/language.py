@@ -33,7 +33,7 @@ PER_LANGUAGE = 256
 MOST_LANGUAGES = 1024
 CENTROIDS, ROUNDS, DIMENSIONS = 4, 8, 1 << 13
 #: A text is rejected below this part of the least cosine of a training text with its language.
-TOLERANCE = 0.5
+TOLERANCE = 0.25
 #: Characters that are counted at once.
 PIECE = 1 << 20
 
