@@ -49,10 +49,10 @@ PAIRED = 24
 
 #: The wide fingerprint: segments of 21 bits, three to a 64-bit word (its last bit is unused).
 SEGMENTS, WIDTH, EXACT = 9, 21, 14
-#: Wide fingerprints that differ in a larger share of bits are not compared by shingles.
-FAR = 0.2
-#: In a larger key of ``similar``, a text meets the first one and so many before it.
-BEFORE = 6
+#: Wide fingerprints that differ in more of their 192 bits are not compared by shingles.
+FAR_BITS = 38
+#: A key of ``copies`` with so many texts makes all their pairs; a larger one goes by its hub.
+MET = 8
 
 
 def _remainder(x: int) -> int:
@@ -247,8 +247,12 @@ def described(docs: DataFrame, text: str, key: str, fine: int = 3) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind_of(docs, key)}, same long, fp long, w0 long, w1 long, w2 long")
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """(same, w0, w1, w2) -> pairs (u, v) of ``same`` that share a key and are not far apart by their bits."""
+def _candidates(nodes: DataFrame, cuts: Cuts) -> DataFrame:
+    """(same, w0, w1, w2) -> pairs (u, v) of ``same`` that share a key and are not far apart by their bits.
+
+    A key of up to ``MET`` texts gives all its pairs. In a larger one every text is paired
+    with the key's hub, so pairs grow with the group and not with its square.
+    """
 
     def emit(batches):
         for batch in batches:
@@ -258,31 +262,35 @@ def _candidates(nodes: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(keys[row, col]), *(batch.column(k).take(pa.array(row)) for k in range(4))], names=["key", "same", "w0", "w1", "w2"])
 
     keyed = nodes.select("same", "w0", "w1", "w2").mapInArrow(emit, "key long, same long, w0 long, w1 long, w2 long")
-    n_bits = 64 * (SEGMENTS // 3)
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cuts.write(keyed.join(counts, "key"))
 
     def meet(batches):
-        """Rows come sorted by key; what is kept of a key is its first row and BEFORE or PAIRED rows."""
-        kept: list[tuple] = []
-        at, seen = None, 0
+        """Rows come sorted by key; all pairs of a key."""
+        at, kept = None, []
         for batch in batches:
             u, v = [], []
             for key, same, *w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != at:
-                    kept, at, seen = [], key, 0
+                    at, kept = key, []
                 for other, x in kept:
-                    if sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(w, x, strict=True)) <= FAR * n_bits:
+                    if sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(w, x, strict=True)) <= FAR_BITS:
                         u.append(max(same, other))
                         v.append(min(same, other))
                 kept.append((same, w))
-                seen += 1
-                if len(kept) > (PAIRED if seen <= PAIRED else BEFORE + 1):
-                    del kept[1 : len(kept) - BEFORE]
             yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    # each key's rows in an order of its own, so that a large key's rows meet others in other keys
-    dealt = keyed.join(shared, "key").repartition("key").sortWithinPartitions("key", F.xxhash64("key", "same"))
-    return dealt.select("key", "same", "w0", "w1", "w2").mapInArrow(meet, "u long, v long").where("u <> v").distinct()
+    few = shared.where(F.col("n") <= MET).select("key", "same", "w0", "w1", "w2")
+    pairs = few.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "u long, v long")
+    # a large key's texts meet the one of them that meets most others in all large keys
+    many = shared.where(F.col("n") > MET)
+    central = many.groupBy("same").agg(F.sum("n").alias("meets"))
+    one = F.struct("same", "w0", "w1", "w2")
+    hubs = many.join(central, "same").groupBy("key").agg(F.max_by(one, F.struct("meets", "same")).alias("hub"))
+    apart = sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"hub.w{k}"))) for k in range(SEGMENTS // 3)), F.lit(0))
+    rays = many.join(hubs, "key").where((F.col("same") != F.col("hub.same")) & (apart <= FAR_BITS))
+    rays = rays.select(F.greatest("same", "hub.same").alias("u"), F.least("same", "hub.same").alias("v"))
+    return pairs.unionByName(rays).distinct()
 
 
 def _sets(docs: DataFrame, size: int, text: str) -> DataFrame:
@@ -324,7 +332,7 @@ def copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, bits: int =
     roots = components(linked(fps, bits), cuts)
     group = nodes.select("same", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("same", F.coalesce("root", "fp").alias("root"))
     stars = group.join(group.groupBy("root").agg(F.min("same").alias("v")), "root").select(F.col("same").alias("u"), "v").where("u <> v")
-    pairs = cuts.write(_candidates(nodes))
+    pairs = cuts.write(_candidates(nodes, cuts))
     ends = pairs.select(F.col("u").alias("same")).unionByName(pairs.select(F.col("v").alias("same"))).distinct()
     # one text of each node that a pair names
     owners = nodes.join(ends, "same").select(F.col("least").alias(key), "same")
