@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import sentences
@@ -56,7 +56,7 @@ def find_drugs(texts: DataFrame, drugs: DataFrame) -> DataFrame:
     alternatives need is not known, so no key joins them. Patterns are grouped by drug.
     """
     patterns = drug_patterns(drugs)
-    rows = texts.select("text_id", "text", plain(F.col("text")).alias("_plain")).join(F.broadcast(patterns), F.col("_plain").rlike(F.col("pattern")))
+    rows = texts.select("text_id", "text", plain(F.col("text")).alias("_plain")).join(F.broadcast(patterns), F.regexp_like(F.col("_plain"), F.col("pattern")))
     spans = rows.select("text_id", "drug_id", "name", "text", F.explode(match_spans(F.col("_plain"), F.col("pattern"))).alias("s"))
     return spans.select("text_id", "drug_id", "name", F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("surface"), "s.start", "s.end")
 
@@ -124,11 +124,9 @@ ABSTRACT = 2450
 def star_schema(found: DataFrame, articles: DataFrame) -> dict[str, DataFrame]:
     """Tables genedrug (id, gene, drug, numarticles), dg_pmids (pmid, text, dg_id), cbs (an article a row)."""
     pairs = global_pairs(found)
-    from pyspark.sql import Window
-
     ids = pairs.withColumn("id", F.row_number().over(Window.orderBy("gene", "drug")) - 1)
     genedrug = ids.select("id", "gene", "drug", F.col("n").alias("numarticles"))
-    dg = ids.select(F.explode("pmids").cast("string").alias("pmid"), F.lit(None).cast("string").alias("text"), F.col("id").alias("dg_id"))
+    dg = ids.select(F.explode(F.col("pmids").cast("array<string>")).alias("pmid"), F.lit(None).cast("string").alias("text"), F.col("id").alias("dg_id"))
     per = found.groupBy("text_id").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("genes")))), " ").alias("genes"), F.array_join(F.array_sort(F.collect_set("drug")), " ").alias("drugs"))
     cbs = articles.join(per, articles.pmid == per.text_id).select(
         F.col("pmid").cast("string").alias("pmid"), "title", F.when(F.col("abstract") != "", F.substring("abstract", 1, ABSTRACT)).alias("abs"), "genes", "drugs", F.lit(None).cast("string").alias("coes"), F.lit(None).cast("string").alias("evid_loc")

@@ -111,7 +111,7 @@ def feature_stats(spark, d):
 
 @query
 def tfidf_top(spark, d):
-    return model.top_tfidf(trained(spark, d), 20).select("fid", "ftype", "fname", "pos", "neg", F.col("tfidf") + F.lit(0.0))
+    return model.top_tfidf(trained(spark, d), 20).select("fid", "ftype", "fname", "pos", "neg", "tfidf")
 
 
 def _weights(method: str):
@@ -402,8 +402,8 @@ def _drugs(spark):
 
 
 def _genes(texts):
-    """Spans of the gene words as whole tokens; their score stands for a finder's."""
-    spans = cooccur.match_spans(F.col("text"), F.lit(r"\b(" + "|".join(GENES) + r")"))
+    """Spans of the gene words; their score stands for a finder's."""
+    spans = cooccur.match_spans(F.col("text"), F.lit("|".join(GENES)))
     rows = texts.select("text_id", "text", F.explode(spans).alias("s"))
     surface = F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
     score = F.when((F.col("text_id") + F.col("s.start")) % 5 == 0, 0.5).otherwise(0.9)
