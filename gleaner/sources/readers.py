@@ -137,7 +137,7 @@ def parse_descriptor(lines: Iterable[str]) -> dict:
 
 def read_descriptors(spark: SparkSession, path: str) -> DataFrame:
     """(file, header map, ids) of all task files under ``path``: one row a file."""
-    text = spark.read.option("wholetext", True).text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.split("value", "\n").alias("lines"))
+    text = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.split("value", "\n").alias("lines"))
     head = F.filter("lines", lambda x: F.startswith(x, F.lit("#")))
     pairs = F.transform(head, lambda x: F.struct(F.substring_index(F.substring(x, 2, 1 << 30), " = ", 1), F.trim(F.substring_index(x, " = ", -1))))
     ids = F.transform(F.filter("lines", lambda x: (F.trim(x) != "") & ~F.startswith(x, F.lit("#"))), lambda x: F.get(F.split(F.trim(x), r"\s+"), F.lit(0)).cast("long"))
