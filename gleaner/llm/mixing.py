@@ -138,3 +138,28 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", **more) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     return mix(docs)[0].select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: The words that the schedule's blocks add up to, from the streams themselves.
+ORACLE_SQL = rf"""
+WITH docs AS (
+  SELECT doc_id, source, coalesce('s' || source, 'n') AS stratum, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    ('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h FROM documents
+), sources AS (
+  SELECT stratum, source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY stratum, source
+), weighted AS (
+  SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][CAST((place - 1) % 3 + 1 AS BIGINT)] AS weight, CAST(source_size AS DOUBLE) * 2.0::DOUBLE AS most
+  FROM (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM sources)
+), levels AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(most) OVER (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / sum(weight) OVER (ORDER BY most / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighted
+), targets AS (
+  SELECT *, least(weight * (SELECT arg_min(level, (most / weight, place)) FROM levels WHERE level <= most / weight), most) AS target FROM levels
+), streams AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY stratum ORDER BY h % b, h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM docs, (SELECT greatest(64, (count(*) + 16383) // 16384) AS b FROM documents)
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+  CAST(greatest(0, least(before + size, take) - before) + greatest(0, least(source_size + before + size, take) - source_size - before) AS BIGINT) AS taken
+FROM streams JOIN (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS take FROM targets) USING (stratum)
+"""

@@ -68,4 +68,4 @@ QUERIES = {
     "op10_media": op10_media,
 }
 
-ORACLE: dict[str, str] = {"op5_chat": chat.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op2_shards": shards.ORACLE_SQL, "op5_chat": chat.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}

@@ -51,3 +51,25 @@ def interleaved(docs: DataFrame, shards: int = 16, seed: int = SEED, key: str =
 def digest(docs: DataFrame, shards: int = 16) -> DataFrame:
     got = interleaved(docs, shards)
     return got.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The same with one global order; checksums by the usual table, made by shifting.
+ORACLE_SQL = f"""
+WITH RECURSIVE steps(i, k, v) AS (
+  SELECT i, 0, i FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8
+), crc AS (SELECT list(v ORDER BY i) AS t FROM steps WHERE k = 8),
+docs AS (
+  SELECT doc_id, coalesce('s' || source, 'n') AS stratum, strlen(coalesce(text, '')) + 1 AS size, hex(encode(coalesce(text, ''))) AS x,
+    ('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h FROM documents
+), summed AS (
+  SELECT doc_id, stratum, size, h, xor(list_reduce(list_prepend(4294967295::BIGINT, [('0x' || substr(x, CAST(2 * j - 1 AS BIGINT), 2))::BIGINT FOR j IN range(1, strlen(x) // 2 + 1)]),
+    lambda a, b: xor(a >> 8, t[CAST(xor(a, b) & 255 AS BIGINT) + 1])), 4294967295) AS crc FROM docs, crc
+), buckets AS (SELECT count(*) AS total, greatest(64, (count(*) + 16383) // 16384) AS b FROM documents),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY h % b, h, doc_id, size, crc) - 1 AS rank, count(*) OVER (PARTITION BY stratum) AS n FROM summed, buckets
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY ((2 * rank + 1) * b) // (2 * n), (2 * rank + 1) / (2 * n), stratum, rank) - 1 AS place FROM ranked
+), cut AS (SELECT *, (place * 16) // total AS k FROM placed)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'rows' AS law, CAST(k AS INTEGER) AS shard, CAST(place - (k * total + 15) // 16 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM cut
+"""
