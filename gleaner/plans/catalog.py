@@ -12,6 +12,7 @@ from gleaner.functions import codec, dates
 from gleaner.functions.text import article_text
 from gleaner.operators import browse, cooccur, index, metrics, model, retrieve, sweep, validate
 from gleaner.operators.features import extract
+from gleaner.session import Cuts
 from gleaner.sources import corpora, readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,11 +30,19 @@ def query(f):
 # ---- the basket corpus
 
 
+def built(spark, articles: DataFrame, long: DataFrame, mincount: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(vectors, vocabulary), written: features are extracted once, and all later steps scan the index."""
+    cuts = Cuts(spark, "index")
+    long = cuts.write(long)
+    names = index.document_frequency(long)
+    vocab = cuts.write(index.numbered(names if mincount <= 1 else names.where(F.col("df") >= mincount)).select("fid", "ftype", "fname", "df"))
+    return cuts.write(index.vectors(articles, long, vocab)), vocab
+
+
 def basket(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(vectors, vocabulary, positives)."""
-    long = corpora.basket_features(spark, d)
-    vocab = index.vocabulary(long)
-    return index.vectors(corpora.basket_articles(spark, d), long, vocab), vocab, corpora.basket_positives(spark, d)
+    docs, vocab = built(spark, corpora.basket_articles(spark, d), corpora.basket_features(spark, d))
+    return docs, vocab, corpora.basket_positives(spark, d)
 
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
@@ -234,10 +243,8 @@ for _name, _spacename in {
 def text_corpus(spark, d) -> tuple[DataFrame, DataFrame]:
     """(vectors, vocabulary) of lower-cased words that two documents or more have."""
     articles = corpora.text_articles(spark, d)
-    long = extract(articles, "word_strip")
-    kept = index.numbered(index.document_frequency(long).where("df >= 2")).select("fid", "ftype", "fname", "df")
     dated = articles.select("pmid", dates.date_key(F.col("date_completed")).alias("date_key"))
-    return index.vectors(dated, long, kept), kept
+    return built(spark, dated, extract(articles, "word_strip"), mincount=2)
 
 
 @query
@@ -271,7 +278,7 @@ def _basket_scores(spark, d) -> DataFrame:
     m = retrieve.learn(docs, vocab, positives)
     scores = rounded(retrieve.score(docs, m), "score", digits=3)
     flagged = scores.join(positives.withColumn("label", F.lit(1)), "pmid", "left")
-    return flagged.select("pmid", F.coalesce("label", F.lit(0)).alias("label"), (F.col("pmid") % FOLDS).cast("int").alias("fold"), "score")
+    return Cuts(spark, "scores").write(flagged.select("pmid", F.coalesce("label", F.lit(0)).alias("label"), (F.col("pmid") % FOLDS).cast("int").alias("fold"), "score"))
 
 
 @query
@@ -421,8 +428,9 @@ def term_spans(spark, d):
 
 
 def _found(spark, d):
-    texts = _texts(spark, d)
-    return cooccur.cooccurrences(texts, cooccur.find_drugs(texts, _drugs(spark)), cooccur.gene_spans(_genes(texts)))
+    texts, cuts = _texts(spark, d), Cuts(spark, "spans")
+    drugs, genes = cuts.write(cooccur.find_drugs(texts, _drugs(spark))), cuts.write(_genes(texts))
+    return cuts.write(cooccur.cooccurrences(texts, drugs, cooccur.gene_spans(genes)))
 
 
 @query
