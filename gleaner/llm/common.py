@@ -1,59 +1,19 @@
-"""What the corpus operators share: a place for written intermediates, and small checks."""
+"""What the corpus operators share: readied Python workers, tables, and written intermediates."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.session import reach
+from gleaner.session import Cuts, reach
+
+__all__ = ["Cuts", "kind_of", "small_batches", "table"]
 
 #: Arrow batches of whole texts: few rows each, so a worker holds few long texts at once.
 TEXT_BATCH_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``.
-
-    Where the session names none, a local master gets a temporary folder; a cluster
-    must name one, because executors do not share the driver's temporary folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gleaner-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-class Cuts:
-    """Tables written in the shared folder, so that lost executors cost no recomputation.
-
-    ``write`` cuts a plan's lineage; ``drop`` deletes tables that no later plan reads.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.made = 0
-
-    def write(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{self.made}"
-        self.made += 1
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.cut_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Ready Python workers: they can import this package, and get Arrow batches of bounded bytes."""
     reach(spark)
