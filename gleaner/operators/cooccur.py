@@ -49,14 +49,28 @@ def match_spans(text: Column, pattern: Column) -> Column:
     return F.aggregate(zipped, empty, step, lambda acc: acc["out"])
 
 
+#: First words of aliases that a filter on texts holds; a larger drug table goes without it.
+FILTER_WORDS = 100_000
+
+
 def find_drugs(texts: DataFrame, drugs: DataFrame) -> DataFrame:
     """(text_id, drug_id, name, surface, start, end): every match of every drug.
 
-    The patterns are a small table that each text meets; a word that all of a drug's
-    alternatives need is not known, so no key joins them. Patterns are grouped by drug.
+    A match starts with a whole word, so texts and drugs are joined on the aliases' first
+    words, and only such pairs are searched. A pair is searched once, for the first of the
+    text's words that the drug's aliases start with.
     """
-    patterns = drug_patterns(drugs)
-    rows = texts.select("text_id", "text", plain(F.col("text")).alias("_plain")).join(F.broadcast(patterns), F.regexp_like(F.col("_plain"), F.col("pattern")))
+    firsts = F.array_distinct(F.transform(F.split(F.regexp_replace("pattern", r"\\b\(|\)\\b", ""), r"\|"), lambda a: F.substring_index(a, "\\s+", 1)))
+    patterns = drug_patterns(drugs).withColumn("firsts", firsts)
+    by_word = patterns.withColumn("word", F.explode("firsts"))
+    known = [r.word for r in by_word.select("word").distinct().limit(FILTER_WORDS + 1).collect()]
+    rows = texts.select("text_id", "text", plain(F.col("text")).alias("_plain"))
+    hits = F.array_distinct(F.split("_plain", " +"))
+    if len(known) <= FILTER_WORDS:
+        hits = F.filter(hits, lambda w: w.isin(known)) if known else F.array().cast("array<string>")
+        by_word = F.broadcast(by_word)
+    rows = rows.withColumn("_hits", hits).withColumn("word", F.explode("_hits")).join(by_word, "word")
+    rows = rows.where(F.col("word") == F.get(F.array_intersect("_hits", "firsts"), F.lit(0)))
     spans = rows.select("text_id", "drug_id", "name", "text", F.explode(match_spans(F.col("_plain"), F.col("pattern"))).alias("s"))
     return spans.select("text_id", "drug_id", "name", F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("surface"), "s.start", "s.end")
 

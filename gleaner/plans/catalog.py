@@ -35,7 +35,8 @@ def built(spark, articles: DataFrame, long: DataFrame, mincount: int = 1) -> tup
     cuts = Cuts(spark, "index")
     long = cuts.write(long)
     names = index.document_frequency(long)
-    vocab = cuts.write(index.numbered(names if mincount <= 1 else names.where(F.col("df") >= mincount)).select("fid", "ftype", "fname", "df"))
+    names = names if mincount <= 1 else names.where(F.col("df") >= mincount)
+    vocab = cuts.write(index.numbered_by_range(names, cuts).select("fid", "ftype", "fname", "df"))
     return cuts.write(index.vectors(articles, long, vocab)), vocab
 
 

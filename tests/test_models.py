@@ -204,3 +204,12 @@ def test_tasks():
     assert Task("a").params().method == "bgfreq" and Task("a", allfeatures=True).params().method == "laplace_split"
     with pytest.raises(ValueError):
         Params(method="none")
+
+
+def test_numbers_by_range_are_the_windows(spark):
+    from gleaner.session import Cuts
+
+    names = spark.range(500).select(F.md5(F.col("id").cast("string")).substr(1, 1).alias("ftype"), F.md5((F.col("id") * 7).cast("string")).alias("fname"), F.lit(1).alias("df"))
+    key = lambda df: sorted((r.fid, r.ftype, r.fname) for r in df.collect())
+    assert key(index.numbered_by_range(names, Cuts(spark, "test"), 7)) == key(index.numbered(names))
+    assert index.numbered_by_range(names.limit(0), Cuts(spark, "test")).count() == 0
