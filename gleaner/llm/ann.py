@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import small_batches
+from gleaner.llm.common import Cuts, lean, small_batches
 
 #: Vectors in the quantiser's training sample at most, on average over hashes.
 SAMPLE = 4096
@@ -159,7 +159,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
     """
     spark = vectors.sparkSession
     small_batches(spark)
-    rows = usable(vectors, key, vector)
+    rows = Cuts(spark, "vectors").write(usable(vectors, key, vector))
     counts = rows.groupBy("d").agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).collect()
     found = None
     for d, n, q in sorted(counts):
@@ -193,7 +193,7 @@ def _searched(own: DataFrame, is_query: Column, model, n: int, q: int, k: int) -
             codes = packed(model.value.code(padded(x / np.linalg.norm(x, axis=1, keepdims=True)))) if len(x) else np.zeros((0, 1), np.uint8)
             yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array([c.tobytes() for c in codes], pa.binary())], names=["g", "id", "v", "code"])
 
-    index = own.select(g.alias("g"), "id", "v").mapInArrow(coded, "g int, id long, v array<double>, code binary")
+    index = own.select(g.alias("g"), "id", "v").mapInArrow(lean(coded), "g int, id long, v array<double>, code binary")
     index = index.select("g", every(blocks).alias("b"), "id", "v", "code")
     asked = own.where(is_query).select(every(groups).alias("g"), b.alias("b"), "id", "v")
 

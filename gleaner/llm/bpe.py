@@ -22,9 +22,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from gleaner.llm.common import small_batches
+from gleaner.llm.common import lean, small_batches
 
-#: Words that a worker remembers; at this many it starts anew, so memory is bounded.
+#: Words that a task remembers; at this many it starts anew, so memory is bounded.
 CACHED_WORDS = 150_000
 
 
@@ -163,9 +163,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
                 ids.append(found)
                 decoded.append(hashlib.sha256(bpe.decode(found).encode()).hexdigest())
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=[key, "n_tokens", "ids", "decoded_sha256"])
+        bpe.cache.clear()
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids array<int>, decoded_sha256 string")
+    return docs.select(key, text).mapInArrow(lean(run), f"`{key}` {kind}, n_tokens long, ids array<int>, decoded_sha256 string")
 
 
 def digests(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -182,6 +183,7 @@ def digests(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
                 ids.append(hashlib.sha256(" ".join([p[0] for p in found]).encode()).hexdigest())
                 decoded.append(hashlib.sha256(" ".join([p[2] for p in found]).encode()).hexdigest())
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.cache.clear()
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(key, text).mapInArrow(lean(run), f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

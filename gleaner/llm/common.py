@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.session import Cuts, reach
 
-__all__ = ["Cuts", "kind_of", "small_batches", "table"]
+__all__ = ["Cuts", "kind_of", "lean", "small_batches", "table", "unused"]
 
 #: Arrow batches of whole texts: few rows each, so a worker holds few long texts at once.
-TEXT_BATCH_BYTES = 8 << 20
+TEXT_BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -26,5 +30,35 @@ def kind_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
+def lean(run):
+    """A function of Arrow batches that gives memory back when its task ends.
+
+    Workers serve many tasks; without this, what one task's largest batch took stays with them.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
+def unused(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """Column names that ``df`` does not have, regardless of case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return tuple(out)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

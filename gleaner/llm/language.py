@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import kind_of, small_batches
+from gleaner.llm.common import kind_of, lean, small_batches
 
 #: Texts of each language in the training sample at most, on average over hashes.
 PER_LANGUAGE = 256
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, held_out: Column, key: str = "doc_id", lang: str = "lan
             yield pa.record_batch([batch.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int64()))], names=["lang", "at", "n"])
 
     small_batches(docs.sparkSession)
-    rows = training_sample(docs, held_out, key, lang, text).mapInArrow(run, "lang string, at array<int>, n array<long>").toArrow().to_pylist()
+    rows = training_sample(docs, held_out, key, lang, text).mapInArrow(lean(run), "lang string, at array<int>, n array<long>").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["lang"], r["at"], r["n"]))  # whatever order the tasks gave
     languages = sorted({r["lang"] for r in rows})
     seen = np.zeros(DIMENSIONS)
@@ -184,7 +184,7 @@ def identified(docs: DataFrame, key: str = "doc_id", lang: str = "lang", text: s
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())], names=[key, "held_out", "lang_pred", "score", "rejected"])
 
     rows = docs.select(key, fold(key).alias("held_out"), text)
-    return rows.mapInArrow(run, f"`{key}` {kind_of(docs, key)}, held_out boolean, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(lean(run), f"`{key}` {kind_of(docs, key)}, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def recognised(docs: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
@@ -198,4 +198,4 @@ def recognised(docs: DataFrame, key: str = "doc_id", lang: str = "lang", text: s
             got = model.value.predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array([not g[2] for g in got], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gleaner.llm.common import kind_of, small_batches
+from gleaner.llm.common import kind_of, lean, small_batches
 
 #: A frame is 8 x 8 samples of 8 bits.
 FRAME, SIDE = 64, 8
@@ -226,7 +226,7 @@ def media_columns(files: DataFrame, key: str = "media_id", content: str = "conte
             cols = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.record_batch([batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], ranges)], names=[key, "track", "codec", "seconds", "samples", "keyframes"])
 
-    return files.select(key, content).mapInArrow(run, shape)
+    return files.select(key, content).mapInArrow(lean(run), shape)
 
 
 DIGEST = (("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string"))
@@ -252,4 +252,4 @@ def stored_texts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
             cols = list(cols) or [()] * len(kinds)
             yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[key, *(n for n, _ in DIGEST)])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind_of(docs, key)}, " + ", ".join(f"{n} {k}" for n, k in DIGEST))
+    return docs.select(key, text).mapInArrow(lean(run), f"`{key}` {kind_of(docs, key)}, " + ", ".join(f"{n} {k}" for n, k in DIGEST))

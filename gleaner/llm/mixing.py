@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Cuts
+from gleaner.llm.common import Cuts, unused
 from gleaner.llm.ranks import buckets_for, group_key, running, shuffle_key
 
 SEED = 23
@@ -130,10 +130,10 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", **more) -> DataFrame:
     Documents without words are never taken. Rows of one key share their passes.
     """
     mixed, _ = mix(docs, key=key, **more)
-    copies = mixed.groupBy(key).agg(F.ceil(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("_passes")).where("_passes > 0")
-    ids = copies.withColumnRenamed(key, "_id")
-    taken = docs.join(ids, F.col(key).eqNullSafe(F.col("_id")))
-    return taken.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_passes")))).select(*(docs[c] for c in docs.columns))
+    own, passes, one = unused(docs, "mixed_id", "passes", "one_pass")
+    each = mixed.groupBy(F.col(key).alias(own)).agg(F.ceil(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias(passes)).where(F.col(passes) > 0)
+    taken = docs.join(each, docs[key].eqNullSafe(each[own]))
+    return taken.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), each[passes])).alias(one)).drop(one)
 
 
 def digest(docs: DataFrame) -> DataFrame:

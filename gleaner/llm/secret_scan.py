@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Cuts
+from gleaner.llm.common import Cuts, unused
 
 #: Kinds in listed order: pattern, group with the secret's value, least length of that group.
 BASE = (
@@ -143,13 +143,16 @@ def blanked(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 def without_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", count: str | None = "n_chars", **more) -> DataFrame:
     """``docs`` with every span blanked and ``count`` set to the new length; rows stay.
 
-    Spans belong to a row by its key, so rows of one key must have one text.
+    Spans belong to a row by its key, so rows of one key must have one text; where they do not,
+    the spans of one of them are blanked in all.
     """
-    hits = secrets(docs, key=key, text=text, **more).where(F.size("spans") > 0).select(F.col(key).alias("_id"), F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("_spans"))
-    hits = hits.dropDuplicates(["_id"])
-    got = docs.join(hits, docs[key] == F.col("_id"), "left")
-    got = got.withColumn(text, F.when(F.col("_spans").isNotNull(), blanked(F.col(text), F.col("_spans"))).otherwise(F.col(text)))
+    own, found_ = unused(docs, "secret_id", "secret_spans")
+    hits = secrets(docs, key=key, text=text, **more).where(F.size("spans") > 0).select(F.col(key).alias(own), F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(found_))
+    hits = hits.dropDuplicates([own])
+    got = docs.join(hits, docs[key].eqNullSafe(hits[own]), "left")
+    clean = F.when(hits[found_].isNotNull(), blanked(docs[text], hits[found_])).otherwise(docs[text]).alias(text)
+    changed = {text: clean}
     if count and count in docs.columns:
         kind = docs.schema[count].dataType
-        got = got.withColumn(count, F.when(F.col("_spans").isNotNull(), F.length(text).cast(kind)).otherwise(F.col(count)))
-    return got.select(*docs.columns)
+        changed[count] = F.when(hits[found_].isNotNull(), F.length(clean).cast(kind)).otherwise(docs[count]).alias(count)
+    return got.select(*(changed.get(c, docs[c]) for c in docs.columns))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Cuts, kind_of, small_batches
+from gleaner.llm.common import Cuts, kind_of, lean, small_batches, unused
 from gleaner.llm.components import components
 
 #: Generator polynomial of the Golay code. (A fixed value.)
@@ -138,7 +138,7 @@ def fingerprints(docs: DataFrame, size: int = 3, text: str = "text", key: str =
             fp = np.array([fingerprint(t, size) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.record_batch([batch.column(0), pa.array(fp)], names=[key, "fp"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind_of(docs, key)}, fp long")
+    return docs.select(key, text).mapInArrow(lean(run), f"`{key}` {kind_of(docs, key)}, fp long")
 
 
 def _keyed(nodes: DataFrame) -> DataFrame:
@@ -154,7 +154,7 @@ def _keyed(nodes: DataFrame) -> DataFrame:
                 keys = (k << 34) | (part[k][:, None] << 12) | near
                 yield pa.record_batch([pa.array(keys[first]), pa.array(np.repeat(fp.view(np.int64), first.sum(1)))], names=["key", "fp"])
 
-    return nodes.select("fp").mapInArrow(run, "key long, fp long")
+    return nodes.select("fp").mapInArrow(lean(run), "key long, fp long")
 
 
 def linked(nodes: DataFrame, bits: int = 2) -> DataFrame:
@@ -244,7 +244,7 @@ def described(docs: DataFrame, text: str, key: str, fine: int = 3) -> DataFrame:
             w = np.array(wide, np.uint64).reshape(-1, SEGMENTS // 3).view(np.int64)
             yield pa.record_batch([batch.column(0), pa.array(same, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), *(pa.array(w[:, k].copy()) for k in range(SEGMENTS // 3))], names=[key, "same", "fp", "w0", "w1", "w2"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind_of(docs, key)}, same long, fp long, w0 long, w1 long, w2 long")
+    return docs.select(key, text).mapInArrow(lean(run), f"`{key}` {kind_of(docs, key)}, same long, fp long, w0 long, w1 long, w2 long")
 
 
 def _candidates(nodes: DataFrame, cuts: Cuts) -> DataFrame:
@@ -261,7 +261,7 @@ def _candidates(nodes: DataFrame, cuts: Cuts) -> DataFrame:
             row, col = np.nonzero(keys >= 0)
             yield pa.record_batch([pa.array(keys[row, col]), *(batch.column(k).take(pa.array(row)) for k in range(4))], names=["key", "same", "w0", "w1", "w2"])
 
-    keyed = nodes.select("same", "w0", "w1", "w2").mapInArrow(emit, "key long, same long, w0 long, w1 long, w2 long")
+    keyed = nodes.select("same", "w0", "w1", "w2").mapInArrow(lean(emit), "key long, same long, w0 long, w1 long, w2 long")
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = cuts.write(keyed.join(counts, "key"))
 
@@ -281,7 +281,7 @@ def _candidates(nodes: DataFrame, cuts: Cuts) -> DataFrame:
             yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     few = shared.where(F.col("n") <= MET).select("key", "same", "w0", "w1", "w2")
-    pairs = few.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "u long, v long")
+    pairs = few.repartition("key").sortWithinPartitions("key").mapInArrow(lean(meet), "u long, v long")
     # a large key's texts meet the one of them that meets most others in all large keys
     many = shared.where(F.col("n") > MET)
     central = many.groupBy("same").agg(F.sum("n").alias("meets"))
@@ -301,7 +301,7 @@ def _sets(docs: DataFrame, size: int, text: str) -> DataFrame:
             sets = [np.unique(np.array(shingles(words_of(t), size), np.uint64)).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["same", "set"])
 
-    return docs.select("same", text).mapInArrow(run, "same long, set binary")
+    return docs.select("same", text).mapInArrow(lean(run), "same long, set binary")
 
 
 def _alike(batches, similarity: float):
@@ -340,7 +340,7 @@ def copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, bits: int =
     sets = cuts.write(_sets(named, size, text))
     first = pairs.join(sets.select(F.col("same").alias("u"), F.col("set").alias("x")), "u")
     both = first.join(sets.select(F.col("same").alias("v"), F.col("set").alias("y")), "v").select("u", "v", "x", "y")
-    alike = both.mapInArrow(lambda batches: _alike(batches, similarity), "u long, v long")
+    alike = both.mapInArrow(lean(lambda batches: _alike(batches, similarity)), "u long, v long")
     joined = cuts.write(components(alike.unionByName(stars), cuts))
     belongs = nodes.select("same", "least").join(joined.withColumnRenamed("node", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
     least = belongs.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -354,6 +354,7 @@ def without_copies(docs: DataFrame, key: str = "doc_id", **more) -> DataFrame:
     Rows that share that key are repeats of one document, and one of them stays. Rows with a
     null key cannot be told apart by it, and all of them stay.
     """
-    stay = copies(docs, key=key, **more).where("component_id is not null").select(F.col("component_id").alias("_id")).distinct()
-    kept = docs.join(stay, docs[key] == F.col("_id")).select(*docs.columns).dropDuplicates([key])
+    (own,) = unused(docs, "kept_id")
+    stay = copies(docs, key=key, **more).where("component_id is not null").select(F.col("component_id").alias(own)).distinct()
+    kept = docs.join(stay, docs[key] == stay[own]).select(*(docs[c] for c in docs.columns)).dropDuplicates([key])
     return kept.unionByName(docs.where(F.col(key).isNull()))

@@ -1,0 +1,97 @@
+"""The pipeline's stages on odd tables and, on the smallest data, against plain Python."""
+
+import re
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from gleaner.llm import language, queries, secret_scan, simhash
+from gleaner.llm.common import Cuts, unused
+
+CLASHES = "kept_id string, KEPT_ID2 string, secret_id int, secret_spans string, mixed_id int, passes int, one_pass int, same int, fp int, row int, size int, spans string, rejected string"
+SCHEMA = f"doc_id long, text string, lang string, source string, n_chars long, {CLASHES}"
+FILL = ("k", "k", 1, "s", 1, 1, 1, 1, 1, 1, 1, "s", "r")
+
+
+def odd(spark):
+    long = "the thing of that other in and " * 5000
+    rows = [
+        (1, long, "en", "a", len(long)), (2, None, None, None, None), (3, "", "de", "a", 0), (4, "der die und token=abcdefghijkl0 das", "de", None, 36), (4, "der die und token=abcdefghijkl0 das", "de", None, 36),
+        (None, "les des que dans la une pour", None, "b", 28), (None, None, None, None, None), (5, "12 34", "en", "b", 5), (6, "the thing of that", "en", "b", 17), (7, "THE thing  of that", None, "c", 18),
+    ]
+    return spark.createDataFrame([(*r, *FILL) for r in rows], SCHEMA)
+
+
+def test_names_do_not_clash(spark):
+    assert unused(odd(spark), "kept_id", "kept_id2", "new", "new") == ("_kept_id", "_kept_id2", "new", "_new")
+
+
+@pytest.mark.parametrize("rows", ["odd", "empty"])
+def test_stages_on_odd_tables(spark, rows):
+    docs = odd(spark) if rows == "odd" else odd(spark).limit(0)
+    columns, cuts = docs.columns, Cuts(spark, "test")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = cuts.write(stage(spark, docs, ""))
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == columns, name
+        if rows == "odd":
+            assert docs.count() > 0, name
+    assert {"doc_id", "n_tokens", "ids"} <= set(docs.columns)
+
+
+def test_single_stages_on_odd_tables(spark):
+    docs = odd(spark)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, "").count() > 0
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.where("doc_id = 4").count() == 1 and kept.where("doc_id in (6, 7)").count() == 1 and kept.where("doc_id is null").count() == 2
+    clean = corpus_pipeline.secret_scans(spark, docs, "")
+    assert clean.count() == docs.count() and clean.where("doc_id = 4").first().text == "der die und [SECRET] das"
+    for name in ("op2_shards", "op3_bpe", "op6_simhash", "op7_language", "op8_secrets", "op9_mixing", "op10_media"):
+        module = {"op2_shards": lambda d: queries.shards.digest(d), "op3_bpe": lambda d: queries.bpe.digests(d, public_tokenizers.path(queries.TOKENIZER)), "op6_simhash": simhash.near_duplicates, "op7_language": language.identified, "op8_secrets": secret_scan.digest, "op9_mixing": queries.mixing.digest, "op10_media": queries.media.stored_texts}[name]
+        assert module(docs).count() == docs.count(), name
+
+
+def test_pipeline_on_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    out = corpus_pipeline.run(spark, sf_dir).collect()
+    lib = Tokenizer.from_file(public_tokenizers.path(queries.TOKENIZER))
+    marked = re.compile(r"AKIA[A-Z0-9]{14,}|[0-9a-f]{16,}")
+    kept = {r.doc_id for r in out}
+    assert kept and kept < set(text) and len(out) > len(kept)
+    words = lambda i: text[i].lower().split()
+    seen = {}
+    for i in kept:
+        assert seen.setdefault(" ".join(words(i)), i) == i
+    for r in out:
+        assert r.n_tokens == len(r.ids)
+        if not marked.search(text[r.doc_id]) and not re.search("(?i)(passw|secret|token|api)", text[r.doc_id]):
+            assert r.ids == lib.encode(text[r.doc_id], add_special_tokens=False).ids
+
+
+def test_dedup_stage_keeps_one_of_each_group(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    kept = {r.doc_id for r in simhash.without_copies(docs).select("doc_id").collect()}
+    exact = {r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert kept <= exact
+    shingles = {}
+    for r in docs.collect():
+        w = r.text.lower().split()
+        shingles[r.doc_id] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+    by_first = {}
+    for i in sorted(shingles):
+        for s in shingles[i]:
+            by_first.setdefault(s, []).append(i)
+    near = lambda a, b: len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])
+    pairs = {(a, b) for group in by_first.values() for a in group[:20] for b in group[:20] if a < b and near(a, b)}
+    left = [p for p in pairs if p[0] in kept and p[1] in kept]
+    assert len(pairs) > 20 and len(left) <= 0.02 * len(pairs)
+    # a document that goes has a copy that stays or leads to one
+    alone = set(shingles) - {i for p in pairs for i in p}
+    gone = alone - kept
+    fp = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert all(fp[i] != i for i in gone)
