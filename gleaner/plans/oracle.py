@@ -231,6 +231,12 @@ ORACLE["score_density"] = scored(
     FROM (SELECT i, lo + (hi - lo) * i / 63 AS x, n, pow(n, -0.2) * sd AS h FROM (SELECT count(*) AS n, stddev_pop(score) AS sd, min(score) AS lo, max(score) AS hi FROM lab), range(64) t(i)), (SELECT score AS v, count(*) AS k FROM lab GROUP BY score)
     GROUP BY i, x"""
 )
+ORACLE["roc_interpolated"] = scored(
+    """SELECT round(x, 6) + 0.0 AS fpr, round(CASE WHEN x1 IS NULL THEN y0 ELSE y0 + (y1 - y0) * (x - x0) / (x1 - x0) END, 6) + 0.0 AS tpr
+    FROM (SELECT lo + i * ((hi - lo) / 100) AS x FROM (SELECT min(fpr) AS lo, max(fpr) AS hi FROM rat), range(101) t(i)) g
+    ASOF JOIN (SELECT fpr AS x0, tpr AS y0, lead(fpr) OVER (ORDER BY fpr) AS x1, lead(tpr) OVER (ORDER BY fpr) AS y1 FROM (SELECT fpr, max(tpr) AS tpr FROM rat GROUP BY fpr)) p ON g.x + 1e-12 >= p.x0""",
+    ratios(),
+)
 
 # ---- the text corpus
 
