@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.session import Cuts, reach
 
-__all__ = ["Cuts", "kind_of", "lean", "small_batches", "table", "unused"]
+__all__ = ["Cuts", "give_back", "kind_of", "lean", "small_batches", "table", "unused"]
 
 #: Arrow batches of whole texts: few rows each, so a worker holds few long texts at once.
 TEXT_BATCH_BYTES = 4 << 20
@@ -40,14 +40,19 @@ def lean(run):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return wrapped
 
 
+def give_back() -> None:
+    """Returns freed memory of this process to the system, where the platform can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def unused(df: DataFrame, *names: str) -> tuple[str, ...]:
     """Column names that ``df`` does not have, regardless of case."""
     taken = {c.lower() for c in df.columns}

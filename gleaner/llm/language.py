@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import kind_of, lean, small_batches
+from gleaner.llm.common import give_back, kind_of, lean, small_batches
 
 #: Texts of each language in the training sample at most, on average over hashes.
 PER_LANGUAGE = 256
@@ -79,14 +79,16 @@ class Model:
     owner: np.ndarray
     floor: float
 
-    def vectors(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts.astype(np.float32)) * self.idf
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        return x / np.where(norm > 0, norm, 1)
+    def weighted(self, logs: np.ndarray) -> np.ndarray:
+        """Logs of counts, in place -> unit vectors."""
+        logs *= self.idf
+        norm = np.linalg.norm(logs, axis=1, keepdims=True)
+        logs /= np.where(norm > 0, norm, 1)
+        return logs
 
     def cosines(self, counts: np.ndarray) -> np.ndarray:
         """(n, languages): the largest cosine with any of a language's centroids."""
-        near = self.vectors(counts) @ self.centroids.T
+        near = self.weighted(np.log1p(counts).astype(np.float32)) @ self.centroids.T
         return np.stack([near[:, self.owner == k].max(1) for k in range(len(self.languages))], 1)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
@@ -117,16 +119,16 @@ def _clustered(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, held_out: Column, key: str, lang: str, text: str) -> DataFrame:
-    """(lang, text): a hash sample of each language's labelled texts, about ``PER_LANGUAGE`` at most."""
+    """(lang, place, text): a hash sample of each language's labelled texts, about ``PER_LANGUAGE`` at most."""
     usable = docs.where(~held_out & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     counts = usable.groupBy(lang).count().limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
-        return usable.select(F.col(lang).alias("lang"), F.col(text).alias("text")).limit(0)
+        return usable.select(F.col(lang).alias("lang"), F.lit(0.0).alias("place"), F.col(text).alias("text")).limit(0)
     share = F.create_map(*(x for r in counts for x in (F.lit(r[0]), F.lit(min(1.0, PER_LANGUAGE / r[1])))))
     place = F.pmod(F.xxhash64(F.lit("language"), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
-    return usable.where(place < share[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    return usable.where(place < share[F.col(lang)]).select(F.col(lang).alias("lang"), place.alias("place"), F.col(text).alias("text"))
 
 
 def fit(docs: DataFrame, held_out: Column, key: str = "doc_id", lang: str = "lang", text: str = "text") -> Model:
@@ -135,35 +137,38 @@ def fit(docs: DataFrame, held_out: Column, key: str = "doc_id", lang: str = "lan
     def run(batches):
         for batch in batches:
             at, n = [], []
-            for t in batch.column(1).to_pylist():
+            for t in batch.column(2).to_pylist():
                 counts = grams(t)
                 i = np.flatnonzero(counts)
                 at.append(i.astype(np.int32))
-                n.append(counts[i])
-            yield pa.record_batch([batch.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int64()))], names=["lang", "at", "n"])
+                n.append(np.log1p(counts[i]).astype(np.float32))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32()))], names=["lang", "place", "at", "n"])
 
     small_batches(docs.sparkSession)
-    rows = training_sample(docs, held_out, key, lang, text).mapInArrow(lean(run), "lang string, at array<int>, n array<long>").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["lang"], r["at"], r["n"]))  # whatever order the tasks gave
-    languages = sorted({r["lang"] for r in rows})
-    seen = np.zeros(DIMENSIONS)
-    for r in rows:
-        seen[r["at"]] += 1
-    idf = (np.log((1 + len(rows)) / (1 + seen)) + 1).astype(np.float32)
+    rows = training_sample(docs, held_out, key, lang, text).mapInArrow(lean(run), "lang string, place double, at array<int>, n array<float>").toArrow()
+    rows = rows.sort_by([("lang", "ascending"), ("place", "ascending")]).combine_chunks()  # whatever order the tasks gave
+    names = np.array(rows.column("lang").to_pylist(), object)
+    lists = rows.column("at").combine_chunks()
+    ends, at, n = lists.offsets.to_numpy(), lists.flatten().to_numpy(), rows.column("n").combine_chunks().flatten().to_numpy()
+    languages = sorted(set(names))
+    seen = np.bincount(at, minlength=DIMENSIONS) if len(at) else np.zeros(DIMENSIONS)
+    idf = (np.log((1 + len(names)) / (1 + seen)) + 1).astype(np.float32)
     model = Model(idf, languages, np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, np.int64), 0.0)
     centers, owner, least = [], [], 1.0
     for k, name in enumerate(languages):
-        own = [r for r in rows if r["lang"] == name]
-        counts = np.zeros((len(own), DIMENSIONS), np.int64)
+        own = np.flatnonzero(names == name)
+        x = np.zeros((len(own), DIMENSIONS), np.float32)
         for i, r in enumerate(own):
-            counts[i, r["at"]] = r["n"]
-        x = model.vectors(counts)
+            x[i, at[ends[r] : ends[r + 1]]] = n[ends[r] : ends[r + 1]]
+        x = model.weighted(x)
         found = _clustered(x, CENTROIDS)
         least = min(least, float((x @ found.T).max(1).min()))
         centers.append(found)
         owner += [k] * len(found)
     if centers:
         model.centroids, model.owner, model.floor = np.concatenate(centers), np.array(owner), TOLERANCE * least
+    del rows, lists, at, n
+    give_back()
     return model
 
 
