@@ -17,19 +17,24 @@ from gleaner.llm.common import Cuts
 MOST_ROUNDS = 60
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """links: (u, v) with u > v."""
-    if large:
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        near = both.where("v > u")
-    else:
-        least = links.groupBy("u").agg(F.min("v").alias("m"))
-        near = links
-    moved = near.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    if not large:
-        moved = moved.unionByName(least.select("u", F.col("m").alias("v")))
-    return moved.where("u > v").distinct()
+def _large(links: DataFrame) -> DataFrame:
+    """(u, v) with u > v: each node's larger neighbours point at the smallest of the node and its neighbours."""
+    flipped = links.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    least = links.unionByName(flipped).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return flipped.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _small(links: DataFrame) -> DataFrame:
+    """Each node and its smaller neighbours point at the smallest of these."""
+    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    ends = F.explode(F.array("u", "v")).alias("u")
+    return links.join(least, "u").select(ends, F.col("m").alias("v")).where("u > v").distinct()
+
+
+def _settled(links: DataFrame) -> bool:
+    """True if the links are stars: each node points at one root, and no root points anywhere."""
+    nodes = links.groupBy("u").agg(F.count("*").alias("n"))
+    return nodes.where("n > 1").isEmpty() and links.select("v").distinct().join(nodes.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
 
 
 def components(links: DataFrame, cuts: Cuts) -> DataFrame:
@@ -38,15 +43,13 @@ def components(links: DataFrame, cuts: Cuts) -> DataFrame:
     Nodes without links are not in the result. Null ends and loops are ignored.
     """
     now = cuts.write(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
     for _ in range(MOST_ROUNDS):
-        got = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if got == mark or not got[0]:
+        if _settled(now):
             break
-        mark = got
-        after = cuts.write(_star(_star(now, True), False))
-        cuts.drop(now)
-        now = after
+        for step in (_large, _small):
+            after = cuts.write(step(now))
+            cuts.drop(now)
+            now = after
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
