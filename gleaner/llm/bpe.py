@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from gleaner.llm.common import lean, small_batches
 
 #: Words that a task remembers; at this many it starts anew, so memory is bounded.
-CACHED_WORDS = 150_000
+CACHED_WORDS = 300_000
 
 
 def byte_alphabet() -> list[str]:
