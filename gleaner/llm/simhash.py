@@ -14,10 +14,13 @@ fingerprints are linked through the fingerprints one bit away, which is exact, b
 two fingerprints share such a neighbour just when they differ in two bits at most, and
 which is small, because a neighbour has 65 such fingerprints at most.
 
-*Texts of a given similarity* (``similar``). Copies of similarity 0.8 differ in far more
-than two of 64 bits, so these get a wider fingerprint of their distinct words, cut into
-``SEGMENTS`` pieces; a family joins the first bits of one piece with the fuzzy keys of
-the next. Candidates are verified by the similarity of their shingle sets.
+*Texts of a given similarity* (``copies``). Copies of similarity 0.8 differ in far more
+than two of 64 bits, so these are joined by shingles. With the shingles of every text in
+one order, rare ones first, two sets of similarity 0.8 share one of each other's first
+fifth (the prefix filter), which is exact in any order. A shingle of a few texts gives all
+their pairs. Texts of a larger one meet its hub first; then those that no link joins yet
+meet in blocks, each two of them. Pairs that their sizes, the shingle's places or parity
+bits rule out are dropped, and the others are verified by the similarity of their sets.
 
 Equal texts and equal fingerprints are grouped first, so no step pairs exact copies.
 
@@ -47,12 +50,15 @@ PARTS = ((0, 22), (22, 21), (43, 21))
 #: Keys with so many fingerprints make all their pairs; larger ones go by neighbours.
 PAIRED = 24
 
-#: The wide fingerprint: segments of 21 bits, three to a 64-bit word (its last bit is unused).
-SEGMENTS, WIDTH, EXACT = 9, 21, 14
-#: Wide fingerprints that differ in more of their 192 bits are not compared by shingles.
-FAR_BITS = 38
-#: A key of ``copies`` with so many texts makes all their pairs; a larger one goes by its hub.
+#: 64-bit words of the parity bits of a text's shingles, and their columns.
+PARITY = 4
+PARITIES = tuple(f"w{k}" for k in range(PARITY))
+#: A shingle in so many texts of the sample is common; so many of these are listed at most.
+COMMON, MOST_COMMON = 16, 1 << 20
+#: A shingle of ``copies`` with so many texts makes all their pairs at once; a larger one goes by its hub first.
 MET = 8
+#: Texts of a block of a large shingle, about.
+BLOCK = 256
 
 
 def _remainder(x: int) -> int:
@@ -202,95 +208,162 @@ def near_duplicates(docs: DataFrame, size: int = 3, bits: int = 2, text: str = "
 # ---- texts of a given similarity
 
 
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """A further hash of 64-bit hashes (the finisher of a public generator, with another start)."""
-    x = h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def _once(docs: DataFrame, size: int, text: str) -> DataFrame:
+    """(token, n) of the shingles of every eighth text: in how many of these texts each is."""
 
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(np.array(shingles(words_of(t), size), np.uint64)) for t in batch.column(0).to_pylist()]
+            token, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+            yield pa.record_batch([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
 
-def wide_fingerprint(words: list[bytes]) -> tuple[int, ...]:
-    """Three 64-bit words, of the distinct words."""
-    digest = xxhash.xxh64_intdigest
-    own = np.array([digest(w, 7) for w in set(words)], np.uint64)
-    return tuple(majority(_mixed(own, k)) for k in range(SEGMENTS // 3))
+    small_batches(docs.sparkSession)
+    sample = docs.where(F.pmod(F.xxhash64(text), F.lit(8)) == 0).select(text)
+    return sample.mapInArrow(lean(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def _wide_keys(fps: np.ndarray) -> np.ndarray:
-    """(n, 3) fingerprint words -> (n, SEGMENTS, 6) keys; repeats are -1."""
-    parts = [((fps[:, s // 3] >> np.uint64(WIDTH * (s % 3))) & np.uint64((1 << WIDTH) - 1)).astype(np.int64) for s in range(SEGMENTS)]
-    out = np.empty((len(fps), SEGMENTS, 6), np.int64)
-    for s in range(SEGMENTS):
-        near = fuzzy_keys(parts[(s + 1) % SEGMENTS])
-        keys = (s << 40) | ((parts[s] & (1 << EXACT) - 1)[:, None] << 12) | near
-        keys[:, 1:][near[:, 1:] == near[:, :1]] = -1
-        out[:, s] = keys
-    return out
+def common_shingles(docs: DataFrame, size: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles of a sample, sorted, and their counts. They only order shingles: any list gives the same links."""
+    top = _once(docs, size, text).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "token").limit(MOST_COMMON).toArrow()
+    token, n = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(token)
+    return token[order], n[order]
 
 
-def described(docs: DataFrame, text: str, key: str, fine: int = 3) -> DataFrame:
-    """Per row: key, ``same`` (of equal word sequences), ``fp`` and the wide fingerprint's words ``w0`` to ``w2``."""
-    small_batches(docs.sparkSession)
+def prefix(tokens: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first of distinct shingles, rare ones first: sets of this similarity share one of them."""
+    listed, counts = common
+    rank = np.zeros(len(tokens), np.int64)
+    if len(listed) and len(tokens):
+        at = np.minimum(np.searchsorted(listed, tokens), len(listed) - 1)
+        rank = np.where(listed[at] == tokens, counts[at], 0)
+    return tokens[np.lexsort((tokens, rank))][: len(tokens) - least_shared(similarity, len(tokens)) + 1]
+
+
+def least_shared(similarity: float, n: int) -> int:
+    return max(1, int(np.ceil(similarity * n - 1e-9)))
+
+
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """``PARITY`` 64-bit words in which each shingle flips one bit: two sets differ in as many shingles as bits at least."""
+    bits = np.bincount((tokens % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def described(docs: DataFrame, text: str, key: str, fine: int = 3, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Per row: key, ``same`` (of equal word sequences), ``fp``, and of its shingles the number ``n``, the ``prefix`` and the parity words."""
+    spark = docs.sparkSession
+    common = spark.sparkContext.broadcast(common_shingles(docs, size, text))
+    small_batches(spark)
 
     def run(batches):
         for batch in batches:
-            same, fp, wide = [], [], []
+            same, fp, n, first, flips = [], [], [], [], []
             for t in batch.column(1).to_pylist():
                 words = words_of(t)
                 fp.append(majority(np.array(shingles(words, fine), np.uint64)))
                 same.append(int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True))
-                wide.append(wide_fingerprint(words))
-            w = np.array(wide, np.uint64).reshape(-1, SEGMENTS // 3).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(same, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), *(pa.array(w[:, k].copy()) for k in range(SEGMENTS // 3))], names=[key, "same", "fp", "w0", "w1", "w2"])
+                tokens = np.unique(np.array(shingles(words, size), np.uint64))
+                n.append(len(tokens))
+                first.append(prefix(tokens, common.value, similarity).view(np.int64))
+                flips.append(parity(tokens))
+            w = np.array(flips, np.int64).reshape(-1, PARITY)
+            columns = [batch.column(0), pa.array(same, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int64())), *(pa.array(w[:, k].copy()) for k in range(PARITY))]
+            yield pa.record_batch(columns, names=[key, "same", "fp", "n", "prefix", *PARITIES])
 
-    return docs.select(key, text).mapInArrow(lean(run), f"`{key}` {kind_of(docs, key)}, same long, fp long, w0 long, w1 long, w2 long")
+    return docs.select(key, text).mapInArrow(lean(run), f"`{key}` {kind_of(docs, key)}, same long, fp long, n long, prefix array<long>, " + ", ".join(f"{w} long" for w in PARITIES))
 
 
-def _candidates(nodes: DataFrame, cuts: Cuts) -> DataFrame:
-    """(same, w0, w1, w2) -> pairs (u, v) of ``same`` that share a key and are not far apart by their bits.
+def _shared(nodes: DataFrame) -> DataFrame:
+    """(same, n, prefix) -> a row per shingle of a prefix that several have: token, many, same, n, place, prev.
 
-    A key of up to ``MET`` texts gives all its pairs. In a larger one every text is paired
-    with the key's hub, so pairs grow with the group and not with its square.
+    ``place`` counts from 0, ``prev`` is the shingle before it.
     """
+    shifted = F.slice(F.concat(F.array(F.lit(0).cast("long")), "prefix"), F.lit(1), F.size("prefix"))
+    keyed = nodes.where(F.size("prefix") > 0).select("same", "n", F.posexplode(F.arrays_zip(F.col("prefix").alias("token"), shifted.alias("prev"))).alias("place", "x")).select("x.token", "same", "n", "place", "x.prev")
+    counts = keyed.groupBy("token").agg(F.count("*").alias("many")).where("many > 1")
+    return keyed.join(counts, "token")
 
-    def emit(batches):
-        for batch in batches:
-            fps = np.stack([batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (1, 2, 3)], 1)
-            keys = _wide_keys(fps).reshape(len(fps), -1)
-            row, col = np.nonzero(keys >= 0)
-            yield pa.record_batch([pa.array(keys[row, col]), *(batch.column(k).take(pa.array(row)) for k in range(4))], names=["key", "same", "w0", "w1", "w2"])
-
-    keyed = nodes.select("same", "w0", "w1", "w2").mapInArrow(lean(emit), "key long, same long, w0 long, w1 long, w2 long")
-    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cuts.write(keyed.join(counts, "key"))
-
-    def meet(batches):
-        """Rows come sorted by key; all pairs of a key."""
-        at, kept = None, []
+
+def _meet(cells: DataFrame, similarity: float) -> DataFrame:
+    """(token, a, b, side, same, n, place, prev, root) -> pairs (u, v) of ``same`` in a cell (token, a, b).
+
+    Rows of one root are not paired, nor rows of one side if a and b differ. What two texts
+    share from this shingle on must suffice; where both have one shingle before it, that
+    shingle's cell has the pair.
+    """
+
+    def run(batches):
+        held = None
+        names = ("token", "a", "b", "side", "same", "n", "place", "prev", "root")
         for batch in batches:
-            u, v = [], []
-            for key, same, *w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != at:
-                    at, kept = key, []
-                for other, x in kept:
-                    if sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(w, x, strict=True)) <= FAR_BITS:
-                        u.append(max(same, other))
-                        v.append(min(same, other))
-                kept.append((same, w))
-            yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    few = shared.where(F.col("n") <= MET).select("key", "same", "w0", "w1", "w2")
-    pairs = few.repartition("key").sortWithinPartitions("key").mapInArrow(lean(meet), "u long, v long")
-    # a large key's texts meet the one of them that meets most others in all large keys
-    many = shared.where(F.col("n") > MET)
-    central = many.groupBy("same").agg(F.sum("n").alias("meets"))
-    one = F.struct("same", "w0", "w1", "w2")
-    hubs = many.join(central, "same").groupBy("key").agg(F.max_by(one, F.struct("meets", "same")).alias("hub"))
-    apart = sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"hub.w{k}"))) for k in range(SEGMENTS // 3)), F.lit(0))
-    rays = many.join(hubs, "key").where((F.col("same") != F.col("hub.same")) & (apart <= FAR_BITS))
-    rays = rays.select(F.greatest("same", "hub.same").alias("u"), F.least("same", "hub.same").alias("v"))
-    return pairs.unionByName(rays).distinct()
+            x = {c: batch.column(c).to_numpy() for c in names}
+            if held is not None:
+                x = {c: np.concatenate([held[c], x[c]]) for c in names}
+            fresh = 0 if held is None else len(held["token"])
+            size = len(x["token"])
+            last = size
+            found = [np.zeros(0, np.int64)]
+            for d in range(1, size):
+                low, high = slice(0, size - d), slice(d, size)
+                together = (x["token"][low] == x["token"][high]) & (x["a"][low] == x["a"][high]) & (x["b"][low] == x["b"][high])
+                if not together.any():
+                    break
+                i = np.flatnonzero(together)
+                i = i[i + d >= fresh]
+                j = i + d
+                need = np.ceil(similarity / (1 + similarity) * (x["n"][i] + x["n"][j]) - 1e-9)
+                rest = np.minimum(x["n"][i] - x["place"][i], x["n"][j] - x["place"][j])
+                ok = (rest >= need) & (x["root"][i] != x["root"][j]) & ((x["prev"][i] != x["prev"][j]) | (x["place"][i] == 0) | (x["place"][j] == 0))
+                ok &= (x["a"][i] == x["b"][i]) | (x["side"][i] != x["side"][j])
+                u, v = x["same"][i[ok]], x["same"][j[ok]]
+                found.append(np.stack([np.maximum(u, v), np.minimum(u, v)], 1).ravel())
+            pairs = np.unique(np.concatenate(found).reshape(-1, 2), axis=0)
+            if size:
+                differs = (x["token"] != x["token"][-1]) | (x["a"] != x["a"][-1]) | (x["b"] != x["b"][-1])
+                last = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
+                held = {c: x[c][last:] for c in names}
+            for at in range(0, len(pairs), 1 << 16):
+                part = pairs[at : at + (1 << 16)]
+                yield pa.record_batch([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["u", "v"])
+
+    cells = cells.select("token", F.col("a").cast("long"), F.col("b").cast("long"), F.col("side").cast("long"), "same", "n", F.col("place").cast("long"), "prev", "root")
+    return cells.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b").mapInArrow(lean(run), "u long, v long").distinct()
+
+
+def _near(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sizes and parities allow the similarity."""
+    end = lambda c: nodes.select(F.col("same").alias(c), F.struct("n", *PARITIES).alias(f"{c}_"))
+    got = pairs.join(end("u"), "u").join(end("v"), "v")
+    differ = sum((F.bit_count(F.col(f"u_.{w}").bitwiseXOR(F.col(f"v_.{w}"))) for w in PARITIES), F.lit(0))
+    sizes = F.least("u_.n", "v_.n") >= similarity * F.greatest("u_.n", "v_.n") - F.lit(1e-6)
+    return got.where(sizes & (differ <= (1 - similarity) / (1 + similarity) * (F.col("u_.n") + F.col("v_.n")) + F.lit(1e-6))).select("u", "v")
+
+
+def _first_pairs(shared: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of shingles that up to ``MET`` texts share; of others the pairs with the shingle's hub."""
+    few = shared.where(F.col("many") <= MET).select("*", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side"), F.col("same").alias("root"))
+    large = shared.where(F.col("many") > MET)
+    central = large.groupBy("same").agg(F.count("*").alias("meets"))
+    hubs = large.join(central, "same").groupBy("token").agg(F.max_by("same", F.struct("meets", "same")).alias("hub"))
+    rays = large.join(hubs, "token").where("same <> hub").select(F.greatest("same", "hub").alias("u"), F.least("same", "hub").alias("v"))
+    return _meet(few, similarity).unionByName(rays).distinct()
+
+
+def _other_pairs(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of shingles that more than ``MET`` texts share, but of texts that links join already.
+
+    A shingle's texts are cut into blocks, and every two blocks meet in a cell of their own.
+    """
+    large = shared.where(F.col("many") > MET).join(roots.withColumnRenamed("node", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
+    # the size of the largest partner that what follows the shingle suffices for
+    reach = (F.col("n") - F.col("place")) * F.lit((1 + similarity) / similarity) - F.col("n") + F.lit(1e-6)
+    large = large.withColumn("reach", reach).where(F.col("reach") >= similarity * F.col("n") - F.lit(1e-6))
+    whole = large.groupBy("token").agg(F.count("*").alias("left"), F.min("n").alias("least"), F.max("reach").alias("most"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    open_ = large.join(whole, "token").where((F.col("reach") >= F.col("least") - F.lit(1e-6)) & (F.col("n") <= F.col("most") + F.lit(1e-6)))
+    blocks = F.ceil(F.col("left") / F.lit(BLOCK)).cast("int")
+    open_ = open_.withColumn("side", F.pmod(F.xxhash64("same"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return _meet(open_.withColumn("a", F.least("side", "other")).withColumn("b", F.greatest("side", "other")), similarity)
 
 
 def _sets(docs: DataFrame, size: int, text: str) -> DataFrame:
@@ -321,27 +394,33 @@ def copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, bits: int =
 
     Texts are linked if the sets of their ``size``-word shingles have at least this
     similarity, or if their fingerprints differ in ``bits`` bits at most; texts with equal
-    word sequences are one node. Candidates for similarity come from wide fingerprints, so such a link
-    can be missed, the less likely the more similar its texts; none is made that does not hold.
+    word sequences are one node. All such links are found, and none is made that does not hold.
     """
     cuts = Cuts(docs.sparkSession, "copies")
-    rows = cuts.write(described(docs, text, key))
-    nodes = cuts.write(rows.groupBy("same").agg(F.min(key).alias("least"), *(F.min(w).alias(w) for w in ("fp", "w0", "w1", "w2"))))
+    rows = cuts.write(described(docs, text, key, size=size, similarity=similarity))
+    one = F.first(F.struct("fp", "n", "prefix", *PARITIES)).alias("one")
+    nodes = cuts.write(rows.groupBy("same").agg(F.min(key).alias("least"), one).select("same", "least", "one.*"))
     # fingerprints that links join: a star of the nodes that have them
     fps = nodes.select("fp").distinct()
     roots = components(linked(fps, bits), cuts)
     group = nodes.select("same", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("same", F.coalesce("root", "fp").alias("root"))
     stars = group.join(group.groupBy("root").agg(F.min("same").alias("v")), "root").select(F.col("same").alias("u"), "v").where("u <> v")
-    pairs = cuts.write(_candidates(nodes, cuts))
-    ends = pairs.select(F.col("u").alias("same")).unionByName(pairs.select(F.col("v").alias("same"))).distinct()
-    # one text of each node that a pair names
-    owners = nodes.join(ends, "same").select(F.col("least").alias(key), "same")
-    named = docs.select(key, text).join(owners, key).dropDuplicates(["same"])
-    sets = cuts.write(_sets(named, size, text))
-    first = pairs.join(sets.select(F.col("same").alias("u"), F.col("set").alias("x")), "u")
-    both = first.join(sets.select(F.col("same").alias("v"), F.col("set").alias("y")), "v").select("u", "v", "x", "y")
-    alike = both.mapInArrow(lean(lambda batches: _alike(batches, similarity)), "u long, v long")
-    joined = cuts.write(components(alike.unionByName(stars), cuts))
+    shared = cuts.write(_shared(nodes))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        pairs = cuts.write(_near(pairs, nodes, similarity))
+        ends = pairs.select(F.col("u").alias("same")).unionByName(pairs.select(F.col("v").alias("same"))).distinct()
+        # one text of each node that a pair names
+        owners = nodes.join(ends, "same").select(F.col("least").alias(key), "same")
+        named = docs.select(key, text).join(owners, key).dropDuplicates(["same"])
+        sets = cuts.write(_sets(named, size, text))
+        first = pairs.join(sets.select(F.col("same").alias("u"), F.col("set").alias("x")), "u")
+        both = first.join(sets.select(F.col("same").alias("v"), F.col("set").alias("y")), "v").select("u", "v", "x", "y")
+        return both.mapInArrow(lean(lambda batches: _alike(batches, similarity)), "u long, v long")
+
+    first = cuts.write(components(alike(_first_pairs(shared, similarity)).unionByName(stars), cuts))
+    more = alike(_other_pairs(shared, first, similarity))
+    joined = cuts.write(components(more.unionByName(first.select(F.col("node").alias("u"), F.col("root").alias("v"))), cuts))
     belongs = nodes.select("same", "least").join(joined.withColumnRenamed("node", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
     least = belongs.groupBy("root").agg(F.min("least").alias("component_id"))
     of = belongs.select("same", "root").join(least, "root").select("same", "component_id")

@@ -314,3 +314,46 @@ def test_copies_are_found_and_clean_documents_stay(spark):
             assert root != i - 3
     kept = simhash.without_copies(docs(spark, rows)).collect()
     assert Counter(r.doc_id for r in kept) == Counter({c for i, c in got.items() if i is not None} | {None})
+
+
+def by_shingles(spark, monkeypatch, rows):
+    """doc_id -> component_id, without links of fingerprints."""
+    monkeypatch.setattr(simhash, "linked", lambda fps, bits: fps.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0))
+    return {r.doc_id: r.component_id for r in simhash.copies(docs(spark, rows)).collect()}
+
+
+def test_copies_of_a_large_group_with_a_shared_passage(spark, monkeypatch):
+    """Planted pairs of similarity 0.96 among documents that are 0.77 alike through a common passage."""
+    rng = random.Random(3)
+    passage = [f"p{k}" for k in range(200)]
+    own = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    texts = [passage + own(30) for _ in range(1500)]
+    pairs = []
+    for i in range(0, 300, 3):
+        pairs.append((i, len(texts)))
+        texts.append(texts[i][:-5] + own(5))
+    got = by_shingles(spark, monkeypatch, [(i, " ".join(t), "a") for i, t in enumerate(texts)])
+    assert sum(got[a] == got[b] for a, b in pairs) == len(pairs)
+    assert len(set(got.values())) > 1000  # equal fingerprints link too
+
+
+def test_copies_that_are_unlike_the_hub(spark, monkeypatch):
+    """A group around one text, and pairs within it that are alike but not that text's copies; against brute force."""
+    rng = random.Random(5)
+    base = [f"b{k}" for k in range(120)]
+    texts = [base]
+    for _ in range(60):
+        text = list(base)
+        for at in rng.sample(range(120), rng.randint(2, 9)):
+            text[at] = f"w{rng.randrange(10**7)}"
+        texts.append(text)
+        texts.append(text[: rng.randint(96, 120)])
+    rows = [(i, " ".join(t), "a") for i, t in enumerate(texts)]
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    root = list(range(len(sets)))
+    for a, b in combinations(range(len(sets)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+    got = by_shingles(spark, monkeypatch, rows)
+    assert len(set(root)) > 5 and [got[i] for i in range(len(sets))] == root
