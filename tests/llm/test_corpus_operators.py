@@ -357,3 +357,16 @@ def test_copies_that_are_unlike_the_hub(spark, monkeypatch):
             root = [low if r == high else r for r in root]
     got = by_shingles(spark, monkeypatch, rows)
     assert len(set(root)) > 5 and [got[i] for i in range(len(sets))] == root
+
+
+def test_copies_with_an_added_passage(spark, monkeypatch):
+    """Isolated pairs: a document, and the same with new words after it."""
+    rng = random.Random(4)
+    own = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    rows, pairs = [], []
+    for i, (n, more) in enumerate([(200, 49), (200, 40), (200, 22), (104, 25), (60, 14), (9, 1)] * 20):
+        text = own(n)
+        rows += [(2 * i, " ".join(text), "a"), (2 * i + 1, " ".join(text + own(more)), "a")]
+        pairs.append((2 * i, 2 * i + 1))
+    got = by_shingles(spark, monkeypatch, rows)
+    assert sum(got[a] == got[b] for a, b in pairs) == len(pairs)
