@@ -2,8 +2,9 @@
 
 Texts become normalised TF-IDF vectors of hashed character two- and three-grams; each
 language has a few centroids, clustered from its training texts; a text gets the language
-of the centroid with the largest cosine. A text that is far from every centroid, compared
-with the training texts, is rejected.
+of the centroid with the largest cosine. A text is rejected if its cosine is far below those of
+pieces of the language's training texts; cosines of texts with few distinct grams are lower,
+so the floor is for a language and a number of distinct grams.
 
 The model is fit on a bounded sample: ``PER_LANGUAGE`` texts of each language at most,
 those with the smallest hash of their id. Prediction reads every whole text, in pieces of
@@ -17,6 +18,7 @@ repeated results; extra columns are ignored; a null id counts as an empty one in
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,8 +34,12 @@ PER_LANGUAGE = 256
 #: Languages that a model can tell apart; more are an error, not dropped.
 MOST_LANGUAGES = 1024
 CENTROIDS, ROUNDS, DIMENSIONS = 4, 8, 1 << 13
-#: A text is rejected below this part of the least cosine of a training text with its language.
-TOLERANCE = 0.25
+#: Words of the pieces of training texts that a language's floors come from.
+PIECES = (1, 2, 4, 8, 16, 32, 128)
+#: A text is rejected below this part of this quantile of the cosines of pieces of its length.
+MARGIN, QUANTILE = 0.4, 0.1
+#: A language with fewer training texts, too few for a quantile, has this part of their least cosine as its floor.
+FEW, TOLERANCE = 50, 0.25
 #: Characters that are counted at once.
 PIECE = 1 << 20
 
@@ -71,13 +77,24 @@ def grams(text: str) -> np.ndarray:
     return out
 
 
+def piece(text: str, words: int) -> str | None:
+    """So many words in a row, from a place that the text's hash gives; None if there are fewer, or no letter in them."""
+    all_ = text.split()
+    if len(all_) < words:
+        return None
+    at = zlib.crc32(text.encode("utf-8", "surrogatepass")) % (len(all_) - words + 1)
+    part = " ".join(all_[at : at + words])
+    return part if LETTER.search(part) else None
+
+
 @dataclass
 class Model:
     idf: np.ndarray
     languages: list[str]
     centroids: np.ndarray
     owner: np.ndarray
-    floor: float
+    #: Per language: lengths (logs of numbers of distinct grams), ascending, and the floor at each.
+    floors: list[tuple[np.ndarray, np.ndarray]]
 
     def weighted(self, logs: np.ndarray) -> np.ndarray:
         """Logs of counts, in place -> unit vectors."""
@@ -96,11 +113,13 @@ class Model:
         told = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.languages else []
         for at in range(0, len(told), 128):
             part = told[at : at + 128]
-            near = self.cosines(np.stack([grams(texts[i]) for i in part]))
+            counts = np.stack([grams(texts[i]) for i in part])
+            near = self.cosines(counts)
             best = near.argmax(1)
-            for i, k, row in zip(part, best, near, strict=True):
+            for i, k, row, n in zip(part, best, near, (counts > 0).sum(1), strict=True):
                 score = float(min(max(row[k], 0.0), 1.0))
-                out[i] = (self.languages[k], score, score < self.floor)
+                lengths, floors = self.floors[k]
+                out[i] = (self.languages[k], score, score < float(np.interp(np.log1p(n), lengths, floors)))
         return out
 
 
@@ -136,38 +155,61 @@ def fit(docs: DataFrame, held_out: Column, key: str = "doc_id", lang: str = "lan
 
     def run(batches):
         for batch in batches:
-            at, n = [], []
-            for t in batch.column(2).to_pylist():
-                counts = grams(t)
-                i = np.flatnonzero(counts)
-                at.append(i.astype(np.int32))
-                n.append(np.log1p(counts[i]).astype(np.float32))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32()))], names=["lang", "place", "at", "n"])
+            row, words, at, n = [], [], [], []
+            for r, t in enumerate(batch.column(2).to_pylist()):
+                for w in (0, *PIECES):
+                    part = piece(t, w) if w else t
+                    if part is None:
+                        continue
+                    counts = grams(part)
+                    i = np.flatnonzero(counts)
+                    row.append(r)
+                    words.append(w)
+                    at.append(i.astype(np.int32))
+                    n.append(np.log1p(counts[i]).astype(np.float32))
+            row = pa.array(row, pa.int32())
+            yield pa.record_batch([batch.column(0).take(row), batch.column(1).take(row), pa.array(words, pa.int32()), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32()))], names=["lang", "place", "words", "at", "n"])
 
     small_batches(docs.sparkSession)
-    rows = training_sample(docs, held_out, key, lang, text).mapInArrow(lean(run), "lang string, place double, at array<int>, n array<float>").toArrow()
-    rows = rows.sort_by([("lang", "ascending"), ("place", "ascending")]).combine_chunks()  # whatever order the tasks gave
-    names = np.array(rows.column("lang").to_pylist(), object)
+    rows = training_sample(docs, held_out, key, lang, text).mapInArrow(lean(run), "lang string, place double, words int, at array<int>, n array<float>").toArrow()
+    rows = rows.sort_by([("lang", "ascending"), ("words", "ascending"), ("place", "ascending")]).combine_chunks()  # whatever order the tasks gave
+    every, words = np.array(rows.column("lang").to_pylist(), object), rows.column("words").to_numpy()
+    names = every[words == 0]
     lists = rows.column("at").combine_chunks()
     ends, at, n = lists.offsets.to_numpy(), lists.flatten().to_numpy(), rows.column("n").combine_chunks().flatten().to_numpy()
     languages = sorted(set(names))
-    seen = np.bincount(at, minlength=DIMENSIONS) if len(at) else np.zeros(DIMENSIONS)
+    seen = np.bincount(at[np.repeat(words == 0, np.diff(ends))], minlength=DIMENSIONS) if len(at) else np.zeros(DIMENSIONS)
     idf = (np.log((1 + len(names)) / (1 + seen)) + 1).astype(np.float32)
-    model = Model(idf, languages, np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, np.int64), 0.0)
-    centers, owner, least = [], [], 1.0
-    for k, name in enumerate(languages):
-        own = np.flatnonzero(names == name)
+    model = Model(idf, languages, np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, np.int64), [])
+    centers, owner = [], []
+
+    def vectors(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vectors of these rows, and their numbers of distinct grams."""
         x = np.zeros((len(own), DIMENSIONS), np.float32)
         for i, r in enumerate(own):
             x[i, at[ends[r] : ends[r + 1]]] = n[ends[r] : ends[r + 1]]
-        x = model.weighted(x)
+        length = (x > 0).sum(1)
+        return model.weighted(x), length
+
+    for k, name in enumerate(languages):
+        x, _ = vectors(np.flatnonzero((every == name) & (words == 0)))
         found = _clustered(x, CENTROIDS)
-        least = min(least, float((x @ found.T).max(1).min()))
+        lengths, floors = [0.0], [TOLERANCE * float((x @ found.T).max(1).min())]
+        if len(x) >= FEW:
+            lengths, floors = [], []
+            for w in PIECES:
+                y, length = vectors(np.flatnonzero((every == name) & (words == w)))
+                if len(y) >= FEW:
+                    lengths.append(float(np.log1p(np.median(length))))
+                    floors.append(MARGIN * float(np.quantile((y @ found.T).max(1), QUANTILE)))
+            if not lengths:
+                lengths, floors = [0.0], [TOLERANCE * float((x @ found.T).max(1).min())]
+        model.floors.append((np.maximum.accumulate(lengths), np.maximum.accumulate(floors)))
         centers.append(found)
         owner += [k] * len(found)
     if centers:
-        model.centroids, model.owner, model.floor = np.concatenate(centers), np.array(owner), TOLERANCE * least
-    del rows, lists, at, n
+        model.centroids, model.owner = np.concatenate(centers), np.array(owner)
+    del rows, lists, at, n, every, words
     give_back()
     return model
 

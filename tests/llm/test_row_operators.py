@@ -1,7 +1,9 @@
 """Operators that judge each row alone: BPE, media, URLs, chat, language."""
 
+import base64
 import hashlib
 import os
+import random
 import struct
 import zlib
 
@@ -179,3 +181,18 @@ def test_language_pieces(monkeypatch):
     whole = language.grams(text)
     monkeypatch.setattr(language, "PIECE", 7)
     assert (language.grams(text) == whole).all()
+
+
+def test_language_rejects_gibberish_and_unlearned_languages(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(1)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    italian = "nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita ahi quanto a dir qual era è cosa dura esta selva selvaggia e aspra e forte che nel pensier rinova la paura"
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä"
+    polish = "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa"
+    odd = [" ".join(letters(rng.randint(2, 9)) for _ in range(n)) for n in (20, 40, 400)] + [base64.b64encode(rng.randbytes(n)).decode() for n in (90, 2000)] + [italian, finnish, polish]
+    own = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    got = language.identified(table.unionByName(own, allowMissingColumns=True)).collect()
+    assert [r.doc_id for r in got if r.doc_id < 0 and not r.rejected] == []
+    held = [r for r in got if r.doc_id >= 0 and r.held_out]
+    assert len(held) > 300 and not any(r.rejected for r in held)
