@@ -57,10 +57,10 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: flo
     return placed.withColumn("target", F.least(F.col("weight") * level, F.col("limit"))).select("source", "stratum", "source_size", "place", "weight", "target")
 
 
-def sized(docs: DataFrame, cuts: Cuts, seed: int = SEED, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+def sized(docs: DataFrame, cuts: Cuts, seed: int = SEED, key: str = "doc_id", source: str = "source", text: str = "text", row: str | None = None) -> DataFrame:
     """One slim written row per document: row, id, source, stratum, size, h."""
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    return cuts.write(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), F.col(source).alias("source"), group_key(F.col(source)).alias("stratum"), words.alias("size"), shuffle_key(seed, F.col(key)).alias("h")))
+    return cuts.write(docs.select((F.monotonically_increasing_id() if row is None else F.col(row)).alias("row"), F.col(key).alias("id"), F.col(source).alias("source"), group_key(F.col(source)).alias("stratum"), words.alias("size"), shuffle_key(seed, F.col(key)).alias("h")))
 
 
 def schedule(wanted: DataFrame, total: float, block: int, sources: int) -> DataFrame:
@@ -85,14 +85,14 @@ def schedule(wanted: DataFrame, total: float, block: int, sources: int) -> DataF
     return ranked.unionByName(tail.select((F.lit(length) + F.col("rank") * F.lit(sources) + F.col("place")).alias("slot"), "stratum", "rank"))
 
 
-def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST, key: str = "doc_id", source: str = "source", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST, key: str = "doc_id", source: str = "source", text: str = "text", row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The mixed documents and the filled schedule.
 
-    Documents: row, key, ``size``, ``source_size``, ``target``, ``taken``. Schedule: ``slot``,
+    Rows are numbered by the column ``row`` if there is one. Documents: row, key, ``size``, ``source_size``, ``target``, ``taken``. Schedule: ``slot``,
     ``stratum``, ``rank`` (the block), and the piece of a document in it: ``row``, ``words``.
     """
     cuts = Cuts(docs.sparkSession, "mixing")
-    rows = sized(docs, cuts, seed, key, source, text)
+    rows = sized(docs, cuts, seed, key, source, text, row)
     sizes = rows.groupBy("source", "stratum").agg(F.sum("size").alias("source_size"))
     n_rows, words, sources = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.count_distinct("stratum")).first()
     total = words * budget
@@ -127,13 +127,15 @@ def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, budget: float = BUDG
 def mixed_documents(docs: DataFrame, key: str = "doc_id", **more) -> DataFrame:
     """The documents that the mix takes, with ``docs``' columns: once for each pass that takes any of their words.
 
-    Documents without words are never taken. Rows of one key share their passes.
+    Documents without words are never taken. Each row has passes of its own, whatever its key.
     """
-    mixed, _ = mix(docs, key=key, **more)
-    own, passes, one = unused(docs, "mixed_id", "passes", "one_pass")
-    each = mixed.groupBy(F.col(key).alias(own)).agg(F.ceil(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias(passes)).where(F.col(passes) > 0)
-    taken = docs.join(each, docs[key].eqNullSafe(each[own]))
-    return taken.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), each[passes])).alias(one)).drop(one)
+    own, passes, one = unused(docs, "mixed_row", "passes", "one_pass")
+    # written, so the numbers are the same wherever they are read
+    docs, columns = Cuts(docs.sparkSession, "mixed").write(docs.withColumn(own, F.monotonically_increasing_id())), docs.columns
+    mixed, _ = mix(docs, key=key, row=own, **more)
+    each = mixed.select(F.col("row").alias(own), F.ceil(F.col("taken") / F.greatest("size", F.lit(1))).cast("int").alias(passes)).where(F.col(passes) > 0)
+    taken = docs.join(each, own)
+    return taken.select(*(docs[c] for c in columns), F.explode(F.sequence(F.lit(1), F.col(passes))).alias(one)).drop(one)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -143,16 +143,18 @@ def blanked(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 def without_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", count: str | None = "n_chars", **more) -> DataFrame:
     """``docs`` with every span blanked and ``count`` set to the new length; rows stay.
 
-    Spans belong to a row by its key, so rows of one key must have one text; where they do not,
-    the spans of one of them are blanked in all.
+    Each row has a number of its own, so rows with a null or repeated key get their own spans.
     """
-    own, found_ = unused(docs, "secret_id", "secret_spans")
-    hits = secrets(docs, key=key, text=text, **more).where(F.size("spans") > 0).select(F.col(key).alias(own), F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(found_))
-    hits = hits.dropDuplicates([own])
-    got = docs.join(hits, docs[key].eqNullSafe(hits[own]), "left")
-    clean = F.when(hits[found_].isNotNull(), blanked(docs[text], hits[found_])).otherwise(docs[text]).alias(text)
-    changed = {text: clean}
-    if count and count in docs.columns:
+    own, found_ = unused(docs, "secret_row", "secret_spans")
+    cuts = Cuts(docs.sparkSession, "blanked")
+    # written, so the numbers are the same wherever they are read
+    docs, columns = cuts.write(docs.withColumn(own, F.monotonically_increasing_id())), docs.columns
+    hits = secrets(docs, key=own, text=text, **{"repository": key, **more}).where(F.size("spans") > 0)
+    hits = hits.select(F.col(own), F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(found_))
+    got = docs.join(hits, own, "left")
+    clean = F.when(hits[found_].isNotNull(), blanked(docs[text], hits[found_])).otherwise(docs[text])
+    changed = {text: clean.alias(text)}
+    if count and count in columns:
         kind = docs.schema[count].dataType
         changed[count] = F.when(hits[found_].isNotNull(), F.length(clean).cast(kind)).otherwise(docs[count]).alias(count)
-    return got.select(*(changed.get(c, docs[c]) for c in docs.columns))
+    return got.select(*(changed.get(c, docs[c]) for c in columns))

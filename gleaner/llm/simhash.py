@@ -250,8 +250,8 @@ def parity(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def described(docs: DataFrame, text: str, key: str, fine: int = 3, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Per row: key, ``same`` (of equal word sequences), ``fp``, and of its shingles the number ``n``, the ``prefix`` and the parity words."""
+def described(docs: DataFrame, text: str, key: str, row: str, fine: int = 3, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Per row: key, number, ``same`` (of equal word sequences), ``fp``, and of its shingles the number ``n``, the ``prefix`` and the parity words."""
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast(common_shingles(docs, size, text))
     small_batches(spark)
@@ -268,10 +268,10 @@ def described(docs: DataFrame, text: str, key: str, fine: int = 3, size: int = 5
                 first.append(prefix(tokens, common.value, similarity).view(np.int64))
                 flips.append(parity(tokens))
             w = np.array(flips, np.int64).reshape(-1, PARITY)
-            columns = [batch.column(0), pa.array(same, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int64())), *(pa.array(w[:, k].copy()) for k in range(PARITY))]
-            yield pa.record_batch(columns, names=[key, "same", "fp", "n", "prefix", *PARITIES])
+            columns = [batch.column(0), batch.column(2), pa.array(same, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int64())), *(pa.array(w[:, k].copy()) for k in range(PARITY))]
+            yield pa.record_batch(columns, names=[key, row, "same", "fp", "n", "prefix", *PARITIES])
 
-    return docs.select(key, text).mapInArrow(lean(run), f"`{key}` {kind_of(docs, key)}, same long, fp long, n long, prefix array<long>, " + ", ".join(f"{w} long" for w in PARITIES))
+    return docs.select(key, text, row).mapInArrow(lean(run), f"`{key}` {kind_of(docs, key)}, `{row}` long, same long, fp long, n long, prefix array<long>, " + ", ".join(f"{w} long" for w in PARITIES))
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
@@ -397,9 +397,26 @@ def copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, bits: int =
     word sequences are one node. All such links are found, and none is made that does not hold.
     """
     cuts = Cuts(docs.sparkSession, "copies")
-    rows = cuts.write(described(docs, text, key, size=size, similarity=similarity))
+    return _grouped(_numbered(docs, cuts, text, key), cuts, size, similarity, bits, text, key).select(key, "component_id")
+
+
+ROW = "copies_row"
+
+
+def _numbered(docs: DataFrame, cuts: Cuts, *names: str) -> DataFrame:
+    """``names`` of ``docs`` and a number for each row, written, so the numbers are the same wherever they are read."""
+    return cuts.write(docs.select(*dict.fromkeys(names), F.monotonically_increasing_id().alias(ROW)))
+
+
+def _grouped(docs: DataFrame, cuts: Cuts, size: int = 5, similarity: float = 0.8, bits: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Numbered rows -> per row: the key, the number, ``component_id`` and ``first``, the number of the group's first row.
+
+    The first row is one with the smallest key that is not null, if there is one.
+    """
+    rows = cuts.write(described(docs, text, key, ROW, size=size, similarity=similarity))
+    order = F.struct(F.col(key).isNull().alias("null"), F.col(key).alias("key"), F.col(ROW).alias("row"))
     one = F.first(F.struct("fp", "n", "prefix", *PARITIES)).alias("one")
-    nodes = cuts.write(rows.groupBy("same").agg(F.min(key).alias("least"), one).select("same", "least", "one.*"))
+    nodes = cuts.write(rows.groupBy("same").agg(F.min(order).alias("least"), one).select("same", "least", "one.*"))
     # fingerprints that links join: a star of the nodes that have them
     fps = nodes.select("fp").distinct()
     roots = components(linked(fps, bits), cuts)
@@ -411,8 +428,8 @@ def copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, bits: int =
         pairs = cuts.write(_near(pairs, nodes, similarity))
         ends = pairs.select(F.col("u").alias("same")).unionByName(pairs.select(F.col("v").alias("same"))).distinct()
         # one text of each node that a pair names
-        owners = nodes.join(ends, "same").select(F.col("least").alias(key), "same")
-        named = docs.select(key, text).join(owners, key).dropDuplicates(["same"])
+        owners = nodes.join(ends, "same").select(F.col("least.row").alias(ROW), "same")
+        named = docs.select(ROW, text).join(owners, ROW)
         sets = cuts.write(_sets(named, size, text))
         first = pairs.join(sets.select(F.col("same").alias("u"), F.col("set").alias("x")), "u")
         both = first.join(sets.select(F.col("same").alias("v"), F.col("set").alias("y")), "v").select("u", "v", "x", "y")
@@ -422,18 +439,22 @@ def copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, bits: int =
     more = alike(_other_pairs(shared, first, similarity))
     joined = cuts.write(components(more.unionByName(first.select(F.col("node").alias("u"), F.col("root").alias("v"))), cuts))
     belongs = nodes.select("same", "least").join(joined.withColumnRenamed("node", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
-    least = belongs.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = belongs.select("same", "root").join(least, "root").select("same", "component_id")
-    return rows.join(of, "same").select(key, "component_id")
+    least = belongs.groupBy("root").agg(F.min("least").alias("first"))
+    of = belongs.select("same", "root").join(least, "root").select("same", F.col("first.key").alias("component_id"), F.col("first.row").alias("first"))
+    return rows.join(of, "same").select(key, ROW, "component_id", "first")
 
 
-def without_copies(docs: DataFrame, key: str = "doc_id", **more) -> DataFrame:
-    """``docs`` with one document of each group of copies, the one with the smallest key.
+def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
+    """``docs`` with one document of each group of copies, one with the smallest key that is not null.
 
-    Rows that share that key are repeats of one document, and one of them stays. Rows with a
-    null key cannot be told apart by it, and all of them stay.
+    Rows are told apart by numbers of their own: differing texts under one key, or under
+    null, are documents of their own, and equal ones are copies. A row that has neither key
+    nor words stays: nothing tells what it would be a copy of.
     """
-    (own,) = unused(docs, "kept_id")
-    stay = copies(docs, key=key, **more).where("component_id is not null").select(F.col("component_id").alias(own)).distinct()
-    kept = docs.join(stay, docs[key] == stay[own]).select(*(docs[c] for c in docs.columns)).dropDuplicates([key])
-    return kept.unionByName(docs.where(F.col(key).isNull()))
+    cuts = Cuts(docs.sparkSession, "kept")
+    (own,) = unused(docs, "kept_row")
+    numbered, columns = cuts.write(docs.withColumn(own, F.monotonically_increasing_id())), docs.columns
+    slim = numbered.select(key, text, F.col(own).alias(ROW))
+    stay = _grouped(slim, cuts, text=text, key=key, **more).where(F.col(ROW) == F.col("first")).select(F.col(ROW).alias(own))
+    bare = numbered.where(F.col(key).isNull() & ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select(own)
+    return numbered.join(stay.unionByName(bare), own, "left_semi").select(*(numbered[c] for c in columns))
