@@ -12,7 +12,7 @@ METHODS = ("laplace_split", "laplace", "bgfreq", "rubin")
 class Params:
     """Passed explicitly to every operator; nothing reads global settings.
 
-    A null date bound or threshold means no filter; a null prior is learned.
+    A null date bound, threshold or limit means no filter; a null prior is learned.
     """
 
     method: str = "laplace_split"
@@ -21,7 +21,7 @@ class Params:
     min_infogain: float = 0.0
     positives_only: bool = False
     type_mask: tuple[str, ...] = ()
-    limit: int = 1000
+    limit: int | None = 1000
     threshold: float | None = None
     mindate: int | None = None
     maxdate: int | None = None
@@ -36,7 +36,7 @@ class Params:
     def __post_init__(self):
         if self.method not in METHODS:
             raise ValueError(f"no method {self.method!r}; there are {', '.join(METHODS)}")
-        if self.limit < 0 or self.folds < 1:
+        if (self.limit is not None and self.limit < 0) or self.folds < 1:
             raise ValueError("limit must not be negative, folds must be positive")
 
     def but(self, **changes) -> Params:

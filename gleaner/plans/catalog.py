@@ -160,7 +160,7 @@ def retrieve_dated(spark, d):
 
 @query
 def retrieve_threshold(spark, d):
-    results, _, _ = retrieve.query(*basket(spark, d), Params(limit=1_000_000, threshold=LEAST_SCORE, method="bgfreq"), exclude_positives=False)
+    results, _, _ = retrieve.query(*basket(spark, d), Params(limit=None, threshold=LEAST_SCORE, method="bgfreq"), exclude_positives=False)
     return results.select("pmid", "score")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.config import Params, Task
 from gleaner.operators import index, model, retrieve, sweep, validate
+from gleaner.plans.catalog import QUERIES
 
 FEATURES = "ABDCE"
 TOY = {1: "ABD", 2: "AB", 3: "AC", 4: "BAE", 5: "BA", 6: "BC"}
@@ -213,3 +214,8 @@ def test_numbers_by_range_are_the_windows(spark):
     key = lambda df: sorted((r.fid, r.ftype, r.fname) for r in df.collect())
     assert key(index.numbered_by_range(names, Cuts(spark, "test"), 7)) == key(index.numbered(names))
     assert index.numbered_by_range(names.limit(0), Cuts(spark, "test")).count() == 0
+
+
+def test_threshold_query_has_no_limit(spark, sf_dir):
+    plan = QUERIES["retrieve_threshold"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan and "Window" not in plan
