@@ -37,7 +37,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import Cuts, kind_of, lean, small_batches, unused
@@ -51,7 +51,7 @@ PARTS = ((0, 22), (22, 21), (43, 21))
 PAIRED = 24
 
 #: 64-bit words of the parity bits of a text's shingles, and their columns.
-PARITY = 4
+PARITY = 16
 PARITIES = tuple(f"w{k}" for k in range(PARITY))
 #: A shingle in so many texts of the sample is common; so many of these are listed at most.
 COMMON, MOST_COMMON = 16, 1 << 20
@@ -274,19 +274,23 @@ def described(docs: DataFrame, text: str, key: str, row: str, fine: int = 3, siz
     return docs.select(key, text, row).mapInArrow(lean(run), f"`{key}` {kind_of(docs, key)}, `{row}` long, same long, fp long, n long, prefix array<long>, " + ", ".join(f"{w} long" for w in PARITIES))
 
 
-def _shared(nodes: DataFrame) -> DataFrame:
+def _shared(nodes: DataFrame, cuts: Cuts) -> DataFrame:
     """(same, n, prefix) -> a row per shingle of a prefix that several have: token, many, same, n, place, prev.
 
-    ``place`` counts from 0, ``prev`` is the shingle before it.
+    ``place`` counts from 0, ``prev`` is the shingle before it that is in this table too.
     """
-    shifted = F.slice(F.concat(F.array(F.lit(0).cast("long")), "prefix"), F.lit(1), F.size("prefix"))
-    keyed = nodes.where(F.size("prefix") > 0).select("same", "n", F.posexplode(F.arrays_zip(F.col("prefix").alias("token"), shifted.alias("prev"))).alias("place", "x")).select("x.token", "same", "n", "place", "x.prev")
-    counts = keyed.groupBy("token").agg(F.count("*").alias("many")).where("many > 1")
-    return keyed.join(counts, "token")
+    keyed = nodes.select("same", "n", F.posexplode("prefix").alias("place", "token")).select("token", "same", (F.shiftleft("n", 32) + F.col("place")).alias("at"))
+    counts = cuts.write(keyed.groupBy("token").agg(F.count("*").alias("many")).where("many > 1"))
+    rows = keyed.join(counts, "token").select("token", "many", "same", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("place"))
+    # a text's prefix at most is one part of this window
+    before = F.lag("token").over(Window.partitionBy("same").orderBy("place"))
+    shared = cuts.write(rows.withColumn("prev", F.coalesce(before, F.lit(0).cast("long"))).withColumn("first", before.isNull()))
+    cuts.drop(counts)
+    return shared
 
 
 def _meet(cells: DataFrame, similarity: float) -> DataFrame:
-    """(token, a, b, side, same, n, place, prev, root) -> pairs (u, v) of ``same`` in a cell (token, a, b).
+    """(token, a, b, side, same, n, place, prev, first, root) -> pairs (u, v) of ``same`` in a cell (token, a, b).
 
     Rows of one root are not paired, nor rows of one side if a and b differ. What two texts
     share from this shingle on must suffice; where both have one shingle before it, that
@@ -295,9 +299,9 @@ def _meet(cells: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches):
         held = None
-        names = ("token", "a", "b", "side", "same", "n", "place", "prev", "root")
+        names = ("token", "a", "b", "side", "same", "n", "place", "prev", "first", "root")
         for batch in batches:
-            x = {c: batch.column(c).to_numpy() for c in names}
+            x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
             if held is not None:
                 x = {c: np.concatenate([held[c], x[c]]) for c in names}
             fresh = 0 if held is None else len(held["token"])
@@ -314,7 +318,7 @@ def _meet(cells: DataFrame, similarity: float) -> DataFrame:
                 j = i + d
                 need = np.ceil(similarity / (1 + similarity) * (x["n"][i] + x["n"][j]) - 1e-9)
                 rest = np.minimum(x["n"][i] - x["place"][i], x["n"][j] - x["place"][j])
-                ok = (rest >= need) & (x["root"][i] != x["root"][j]) & ((x["prev"][i] != x["prev"][j]) | (x["place"][i] == 0) | (x["place"][j] == 0))
+                ok = (rest >= need) & (x["root"][i] != x["root"][j]) & ((x["prev"][i] != x["prev"][j]) | x["first"][i] | x["first"][j])
                 ok &= (x["a"][i] == x["b"][i]) | (x["side"][i] != x["side"][j])
                 u, v = x["same"][i[ok]], x["same"][j[ok]]
                 found.append(np.stack([np.maximum(u, v), np.minimum(u, v)], 1).ravel())
@@ -327,7 +331,7 @@ def _meet(cells: DataFrame, similarity: float) -> DataFrame:
                 part = pairs[at : at + (1 << 16)]
                 yield pa.record_batch([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["u", "v"])
 
-    cells = cells.select("token", F.col("a").cast("long"), F.col("b").cast("long"), F.col("side").cast("long"), "same", "n", F.col("place").cast("long"), "prev", "root")
+    cells = cells.select("token", F.col("a").cast("long"), F.col("b").cast("long"), F.col("side").cast("long"), "same", "n", "place", "prev", "first", "root")
     return cells.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b").mapInArrow(lean(run), "u long, v long").distinct()
 
 
@@ -417,18 +421,22 @@ def _grouped(docs: DataFrame, cuts: Cuts, size: int = 5, similarity: float = 0.8
     order = F.struct(F.col(key).isNull().alias("null"), F.col(key).alias("key"), F.col(ROW).alias("row"))
     one = F.first(F.struct("fp", "n", "prefix", *PARITIES)).alias("one")
     nodes = cuts.write(rows.groupBy("same").agg(F.min(order).alias("least"), one).select("same", "least", "one.*"))
+    whole, rows = rows, cuts.write(rows.select(key, ROW, "same"))
+    cuts.drop(whole)
+    shared = _shared(nodes, cuts)
+    whole, nodes = nodes, cuts.write(nodes.drop("prefix"))
+    cuts.drop(whole)
     # fingerprints that links join: a star of the nodes that have them
     fps = nodes.select("fp").distinct()
     roots = components(linked(fps, bits), cuts)
     group = nodes.select("same", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("same", F.coalesce("root", "fp").alias("root"))
     stars = group.join(group.groupBy("root").agg(F.min("same").alias("v")), "root").select(F.col("same").alias("u"), "v").where("u <> v")
-    shared = cuts.write(_shared(nodes))
 
     def alike(pairs: DataFrame) -> DataFrame:
         pairs = cuts.write(_near(pairs, nodes, similarity))
         ends = pairs.select(F.col("u").alias("same")).unionByName(pairs.select(F.col("v").alias("same"))).distinct()
         # one text of each node that a pair names
-        owners = nodes.join(ends, "same").select(F.col("least.row").alias(ROW), "same")
+        owners = cuts.write(nodes.join(ends, "same").select(F.col("least.row").alias(ROW), "same"))
         named = docs.select(ROW, text).join(owners, ROW)
         sets = cuts.write(_sets(named, size, text))
         first = pairs.join(sets.select(F.col("same").alias("u"), F.col("set").alias("x")), "u")
@@ -455,6 +463,7 @@ def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **m
     (own,) = unused(docs, "kept_row")
     numbered, columns = cuts.write(docs.withColumn(own, F.monotonically_increasing_id())), docs.columns
     slim = numbered.select(key, text, F.col(own).alias(ROW))
-    stay = _grouped(slim, cuts, text=text, key=key, **more).where(F.col(ROW) == F.col("first")).select(F.col(ROW).alias(own))
+    gone = _grouped(slim, cuts, text=text, key=key, **more).where(F.col(ROW) != F.col("first")).select(F.col(ROW).alias(own))
     bare = numbered.where(F.col(key).isNull() & ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select(own)
-    return numbered.join(stay.unionByName(bare), own, "left_semi").select(*(numbered[c] for c in columns))
+    gone = cuts.write(gone.join(bare, own, "left_anti"))
+    return numbered.join(gone, own, "left_anti").select(*(numbered[c] for c in columns))
