@@ -158,13 +158,19 @@ def bin_count(values: DataFrame, column: str = "score") -> DataFrame:
     return q.select("n", "least", "most", F.least(F.lit(150), F.greatest(F.lit(10), bins)).cast("int").alias("bins"))
 
 
+#: Groups of a histogram; more are an error, not dropped.
+MOST_GROUPS = 100
+
+
 def histogram(values: DataFrame, column: str = "score", by: tuple[str, ...] = (), density: bool = True, empty_as: float = 0.0) -> DataFrame:
     """bin, left, n, mass: equal bins between the extremes, the last one closed; every bin has a row.
 
     ``mass`` is normalised to area 1 if ``density``, else the count; ``empty_as`` stands for empty bins.
     """
     if by:
-        parts = [r[0] for r in values.select(by[0]).distinct().limit(100).collect()]
+        parts = [r[0] for r in values.select(by[0]).distinct().limit(MOST_GROUPS + 1).collect()]
+        if len(parts) > MOST_GROUPS:
+            raise ValueError(f"more than {MOST_GROUPS} groups")
         made = None
         for v in sorted(parts):
             one = histogram(values.where(F.col(by[0]) == v), column, (), density, empty_as).withColumn(by[0], F.lit(v))

@@ -93,3 +93,8 @@ def test_interpolation(spark):
     grid = np.linspace(xs[0], xs[-1], 50)
     assert [g[0] for g in got] == pytest.approx(list(grid)) and [g[1] for g in got] == pytest.approx(list(np.interp(grid, xs, ys)))
     assert M.interpolated(df, "x", "y", 50, 1000).count() == 200
+
+
+def test_histogram_of_too_many_groups_is_an_error(spark):
+    with pytest.raises(ValueError, match="more than 100 groups"):
+        M.histogram(spark.range(101).selectExpr("id AS g", "CAST(id AS DOUBLE) AS score"), by=("g",))
