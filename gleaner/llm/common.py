@@ -8,11 +8,13 @@ import gc
 import re
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gleaner.session import Cuts, reach
 
-__all__ = ["Cuts", "give_back", "kind_of", "lean", "small_batches", "table", "unused"]
+__all__ = ["Cuts", "give_back", "kind_of", "lean", "maybe_among", "small_batches", "table", "told_apart", "unused", "without_rows"]
 
 #: Arrow batches of whole texts: few rows each, so a worker holds few long texts at once.
 TEXT_BATCH_BYTES = 4 << 20
@@ -22,10 +24,16 @@ def small_batches(spark: SparkSession) -> None:
     """Ready Python workers: they can import this package, and get Arrow batches of bounded bytes."""
     reach(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(re.sub(r"\D", "", str(spark.conf.get(key))) or 0) <= TEXT_BATCH_BYTES:
+    if not 0 < byte_count(str(spark.conf.get(key))) <= TEXT_BATCH_BYTES:
         spark.conf.set(key, str(TEXT_BATCH_BYTES))
 
 
+def byte_count(said: str) -> int:
+    """Bytes of a Spark size such as ``64m`` or ``4194304b``; 0 if it is none."""
+    found = re.fullmatch(r"(\d+)([kmgtp]?)b?", said.strip().lower())
+    return int(found[1]) << 10 * " kmgtp".index(found[2] or " ") if found else 0
+
+
 def kind_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
@@ -67,3 +75,62 @@ def unused(df: DataFrame, *names: str) -> tuple[str, ...]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Plan nodes under which a row of a file stays one row.
+_ROW_BY_ROW = ("Project", "Filter", "SubqueryAlias", "View", "LogicalRelation", "Relation", "DataSourceV2Relation")
+
+
+def _row_by_row(plan) -> bool:
+    below = plan.children()
+    return plan.nodeName().split(" ")[0] in _ROW_BY_ROW and below.size() <= 1 and all(_row_by_row(below.apply(i)) for i in range(below.size()))
+
+
+def told_apart(docs: DataFrame, name: str, cuts: Cuts) -> DataFrame:
+    """``docs`` with a column ``name`` (a struct of two longs) that tells its rows apart, and is the same at each reading.
+
+    Rows of files have their file's hash and place in it, so nothing is copied; any other
+    table is written first.
+    """
+    if _row_by_row(docs._jdf.queryExecution().analyzed()):
+        with contextlib.suppress(AnalysisException):
+            return docs.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").cast("long").alias("at")))
+    return cuts.write(docs.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))))
+
+
+#: Bits of the map that ``maybe_among`` sends to all tasks (8 MB, whatever the tables are), and of one of its rows.
+MAP_BITS, MAP_ROW = 1 << 26, 1 << 15
+
+
+def _bits(rows: DataFrame, row: str) -> DataFrame:
+    """(map_row, words): a bit for the hash of each row's id."""
+    h = F.pmod(F.xxhash64(row), F.lit(MAP_BITS))
+    placed = rows.select(h.alias("h")).select(F.expr(f"h div {MAP_ROW}").alias("map_row"), F.expr(f"cast((h % {MAP_ROW}) div 64 as int)").alias("word"), F.expr("shiftleft(1L, cast(h % 64 as int))").alias("bit"))
+    words = placed.groupBy("map_row", "word").agg(F.bit_or("bit").alias("bits")).groupBy("map_row").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("set"))
+    return words.select("map_row", F.transform(F.sequence(F.lit(0), F.lit(MAP_ROW // 64 - 1)), lambda i: F.coalesce(F.try_element_at("set", i), F.lit(0).cast("long"))).alias("words"))
+
+
+def _marked(docs: DataFrame, row: str, rows: DataFrame, hit: str) -> DataFrame:
+    h, at, words = unused(docs, "map_hash", "map_row", "words")
+    bits = _bits(rows, row).withColumnsRenamed({"map_row": at, "words": words})
+    hashed = docs.withColumn(h, F.pmod(F.xxhash64(row), F.lit(MAP_BITS))).withColumn(at, F.expr(f"`{h}` div {MAP_ROW}"))
+    word = F.get(F.col(words), F.expr(f"cast((`{h}` % {MAP_ROW}) div 64 as int)"))
+    found = F.call_function("getbit", word, F.expr(f"cast(`{h}` % 64 as int)")) == 1
+    return hashed.join(F.broadcast(bits), at, "left").withColumn(hit, F.coalesce(found, F.lit(False))).drop(h, at, words)
+
+
+def maybe_among(docs: DataFrame, row: str, rows: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is in ``rows``, and few others: what is left to join is small where ``rows`` is.
+
+    A map of ``MAP_BITS`` bits goes to all tasks; with very many ids it lets more others pass.
+    """
+    (hit,) = unused(docs, "map_hit")
+    return _marked(docs, row, rows, hit).where(F.col(hit)).drop(hit)
+
+
+def without_rows(docs: DataFrame, row: str, rows: DataFrame) -> DataFrame:
+    """``docs`` without those whose id is in ``rows``; only rows that may be among them are shuffled."""
+    (hit,) = unused(docs, "map_hit")
+    marked = _marked(docs, row, rows, hit)
+    clear, other = marked.where(~F.col(hit)).drop(hit), marked.where(F.col(hit)).drop(hit)
+    return clear.unionByName(other.join(rows.select(row), row, "left_anti"))

@@ -21,6 +21,8 @@ fifth (the prefix filter), which is exact in any order. A shingle of a few texts
 their pairs. Texts of a larger one meet its hub first; then those that no link joins yet
 meet in blocks, each two of them. Pairs that their sizes, the shingle's places or parity
 bits rule out are dropped, and the others are verified by the similarity of their sets.
+Rows are told apart by their place in their file, so texts are not copied, and the joins
+that need texts take only rows that a map of bits does not rule out.
 
 Equal texts and equal fingerprints are grouped first, so no step pairs exact copies.
 
@@ -32,15 +34,14 @@ component; a null id takes part, and its component is the smallest id that is no
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gleaner.llm.common import Cuts, kind_of, lean, small_batches, unused
+from gleaner.llm.common import Cuts, kind_of, lean, maybe_among, small_batches, told_apart, unused, without_rows
 from gleaner.llm.components import components
 
 #: Generator polynomial of the Golay code. (A fixed value.)
@@ -50,11 +51,11 @@ PARTS = ((0, 22), (22, 21), (43, 21))
 #: Keys with so many fingerprints make all their pairs; larger ones go by neighbours.
 PAIRED = 24
 
-#: 64-bit words of the parity bits of a text's shingles, and their columns.
-PARITY = 16
+#: 64-bit words of the short parity bits of a text's shingles, and their columns. Long texts have longer ones too.
+PARITY = 8
 PARITIES = tuple(f"w{k}" for k in range(PARITY))
-#: A shingle in so many texts of the sample is common; so many of these are listed at most.
-COMMON, MOST_COMMON = 16, 1 << 20
+#: One text in so many orders the shingles. A shingle in so many texts of the sample is common; so many are listed at most.
+SAMPLED, COMMON, MOST_COMMON = 32, 4, 1 << 20
 #: A shingle of ``copies`` with so many texts makes all their pairs at once; a larger one goes by its hub first.
 MET = 8
 #: Texts of a block of a large shingle, about.
@@ -209,7 +210,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, bits: int = 2, text: str = "
 
 
 def _once(docs: DataFrame, size: int, text: str) -> DataFrame:
-    """(token, n) of the shingles of every eighth text: in how many of these texts each is."""
+    """(token, n) of the shingles of one text in ``SAMPLED``: in how many of these texts each is."""
 
     def run(batches):
         for batch in batches:
@@ -218,7 +219,7 @@ def _once(docs: DataFrame, size: int, text: str) -> DataFrame:
             yield pa.record_batch([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
 
     small_batches(docs.sparkSession)
-    sample = docs.where(F.pmod(F.xxhash64(text), F.lit(8)) == 0).select(text)
+    sample = docs.where(F.pmod(F.xxhash64(text), F.lit(SAMPLED)) == 0).select(text)
     return sample.mapInArrow(lean(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
@@ -244,53 +245,72 @@ def least_shared(similarity: float, n: int) -> int:
     return max(1, int(np.ceil(similarity * n - 1e-9)))
 
 
-def parity(tokens: np.ndarray) -> np.ndarray:
-    """``PARITY`` 64-bit words in which each shingle flips one bit: two sets differ in as many shingles as bits at least."""
-    bits = np.bincount((tokens % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+def parity(tokens: np.ndarray, words: int = PARITY) -> np.ndarray:
+    """So many 64-bit words, in which each shingle flips one bit: two sets differ in as many shingles as bits at least.
+
+    Halves of a longer one, a power of two apart, combine to a shorter one.
+    """
+    bits = np.bincount((tokens % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def described(docs: DataFrame, text: str, key: str, row: str, fine: int = 3, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Per row: key, number, ``same`` (of equal word sequences), ``fp``, and of its shingles the number ``n``, the ``prefix`` and the parity words."""
-    spark = docs.sparkSession
-    common = spark.sparkContext.broadcast(common_shingles(docs, size, text))
-    small_batches(spark)
+def parity_words(n: int) -> int:
+    """A power of two with a bit for each of ``n`` shingles at least."""
+    return max(PARITY, 1 << max(0, (n + 63) // 64 - 1).bit_length())
+
+
+def same_words(text: Column) -> Column:
+    """16 bytes that are equal for equal sequences of words."""
+    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.unhex(F.md5(F.trim(F.regexp_replace(low, r"[\x20\x09-\x0D]+", " "))))
+
+
+def described(docs: DataFrame, common, text: str, fine: int = 3, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(same, least, text) -> ``same``, ``least``, ``fp``, and of the text's shingles the number ``n``, the ``prefix``, the short parity words and, if that is longer, ``parity``."""
+    small_batches(docs.sparkSession)
+    docs = docs.select("same", "least", text)
 
     def run(batches):
         for batch in batches:
-            same, fp, n, first, flips = [], [], [], [], []
-            for t in batch.column(1).to_pylist():
+            fp, n, first, short, long = [], [], [], [], []
+            for t in batch.column(2).to_pylist():
                 words = words_of(t)
                 fp.append(majority(np.array(shingles(words, fine), np.uint64)))
-                same.append(int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True))
                 tokens = np.unique(np.array(shingles(words, size), np.uint64))
                 n.append(len(tokens))
                 first.append(prefix(tokens, common.value, similarity).view(np.int64))
-                flips.append(parity(tokens))
-            w = np.array(flips, np.int64).reshape(-1, PARITY)
-            columns = [batch.column(0), batch.column(2), pa.array(same, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int64())), *(pa.array(w[:, k].copy()) for k in range(PARITY))]
-            yield pa.record_batch(columns, names=[key, row, "same", "fp", "n", "prefix", *PARITIES])
+                bits = parity(tokens, parity_words(len(tokens)))
+                long.append(bits if len(bits) > PARITY else bits[:0])
+                short.append(np.bitwise_xor.reduce(bits.reshape(-1, PARITY), axis=0))
+            w = np.array(short, np.int64).reshape(-1, PARITY)
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), *(pa.array(w[:, k].copy()) for k in range(PARITY)), pa.array(first, pa.list_(pa.int64())), pa.array(long, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, names=["same", "least", "fp", "n", *PARITIES, "prefix", "parity"])
 
-    return docs.select(key, text, row).mapInArrow(lean(run), f"`{key}` {kind_of(docs, key)}, `{row}` long, same long, fp long, n long, prefix array<long>, " + ", ".join(f"{w} long" for w in PARITIES))
+    shape = T.StructType([docs.schema["same"], docs.schema["least"]])
+    for name in ("fp", "n", *PARITIES):
+        shape.add(name, "long")
+    for name in ("prefix", "parity"):
+        shape.add(name, T.ArrayType(T.LongType()))
+    return docs.mapInArrow(lean(run), shape)
 
 
 def _shared(nodes: DataFrame, cuts: Cuts) -> DataFrame:
-    """(same, n, prefix) -> a row per shingle of a prefix that several have: token, many, same, n, place, prev.
+    """(node, n, prefix) -> a row per shingle of a prefix that several have: token, many, node, n, place, prev, first.
 
     ``place`` counts from 0, ``prev`` is the shingle before it that is in this table too.
     """
-    keyed = nodes.select("same", "n", F.posexplode("prefix").alias("place", "token")).select("token", "same", (F.shiftleft("n", 32) + F.col("place")).alias("at"))
+    keyed = nodes.select("node", "n", F.posexplode("prefix").alias("place", "token")).select("token", "node", (F.shiftleft("n", 32) + F.col("place")).alias("at"))
     counts = cuts.write(keyed.groupBy("token").agg(F.count("*").alias("many")).where("many > 1"))
-    rows = keyed.join(counts, "token").select("token", "many", "same", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("place"))
+    rows = keyed.join(counts, "token").select("token", "many", "node", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("place"))
     # a text's prefix at most is one part of this window
-    before = F.lag("token").over(Window.partitionBy("same").orderBy("place"))
+    before = F.lag("token").over(Window.partitionBy("node").orderBy("place"))
     shared = cuts.write(rows.withColumn("prev", F.coalesce(before, F.lit(0).cast("long"))).withColumn("first", before.isNull()))
     cuts.drop(counts)
     return shared
 
 
 def _meet(cells: DataFrame, similarity: float) -> DataFrame:
-    """(token, a, b, side, same, n, place, prev, first, root) -> pairs (u, v) of ``same`` in a cell (token, a, b).
+    """(token, a, b, side, node, n, place, prev, first, root) -> pairs (u, v) of ``node`` in a cell (token, a, b).
 
     Rows of one root are not paired, nor rows of one side if a and b differ. What two texts
     share from this shingle on must suffice; where both have one shingle before it, that
@@ -299,7 +319,7 @@ def _meet(cells: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches):
         held = None
-        names = ("token", "a", "b", "side", "same", "n", "place", "prev", "first", "root")
+        names = ("token", "a", "b", "side", "node", "n", "place", "prev", "first", "root")
         for batch in batches:
             x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
             if held is not None:
@@ -320,7 +340,7 @@ def _meet(cells: DataFrame, similarity: float) -> DataFrame:
                 rest = np.minimum(x["n"][i] - x["place"][i], x["n"][j] - x["place"][j])
                 ok = (rest >= need) & (x["root"][i] != x["root"][j]) & ((x["prev"][i] != x["prev"][j]) | x["first"][i] | x["first"][j])
                 ok &= (x["a"][i] == x["b"][i]) | (x["side"][i] != x["side"][j])
-                u, v = x["same"][i[ok]], x["same"][j[ok]]
+                u, v = x["node"][i[ok]], x["node"][j[ok]]
                 found.append(np.stack([np.maximum(u, v), np.minimum(u, v)], 1).ravel())
             pairs = np.unique(np.concatenate(found).reshape(-1, 2), axis=0)
             if size:
@@ -331,26 +351,39 @@ def _meet(cells: DataFrame, similarity: float) -> DataFrame:
                 part = pairs[at : at + (1 << 16)]
                 yield pa.record_batch([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["u", "v"])
 
-    cells = cells.select("token", F.col("a").cast("long"), F.col("b").cast("long"), F.col("side").cast("long"), "same", "n", "place", "prev", "first", "root")
+    cells = cells.select("token", F.col("a").cast("long"), F.col("b").cast("long"), F.col("side").cast("long"), "node", "n", "place", "prev", "first", "root")
     return cells.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b").mapInArrow(lean(run), "u long, v long").distinct()
 
 
-def _near(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+def _near(pairs: DataFrame, nodes: DataFrame, similarity: float, cuts: Cuts) -> DataFrame:
     """The pairs whose sizes and parities allow the similarity."""
-    end = lambda c: nodes.select(F.col("same").alias(c), F.struct("n", *PARITIES).alias(f"{c}_"))
+    end = lambda c: nodes.select(F.col("node").alias(c), F.struct("n", *PARITIES).alias(f"{c}_"))
     got = pairs.join(end("u"), "u").join(end("v"), "v")
     differ = sum((F.bit_count(F.col(f"u_.{w}").bitwiseXOR(F.col(f"v_.{w}"))) for w in PARITIES), F.lit(0))
     sizes = F.least("u_.n", "v_.n") >= similarity * F.greatest("u_.n", "v_.n") - F.lit(1e-6)
-    return got.where(sizes & (differ <= (1 - similarity) / (1 + similarity) * (F.col("u_.n") + F.col("v_.n")) + F.lit(1e-6))).select("u", "v")
+    most = (1 - similarity) / (1 + similarity) * (F.col("u_.n") + F.col("v_.n")) + F.lit(1e-6)
+    left = cuts.write(got.where(sizes & (differ <= most)).select("u", "v", most.alias("most")))
+    # long texts have parities of their own length; the longer one is folded to the shorter one
+    full = lambda c: nodes.where(F.size("parity") > 0).select(F.col("node").alias(c), F.col("parity").alias(f"{c}_"))
+    both = left.join(full("u"), "u", "left").join(full("v"), "v", "left")
+    wide, slim = F.size("u_") >= F.size("v_"), F.least(F.size("u_"), F.size("v_"))
+    both = both.select("u", "v", "most", F.when(wide, F.col("u_")).otherwise(F.col("v_")).alias("wide"), F.when(wide, F.col("v_")).otherwise(F.col("u_")).alias("slim"), slim.alias("k"))
+
+    def odd(j):
+        turns = F.sequence(j, F.size("wide") - 1, F.col("k"))
+        return F.bit_count(F.aggregate(turns, F.get("slim", j), lambda acc, i: acc.bitwiseXOR(F.get("wide", i))))
+
+    counted = F.aggregate(F.sequence(F.lit(0), F.col("k") - 1), F.lit(0), lambda acc, j: acc + odd(j))
+    return both.where(F.col("wide").isNull() | F.col("slim").isNull() | (counted <= F.col("most"))).select("u", "v")
 
 
 def _first_pairs(shared: DataFrame, similarity: float) -> DataFrame:
     """All pairs of shingles that up to ``MET`` texts share; of others the pairs with the shingle's hub."""
-    few = shared.where(F.col("many") <= MET).select("*", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side"), F.col("same").alias("root"))
+    few = shared.where(F.col("many") <= MET).select("*", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side"), F.col("node").alias("root"))
     large = shared.where(F.col("many") > MET)
-    central = large.groupBy("same").agg(F.count("*").alias("meets"))
-    hubs = large.join(central, "same").groupBy("token").agg(F.max_by("same", F.struct("meets", "same")).alias("hub"))
-    rays = large.join(hubs, "token").where("same <> hub").select(F.greatest("same", "hub").alias("u"), F.least("same", "hub").alias("v"))
+    central = large.groupBy("node").agg(F.count("*").alias("meets"))
+    hubs = large.join(central, "node").groupBy("token").agg(F.max_by("node", F.struct("meets", "node")).alias("hub"))
+    rays = large.join(hubs, "token").where("node <> hub").select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v"))
     return _meet(few, similarity).unionByName(rays).distinct()
 
 
@@ -359,26 +392,26 @@ def _other_pairs(shared: DataFrame, roots: DataFrame, similarity: float) -> Data
 
     A shingle's texts are cut into blocks, and every two blocks meet in a cell of their own.
     """
-    large = shared.where(F.col("many") > MET).join(roots.withColumnRenamed("node", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
+    large = shared.where(F.col("many") > MET).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # the size of the largest partner that what follows the shingle suffices for
     reach = (F.col("n") - F.col("place")) * F.lit((1 + similarity) / similarity) - F.col("n") + F.lit(1e-6)
     large = large.withColumn("reach", reach).where(F.col("reach") >= similarity * F.col("n") - F.lit(1e-6))
     whole = large.groupBy("token").agg(F.count("*").alias("left"), F.min("n").alias("least"), F.max("reach").alias("most"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
     open_ = large.join(whole, "token").where((F.col("reach") >= F.col("least") - F.lit(1e-6)) & (F.col("n") <= F.col("most") + F.lit(1e-6)))
     blocks = F.ceil(F.col("left") / F.lit(BLOCK)).cast("int")
-    open_ = open_.withColumn("side", F.pmod(F.xxhash64("same"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    open_ = open_.withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return _meet(open_.withColumn("a", F.least("side", "other")).withColumn("b", F.greatest("side", "other")), similarity)
 
 
 def _sets(docs: DataFrame, size: int, text: str) -> DataFrame:
-    """(same, text) -> (same, set): the distinct shingle hashes, sorted."""
+    """(node, text) -> (node, set): the distinct shingle hashes, sorted."""
 
     def run(batches):
         for batch in batches:
             sets = [np.unique(np.array(shingles(words_of(t), size), np.uint64)).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["same", "set"])
+            yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
 
-    return docs.select("same", text).mapInArrow(lean(run), "same long, set binary")
+    return docs.select("node", text).mapInArrow(lean(run), "node long, set binary")
 
 
 def _alike(batches, similarity: float):
@@ -393,6 +426,9 @@ def _alike(batches, similarity: float):
         yield pa.record_batch([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
 
+ROW = "copies_row"
+
+
 def copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, bits: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: the key and ``component_id``, the smallest key that links reach.
 
@@ -401,69 +437,66 @@ def copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, bits: int =
     word sequences are one node. All such links are found, and none is made that does not hold.
     """
     cuts = Cuts(docs.sparkSession, "copies")
-    return _grouped(_numbered(docs, cuts, text, key), cuts, size, similarity, bits, text, key).select(key, "component_id")
-
-
-ROW = "copies_row"
-
-
-def _numbered(docs: DataFrame, cuts: Cuts, *names: str) -> DataFrame:
-    """``names`` of ``docs`` and a number for each row, written, so the numbers are the same wherever they are read."""
-    return cuts.write(docs.select(*dict.fromkeys(names), F.monotonically_increasing_id().alias(ROW)))
+    (row,) = unused(docs.select(key, text), ROW)
+    return _grouped(told_apart(docs, row, cuts), cuts, row, size, similarity, bits, text, key).select(F.col("key").alias(key), "component_id")
 
 
-def _grouped(docs: DataFrame, cuts: Cuts, size: int = 5, similarity: float = 0.8, bits: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Numbered rows -> per row: the key, the number, ``component_id`` and ``first``, the number of the group's first row.
+def _grouped(docs: DataFrame, cuts: Cuts, row: str, size: int = 5, similarity: float = 0.8, bits: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Rows that ``row`` tells apart -> per row: ``key``, ``row``, ``bare`` (no key and no words), ``component_id`` and ``first``, the row that stands for its group.
 
     The first row is one with the smallest key that is not null, if there is one.
     """
-    rows = cuts.write(described(docs, text, key, ROW, size=size, similarity=similarity))
-    order = F.struct(F.col(key).isNull().alias("null"), F.col(key).alias("key"), F.col(ROW).alias("row"))
-    one = F.first(F.struct("fp", "n", "prefix", *PARITIES)).alias("one")
-    nodes = cuts.write(rows.groupBy("same").agg(F.min(order).alias("least"), one).select("same", "least", "one.*"))
-    whole, rows = rows, cuts.write(rows.select(key, ROW, "same"))
-    cuts.drop(whole)
+    spark = docs.sparkSession
+    bare = F.col(key).isNull() & ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(row).alias("row"), bare.alias("bare"), same_words(F.col(text)).alias("same"))
+    order = F.struct(F.col("key").isNull().alias("keyless"), F.col("key").alias("key"), F.col("row").alias("row"))
+    rows = cuts.write(docs.select("key", "row", "bare", "same"))
+    # a text is described once; of equal ones, all but one are left out
+    least = rows.groupBy("same").agg(F.min(order).alias("least"), F.count("*").alias("many")).where("many > 1")
+    again = cuts.write(rows.join(least, "same").where(F.col("row") != F.col("least.row")).select("row"))
+    common = spark.sparkContext.broadcast(common_shingles(docs, size, "text"))
+    once = without_rows(docs, "row", again).withColumn("least", order)
+    nodes = cuts.write(described(once, common, "text", size=size, similarity=similarity).withColumn("node", F.monotonically_increasing_id()))
     shared = _shared(nodes, cuts)
     whole, nodes = nodes, cuts.write(nodes.drop("prefix"))
     cuts.drop(whole)
     # fingerprints that links join: a star of the nodes that have them
     fps = nodes.select("fp").distinct()
     roots = components(linked(fps, bits), cuts)
-    group = nodes.select("same", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("same", F.coalesce("root", "fp").alias("root"))
-    stars = group.join(group.groupBy("root").agg(F.min("same").alias("v")), "root").select(F.col("same").alias("u"), "v").where("u <> v")
+    group = nodes.select("node", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
+    stars = group.join(group.groupBy("root").agg(F.min("node").alias("v")), "root").select(F.col("node").alias("u"), "v").where("u <> v")
 
     def alike(pairs: DataFrame) -> DataFrame:
-        pairs = cuts.write(_near(pairs, nodes, similarity))
-        ends = pairs.select(F.col("u").alias("same")).unionByName(pairs.select(F.col("v").alias("same"))).distinct()
+        pairs = cuts.write(_near(pairs, nodes, similarity, cuts))
+        ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
         # one text of each node that a pair names
-        owners = cuts.write(nodes.join(ends, "same").select(F.col("least.row").alias(ROW), "same"))
-        named = docs.select(ROW, text).join(owners, ROW)
-        sets = cuts.write(_sets(named, size, text))
-        first = pairs.join(sets.select(F.col("same").alias("u"), F.col("set").alias("x")), "u")
-        both = first.join(sets.select(F.col("same").alias("v"), F.col("set").alias("y")), "v").select("u", "v", "x", "y")
-        return both.mapInArrow(lean(lambda batches: _alike(batches, similarity)), "u long, v long")
+        owners = cuts.write(nodes.join(ends, "node").select(F.col("least.row").alias("row"), "node"))
+        sets = cuts.write(_sets(maybe_among(docs.select("row", "text"), "row", owners).join(owners, "row"), size, "text"))
+        first = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("x")), "u")
+        both = first.join(sets.select(F.col("node").alias("v"), F.col("set").alias("y")), "v").select("u", "v", "x", "y")
+        found = cuts.write(both.mapInArrow(lean(lambda batches: _alike(batches, similarity)), "u long, v long"))
+        cuts.drop(sets)
+        return found
 
     first = cuts.write(components(alike(_first_pairs(shared, similarity)).unionByName(stars), cuts))
     more = alike(_other_pairs(shared, first, similarity))
+    cuts.drop(shared)
     joined = cuts.write(components(more.unionByName(first.select(F.col("node").alias("u"), F.col("root").alias("v"))), cuts))
-    belongs = nodes.select("same", "least").join(joined.withColumnRenamed("node", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
-    least = belongs.groupBy("root").agg(F.min("least").alias("first"))
-    of = belongs.select("same", "root").join(least, "root").select("same", F.col("first.key").alias("component_id"), F.col("first.row").alias("first"))
-    return rows.join(of, "same").select(key, ROW, "component_id", "first")
+    belongs = nodes.select("node", "same", "least").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    chosen = belongs.groupBy("root").agg(F.min("least").alias("first"))
+    of = belongs.select("same", "root").join(chosen, "root").select("same", F.col("first.key").alias("component_id"), F.col("first.row").alias("first"))
+    return rows.join(of, "same").select("key", "row", "bare", "component_id", "first")
 
 
 def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
     """``docs`` with one document of each group of copies, one with the smallest key that is not null.
 
-    Rows are told apart by numbers of their own: differing texts under one key, or under
-    null, are documents of their own, and equal ones are copies. A row that has neither key
-    nor words stays: nothing tells what it would be a copy of.
+    Rows are told apart by their places, not their keys: differing texts under one key, or
+    under null, are documents of their own, and equal ones are copies. A row that has neither
+    key nor words stays: nothing tells what it would be a copy of.
     """
     cuts = Cuts(docs.sparkSession, "kept")
-    (own,) = unused(docs, "kept_row")
-    numbered, columns = cuts.write(docs.withColumn(own, F.monotonically_increasing_id())), docs.columns
-    slim = numbered.select(key, text, F.col(own).alias(ROW))
-    gone = _grouped(slim, cuts, text=text, key=key, **more).where(F.col(ROW) != F.col("first")).select(F.col(ROW).alias(own))
-    bare = numbered.where(F.col(key).isNull() & ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select(own)
-    gone = cuts.write(gone.join(bare, own, "left_anti"))
-    return numbered.join(gone, own, "left_anti").select(*(numbered[c] for c in columns))
+    (own,) = unused(docs, ROW)
+    told = told_apart(docs, own, cuts)
+    gone = _grouped(told, cuts, own, text=text, key=key, **more).where((F.col("row") != F.col("first")) & ~F.col("bare"))
+    return without_rows(told, own, cuts.write(gone.select(F.col("row").alias(own)))).drop(own)
