@@ -8,8 +8,9 @@ all centers are scanned over the codes, two codes a byte; what the scan ranks hi
 scored again with the original vectors, in double precision.
 
 The quantiser is fit on a bounded sample; every vector is coded and searched. Queries meet
-all vectors in blocks: both sides are dealt into groups of bounded size, and each pair of
-groups is one task's work.
+all codes in blocks: both sides are dealt into groups of bounded size, and each pair of
+groups is one task's work. Only codes, of half a byte for two components, go to every block;
+a query's best of all groups are joined with their vectors once, and scored.
 
 Defined results: vectors that are null, zero, empty or hold a null or a non-finite component
 take no part, neither as queries; vectors are compared within their own dimension; rows
@@ -35,8 +36,8 @@ SAMPLE = 4096
 GROUP, QUERIES = 16384, 2048
 #: Least groups of an index that has enough vectors, so that small ones are shared out too.
 LEAST_GROUPS, LEAST_ROWS = 12, 1024
-#: The scan's best per query and group that are scored exactly, and all within this margin of the last of them.
-SHORTLIST, MARGIN = 64, 0.0
+#: The scan's best per query and group, and per query over all groups: the latter are scored exactly.
+SHORTLIST, RERANKED = 64, 256
 #: Inner products below this matter less: sets the weight of the residual along the vector.
 MATTERS = 0.2
 FIT_ROUNDS, CODE_ROUNDS = 6, 2
@@ -118,24 +119,28 @@ def scanned(model: Quantiser, codes: np.ndarray, queries: np.ndarray) -> np.ndar
     return out
 
 
-def best(model: Quantiser, qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, k: int):
-    """Yields (query id, ids, scores) of each query's ``k`` nearest among ``ids``, which are ascending."""
+def shortlisted(model: Quantiser, qid: np.ndarray, q: np.ndarray, ids: np.ndarray, codes: np.ndarray):
+    """Yields (query id, ids, approximate scores): of ``ids``, which are ascending, each query's best by the scan."""
     unit_q = padded(q / np.linalg.norm(q, axis=1, keepdims=True))
-    norm_x = np.linalg.norm(x, axis=1)
     for at in range(0, len(q), 64):
         near = scanned(model, codes, unit_q[at : at + 64])
-        for i in range(len(near)):
-            row = near[i]
+        for i, row in enumerate(near):
             row[ids == qid[at + i]] = -np.inf
-            if len(row) > SHORTLIST:
-                last = -np.partition(-row, SHORTLIST - 1)[SHORTLIST - 1]
-                chosen = np.flatnonzero((row >= last - MARGIN) & (row > -np.inf))
-            else:
-                chosen = np.flatnonzero(row > -np.inf)
-            me = q[at + i]
-            score = np.einsum("nd,d->n", x[chosen], me) / (norm_x[chosen] * np.sqrt(np.einsum("d,d->", me, me)))
-            top = np.lexsort((ids[chosen], -score))[:k]
-            yield qid[at + i], ids[chosen[top]], score[top]
+            least = -np.partition(-row, SHORTLIST - 1)[SHORTLIST - 1] if len(row) > SHORTLIST else -np.inf
+            chosen = np.flatnonzero((row >= least) & (row > -np.inf))
+            # ties go to the smaller ids
+            chosen = chosen[np.lexsort((ids[chosen], -row[chosen]))][:SHORTLIST]
+            yield qid[at + i], ids[chosen], row[chosen]
+
+
+def scored(batches):
+    """(query_id, vec_id, vector of the query, of the candidate) -> (query_id, vec_id, cosine)."""
+    for batch in batches:
+        score = np.zeros(0)
+        if batch.num_rows:
+            x, y = _matrix(batch.column(2)), _matrix(batch.column(3))
+            score = np.einsum("nd,nd->n", x, y) / (np.sqrt(np.einsum("nd,nd->n", x, x)) * np.sqrt(np.einsum("nd,nd->n", y, y)))
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score)], names=["query_id", "vec_id", "score"])
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -172,7 +177,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
             sample = own.orderBy("id").limit(SAMPLE).select("v").toArrow()
         x = _matrix(sample.column(0))
         model = spark.sparkContext.broadcast(fit(padded(x / np.linalg.norm(x, axis=1, keepdims=True))))
-        got = _searched(own, is_query, model, n, q, k)
+        got = _searched(own, is_query, model, n, q)
         found = got if found is None else found.unionByName(got)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -180,7 +185,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _searched(own: DataFrame, is_query: Column, model, n: int, q: int, k: int) -> DataFrame:
+def _searched(own: DataFrame, is_query: Column, model, n: int, q: int) -> DataFrame:
     groups = max(-(-n // GROUP), min(LEAST_GROUPS, -(-n // LEAST_ROWS)))
     blocks = -(-q // QUERIES)
     g = F.pmod(F.xxhash64(F.lit(1), F.col("id")), F.lit(groups)).cast("int")
@@ -191,22 +196,27 @@ def _searched(own: DataFrame, is_query: Column, model, n: int, q: int, k: int) -
         for batch in batches:
             x = _matrix(batch.column(2))
             codes = packed(model.value.code(padded(x / np.linalg.norm(x, axis=1, keepdims=True)))) if len(x) else np.zeros((0, 1), np.uint8)
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array([c.tobytes() for c in codes], pa.binary())], names=["g", "id", "v", "code"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], names=["g", "id", "code"])
 
-    index = own.select(g.alias("g"), "id", "v").mapInArrow(lean(coded), "g int, id long, v array<double>, code binary")
-    index = index.select("g", every(blocks).alias("b"), "id", "v", "code")
+    index = own.select(g.alias("g"), "id", "v").mapInArrow(lean(coded), "g int, id long, code binary")
+    index = index.select("g", every(blocks).alias("b"), "id", "code")
     asked = own.where(is_query).select(every(groups).alias("g"), b.alias("b"), "id", "v")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
         if left.num_rows and right.num_rows:
-            left, right = left.sort_by("id"), right.sort_by("id")
+            left = left.sort_by("id")
             codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(left.num_rows, -1)
-            for one, ids, scores in best(model.value, right.column("id").to_numpy(), _matrix(right.column("v")), left.column("id").to_numpy(), _matrix(left.column("v")), codes, k):
+            for one, ids, near in shortlisted(model.value, right.column("id").to_numpy(), _matrix(right.column("v")), left.column("id").to_numpy(), codes):
                 out[0].append(np.full(len(ids), one))
                 out[1].append(ids)
-                out[2].append(scores)
+                out[2].append(near)
         cols = [np.concatenate(c) if c else np.zeros(0) for c in out]
-        return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "vec_id": pa.array(cols[1].astype(np.int64)), "score": pa.array(cols[2].astype(np.float64))})
-
-    return index.groupBy("g", "b").cogroup(asked.groupBy("g", "b")).applyInArrow(search, "query_id long, vec_id long, score double")
+        return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "vec_id": pa.array(cols[1].astype(np.int64)), "near": pa.array(cols[2].astype(np.float32))})
+
+    found = index.groupBy("g", "b").cogroup(asked.groupBy("g", "b")).applyInArrow(search, "query_id long, vec_id long, near float")
+    order = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
+    short = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= RERANKED).select("query_id", "vec_id")
+    candidates = short.join(own.select(F.col("id").alias("vec_id"), F.col("v").alias("y")), "vec_id")
+    both = candidates.join(own.where(is_query).select(F.col("id").alias("query_id"), F.col("v").alias("x")), "query_id").select("query_id", "vec_id", "x", "y")
+    return both.mapInArrow(lean(scored), "query_id long, vec_id long, score double")
