@@ -1,12 +1,13 @@
 """ISO media containers as columns (operator 10).
 
 ``pack`` writes bytes as the frames of an ISO base media file; ``inspect`` walks the
-nested boxes of such a file, decodes the sample tables, and tells codec, duration and
-the byte ranges of keyframes without decoding any payload.
+nested boxes of such a file, decodes the sample tables and the runs of movie fragments,
+and tells codec, duration and the byte ranges of keyframes without decoding any payload.
 
 Defined results: a null text counts as empty; empty texts get one padded frame; equal
 texts give equal values; repeated rows give repeated results; extra columns are
-ignored; a file whose boxes are cut short raises ``ValueError``.
+ignored. For a malformed file ``inspect`` raises ``ValueError``; ``media_columns`` gives it
+one row with the reason in ``error``, and other files are not touched by it.
 """
 
 from __future__ import annotations
@@ -89,7 +90,7 @@ def pack(payload: bytes) -> bytes:
 
 
 def walk(data: bytes, at: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()):
-    """(path, start and end of the body) of every box, parents before what they hold."""
+    """(path, start and end of the body, start of the box) of every box, parents before what they hold."""
     end = len(data) if end is None else end
     while at < end:
         if end - at < 8:
@@ -104,20 +105,25 @@ def walk(data: bytes, at: int = 0, end: int | None = None, path: tuple[bytes, ..
             size = end - at
         if size < body - at or at + size > end:
             raise ValueError(f"box {kind!r} does not fit what holds it")
-        yield (*path, kind), body, at + size
+        yield (*path, kind), body, at + size, at
         if kind in PARENTS:
             yield from walk(data, body, at + size, (*path, kind))
         at += size
 
 
+def _none() -> np.ndarray:
+    return np.zeros(0, np.int64)
+
+
 @dataclass
 class Track:
+    number: int = 0
     codec: str = ""
     timescale: int = 0
     duration: int = 0
-    sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    starts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    sync: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    sizes: np.ndarray = field(default_factory=_none)
+    starts: np.ndarray = field(default_factory=_none)
+    sync: np.ndarray = field(default_factory=_none)
 
     @property
     def seconds(self) -> float:
@@ -128,65 +134,178 @@ class Track:
         return [(int(self.starts[i]), int(self.starts[i] + self.sizes[i])) for i in self.sync]
 
 
+def _u32(data: bytes, at: int) -> int:
+    return struct.unpack_from(">I", data, at)[0]
+
+
 def _numbers(data: bytes, at: int, n: int, kind: str = ">u4") -> np.ndarray:
     return np.frombuffer(data, kind, n, at).astype(np.int64)
 
 
+def _sizes(data: bytes, boxes: dict[bytes, tuple[int, int]]) -> np.ndarray:
+    if b"stsz" in boxes:
+        at = boxes[b"stsz"][0]
+        each, n = _u32(data, at + 4), _u32(data, at + 8)
+        if each * n > len(data):
+            raise ValueError("the samples are larger than the file")
+        return np.full(n, each, np.int64) if each else _numbers(data, at + 12, n)
+    if b"stz2" in boxes:
+        at = boxes[b"stz2"][0]
+        bits, n = data[at + 7], _u32(data, at + 8)
+        if bits == 4:
+            pairs = np.frombuffer(data, np.uint8, (n + 1) // 2, at + 12)
+            return np.stack([pairs >> 4, pairs & 15], 1).ravel()[:n].astype(np.int64)
+        return _numbers(data, at + 12, n, ">u2" if bits == 16 else ">u1")
+    return _none()
+
+
+def _starts(data: bytes, boxes: dict[bytes, tuple[int, int]], sizes: np.ndarray) -> np.ndarray:
+    """Where each sample begins: chunks have places, and runs of chunks have numbers of samples."""
+    if not len(sizes):
+        return sizes
+    places = next(((boxes[k][0], kind) for k, kind in ((b"co64", ">u8"), (b"stco", ">u4")) if k in boxes), None)
+    if places is None or b"stsc" not in boxes:
+        raise ValueError("samples without chunks")
+    chunks = _numbers(data, places[0] + 8, _u32(data, places[0] + 4), places[1])
+    at = boxes[b"stsc"][0]
+    runs = _numbers(data, at + 8, 3 * _u32(data, at + 4)).reshape(-1, 3)
+    lengths = np.diff(np.append(runs[:, 0], len(chunks) + 1))
+    if not len(runs) or runs[0, 0] != 1 or (lengths < 0).any():
+        raise ValueError("runs of chunks out of order")
+    held = np.repeat(runs[:, 1], lengths)
+    if held.sum() < len(sizes):
+        raise ValueError("the chunks hold fewer samples than have sizes")
+    upto = np.cumsum(held)
+    chunk = np.searchsorted(upto, np.arange(len(sizes)), side="right")
+    before = np.cumsum(sizes) - sizes
+    opens = np.append(True, chunk[1:] != chunk[:-1])
+    return chunks[chunk] + before - np.maximum.accumulate(np.where(opens, before, 0))
+
+
 def _track(data: bytes, boxes: dict[bytes, tuple[int, int]]) -> Track:
     out = Track()
-    u32 = lambda at: struct.unpack_from(">I", data, at)[0]
+    if b"tkhd" in boxes:
+        at = boxes[b"tkhd"][0]
+        out.number = _u32(data, at + (20 if data[at] else 12))
     if b"mdhd" in boxes:
         at = boxes[b"mdhd"][0]
         out.timescale, out.duration = struct.unpack_from(">IQ", data, at + 20) if data[at] else struct.unpack_from(">II", data, at + 12)
     if b"stsd" in boxes:
         at = boxes[b"stsd"][0]
-        out.codec = data[at + 12 : at + 16].decode("latin-1") if u32(at + 4) else ""
-    if b"stsz" in boxes:
-        at = boxes[b"stsz"][0]
-        each, n = u32(at + 4), u32(at + 8)
-        out.sizes = np.full(n, each, np.int64) if each else _numbers(data, at + 12, n)
-    elif b"stz2" in boxes:
-        at = boxes[b"stz2"][0]
-        bits, n = data[at + 7], u32(at + 8)
-        if bits == 4:
-            pairs = np.frombuffer(data, np.uint8, (n + 1) // 2, at + 12)
-            out.sizes = np.stack([pairs >> 4, pairs & 15], 1).ravel()[:n].astype(np.int64)
-        else:
-            out.sizes = _numbers(data, at + 12, n, ">u2" if bits == 16 else ">u1")
-    if b"co64" in boxes or b"stco" in boxes:
-        wide = b"co64" in boxes
-        at = boxes[b"co64" if wide else b"stco"][0]
-        chunks = _numbers(data, at + 8, u32(at + 4), ">u8" if wide else ">u4")
-    else:
-        chunks = np.zeros(0, np.int64)
-    if b"stsc" in boxes and len(chunks) and len(out.sizes):
-        at = boxes[b"stsc"][0]
-        runs = _numbers(data, at + 8, 3 * u32(at + 4)).reshape(-1, 3)
-        lengths = np.diff(np.append(runs[:, 0], len(chunks) + 1))
-        held = np.repeat(runs[:, 1], lengths)
-        if held.sum() < len(out.sizes):
-            raise ValueError("the chunks hold fewer samples than have sizes")
-        chunk = np.repeat(np.arange(len(chunks)), held)[: len(out.sizes)]
-        before = np.cumsum(out.sizes) - out.sizes
-        opens = np.append(True, chunk[1:] != chunk[:-1])
-        out.starts = chunks[chunk] + before - np.maximum.accumulate(np.where(opens, before, 0))
+        out.codec = data[at + 12 : at + 16].decode("latin-1") if _u32(data, at + 4) else ""
+    out.sizes = _sizes(data, boxes)
+    out.starts = _starts(data, boxes, out.sizes)
     if b"stss" in boxes:
         at = boxes[b"stss"][0]
-        out.sync = _numbers(data, at + 8, u32(at + 4)) - 1
+        out.sync = _numbers(data, at + 8, _u32(data, at + 4)) - 1
     else:
         out.sync = np.arange(len(out.sizes))
     return out
 
 
+#: Flags of fragment headers and runs, and of a sample that is no keyframe. (Fixed by the container format.)
+BASE_OFFSET, DESCRIPTION, DEFAULT_DURATION, DEFAULT_SIZE, DEFAULT_FLAGS, BASE_IS_MOOF = 0x1, 0x2, 0x8, 0x10, 0x20, 0x20000
+DATA_OFFSET, FIRST_FLAGS, DURATIONS, SIZES, FLAGS, COMPOSITION = 0x1, 0x4, 0x100, 0x200, 0x400, 0x800
+NO_SYNC = 0x10000
+
+
+@dataclass
+class _Fragment:
+    """A track's part of one movie fragment: where its data begin, and what holds for samples that say nothing."""
+
+    number: int
+    base: int
+    duration: int
+    size: int
+    flags: int
+
+    @classmethod
+    def read(cls, data: bytes, at: int, moof: int, behind: int | None, defaults: dict[int, tuple[int, int, int]]) -> _Fragment:
+        flags, number = _u32(data, at) & 0xFFFFFF, _u32(data, at + 4)
+        duration, size, sample_flags = defaults.get(number, (0, 0, 0))
+        base = moof if behind is None or flags & BASE_IS_MOOF else behind
+        at += 8
+        if flags & BASE_OFFSET:
+            base = struct.unpack_from(">Q", data, at)[0]
+            at += 8
+        at += 4 * bool(flags & DESCRIPTION)
+        if flags & DEFAULT_DURATION:
+            duration = _u32(data, at)
+            at += 4
+        if flags & DEFAULT_SIZE:
+            size = _u32(data, at)
+            at += 4
+        if flags & DEFAULT_FLAGS:
+            sample_flags = _u32(data, at)
+        return cls(number, base, duration, size, sample_flags)
+
+
+def _run(data: bytes, at: int, end: int, part: _Fragment, place: int, track: Track) -> int:
+    """Adds a run's samples to the track; where its data end."""
+    flags, n = _u32(data, at) & 0xFFFFFF, _u32(data, at + 4)
+    at += 8
+    if flags & DATA_OFFSET:
+        place = part.base + struct.unpack_from(">i", data, at)[0]
+        at += 4
+    first = None
+    if flags & FIRST_FLAGS:
+        first = _u32(data, at)
+        at += 4
+    told = [k for k in (DURATIONS, SIZES, FLAGS, COMPOSITION) if flags & k]
+    if at + 4 * n * len(told) > end or (not told and n * part.size > len(data)):
+        raise ValueError("a run of samples is cut short")
+    table = _numbers(data, at, n * len(told)).reshape(n, len(told))
+    column = lambda k, other: table[:, told.index(k)] if k in told else np.full(n, other, np.int64)
+    sizes, sample_flags = column(SIZES, part.size), column(FLAGS, part.flags).copy()
+    if first is not None and n:
+        sample_flags[0] = first
+    ends = place + np.cumsum(sizes)
+    track.sync = np.append(track.sync, len(track.sizes) + np.flatnonzero(sample_flags & NO_SYNC == 0))
+    track.sizes, track.starts = np.append(track.sizes, sizes), np.append(track.starts, ends - sizes)
+    track.duration += int(column(DURATIONS, part.duration).sum())
+    return int(ends[-1]) if n else place
+
+
 def inspect(data: bytes) -> list[Track]:
-    """The tracks of a file, in its order."""
-    tracks: list[dict[bytes, tuple[int, int]]] = []
-    for path, start, end in walk(data):
+    """The tracks of a file, in its order; ``ValueError`` if it is malformed."""
+    try:
+        return _inspected(data)
+    except (IndexError, struct.error, OverflowError) as e:
+        raise ValueError(f"malformed: {e}") from e
+
+
+def _inspected(data: bytes) -> list[Track]:
+    boxes: list[dict[bytes, tuple[int, int]]] = []
+    defaults: dict[int, tuple[int, int, int]] = {}
+    runs: list[tuple[int, int, int, bytes]] = []
+    for path, start, end, at in walk(data):
         if path[-1] == b"trak":
-            tracks.append({})
-        elif tracks and b"trak" in path:
-            tracks[-1].setdefault(path[-1], (start, end))
-    return [_track(data, t) for t in tracks]
+            boxes.append({})
+        elif boxes and b"trak" in path:
+            boxes[-1].setdefault(path[-1], (start, end))
+        elif path[-1] == b"trex":
+            defaults[_u32(data, start + 4)] = struct.unpack_from(">3I", data, start + 12)
+        elif path[-1] in (b"moof", b"traf", b"tfhd", b"trun"):
+            runs.append((start, end, at, path[-1]))
+    tracks = [_track(data, t) for t in boxes]
+    by_number = {t.number: t for t in tracks}
+    moof, behind, place, part = 0, None, 0, None
+    for start, end, at, kind in runs:
+        if kind == b"moof":
+            moof, behind, part = at, None, None
+        elif kind == b"traf":
+            part = None
+        elif kind == b"tfhd":
+            part = _Fragment.read(data, start, moof, behind, defaults)
+            place = part.base
+        elif part is None or part.number not in by_number:
+            raise ValueError("a run of samples without a track")
+        else:
+            place = behind = _run(data, start, end, part, place, by_number[part.number])
+    for t in tracks:
+        if len(t.sync) and not 0 <= t.sync.min() <= t.sync.max() < len(t.sizes):
+            raise ValueError("a sync sample that is none")
+    return tracks
 
 
 def payload(data: bytes, track: Track) -> bytes:
@@ -205,26 +324,31 @@ def feature(track: Track) -> str:
     """Codec, duration, samples and keyframes in one line; all ranges count in its last part."""
     keys = track.keyframes()
     ranges = ",".join(f"{a}-{b}" for a, b in keys)
-    return f"codec={track.codec.strip()};seconds={track.seconds:.2f};samples={len(track.sizes)};keyframes={len(keys)};first={keys[0][0]}-{keys[0][1]};last={keys[-1][0]}-{keys[-1][1]};ranges={zlib.crc32(ranges.encode()):08x}"
+    first, last = (f"{a}-{b}" for a, b in (keys[0], keys[-1])) if keys else ("", "")
+    return f"codec={track.codec.strip()};seconds={track.seconds:.2f};samples={len(track.sizes)};keyframes={len(keys)};first={first};last={last};ranges={zlib.crc32(ranges.encode()):08x}"
 
 
 def media_columns(files: DataFrame, key: str = "media_id", content: str = "content") -> DataFrame:
-    """Per track of each file: key, ``track``, ``codec``, ``seconds``, ``samples``, ``keyframes`` array of byte ranges.
+    """Per track of each file: key, ``track``, ``codec``, ``seconds``, ``samples``, ``keyframes`` array of byte ranges, ``error``.
 
-    A null content has no tracks.
+    A null or empty content has no tracks. A malformed file has one row, with ``error`` and nulls.
     """
     small_batches(files.sparkSession)
-    shape = f"`{key}` {kind_of(files, key)}, track int, codec string, seconds double, samples long, keyframes array<struct<start:long,end:long>>"
+    shape = f"`{key}` {kind_of(files, key)}, track int, codec string, seconds double, samples long, keyframes array<struct<start:long,end:long>>, error string"
+
+    def rows_of(i: int, data: bytes | None):
+        try:
+            for k, t in enumerate(inspect(data) if data else []):
+                yield i, k, t.codec, t.seconds, len(t.sizes), [{"start": a, "end": b} for a, b in t.keyframes()], None
+        except ValueError as e:
+            yield i, None, None, None, None, None, str(e)
 
     def run(batches):
-        ranges = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        kinds = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string())
         for batch in batches:
-            rows = []
-            for i, data in enumerate(batch.column(1).to_pylist()):
-                for k, t in enumerate(inspect(data) if data else []):
-                    rows.append((i, k, t.codec, t.seconds, len(t.sizes), [{"start": a, "end": b} for a, b in t.keyframes()]))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.record_batch([batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], ranges)], names=[key, "track", "codec", "seconds", "samples", "keyframes"])
+            rows = [r for i, data in enumerate(batch.column(1).to_pylist()) for r in rows_of(i, data)]
+            cols = [pa.array(c, kind) for c, kind in zip(list(zip(*rows, strict=True)) or [()] * len(kinds), kinds, strict=True)]
+            yield pa.record_batch([batch.column(0).take(cols[0]), *cols[1:]], names=[key, "track", "codec", "seconds", "samples", "keyframes", "error"])
 
     return files.select(key, content).mapInArrow(lean(run), shape)
 
