@@ -7,7 +7,7 @@ pieces of the language's training texts; cosines of texts with few distinct gram
 so the floor is for a language and a number of distinct grams.
 
 The model is fit on a bounded sample: ``PER_LANGUAGE`` texts of each language at most,
-those with the smallest hash of their id. Prediction reads every whole text, in pieces of
+those with the smallest hash of id and text. Prediction reads every whole text, in pieces of
 bounded size, and needs no shuffle.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, and rejected;
@@ -24,12 +24,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import give_back, kind_of, lean, small_batches
 
-#: Texts of each language in the training sample at most, on average over hashes.
+#: Texts of each language in the training sample at most.
 PER_LANGUAGE = 256
 #: Languages that a model can tell apart; more are an error, not dropped.
 MOST_LANGUAGES = 1024
@@ -138,16 +138,23 @@ def _clustered(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, held_out: Column, key: str, lang: str, text: str) -> DataFrame:
-    """(lang, place, text): a hash sample of each language's labelled texts, about ``PER_LANGUAGE`` at most."""
+    """(lang, place, text): of each language's labelled texts those with the smallest hashes, ``PER_LANGUAGE`` at most.
+
+    Rows that are equal in id and text count once.
+    """
     usable = docs.where(~held_out & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = usable.groupBy(lang).count().limit(MOST_LANGUAGES + 1).collect()
+    said = F.xxhash64(F.lit("language"), F.col(key), F.col(text))
+    counts = usable.groupBy(lang).agg(F.approx_count_distinct(said)).limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
         return usable.select(F.col(lang).alias("lang"), F.lit(0.0).alias("place"), F.col(text).alias("text")).limit(0)
-    share = F.create_map(*(x for r in counts for x in (F.lit(r[0]), F.lit(min(1.0, PER_LANGUAGE / r[1])))))
-    place = F.pmod(F.xxhash64(F.lit("language"), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
-    return usable.where(place < share[F.col(lang)]).select(F.col(lang).alias("lang"), place.alias("place"), F.col(text).alias("text"))
+    # twice as many as wanted, in the mean, leave enough after an estimate that is off
+    share = F.create_map(*(x for r in counts for x in (F.lit(r[0]), F.lit(min(1.0, 2 * PER_LANGUAGE / max(r[1], 1))))))
+    place = F.pmod(said, F.lit(1 << 30)) / float(1 << 30)
+    some = usable.where(place < share[F.col(lang)]).select(F.col(lang).alias("lang"), place.alias("place"), F.col(text).alias("text"))
+    once = some.groupBy("lang", "place").agg(F.min("text").alias("text"))
+    return once.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).where(F.col("nth") <= PER_LANGUAGE).drop("nth")
 
 
 def fit(docs: DataFrame, held_out: Column, key: str = "doc_id", lang: str = "lang", text: str = "text") -> Model:
