@@ -71,15 +71,20 @@ def read_back(text: Column) -> Column:
     return F.flatten(F.transform(blocks, turns))
 
 
-def trained_text(text: Column, mask: Column) -> Column:
-    """All text under the mask, unescaped, piece by piece."""
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out"))
+#: A mark, or a text between marks.
+SEGMENT = r"<\|turn\|>[^<]*<\|text\|>|<\|next\|>|<\|end\|>\n|[^<]+"
 
-    def step(acc, m):
-        got = F.when(m["trained"], F.concat(acc["out"], F.array(unescaped(text.substr(acc["at"], m["chars"]))))).otherwise(acc["out"])
-        return F.struct((acc["at"] + m["chars"]).alias("at"), got.alias("out"))
 
-    return F.array_join(F.aggregate(mask, start, step, lambda acc: acc["out"]), "")
+def trained_text(text: Column, mask: Column) -> Column:
+    """All text under the mask, unescaped, piece by piece.
+
+    The mask's pieces are the text's segments, of which empty ones leave no trace.
+    """
+    said = F.filter(mask, lambda m: m["chars"] > 0)
+    zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(SEGMENT), F.lit(0)).alias("segment"), said.alias("m"))
+    under = F.filter(zipped, lambda z: z["m"]["trained"])
+    fits = lambda z: F.length(z["segment"]) == z["m"]["chars"]
+    return F.array_join(F.transform(under, lambda z: F.when(fits(z), unescaped(z["segment"])).otherwise(F.raise_error(F.lit("the mask is not of this text")))), "")
 
 
 def digest(turns: DataFrame) -> DataFrame:
