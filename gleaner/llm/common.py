@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gleaner.session import Cuts, reach
 
-__all__ = ["Cuts", "give_back", "kind_of", "lean", "maybe_among", "small_batches", "table", "told_apart", "unused", "without_rows"]
+__all__ = ["Cuts", "give_back", "kind_of", "lean", "marked_rows", "maybe_among", "small_batches", "table", "told_apart", "unused", "without_rows"]
 
 #: Arrow batches of whole texts: few rows each, so a worker holds few long texts at once.
 TEXT_BATCH_BYTES = 4 << 20
@@ -110,7 +110,11 @@ def _bits(rows: DataFrame, row: str) -> DataFrame:
     return words.select("map_row", F.transform(F.sequence(F.lit(0), F.lit(MAP_ROW // 64 - 1)), lambda i: F.coalesce(F.try_element_at("set", i), F.lit(0).cast("long"))).alias("words"))
 
 
-def _marked(docs: DataFrame, row: str, rows: DataFrame, hit: str) -> DataFrame:
+def marked_rows(docs: DataFrame, row: str, rows: DataFrame, hit: str) -> DataFrame:
+    """``docs`` with ``hit``: false where the id surely is not in ``rows``.
+
+    A map of ``MAP_BITS`` bits goes to all tasks; with very many ids it says true more often.
+    """
     h, at, words = unused(docs, "map_hash", "map_row", "words")
     bits = _bits(rows, row).withColumnsRenamed({"map_row": at, "words": words})
     hashed = docs.withColumn(h, F.pmod(F.xxhash64(row), F.lit(MAP_BITS))).withColumn(at, F.expr(f"`{h}` div {MAP_ROW}"))
@@ -125,12 +129,12 @@ def maybe_among(docs: DataFrame, row: str, rows: DataFrame) -> DataFrame:
     A map of ``MAP_BITS`` bits goes to all tasks; with very many ids it lets more others pass.
     """
     (hit,) = unused(docs, "map_hit")
-    return _marked(docs, row, rows, hit).where(F.col(hit)).drop(hit)
+    return marked_rows(docs, row, rows, hit).where(F.col(hit)).drop(hit)
 
 
 def without_rows(docs: DataFrame, row: str, rows: DataFrame) -> DataFrame:
     """``docs`` without those whose id is in ``rows``; only rows that may be among them are shuffled."""
     (hit,) = unused(docs, "map_hit")
-    marked = _marked(docs, row, rows, hit)
+    marked = marked_rows(docs, row, rows, hit)
     clear, other = marked.where(~F.col(hit)).drop(hit), marked.where(F.col(hit)).drop(hit)
     return clear.unionByName(other.join(rows.select(row), row, "left_anti"))

@@ -18,9 +18,13 @@ def buckets_for(rows: int) -> int:
     return max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS))
 
 
-def shuffle_key(seed: int, key: Column) -> Column:
-    """60 bits of md5 as a long; SQL engines agree on it. A null key counts as empty."""
-    said = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))
+def shuffle_key(seed: int, key: Column, text: Column) -> Column:
+    """60 bits of md5 as a long; SQL engines agree on it. Nulls count as empty.
+
+    The text counts too, so different texts under one key, or under null, have places of their own.
+    """
+    whole = F.coalesce(text, F.lit(""))
+    said = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), F.md5(whole))
     return F.conv(F.substring(F.md5(said), 1, 15), 16, 10).cast("long")
 
 

@@ -29,7 +29,7 @@ def interleaved(docs: DataFrame, shards: int = 16, seed: int = SEED, key: str =
     buckets = buckets_for(total)
     cuts = Cuts(docs.sparkSession, "shards")
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("id"), group_key(F.col(source)).alias("stratum"), (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole.cast("binary")).alias("crc"), shuffle_key(seed, F.col(key)).alias("h"))
+    rows = docs.select(F.col(key).alias("id"), group_key(F.col(source)).alias("stratum"), (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole.cast("binary")).alias("crc"), shuffle_key(seed, F.col(key), F.col(text)).alias("h"))
     ranked = running(rows, "stratum", ["id", "size", "crc"], buckets)
     # the fraction of row r (from 0) of n is (2r + 1) / 2n; its bucket is exact in longs
     counts = docs.groupBy(group_key(F.col(source)).alias("stratum")).agg(F.count("*").alias("n"))
@@ -61,7 +61,7 @@ WITH RECURSIVE steps(i, k, v) AS (
 ), crc AS (SELECT list(v ORDER BY i) AS t FROM steps WHERE k = 8),
 docs AS (
   SELECT doc_id, coalesce('s' || source, 'n') AS stratum, strlen(coalesce(text, '')) + 1 AS size, hex(encode(coalesce(text, ''))) AS x,
-    ('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h FROM documents
+    ('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h FROM documents
 ), summed AS (
   SELECT doc_id, stratum, size, h, xor(list_reduce(list_prepend(4294967295::BIGINT, [('0x' || substr(x, CAST(2 * j - 1 AS BIGINT), 2))::BIGINT FOR j IN range(1, strlen(x) // 2 + 1)]),
     lambda a, b: xor(a >> 8, t[CAST(xor(a, b) & 255 AS BIGINT) + 1])), 4294967295) AS crc FROM docs, crc

@@ -37,7 +37,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -259,12 +259,6 @@ def parity_words(n: int) -> int:
     return max(PARITY, 1 << max(0, (n + 63) // 64 - 1).bit_length())
 
 
-def same_words(text: Column) -> Column:
-    """16 bytes that are equal for equal sequences of words."""
-    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.unhex(F.md5(F.trim(F.regexp_replace(low, r"[\x20\x09-\x0D]+", " "))))
-
-
 def described(docs: DataFrame, common, text: str, fine: int = 3, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(same, least, text) -> ``same``, ``least``, ``fp``, and of the text's shingles the number ``n``, the ``prefix``, the short parity words and, if that is longer, ``parity``."""
     small_batches(docs.sparkSession)
@@ -433,8 +427,8 @@ def copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, bits: int =
     """Per row: the key and ``component_id``, the smallest key that links reach.
 
     Texts are linked if the sets of their ``size``-word shingles have at least this
-    similarity, or if their fingerprints differ in ``bits`` bits at most; texts with equal
-    word sequences are one node. All such links are found, and none is made that does not hold.
+    similarity, or if their fingerprints differ in ``bits`` bits at most; equal texts are one
+    node. All such links are found, and none is made that does not hold.
     """
     cuts = Cuts(docs.sparkSession, "copies")
     (row,) = unused(docs.select(key, text), ROW)
@@ -448,7 +442,7 @@ def _grouped(docs: DataFrame, cuts: Cuts, row: str, size: int = 5, similarity: f
     """
     spark = docs.sparkSession
     bare = F.col(key).isNull() & ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(row).alias("row"), bare.alias("bare"), same_words(F.col(text)).alias("same"))
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(row).alias("row"), bare.alias("bare"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("same"))
     order = F.struct(F.col("key").isNull().alias("keyless"), F.col("key").alias("key"), F.col("row").alias("row"))
     rows = cuts.write(docs.select("key", "row", "bare", "same"))
     # a text is described once; of equal ones, all but one are left out
