@@ -55,6 +55,19 @@ PRESETS = {
     "export": Params(limit=10000, threshold=20.0),
 }
 
+#: Parameters of the named experiments: cross-validations, and retrievals with a limit. (Fixed values.)
+EXPERIMENTS = {
+    "validate_headings": Params(space="mqi", method="bgfreq", mincount=1),
+    "validate_words_all": Params(space="word", method="laplace", mincount=1),
+    "validate_words_selected": Params(space="word", method="laplace", mincount=4, min_infogain=2.36e-5),
+    "validate_final": Params(space="wmqia", method="laplace_split", mincount=0, min_infogain=2e-5, seed=124),
+    "validate_drugs": Params(space="wmqia", method="laplace_split", mincount=2, min_infogain=1e-5),
+    "query_final": Params(space="wmqia", mincount=0, min_infogain=2e-5, limit=1000, threshold=0.0),
+    "query_headings": Params(space="mqi", limit=1000, threshold=0.0),
+    "query_drugs": Params(space="wmqia", min_infogain=1e-5, limit=2000, threshold=0.0),
+    "query_small": Params(space="mqi", method="bgfreq", mincount=1, limit=1000),
+}
+
 #: Aliases of feature spaces: the space and the types that are masked out of it.
 SPACES = {
     "mesh": ("mqi", ("qual", "issn")),
@@ -73,6 +86,7 @@ SPACES = {
     "raw_all": ("raw_all", ()),
 }
 
+#: What a task's form may hold, and its ranges. (Fixed values.)
 _NAME = re.compile(r"[ a-zA-Z0-9.,;:_-]{1,30}")
 _CODE = re.compile(r"[ a-zA-Z0-9.;:_-]{0,10}")
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleaner.functions.arrays import let, sums_before
+
 
 def vb_encode(ids: Column) -> Column:
     """array<int>, ascending and not negative -> binary."""
@@ -29,6 +31,5 @@ def vb_decode(data: Column) -> Column:
         bytes_ = F.transform(F.sequence(F.lit(1), F.length(code) - 1, F.lit(2)), lambda at: F.conv(F.substr(code, at, F.lit(2)), 16, 10).cast("int"))
         return F.aggregate(bytes_, F.lit(0), lambda acc, b: acc * 128 + b % 128)
 
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    step = lambda acc, g: F.struct((acc["at"] + g).alias("at"), F.array_append(acc["out"], acc["at"] + g).alias("out"))
-    return F.aggregate(F.transform(codes, number), empty, step, lambda acc: acc["out"])
+    added = lambda gaps: F.transform(F.arrays_zip(gaps.alias("g"), sums_before(gaps).alias("at")), lambda z: z["at"] + z["g"])
+    return let(F.transform(codes, number), added)

@@ -18,7 +18,7 @@ def key_date(key: Column) -> Column:
 
 
 def parse_date(text: Column) -> Column:
-    """``YYYY/MM/DD`` as a key; null where it is no such date or before 1965."""
+    """``YYYY/MM/DD`` as a key; null where it is not three numbers, or before 1965; the calendar is not asked."""
     part = lambda i: F.try_element_at(F.split(text, "/"), F.lit(i)).try_cast("int")
     key = part(1) * 10000 + part(2) * 100 + part(3)
     return F.when((F.size(F.split(text, "/")) == 3) & (key >= FIRST_DATE), key)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions.arrays import placed
 from gleaner.functions.text import sentences
+from gleaner.operators.order import numbered
 
 #: Score from which a gene span is kept in a store of spans, and above which it counts.
 KEPT_SCORE, GENE_SCORE = 0.1, 0.85
@@ -32,24 +34,11 @@ def plain(text: Column) -> Column:
 
 
 def match_spans(text: Column, pattern: Column) -> Column:
-    """Array of (start, end) of all matches, from 0, ends exclusive.
+    """Array of (start, end) of all matches, from 0, ends exclusive."""
+    return F.transform(placed(text, pattern), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
-    The text split at the pattern and the pattern's matches alternate.
-    """
-    whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["all"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"))).alias("out"))
-
-    zipped = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("all"))
-    return F.aggregate(zipped, empty, step, lambda acc: acc["out"])
 
-
-#: First words of aliases that a filter on texts holds; a larger drug table goes without it.
+#: Rows of (first word, drug) that a filter on texts and a broadcast hold; a larger drug table goes without both.
 FILTER_WORDS = 100_000
 
 
@@ -63,10 +52,11 @@ def find_drugs(texts: DataFrame, drugs: DataFrame) -> DataFrame:
     firsts = F.array_distinct(F.transform(F.split(F.regexp_replace("pattern", r"\\b\(|\)\\b", ""), r"\|"), lambda a: F.substring_index(a, "\\s+", 1)))
     patterns = drug_patterns(drugs).withColumn("firsts", firsts)
     by_word = patterns.withColumn("word", F.explode("firsts"))
-    known = [r.word for r in by_word.select("word").distinct().limit(FILTER_WORDS + 1).collect()]
+    listed = [r.word for r in by_word.select("word").limit(FILTER_WORDS + 1).collect()]
+    known = sorted(set(listed))
     rows = texts.select("text_id", "text", plain(F.col("text")).alias("_plain"))
     hits = F.array_distinct(F.split("_plain", " +"))
-    if len(known) <= FILTER_WORDS:
+    if len(listed) <= FILTER_WORDS:
         hits = F.filter(hits, lambda w: w.isin(known)) if known else F.array().cast("array<string>")
         by_word = F.broadcast(by_word)
     rows = rows.withColumn("_hits", hits).withColumn("word", F.explode("_hits")).join(by_word, "word")
@@ -85,10 +75,17 @@ def stored_spans(found: DataFrame) -> DataFrame:
 
 
 def not_overlapping(genes: DataFrame, drugs: DataFrame) -> DataFrame:
-    """Genes of which each drug of the text ends at or before their start, or starts after their end."""
-    d = drugs.select("text_id", F.col("start").alias("d_start"), F.col("end").alias("d_end"))
-    clash = (genes.text_id == d.text_id) & (genes.start < d.d_end) & (genes.end >= d.d_start)
-    return genes.join(d, clash, "left_anti")
+    """Genes of which each drug of the text ends at or before their start, or starts after their end.
+
+    Of the drugs that start no later than a gene's end, the one that reaches farthest decides:
+    one pass over a text's spans in order.
+    """
+    names = genes.columns
+    d = drugs.select("text_id", F.col("start").alias("_at"), F.lit(0).alias("_kind"), F.col("end").alias("_far"), F.lit(None).cast(genes.select(F.struct("*").alias("g")).schema["g"].dataType).alias("_gene"))
+    g = genes.select("text_id", F.col("end").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("int").alias("_far"), F.struct("*").alias("_gene"))
+    reach = F.max("_far").over(Window.partitionBy("text_id").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    rows = d.unionByName(g).withColumn("_reach", F.coalesce(reach, F.lit(0))).where(F.col("_gene").isNotNull() & (F.col("_reach") <= F.col("_gene.start")))
+    return rows.select(*(F.col("_gene")[c].alias(c) for c in names))
 
 
 def sentence_rows(texts: DataFrame) -> DataFrame:
@@ -96,18 +93,35 @@ def sentence_rows(texts: DataFrame) -> DataFrame:
     return texts.select("text_id", F.posexplode(sentences(F.col("text"))).alias("number", "s")).select("text_id", "number", "s.sentence", "s.start", "s.end")
 
 
+def in_sentences(texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """``spans`` (text_id, start, end, ...) that lie in one sentence, with its ``number``.
+
+    Sentences and spans of a text are walked once in order: the last sentence that starts
+    before a span is the only one that may hold it.
+    """
+    kept = spans.columns
+    held = F.struct(*(c for c in kept if c != "text_id"))
+    kind = spans.select(held.alias("s")).schema["s"].dataType
+    s = sentence_rows(texts).select("text_id", F.col("start").alias("_at"), F.col("number").alias("_order"), F.struct("number", "end").alias("_sentence"), F.lit(None).cast(kind).alias("_span"))
+    shape = s.schema["_sentence"].dataType
+    p = spans.select("text_id", F.col("start").alias("_at"), F.lit((1 << 31) - 1).alias("_order"), F.lit(None).cast(shape).alias("_sentence"), held.alias("_span"))
+    last = F.last("_sentence", ignorenulls=True).over(Window.partitionBy("text_id").orderBy("_at", "_order").rowsBetween(Window.unboundedPreceding, 0))
+    rows = s.unionByName(p).withColumn("_in", last).where(F.col("_span").isNotNull() & (F.col("_span.end") <= F.col("_in.end")))
+    return rows.select("text_id", F.col("_in.number").alias("number"), *(F.col("_span")[c].alias(c) for c in kept if c != "text_id"))
+
+
 def cooccurrences(texts: DataFrame, drugs: DataFrame, genes: DataFrame) -> DataFrame:
     """(text_id, drug, genes): the genes in any sentence with the drug, sorted.
 
-    ``drugs`` are spans of ``find_drugs``, ``genes`` spans that count. Spans are joined to
-    sentences by text, then to each other by sentence, so a row is never paired outside its own text.
+    ``drugs`` are spans of ``find_drugs``, ``genes`` spans that count. Everything is dealt by
+    text once; what a sentence holds is gathered as sets of names.
     """
-    s = sentence_rows(texts).select("text_id", "number", F.col("start").alias("s_start"), F.col("end").alias("s_end"))
-    inside = (F.col("start") >= F.col("s_start")) & (F.col("end") <= F.col("s_end"))
-    free = not_overlapping(genes, drugs)
-    d = drugs.join(s, "text_id").where(inside).select("text_id", "number", F.trim("name").alias("drug")).distinct()
-    g = free.join(s, "text_id").where(inside).select("text_id", "number", F.col("name").alias("gene")).distinct()
-    return d.join(g, ["text_id", "number"]).groupBy("text_id", "drug").agg(F.array_sort(F.collect_set("gene")).alias("genes"))
+    span = lambda df, name, kind: df.select("text_id", "start", "end", F.trim(name).alias("name") if kind == "drug" else F.col(name).alias("name"), F.lit(kind).alias("kind"))
+    both = span(drugs, "name", "drug").unionByName(span(not_overlapping(genes, drugs), "name", "gene"))
+    names = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("name")))
+    held = in_sentences(texts, both).groupBy("text_id", "number").agg(names("drug").alias("drugs"), names("gene").alias("genes")).where("size(drugs) > 0 and size(genes) > 0")
+    each = held.select("text_id", F.explode("drugs").alias("drug"), "genes")
+    return each.groupBy("text_id", "drug").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("genes")))).alias("genes"))
 
 
 def new_texts(texts: DataFrame, done: DataFrame) -> DataFrame:
@@ -115,10 +129,14 @@ def new_texts(texts: DataFrame, done: DataFrame) -> DataFrame:
     return texts.join(done.select("text_id").distinct(), "text_id", "left_anti")
 
 
+def pair_articles(found: DataFrame) -> DataFrame:
+    """(gene, drug, pmid): a row per pair and article."""
+    return found.select(F.explode("genes").alias("gene"), "drug", F.col("text_id").alias("pmid")).distinct()
+
+
 def global_pairs(found: DataFrame) -> DataFrame:
-    """(gene, drug, pmids, n): all articles of each pair."""
-    rows = found.select(F.col("text_id").alias("pmid"), "drug", F.explode("genes").alias("gene")).distinct()
-    return rows.groupBy("gene", "drug").agg(F.array_sort(F.collect_list("pmid")).alias("pmids"), F.count("*").alias("n"))
+    """(gene, drug, n): in how many articles each pair is. The articles are ``pair_articles``."""
+    return pair_articles(found).groupBy("gene", "drug").agg(F.count("*").alias("n"))
 
 
 def with_association(ids: DataFrame, found: DataFrame) -> DataFrame:
@@ -137,10 +155,9 @@ ABSTRACT = 2450
 
 def star_schema(found: DataFrame, articles: DataFrame) -> dict[str, DataFrame]:
     """Tables genedrug (id, gene, drug, numarticles), dg_pmids (pmid, text, dg_id), cbs (an article a row)."""
-    pairs = global_pairs(found)
-    ids = pairs.withColumn("id", F.row_number().over(Window.orderBy("gene", "drug")) - 1)
+    ids = numbered(global_pairs(found), ["gene", "drug"], "id", 0)
     genedrug = ids.select("id", "gene", "drug", F.col("n").alias("numarticles"))
-    dg = ids.select(F.explode(F.col("pmids").cast("array<string>")).alias("pmid"), F.lit(None).cast("string").alias("text"), F.col("id").alias("dg_id"))
+    dg = pair_articles(found).join(ids.select("id", "gene", "drug"), ["gene", "drug"]).select(F.col("pmid").cast("string").alias("pmid"), F.lit(None).cast("string").alias("text"), F.col("id").alias("dg_id"))
     per = found.groupBy("text_id").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("genes")))), " ").alias("genes"), F.array_join(F.array_sort(F.collect_set("drug")), " ").alias("drugs"))
     cbs = articles.join(per, articles.pmid == per.text_id).select(
         F.col("pmid").cast("string").alias("pmid"), "title", F.when(F.col("abstract") != "", F.substring("abstract", 1, ABSTRACT)).alias("abs"), "genes", "drugs", F.lit(None).cast("string").alias("coes"), F.lit(None).cast("string").alias("evid_loc")

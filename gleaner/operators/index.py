@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.operators import order
 from gleaner.session import Cuts
 
 
@@ -15,29 +16,9 @@ def document_frequency(long: DataFrame) -> DataFrame:
     return long.groupBy("ftype", "fname").agg(F.count("*").alias("df"))
 
 
-def numbered(names: DataFrame, first: int = 1) -> DataFrame:
-    """Adds ``fid``: dense from ``first`` in the order of type and name.
-
-    One row per distinct feature goes through this window, after all counting; an index
-    that grows numbers only its new features (``grown``).
-    """
-    return names.withColumn("fid", (F.row_number().over(Window.orderBy("ftype", "fname")) + F.lit(first - 1)).cast("int"))
-
-
-def numbered_by_range(names: DataFrame, cuts: Cuts, partitions: int | None = None, first: int = 1) -> DataFrame:
-    """The same numbers as ``numbered``, without a single task for all features.
-
-    Features are dealt by range and sorted in each partition; a row's place in its partition
-    is written with it, and the partitions' sizes give the offsets.
-    """
-    n = partitions or int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = cuts.write(names.repartitionByRange(n, "ftype", "fname").sortWithinPartitions("ftype", "fname").withColumn("_place", F.monotonically_increasing_id()))
-    part = F.call_function("shiftright", F.col("_place"), F.lit(33))
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
-    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    inside = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    rows = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-    return rows.withColumn("fid", (F.col("_offset") + inside + F.lit(first)).cast("int")).drop("_part", "_place", "_offset")
+def numbered(names: DataFrame, first: int = 1, cuts: Cuts | None = None) -> DataFrame:
+    """Adds ``fid``: dense from ``first`` in the order of type and name, numbered by range."""
+    return order.numbered(names, ["ftype", "fname"], "fid", first, cuts)
 
 
 def vocabulary(long: DataFrame) -> DataFrame:
@@ -83,7 +64,7 @@ def feature_names(vocab: DataFrame, ids: DataFrame) -> DataFrame:
 
 def vacuum_map(vocab: DataFrame, mincount: int) -> DataFrame:
     """(old, new): the kept features numbered densely from 0 in id order, dropped ones -1."""
-    kept = vocab.where(F.col("df") >= mincount).withColumn("new", (F.row_number().over(Window.orderBy("fid")) - 1).cast("int"))
+    kept = order.numbered(vocab.where(F.col("df") >= mincount).select("fid"), ["fid"], "new", 0)
     return vocab.select(F.col("fid").alias("old")).join(kept.select(F.col("fid").alias("old"), "new"), "old", "left").withColumn("new", F.coalesce("new", F.lit(-1)))
 
 
@@ -112,6 +93,11 @@ def replaced(docs: DataFrame, changes: DataFrame) -> DataFrame:
     return docs.join(changes.select("pmid"), "pmid", "left_anti").unionByName(changes)
 
 
+def deleted(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of a store, articles or vectors, without those of some keys; unknown keys are ignored."""
+    return rows.join(ids.select("pmid"), "pmid", "left_anti")
+
+
 def insertable(docs: DataFrame, new: DataFrame) -> DataFrame:
     """``new``, or an error if a key is there already or twice."""
     taken = new.groupBy("pmid").agg(F.count("*").alias("n")).join(docs.select("pmid", F.lit(1).alias("there")), "pmid", "left")

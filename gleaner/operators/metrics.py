@@ -1,17 +1,15 @@
 """Metrics of labelled scores (pmid, label, score): curves over thresholds, areas, averages, ranges over folds.
 
-Everything starts from one row per distinct score, so the windows over thresholds, which
-have no partitions, see as many rows as there are distinct (rounded) scores, not documents.
+Everything starts from one row per distinct (rounded) score. Sums over thresholds go by
+ranges of scores, so no task sees all of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _down():
-    return Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+from gleaner.operators.order import running, with_next
 
 
 def _totals(curve: DataFrame) -> DataFrame:
@@ -21,7 +19,8 @@ def _totals(curve: DataFrame) -> DataFrame:
 def confusion_curve(labelled: DataFrame) -> DataFrame:
     """score, pe, ne, tp, fp, tn, fn: predicted relevant are scores of at least ``score``."""
     ties = labelled.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("pe"), F.count_if(F.col("label") != 1).alias("ne"))
-    sums = ties.withColumn("tp", F.sum("pe").over(_down())).withColumn("fp", F.sum("ne").over(_down())).crossJoin(F.broadcast(_totals(ties)))
+    sums = running(ties, [F.desc("score")], {"tp": "pe", "fp": "ne"})
+    sums = sums.crossJoin(F.broadcast(_totals(sums)))
     return sums.select("score", "pe", "ne", "tp", "fp", (F.col("n") - F.col("fp")).alias("tn"), (F.col("p") - F.col("tp")).alias("fn"))
 
 
@@ -38,9 +37,9 @@ def ratio_curve(curve: DataFrame, alpha: float = 0.5, utility: float | None = No
 
 def curve_areas(ratios: DataFrame) -> DataFrame:
     """roc_area, pr_area: trapezoids between observed points only."""
-    w = Window.orderBy(F.desc("score"))
-    step = lambda y, x: (F.col(x) - F.lag(x).over(w)) * (F.col(y) + F.lag(y).over(w)) / 2
-    return ratios.select(step("tpr", "fpr").alias("a"), step("ppv", "tpr").alias("b")).agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("roc_area"), F.coalesce(F.sum("b"), F.lit(0.0)).alias("pr_area"))
+    pairs = with_next(ratios.select("score", "tpr", "fpr", "ppv"), [F.desc("score")], {"tpr_": "tpr", "fpr_": "fpr", "ppv_": "ppv"})
+    step = lambda y, x: (F.col(f"{x}_") - F.col(x)) * (F.col(f"{y}_") + F.col(y)) / 2
+    return pairs.select(step("tpr", "fpr").alias("a"), step("ppv", "tpr").alias("b")).agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("roc_area"), F.coalesce(F.sum("b"), F.lit(0.0)).alias("pr_area"))
 
 
 def roc_error(curve: DataFrame) -> DataFrame:
@@ -48,10 +47,10 @@ def roc_error(curve: DataFrame) -> DataFrame:
     d = lambda c: F.col(c).cast("double")
     ne, pe, above, below = d("ne"), d("pe"), d("tp") - d("pe"), d("tn")
     rows = curve.crossJoin(F.broadcast(_totals(curve))).groupBy("p", "n").agg(
-        F.sum(ne * above + 0.5 * ne * pe).alias("s5"), F.sum(pe * (below * below + below * ne + ne * ne / 3)).alias("s6"), F.sum(ne * (above * above + above * pe + pe * pe / 3)).alias("s7")
+        F.sum(ne * above + 0.5 * ne * pe).alias("won"), F.sum(pe * (below * below + below * ne + ne * ne / 3)).alias("won_twice_by_one_positive"), F.sum(ne * (above * above + above * pe + pe * pe / 3)).alias("lost_twice_by_one_negative")
     )
     p, n = d("p"), d("n")
-    rows = rows.select("p", "n", F.try_divide(F.col("s5"), n * p).alias("w"), F.try_divide(F.col("s7"), n * p * p).alias("q1"), F.try_divide(F.col("s6"), p * n * n).alias("q2"))
+    rows = rows.select("p", "n", F.try_divide(F.col("won"), n * p).alias("w"), F.try_divide(F.col("lost_twice_by_one_negative"), n * p * p).alias("q1"), F.try_divide(F.col("won_twice_by_one_positive"), p * n * n).alias("q2"))
     w2 = F.col("w") * F.col("w")
     error = F.try_divide(F.col("w") * (1 - F.col("w")) + (p - 1) * (F.col("q1") - w2) + (n - 1) * (F.col("q2") - w2), p * n)
     return rows.select("w", "q1", "q2", F.sqrt(error).alias("w_stderr"))
@@ -150,7 +149,8 @@ def bin_count(values: DataFrame, column: str = "score") -> DataFrame:
     per distinct value are sorted.
     """
     ties = values.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("k"))
-    placed = ties.withColumn("upto", F.sum("k").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).crossJoin(F.broadcast(ties.agg(F.sum("k").alias("n"))))
+    placed = running(ties, ["v"], {"upto": "k"})
+    placed = placed.crossJoin(F.broadcast(placed.agg(F.sum("k").alias("n"))))
     at = lambda place: F.min(F.when(F.col("upto") > place, F.col("v")))
     q = placed.groupBy("n").agg(at(F.expr("(3 * n) div 4")).alias("high"), at(F.expr("n div 4")).alias("low"), (F.max("v") - F.min("v")).alias("r"), F.min("v").alias("least"), F.max("v").alias("most"))
     width = 2 * (F.col("high") - F.col("low")) * F.pow("n", F.lit(-1 / 3))
@@ -209,8 +209,7 @@ def interpolated(curve: DataFrame, x: str, y: str, points: int = 8000, least: in
     Each stretch between neighbours makes the grid points inside it.
     """
     shape = curve.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count("*").alias("n"))
-    w = Window.orderBy(x, y)
-    pairs = curve.select(F.col(x).alias("x0"), F.col(y).alias("y0"), F.lead(x).over(w).alias("x1"), F.lead(y).over(w).alias("y1")).crossJoin(F.broadcast(shape))
+    pairs = with_next(curve.select(F.col(x).alias("x0"), F.col(y).alias("y0")), ["x0", "y0"], {"x1": "x0", "y1": "y0"}).crossJoin(F.broadcast(shape))
     step = (F.col("hi") - F.col("lo")) / (points - 1)
     first, last = F.ceil((F.col("x0") - F.col("lo")) / step - 1e-9), F.ceil((F.col("x1") - F.col("lo")) / step - 1e-9) - 1
     inside = pairs.where((F.col("n") >= least) & F.col("x1").isNotNull()).where(last >= first).select("x0", "y0", "x1", "y1", "lo", "hi", F.explode(F.sequence(first, last)).alias("i"))

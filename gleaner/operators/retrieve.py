@@ -10,15 +10,7 @@ from pyspark.sql import functions as F
 
 from gleaner.config import Params
 from gleaner.operators.model import Model, counts_by_subtraction, counts_dated, train
-
-#: Tables of up to so many rows are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 2_000_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcasts a table after counting it, for tables that are written or cached."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
+from gleaner.operators.order import numbered, running
 
 def between(docs: DataFrame, mindate: int | None, maxdate: int | None) -> DataFrame:
     """Both bounds count; null is no bound. The filter reaches the scan."""
@@ -46,19 +38,30 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def ranked(scores: DataFrame, limit: int | None = None, threshold: float | None = None, digits: int = 6) -> DataFrame:
-    """(rank, pmid, score): best first, ties to the larger id; scores are rounded before they are ordered."""
-    rows = scores.withColumn("score", F.round("score", digits))
-    if threshold is not None:
-        rows = rows.where(F.col("score") >= threshold)
-    best = rows.orderBy(F.desc("score"), F.desc("pmid"))
-    best = best if limit is None else best.limit(limit)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("pmid")))).select("rank", "pmid", "score")
+    """(rank, pmid, score): best first, ties to the larger id; scores are rounded before they are ordered.
+
+    The window over the best sees ``limit`` rows at most; without a limit, rows are numbered by range.
+    """
+    rows, order = passing(scores, threshold, digits), (F.desc("score"), F.desc("pmid"))
+    if limit is None:
+        return numbered(rows, order, "rank").select("rank", "pmid", "score")
+    return rows.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("rank", "pmid", "score")
+
+
+def passing(scores: DataFrame, threshold: float | None = None, digits: int = 6) -> DataFrame:
+    """(pmid, score): rounded scores of the threshold at least."""
+    rows = scores.select("pmid", F.round("score", digits).alias("score"))
+    return rows if threshold is None else rows.where(F.col("score") >= threshold)
 
 
 def retrieve(docs: DataFrame, model: Model, params: Params = Params(), exclude: DataFrame | None = None) -> DataFrame:
     """The best documents of the dates that are not excluded."""
-    kept = without(between(docs, params.mindate, params.maxdate), exclude)
-    return ranked(score(kept, model), params.limit, params.threshold)
+    return ranked(scored(docs, model, params, exclude), params.limit, params.threshold)
+
+
+def scored(docs: DataFrame, model: Model, params: Params = Params(), exclude: DataFrame | None = None) -> DataFrame:
+    """(pmid, score) of the documents of the dates that are not excluded."""
+    return score(without(between(docs, params.mindate, params.maxdate), exclude), model)
 
 
 def learn(docs: DataFrame, vocab: DataFrame, positives: DataFrame, params: Params = Params(), train_exclude: DataFrame | None = None) -> Model:
@@ -72,16 +75,22 @@ def learn(docs: DataFrame, vocab: DataFrame, positives: DataFrame, params: Param
 
 
 def query(docs: DataFrame, vocab: DataFrame, positives: DataFrame, params: Params = Params(), exclude_positives: bool = True) -> tuple[DataFrame, DataFrame, Model]:
-    """(ranked results, ranked inputs, model)."""
+    """(ranked results, scored inputs, model). Inputs are not ranked: ``ranked`` does that where it is wanted."""
     model = learn(docs, vocab, positives, params)
     ids = positives.select("pmid").distinct()
     results = retrieve(docs, model, params, ids if exclude_positives else None)
-    inputs = ranked(score(docs.join(ids, "pmid", "left_semi"), model))
+    inputs = passing(score(docs.join(ids, "pmid", "left_semi"), model))
     return results, inputs, model
 
 
+def ids_key(ids: DataFrame) -> str:
+    """A digest of a set of ids, whatever their order and partitions: their number, and the sums of two hashes."""
+    h = [F.sum(F.xxhash64(F.lit(k), F.col("pmid")).cast("decimal(38,0)")) for k in (1, 2)]
+    return "|".join(str(x) for x in ids.select("pmid").distinct().agg(F.count("*"), *h).first())
+
+
 def query_key(params: Params, *more: str) -> str:
-    """Names a query's stored results: the same for the same parameters."""
+    """Names a query's stored results: the same for the same parameters and whatever else counts, such as ``ids_key`` of the positives."""
     said = repr(sorted(asdict(params).items())) + "|".join(more)
     return hashlib.sha256(said.encode()).hexdigest()[:24]
 
@@ -114,9 +123,9 @@ def id_status(ids: DataFrame, include: DataFrame | None = None, exclude: DataFra
 
 
 class NoValidIds(ValueError):
-    """No id of a query's input is in the index; ``broken`` has the ids."""
+    """No id of a query's input is in the index; ``broken`` is the table (pmid) of all of them."""
 
-    def __init__(self, broken: list[int]):
+    def __init__(self, broken: DataFrame):
         super().__init__("no valid ids")
         self.broken = broken
 
@@ -125,7 +134,7 @@ def valid_ids(status: DataFrame) -> DataFrame:
     """The ids that are ok; an error if there is none."""
     ok = status.where("status = 'ok'").select("pmid")
     if ok.isEmpty():
-        raise NoValidIds([r.pmid for r in status.where("status = 'broken'").select("pmid").limit(1000).collect()])
+        raise NoValidIds(status.where("status = 'broken'").select("pmid"))
     return ok
 
 
@@ -150,8 +159,7 @@ def truepos_vs_rank(ranked_rows: DataFrame, known: DataFrame) -> DataFrame:
     """rank, tp, precision, recall: how many known ids are among the first so many."""
     flagged = ranked_rows.join(known.select("pmid").distinct().withColumn("hit", F.lit(1)), "pmid", "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
     total = known.agg(F.count_distinct("pmid").alias("relevant"))
-    rows = flagged.withColumn("tp", F.sum("hit").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.crossJoin(F.broadcast(total))
+    rows = running(flagged, ["rank"], {"tp": "hit"}).crossJoin(F.broadcast(total))
     return rows.select("rank", "pmid", "tp", (F.col("tp") / F.col("rank")).alias("precision"), F.try_divide(F.col("tp"), F.col("relevant")).alias("recall"))
 
 

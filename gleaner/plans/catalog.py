@@ -12,7 +12,8 @@ from gleaner.functions import codec, dates
 from gleaner.functions.text import article_text
 from gleaner.operators import browse, cooccur, index, metrics, model, retrieve, sweep, validate
 from gleaner.operators.features import extract
-from gleaner.session import Cuts
+from gleaner.operators.order import numbered
+from gleaner.session import Cuts, stored
 from gleaner.sources import corpora, readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Dates that the dated queries use, and the score from which the basket corpus returns a part.
 LOW, HIGH, LEAST_SCORE = 19960101, 19991231, -3.0
 FOLDS, SEED = 5, 7
+#: From this date on, orders are the second batch of a growing index.
+LATER = 19950101
 
 
 def query(f):
@@ -30,19 +33,25 @@ def query(f):
 # ---- the basket corpus
 
 
-def built(spark, articles: DataFrame, long: DataFrame, mincount: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(vectors, vocabulary), written: features are extracted once, and all later steps scan the index."""
+def index_tables(spark, articles: DataFrame, long: DataFrame, mincount: int = 1) -> dict[str, DataFrame]:
+    """Vectors and vocabulary; the features are extracted once."""
     cuts = Cuts(spark, "index")
     long = cuts.write(long)
     names = index.document_frequency(long)
     names = names if mincount <= 1 else names.where(F.col("df") >= mincount)
-    vocab = cuts.write(index.numbered_by_range(names, cuts).select("fid", "ftype", "fname", "df"))
-    return cuts.write(index.vectors(articles, long, vocab)), vocab
+    vocab = cuts.write(index.numbered(names, cuts=cuts).select("fid", "ftype", "fname", "df"))
+    return {"vectors": index.vectors(articles, long, vocab), "vocabulary": vocab}
+
+
+def indexed(spark, d, name: str, sources: tuple[str, ...], make) -> tuple[DataFrame, DataFrame]:
+    """(vectors, vocabulary): the index is stored once per state of the files, and scanned by every query."""
+    tables = stored(spark, name, [f"{d}/{s}.parquet" for s in sources], make)
+    return tables["vectors"], tables["vocabulary"]
 
 
 def basket(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(vectors, vocabulary, positives)."""
-    docs, vocab = built(spark, corpora.basket_articles(spark, d), corpora.basket_features(spark, d))
+    docs, vocab = indexed(spark, d, "basket", ("orders", "lineitem", "part"), lambda: index_tables(spark, corpora.basket_articles(spark, d), corpora.basket_features(spark, d)))
     return docs, vocab, corpora.basket_positives(spark, d)
 
 
@@ -160,8 +169,9 @@ def retrieve_dated(spark, d):
 
 @query
 def retrieve_threshold(spark, d):
-    results, _, _ = retrieve.query(*basket(spark, d), Params(limit=None, threshold=LEAST_SCORE, method="bgfreq"), exclude_positives=False)
-    return results.select("pmid", "score")
+    docs, vocab, positives = basket(spark, d)
+    m = retrieve.learn(docs, vocab, positives, Params(method="bgfreq"))
+    return retrieve.passing(retrieve.scored(docs, m), LEAST_SCORE)
 
 
 @query
@@ -210,9 +220,10 @@ def vacuum_vectors(spark, d):
 
 @query
 def incremental_df(spark, d):
-    long = corpora.basket_features(spark, d)
-    first = index.vocabulary(long.where("pmid % 2 = 0 and ftype <> 'flag'"))
-    return index.grown(first, long.where("pmid % 2 = 1"))
+    """All orders in two batches, by date: the later one brings features that the earlier has not."""
+    long = Cuts(spark, "batches").write(corpora.basket_features(spark, d).join(corpora.basket_articles(spark, d), "pmid"))
+    first = index.vocabulary(long.where(F.col("date_key") < LATER).select("pmid", "ftype", "fname"))
+    return index.grown(first, long.where(F.col("date_key") >= LATER).select("pmid", "ftype", "fname"))
 
 
 @query
@@ -243,9 +254,13 @@ for _name, _spacename in {
 
 def text_corpus(spark, d) -> tuple[DataFrame, DataFrame]:
     """(vectors, vocabulary) of lower-cased words that two documents or more have."""
-    articles = corpora.text_articles(spark, d)
-    dated = articles.select("pmid", dates.date_key(F.col("date_completed")).alias("date_key"))
-    return built(spark, dated, extract(articles, "word_strip"), mincount=2)
+
+    def make():
+        articles = corpora.text_articles(spark, d)
+        dated = articles.select("pmid", dates.date_key(F.col("date_completed")).alias("date_key"))
+        return index_tables(spark, dated, extract(articles, "word_strip"), mincount=2)
+
+    return indexed(spark, d, "text", ("documents",), make)
 
 
 @query
@@ -375,11 +390,9 @@ def browse_filter(spark, d):
 
 @query
 def browse_sort(spark, d):
-    from pyspark.sql import Window
-
-    order = Window.orderBy(browse.surname().asc_nulls_last(), F.desc("date"), "rank")
-    rows = _results(spark, d).withColumn("place", F.row_number().over(order))
-    return rows.select("place", "rank", "pmid", "shown_score", "date", "authors", "journal")
+    """By first author, latest first; numbered by range, without the texts."""
+    rows = _results(spark, d).select("rank", "pmid", "shown_score", "date", "authors", "journal", browse.surname().alias("surname"))
+    return numbered(rows, [F.asc_nulls_last("surname"), F.desc("date"), "rank"], "place").drop("surname")
 
 
 @query
@@ -430,8 +443,8 @@ def term_spans(spark, d):
 
 def _found(spark, d):
     texts, cuts = _texts(spark, d), Cuts(spark, "spans")
-    drugs, genes = cuts.write(cooccur.find_drugs(texts, _drugs(spark))), cuts.write(_genes(texts))
-    return cuts.write(cooccur.cooccurrences(texts, drugs, cooccur.gene_spans(genes)))
+    drugs = cuts.write(cooccur.find_drugs(texts, _drugs(spark)))
+    return cuts.write(cooccur.cooccurrences(texts, drugs, cooccur.gene_spans(_genes(texts))))
 
 
 @query
@@ -441,13 +454,31 @@ def cooccurrences(spark, d):
 
 @query
 def cooccurrence_pairs(spark, d):
-    return cooccur.global_pairs(_found(spark, d)).select("gene", "drug", "n", F.array_join(F.col("pmids").cast("array<string>"), " ").alias("pmids"))
+    return cooccur.global_pairs(_found(spark, d))
+
+
+@query
+def pair_articles(spark, d):
+    return cooccur.pair_rows(_found(spark, d))
+
+
+def _star(spark, d) -> dict[str, DataFrame]:
+    return cooccur.star_schema(_found(spark, d), corpora.text_articles(spark, d))
 
 
 @query
 def export_star(spark, d):
-    tables = cooccur.star_schema(_found(spark, d), corpora.text_articles(spark, d))
-    return tables["cbs"].select("pmid", "title", "abs", "genes", "drugs")
+    return _star(spark, d)["cbs"].select("pmid", "title", "abs", "genes", "drugs")
+
+
+@query
+def export_genedrug(spark, d):
+    return _star(spark, d)["genedrug"]
+
+
+@query
+def export_dg_pmids(spark, d):
+    return _star(spark, d)["dg_pmids"].select("pmid", "dg_id")
 
 
 # ---- sources and streams

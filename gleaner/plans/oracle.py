@@ -7,7 +7,7 @@ query needs are put before its own SELECT.
 from __future__ import annotations
 
 from gleaner.functions.stopwords import default_stopwords
-from gleaner.plans.catalog import DRUGS, FOLDS, GENES, HIGH, LEAST_SCORE, LOW, SEED
+from gleaner.plans.catalog import DRUGS, FOLDS, GENES, HIGH, LATER, LEAST_SCORE, LOW, SEED
 
 ORACLE: dict[str, str] = {}
 
@@ -72,7 +72,9 @@ scr{name} AS (SELECT pmid, round(coalesce(own, 0.0) + base + prior, 6) AS score
 
 
 def sql(select: str, *ctes: str) -> str:
-    return f"WITH {','.join(c.strip() for c in ctes)}\n{select}"
+    """A query of common table expressions; a select that begins with a comma brings more of them."""
+    gap = "" if select.lstrip().startswith(",") else "\n"
+    return f"WITH {','.join(c.strip() for c in ctes)}{gap}{select.lstrip()}"
 
 
 def vector(table: str, fid: str = "fid") -> str:
@@ -119,11 +121,11 @@ ORACLE["feature_csv"] = sql(
     BASKET, COUNTS, weights(select="pos + neg >= 2"),
 )
 
-_RANKED = "SELECT CAST(row_number() OVER (ORDER BY score DESC, pmid DESC) AS INTEGER) AS rank, pmid, score FROM (SELECT * FROM scr{where} ORDER BY score DESC, pmid DESC LIMIT {limit})"
-_OTHERS = " WHERE pmid NOT IN (SELECT pmid FROM relevant)"
-ORACLE["retrieve_topk"] = sql(_RANKED.format(where=_OTHERS, limit=500), BASKET, COUNTS, weights(), scores())
+RANKED = "SELECT CAST(row_number() OVER (ORDER BY score DESC, pmid DESC) AS INTEGER) AS rank, pmid, score FROM (SELECT * FROM scr{where} ORDER BY score DESC, pmid DESC LIMIT {limit})"
+OTHERS = " WHERE pmid NOT IN (SELECT pmid FROM relevant)"
+ORACLE["retrieve_topk"] = sql(RANKED.format(where=OTHERS, limit=500), BASKET, COUNTS, weights(), scores())
 _INSIDE = f"inside AS (SELECT * FROM art WHERE date_key BETWEEN {LOW} AND {HIGH})"
-ORACLE["retrieve_dated"] = sql(_RANKED.format(where=_OTHERS, limit=500), BASKET, DATED, weights(), _INSIDE, scores(docs="inside"))
+ORACLE["retrieve_dated"] = sql(RANKED.format(where=OTHERS, limit=500), BASKET, DATED, weights(), _INSIDE, scores(docs="inside"))
 ORACLE["retrieve_threshold"] = sql(f"SELECT pmid, score FROM scr WHERE score >= {LEAST_SCORE}", BASKET, COUNTS, weights("bgfreq"), scores())
 ORACLE["score_inputs"] = sql("SELECT pmid, score FROM scr WHERE pmid IN (SELECT pmid FROM relevant)", BASKET, COUNTS, weights(), scores())
 _METHODS = ("laplace", "laplace_split", "bgfreq", "rubin")
@@ -142,17 +144,17 @@ _VACUUM = "least AS (SELECT greatest(1, count(*) // 10) AS k FROM art), kept AS
 ORACLE["vacuum_map"] = sql("SELECT fid AS old, coalesce(new, -1) AS new FROM vocab LEFT JOIN kept ON fid = old", BASKET, _VACUUM)
 ORACLE["vacuum_vectors"] = sql(f"SELECT pmid, date_key, coalesce(features, '') AS features FROM art LEFT JOIN ({vector('ids JOIN kept ON fid = old', 'new')}) USING (pmid)", BASKET, _VACUUM)
 ORACLE["incremental_df"] = sql(
-    """, first AS (SELECT row_number() OVER (ORDER BY ftype, fname) AS fid, ftype, fname, df FROM (SELECT ftype, fname, count(*) AS df FROM long WHERE pmid % 2 = 0 AND ftype <> 'flag' GROUP BY ftype, fname)),
-    more AS (SELECT ftype, fname, count(*) AS k FROM long WHERE pmid % 2 = 1 GROUP BY ftype, fname)
+    f""", first AS (SELECT row_number() OVER (ORDER BY ftype, fname) AS fid, ftype, fname, df FROM (SELECT ftype, fname, count(*) AS df FROM long JOIN art USING (pmid) WHERE date_key < {LATER} GROUP BY ftype, fname)),
+    more AS (SELECT ftype, fname, count(*) AS k FROM long JOIN art USING (pmid) WHERE date_key >= {LATER} GROUP BY ftype, fname)
     SELECT CAST(fid AS INTEGER) AS fid, ftype, fname, df + coalesce(k, 0) AS df FROM first LEFT JOIN more USING (ftype, fname)
     UNION ALL SELECT CAST((SELECT count(*) FROM first) + row_number() OVER (ORDER BY ftype, fname) AS INTEGER), ftype, fname, k FROM more ANTI JOIN first USING (ftype, fname)""",
     BASKET,
 )
-_FOLLOW = """SELECT rank, pmid, CAST(tp AS BIGINT) AS tp, round(CAST(tp AS DOUBLE) / rank, 6) AS precision, round(CAST(tp AS DOUBLE) / (SELECT count(*) FROM {known}), 6) AS recall
+FOLLOW = """SELECT rank, pmid, CAST(tp AS BIGINT) AS tp, round(CAST(tp AS DOUBLE) / rank, 6) AS precision, round(CAST(tp AS DOUBLE) / (SELECT count(*) FROM {known}), 6) AS recall
 FROM (SELECT *, sum(CASE WHEN pmid IN (SELECT pmid FROM {known}) THEN 1 ELSE 0 END) OVER (ORDER BY rank) AS tp FROM ({ranked}))"""
-ORACLE["tp_vs_rank"] = sql(_FOLLOW.format(known="relevant", ranked=_RANKED.format(where="", limit=1000)), BASKET, COUNTS, weights(), scores())
+ORACLE["tp_vs_rank"] = sql(FOLLOW.format(known="relevant", ranked=RANKED.format(where="", limit=1000)), BASKET, COUNTS, weights(), scores())
 ORACLE["retrieval_test"] = sql(
-    _FOLLOW.format(known="test", ranked=_RANKED.format(where=" WHERE pmid NOT IN (SELECT pmid FROM older)", limit="(SELECT count(*) + 100 FROM test)")),
+    FOLLOW.format(known="test", ranked=RANKED.format(where=" WHERE pmid NOT IN (SELECT pmid FROM older)", limit="(SELECT count(*) + 100 FROM test)")),
     BASKET, "older AS (SELECT pmid FROM relevant JOIN art USING (pmid) WHERE date_key < 19980101), test AS (SELECT pmid FROM relevant JOIN art USING (pmid) WHERE date_key BETWEEN 19980101 AND 19981231)",
     DATED.replace(str(LOW), "19980101").replace(str(HIGH), "19981231").replace("relevant", "older"), weights(), "inside AS (SELECT * FROM art WHERE date_key BETWEEN 19980101 AND 19981231)", scores(docs="inside"),
 )
@@ -288,19 +290,17 @@ ORACLE["features_union"] = sql(_ALL, ARTICLES)
 ORACLE["features_filtered"] = sql(
     f"SELECT f.pmid, f.ftype, f.fname FROM ({_ALL}) f JOIN (SELECT pmid, string_split_regex(lower(concat_ws(' ', lang, {_FIRST}, source)), '{NO}+') AS tokens FROM art) t USING (pmid) WHERE NOT (ftype = 'w' AND list_contains(tokens, lower(fname)))", ARTICLES
 )
-_TEXT_CORPUS = f"""
+TEXT_CORPUS = f"""
 long AS ({_STRIP}),
 vocab AS (SELECT CAST(row_number() OVER (ORDER BY ftype, fname) AS INTEGER) AS fid, ftype, fname, df FROM (SELECT ftype, fname, count(*) AS df FROM long GROUP BY ftype, fname HAVING count(*) >= 2)),
 ids AS (SELECT pmid, fid FROM long JOIN vocab USING (ftype, fname)),
 relevant AS (SELECT doc_id AS pmid FROM labels WHERE toxic = 1)"""
-ORACLE["retrieve_text"] = sql("SELECT pmid, round(score, 4) + 0.0 AS score FROM (SELECT * FROM scr WHERE pmid NOT IN (SELECT pmid FROM relevant) AND score >= 0 ORDER BY score DESC, pmid DESC LIMIT 200)", ARTICLES, _TEXT_CORPUS, COUNTS, weights(), scores())
+ORACLE["retrieve_text"] = sql("SELECT pmid, round(score, 4) + 0.0 AS score FROM (SELECT * FROM scr WHERE pmid NOT IN (SELECT pmid FROM relevant) AND score >= 0 ORDER BY score DESC, pmid DESC LIMIT 200)", ARTICLES, TEXT_CORPUS, COUNTS, weights(), scores())
 _FOLDS = f"folded AS (SELECT doc_id AS pmid, toxic AS label, CAST(ntile({FOLDS}) OVER (PARTITION BY toxic ORDER BY md5('{SEED}|' || doc_id), doc_id) - 1 AS INTEGER) AS fold FROM labels)"
 ORACLE["fold_assignment"] = sql("SELECT * FROM folded", _FOLDS)
-ORACLE["cv_scores"] = sql(
-    """SELECT pmid, label, fold, round(coalesce(own, 0.0) + base + prior, 4) + 0.0 AS score
-    FROM known LEFT JOIN (SELECT pmid, sum(score) AS own FROM known JOIN ids USING (pmid) JOIN wts USING (fold, fid) GROUP BY pmid) USING (pmid) JOIN (SELECT fold, sum(absent) AS base FROM wts GROUP BY fold) USING (fold), (SELECT ln(CAST(p AS DOUBLE) / n) AS prior FROM whole)""",
-    ARTICLES, _TEXT_CORPUS, _FOLDS,
-    """known AS (SELECT folded.* FROM folded JOIN art USING (pmid)),
+CV_SELECT = """SELECT pmid, label, fold, round(coalesce(own, 0.0) + base + prior, 4) + 0.0 AS score
+    FROM known LEFT JOIN (SELECT pmid, sum(score) AS own FROM known JOIN ids USING (pmid) JOIN wts USING (fold, fid) GROUP BY pmid) USING (pmid) JOIN (SELECT fold, sum(absent) AS base FROM wts GROUP BY fold) USING (fold), (SELECT ln(CAST(p AS DOUBLE) / n) AS prior FROM whole)"""
+CV = """known AS (SELECT folded.* FROM folded JOIN art USING (pmid)),
     size_ AS (SELECT fold, count(*) FILTER (label = 1) AS p, count(*) FILTER (label <> 1) AS n FROM known GROUP BY fold),
     whole AS (SELECT CAST(sum(p) AS BIGINT) AS p, CAST(sum(n) AS BIGINT) AS n FROM size_),
     occ AS (SELECT fold, fid, count(*) FILTER (label = 1) AS p, count(*) FILTER (label <> 1) AS n FROM known JOIN ids USING (pmid) GROUP BY fold, fid),
@@ -308,8 +308,8 @@ ORACLE["cv_scores"] = sql(
     grid AS (SELECT s.fold, v.fid, CAST(coalesce(a.p, 0) - coalesce(o.p, 0) AS DOUBLE) AS pos, CAST(coalesce(a.n, 0) - coalesce(o.n, 0) AS DOUBLE) AS neg, CAST(w.p - s.p AS DOUBLE) AS pd, CAST(w.n - s.n AS DOUBLE) AS nd
       FROM vocab v CROSS JOIN size_ s CROSS JOIN whole w LEFT JOIN alls a ON a.fid = v.fid LEFT JOIN occ o ON o.fid = v.fid AND o.fold = s.fold),
     fr AS (SELECT *, (2 * pi + pos) / (4 * pi + pd) AS pf, (2 * (1 - pi) + neg) / (4 * (1 - pi) + nd) AS nf FROM (SELECT *, (pd + 1) / (pd + nd + 2) AS pi FROM grid WHERE pos + neg >= 2)),
-    wts AS (SELECT fold, fid, ln(1 - pf) - ln(1 - nf) AS absent, ln(pf) - ln(nf) - (ln(1 - pf) - ln(1 - nf)) AS score FROM fr)""",
-)
+    wts AS (SELECT fold, fid, ln(1 - pf) - ln(1 - nf) AS absent, ln(pf) - ln(nf) - (ln(1 - pf) - ln(1 - nf)) AS score FROM fr)"""
+ORACLE["cv_scores"] = sql(CV_SELECT, ARTICLES, TEXT_CORPUS, _FOLDS, CV)
 
 # ---- result tables
 
@@ -328,7 +328,7 @@ _PAGES = "pgd AS (SELECT *, CAST(least((rank - 1) // 64, greatest(1, (n + 63) //
 ORACLE["result_pages"] = sql("SELECT pmid, rank, page FROM pgd", ARTICLES, RESULTS, _PAGES)
 ORACLE["page_ids"] = sql("SELECT string_agg(CAST(pmid AS VARCHAR), ',' ORDER BY rank) AS ids FROM pgd WHERE page = 1", ARTICLES, RESULTS, _PAGES)
 ORACLE["tag_lines"] = sql("SELECT pmid, score, CASE WHEN pmid % 3 < 2 THEN CAST(pmid % 3 AS INTEGER) END AS tag FROM res", ARTICLES, RESULTS)
-ORACLE["score_lines"] = sql("SELECT printf('%-10d %f', pmid, score) AS value FROM (" + _RANKED.format(where=_OTHERS, limit=200) + ")", BASKET, COUNTS, weights(), scores())
+ORACLE["score_lines"] = sql("SELECT printf('%-10d %f', pmid, score) AS value FROM (" + RANKED.format(where=OTHERS, limit=200) + ")", BASKET, COUNTS, weights(), scores())
 
 # ---- co-occurrence
 
@@ -354,7 +354,7 @@ def spans(text: str, pattern: str, name: str, columns: str) -> str:
 {name} AS (SELECT text_id, {columns}, CAST(e - length(hit) AS INTEGER) AS start, CAST(e AS INTEGER) AS "end", substr(text, CAST(e - length(hit) + 1 AS BIGINT), length(hit)) AS surface FROM (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY text_id ORDER BY spot) AS e FROM {name}_m))"""
 
 
-def _pattern(aliases) -> str:
+def pattern_of(aliases) -> str:
     import re
 
     kept = dict.fromkeys(re.sub("[^a-z]+", " ", a.lower()).strip().replace(" ", r"\s+") for a in aliases)
@@ -362,20 +362,23 @@ def _pattern(aliases) -> str:
 
 
 _PLAIN = "regexp_replace(lower(text), '[^a-z0-9]', ' ', 'g')"
-_DRUG_CTES = [spans(_PLAIN, _pattern(a), f"drug{k}", f"'{i}' AS drug_id, '{n}' AS name") for k, (i, n, a) in enumerate(DRUGS)]
+_DRUG_CTES = [spans(_PLAIN, pattern_of(a), f"drug{k}", f"'{i}' AS drug_id, '{n}' AS name") for k, (i, n, a) in enumerate(DRUGS)]
 _DRUGS = "drg AS (" + " UNION ALL ".join(f"SELECT * FROM drug{k}" for k in range(len(DRUGS))) + ")"
 ORACLE["term_spans"] = sql('SELECT text_id, drug_id, name, surface, start, "end" FROM drg', ARTICLES, TEXTS, *_DRUG_CTES, _DRUGS)
 _FOUND = """
 gen AS (SELECT text_id, surface AS gene, start, "end" FROM gens WHERE (text_id + start) % 5 <> 0),
 fre AS (SELECT * FROM gen g WHERE NOT EXISTS (SELECT 1 FROM drg d WHERE d.text_id = g.text_id AND g.start < d."end" AND g."end" >= d.start)),
 fnd AS (SELECT DISTINCT s.text_id, d.name AS drug, g.gene FROM sen s JOIN drg d ON d.text_id = s.text_id AND d.start >= s.start AND d."end" <= s."end" JOIN fre g ON g.text_id = s.text_id AND g.start >= s.start AND g."end" <= s."end")"""
-_CO = (ARTICLES, TEXTS, SENTENCES, *_DRUG_CTES, _DRUGS, spans("text", "(?:" + "|".join(GENES) + ")", "gens", "1 AS one"), _FOUND)
-ORACLE["cooccurrences"] = sql("SELECT text_id, drug, string_agg(gene, ' ' ORDER BY gene) AS genes FROM fnd GROUP BY text_id, drug", *_CO)
-ORACLE["cooccurrence_pairs"] = sql("SELECT gene, drug, count(*) AS n, string_agg(CAST(text_id AS VARCHAR), ' ' ORDER BY text_id) AS pmids FROM fnd GROUP BY gene, drug", *_CO)
+CO = (ARTICLES, TEXTS, SENTENCES, *_DRUG_CTES, _DRUGS, spans("text", "(?:" + "|".join(GENES) + ")", "gens", "1 AS one"), _FOUND)
+ORACLE["cooccurrences"] = sql("SELECT text_id, drug, string_agg(gene, ' ' ORDER BY gene) AS genes FROM fnd GROUP BY text_id, drug", *CO)
+ORACLE["cooccurrence_pairs"] = sql("SELECT gene, drug, count(*) AS n FROM fnd GROUP BY gene, drug", *CO)
+ORACLE["pair_articles"] = sql('SELECT text_id AS "PMID", gene AS "GENE", drug AS "DRUG" FROM fnd', *CO)
+_NUMBERED = "num AS (SELECT CAST(row_number() OVER (ORDER BY gene, drug) - 1 AS INTEGER) AS id, gene, drug, count(*) AS numarticles FROM fnd GROUP BY gene, drug)"
+ORACLE["export_genedrug"] = sql("SELECT * FROM num", *CO, _NUMBERED)
+ORACLE["export_dg_pmids"] = sql("SELECT CAST(text_id AS VARCHAR) AS pmid, id AS dg_id FROM fnd JOIN num USING (gene, drug)", *CO, _NUMBERED)
 ORACLE["export_star"] = sql(
     """SELECT CAST(pmid AS VARCHAR) AS pmid, title, CASE WHEN abstract <> '' THEN substr(abstract, 1, 2450) END AS abs, genes, drugs
     FROM art JOIN (SELECT text_id AS pmid, string_agg(DISTINCT gene, ' ' ORDER BY gene) AS genes, string_agg(DISTINCT drug, ' ' ORDER BY drug) AS drugs FROM fnd GROUP BY text_id) USING (pmid)""",
-    *_CO,
+    *CO,
 )
 ORACLE["event_counts"] = "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"
-ORACLE = {k: v.replace(")\n, ", "),\n").replace(")\n,", "),\n") for k, v in ORACLE.items()}

@@ -1,13 +1,19 @@
-"""Sessions: settings for a local run, written intermediates, and making this package known to Python workers."""
+"""Sessions: settings for a local run, written intermediates, stored tables, and making this package known to Python workers."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import hashlib
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Mapping, Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -46,20 +52,45 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gleaner-"))
+    own = tempfile.mkdtemp(prefix="gleaner-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+_left: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _end() -> None:
+    """Deletes what cuts have left. Results may read them until the program ends."""
+    for spark, root in _left:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            _delete(spark, root)
+
+
 class Cuts:
     """Tables written in the shared folder, so that lost executors cost no recomputation.
 
-    ``write`` cuts a plan's lineage; ``drop`` deletes tables that no later plan reads.
+    ``write`` cuts a plan's lineage; ``drop`` deletes tables that no later plan reads, and
+    the rest goes when the program ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0
+        _left.append((spark, self.root))
 
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.made}"
@@ -70,5 +101,33 @@ class Cuts:
         return out
 
     def drop(self, df: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, df.cut_path)
+
+
+def fingerprint(spark: SparkSession, paths: Sequence[str]) -> str:
+    """A digest of the files below some paths: their names, sizes and times. Spark lists them; no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+    h = [F.sum(F.xxhash64(F.lit(k), "path", "length", "modificationTime").cast("decimal(38,0)")) for k in (1, 2)]
+    return hashlib.sha256("|".join(str(x) for x in files.agg(F.count("*"), *h).first()).encode()).hexdigest()[:24]
+
+
+def stored(spark: SparkSession, name: str, paths: Sequence[str], make: Callable[[], Mapping[str, DataFrame]]) -> dict[str, DataFrame]:
+    """Tables made from the files below ``paths``, kept in the shared folder and made anew if the files change.
+
+    They are complete where their folder has its final name; two makers at once do no harm.
+    """
+    root = f"{shared_dir(spark)}/stored/{name}-{fingerprint(spark, paths)}"
+    if not exists(spark, root):
+        own = f"{root}-{uuid.uuid4().hex}"
+        for k, df in make().items():
+            df.write.parquet(f"{own}/{k}")
+        p = spark._jvm.org.apache.hadoop.fs.Path
+        fs = p(own).getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(p(root)) or not fs.rename(p(own), p(root)):
+            _delete(spark, own)
+    return {s.getPath().getName(): spark.read.parquet(s.getPath().toString()) for s in _children(spark, root)}
+
+
+def _children(spark: SparkSession, root: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return list(p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p))

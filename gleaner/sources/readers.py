@@ -48,7 +48,7 @@ def citation_articles(records: DataFrame) -> DataFrame:
 
 
 def read_citations(spark: SparkSession, path: str | list[str], row_tag: str = "MedlineCitation") -> DataFrame:
-    """Citation XML, compressed or not. A compressed file is one task's; what follows is dealt out."""
+    """Citation XML, compressed or not. A compressed file cannot be split: one task reads it."""
     return citation_articles(spark.read.format("xml").option("rowTag", row_tag).schema(CITATION).load(path))
 
 
@@ -57,7 +57,7 @@ def read_citation_directory(spark: SparkSession, path: str, seen: DataFrame | No
 
     Adds ``file``. For continuous use prefer ``streaming.ingest``, which tracks files itself.
     """
-    raw = spark.read.format("xml").option("rowTag", "MedlineCitation").option("pathGlobFilter", "*.xml*").schema(CITATION).load(path)
+    raw = spark.read.format("xml").option("rowTag", "MedlineCitation").option("pathGlobFilter", "{*.xml,*.xml.gz}").schema(CITATION).load(path)
     raw = raw.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
     if seen is not None:
         raw = raw.join(seen.select(F.col("name").alias("file")), "file", "left_anti")
@@ -136,12 +136,20 @@ def parse_descriptor(lines: Iterable[str]) -> dict:
 
 
 def read_descriptors(spark: SparkSession, path: str) -> DataFrame:
-    """(file, header map, ids) of all task files under ``path``: one row a file."""
+    """(file, header map, ids) of all task files under ``path``: one row a file.
+
+    The header ends at the first other line; an unknown key is an error, the last of repeated keys counts.
+    """
     text = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.split("value", "\n").alias("lines"))
-    head = F.filter("lines", lambda x: F.startswith(x, F.lit("#")))
-    pairs = F.transform(head, lambda x: F.struct(F.substring_index(F.substring(x, 2, 1 << 30), " = ", 1), F.trim(F.substring_index(x, " = ", -1))))
+    other = F.array_position(F.transform("lines", lambda x: F.startswith(x, F.lit("#"))), False).cast("int")
+    head = F.when(other > 0, F.slice("lines", 1, F.greatest(other - 1, F.lit(0)))).otherwise(F.col("lines"))
+    key = lambda x: F.substring_index(F.substring(x, 2, 1 << 30), " = ", 1)
+    known = lambda x: F.when(key(x).isin(list(TASK_KEYS)), key(x)).otherwise(F.raise_error(F.concat(F.lit("no such key: "), key(x))))
+    pairs = F.transform(head, lambda x: F.struct(known(x).alias("key"), F.trim(F.regexp_replace(x, r"\A.*? = ", "")).alias("value")))
+    # a header has few keys
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
     ids = F.transform(F.filter("lines", lambda x: (F.trim(x) != "") & ~F.startswith(x, F.lit("#"))), lambda x: F.get(F.split(F.trim(x), r"\s+"), F.lit(0)).cast("long"))
-    return text.select("file", F.map_from_entries(pairs).alias("header"), ids.alias("ids"))
+    return text.select("file", F.map_from_entries(last).alias("header"), ids.alias("ids"))
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:

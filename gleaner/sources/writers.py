@@ -14,6 +14,7 @@ from gleaner.config import TASK_KEYS, Params
 from gleaner.operators import metrics
 from gleaner.operators.browse import paged, rendered
 from gleaner.operators.model import Model, feature_stats, feature_table, top_tfidf
+from gleaner.operators.retrieve import ranked
 
 
 def score_lines(scores: DataFrame, ordered: bool = True) -> DataFrame:
@@ -79,7 +80,7 @@ def query_report(results: DataFrame, inputs: DataFrame, model: Model, articles:
     given = spark.createDataFrame([(k, str(v)) for k, v in vars(params).items()], "name string, value string")
     return {
         "parameters": given, "stats": feature_stats(model, params.type_mask), "top_terms": top_tfidf(model),
-        "features": feature_table(model), "inputs": rendered(inputs.limit(maxreport).join(articles, "pmid")), "results": shown,
+        "features": feature_table(model), "inputs": rendered(ranked(inputs, maxreport).join(articles, "pmid")), "results": shown,
     }
 
 
@@ -105,7 +106,7 @@ def export_jdbc(tables: Mapping[str, DataFrame], url: str, properties: Mapping[s
         df.write.jdbc(url, name, mode, dict(properties or {}))
 
 
-#: Tables of the export, in the order in which they refer to each other.
+#: Tables of the export, in the order in which they refer to each other. (Fixed values.)
 SCHEMA = (
     "CREATE TABLE cbs (pmid VARCHAR(8) PRIMARY KEY, title VARCHAR(1024), abs VARCHAR(2500), genes VARCHAR(1024), drugs VARCHAR(1024), coes VARCHAR(1024), evid_loc VARCHAR(1024));",
     "CREATE TABLE genedrug (id INTEGER PRIMARY KEY, gene VARCHAR(255), drug VARCHAR(255), numarticles INTEGER);",

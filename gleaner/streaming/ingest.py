@@ -14,14 +14,10 @@ from pyspark.sql.streaming import StreamingQuery
 from gleaner.functions.dates import date_key
 from gleaner.operators.features import extract
 from gleaner.operators.index import document_frequency, vectors, vocabulary
+from gleaner.session import exists
 from gleaner.sources.readers import ARTICLE, CITATION, citation_articles
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 class Store:
     """Tables below a root: articles, and per feature space long features and counts, by batch."""
 
@@ -67,7 +63,7 @@ class Store:
 
 
 def stream_citations(spark: SparkSession, directory: str) -> DataFrame:
-    raw = spark.readStream.format("xml").option("rowTag", "MedlineCitation").option("pathGlobFilter", "*.xml*").schema(CITATION).load(directory)
+    raw = spark.readStream.format("xml").option("rowTag", "MedlineCitation").option("pathGlobFilter", "{*.xml,*.xml.gz}").schema(CITATION).load(directory)
     return citation_articles(raw)
 
 

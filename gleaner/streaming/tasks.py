@@ -32,6 +32,25 @@ def outdated(tasks: DataFrame, keep: int = KEPT_OUTPUTS) -> DataFrame:
     return done.where(F.col("_new") > keep).drop("_new")
 
 
+def due(now: float, last: float | None, every: float = UPDATE_EVERY) -> bool:
+    return last is None or now - last > every
+
+
+def serve_once(tasks: DataFrame, now: float, run: Callable[[str], None], update: Callable[[], None], delete: Callable[[str], None], updated: float | None = None, trimmed: float | None = None) -> tuple[str | None, float | None, float | None]:
+    """One turn of the queue: trim old outputs and update the corpus where a day has passed, then run the task whose turn it is.
+
+    Returns the task that ran and when the two others last did; a loop calls it with these.
+    """
+    if due(now, trimmed):
+        for row in outdated(tasks).select("dataset").toLocalIterator():
+            delete(row.dataset)
+        trimmed = now
+    if due(now, updated):
+        update()
+        updated = now
+    return run_next(tasks, now, run), updated, trimmed
+
+
 def run_next(tasks: DataFrame, now: float, run: Callable[[str], None]) -> str | None:
     """Runs the task whose turn it is; None if none waits."""
     turn = queue_status(tasks, now).where("status = 'running'").select("dataset").first()

@@ -3,8 +3,9 @@
 import duckdb
 import pytest
 
-from gleaner.plans.catalog import QUERIES
-from gleaner.plans.oracle import ORACLE
+from gleaner.plans import catalog, files, oracle
+
+QUERIES, ORACLE = catalog.QUERIES | files.QUERIES, oracle.ORACLE | files.ORACLE
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

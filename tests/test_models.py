@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.config import Params, Task
-from gleaner.operators import index, model, retrieve, sweep, validate
+from gleaner.operators import index, model, order, retrieve, sweep, validate
 from gleaner.plans.catalog import QUERIES
 
 FEATURES = "ABDCE"
@@ -168,7 +168,7 @@ def test_ids(spark, tmp_path):
     assert retrieve.valid_ids(retrieve.id_status(ids, include)).count() == 5
     with pytest.raises(retrieve.NoValidIds) as e:
         retrieve.valid_ids(retrieve.id_status(ids, include.where("pmid > 9")))
-    assert sorted(set(e.value.broken)) == [1, 2, 3, 4, 5]
+    assert sorted({r.pmid for r in e.value.broken.collect()}) == [1, 2, 3, 4, 5]
     pool = spark.range(100).withColumnRenamed("id", "pmid")
     sample = [r.pmid for r in retrieve.random_subset(pool, 10, 5, include).collect()]
     assert len(set(sample)) == 10 and not set(sample) & {1, 2, 3, 4} and sample == [r.pmid for r in retrieve.random_subset(pool, 10, 5, include).collect()]
@@ -178,12 +178,13 @@ def test_ids(spark, tmp_path):
 def test_query_end_to_end(toy, tmp_path, spark):
     docs, vocab, positives = toy
     results, inputs, m = retrieve.query(docs, vocab, positives)
-    assert {r.pmid for r in results.collect()} == {4, 5, 6} and [r.pmid for r in inputs.collect()] == [3, 1, 2]
+    assert {r.pmid for r in results.collect()} == {4, 5, 6} and [r.pmid for r in retrieve.ranked(inputs).orderBy("rank").collect()] == [3, 1, 2]
     path = str(tmp_path / retrieve.query_key(Params()))
     first = retrieve.remembered(lambda: results, path, spark)
     again = retrieve.remembered(lambda: 1 / 0, path, spark)
     assert first.count() == again.count() == 3
     assert retrieve.query_key(Params()) != retrieve.query_key(Params(limit=3))
+    assert retrieve.ids_key(positives) == retrieve.ids_key(positives.repartition(3).union(positives)) != retrieve.ids_key(positives.where("pmid > 1"))
     ranks = retrieve.truepos_vs_rank(retrieve.ranked(retrieve.score(docs, m)), positives).orderBy("rank").collect()
     assert ranks[0].precision == 1 and ranks[-1].tp == 3 and ranks[-1].recall == 1
 
@@ -207,13 +208,14 @@ def test_tasks():
         Params(method="none")
 
 
-def test_numbers_by_range_are_the_windows(spark):
-    from gleaner.session import Cuts
-
-    names = spark.range(500).select(F.md5(F.col("id").cast("string")).substr(1, 1).alias("ftype"), F.md5((F.col("id") * 7).cast("string")).alias("fname"), F.lit(1).alias("df"))
-    key = lambda df: sorted((r.fid, r.ftype, r.fname) for r in df.collect())
-    assert key(index.numbered_by_range(names, Cuts(spark, "test"), 7)) == key(index.numbered(names))
-    assert index.numbered_by_range(names.limit(0), Cuts(spark, "test")).count() == 0
+def test_numbers_and_sums_by_range(spark):
+    rows = spark.range(500).select((F.col("id") * 7 % 500).alias("k"), (F.col("id") % 11).alias("v"))
+    got = {r.k: (r.n, r.total, r.after) for r in order.with_next(order.running(order.numbered(rows, [F.desc("k")], "n"), [F.desc("k")], {"total": "v"}), [F.desc("k")], {"after": "v"}).collect()}
+    plain, total = sorted(((r.k, r.v) for r in rows.collect()), reverse=True), 0
+    for i, (k, v) in enumerate(plain):
+        total += v
+        assert got[k] == (i + 1, total, plain[i + 1][1] if i < 499 else None)
+    assert order.numbered(rows.limit(0), ["k"], "n").count() == 0 and order.running(rows.limit(0), ["k"], {"t": "v"}).count() == 0
 
 
 def test_threshold_query_has_no_limit(spark, sf_dir):

@@ -95,6 +95,7 @@ def test_cooccurrence(spark):
     pairs = cooccur.cooccurrences(texts, found, cooccur.gene_spans(genes))
     assert {r.drug: r.genes for r in pairs.collect()} == {"Abc def": ["geneA", "geneD"], "def": ["geneC", "geneD"]}
     assert {(r.gene, r.drug): r.n for r in cooccur.global_pairs(pairs).collect()}[("geneD", "def")] == 1
+    assert {r.number for r in cooccur.in_sentences(texts, found).collect()} == {0, 2, 3}
     assert cooccur.stored_spans(genes).count() == 7 and cooccur.new_texts(texts, pairs).count() == 2
     ids = spark.createDataFrame([(1,), (2,)], "pmid long")
     assert [r.pmid for r in cooccur.with_association(ids, pairs).collect()] == [1]
