@@ -487,16 +487,16 @@ def export_dg_pmids(spark, d):
 @query
 def event_counts(spark, d):
     """The running counts of a file stream of events, after all of it."""
-    import uuid
-
     from gleaner.streaming.ingest import running_counts
 
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d)
-    name = f"events_{uuid.uuid4().hex}"
-    q = running_counts(stream.select("event_type")).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    path, table = Cuts(spark, "events").root, f"{d}/events.parquet"
+    # a table may be one file, which a stream reads by a pattern only; this one fits that name alone
+    stream = spark.readStream.schema(spark.read.parquet(table).schema).parquet(f"{table[:-1]}[t]")
+    counts = running_counts(stream.select("event_type"))
+    kept = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/counts")
+    q = counts.writeStream.outputMode("complete").foreachBatch(kept).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(f"{path}/counts")
 
 
 @query

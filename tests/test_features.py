@@ -94,3 +94,14 @@ def test_sentences(spark):
     assert [s.sentence for s in rows[1].s] == [""]
     joined = spark.createDataFrame([("T", "A"), ("T.", "A"), (None, "A"), ("T", None)], "t string, a string").select(text.article_text(F.col("t"), F.col("a")).alias("x")).collect()
     assert [r.x for r in joined] == ["T. A", "T. A", "A", "T."]
+
+
+def test_running_values(spark):
+    from gleaner.functions.arrays import placed, running, sums_before
+
+    df = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 128, 129, 1000)], "a array<int>")
+    for r in df.select("a", sums_before(F.col("a")).alias("s"), running(F.col("a"), F.lit(5), F.greatest).alias("m")).collect():
+        assert r.s == [sum(r.a[:i]) for i in range(len(r.a))]
+        assert r.m == [max([5, *r.a[:i]]) for i in range(len(r.a))]
+    said = spark.createDataFrame([("é ab c😀 ab",), ("",), ("x",)], "t string").select(placed(F.col("t"), "ab").alias("p")).collect()
+    assert [[tuple(x) for x in r.p] for r in said] == [[(2, 4, "ab"), (8, 10, "ab")], [], []]

@@ -193,3 +193,40 @@ def test_queue(spark):
     assert [r.dataset for r in tasks.outdated(df, 1).collect()] == ["older"]
     ran = []
     assert tasks.run_next(df, 10.0, ran.append) == "a" and ran == ["a"] and tasks.run_next(df.limit(0), 10.0, ran.append) is None
+
+
+def test_queue_turns(spark):
+    rows = [("b", 2.0, None, 5.0), *((f"done{i}", float(i), 3.0, 3.0) for i in range(102))]
+    df = spark.createDataFrame(rows, "dataset string, submitted double, finished double, modified double")
+    said = []
+    turn = lambda now, *last: tasks.serve_once(df, now, lambda x: said.append(f"run {x}"), lambda: said.append("update"), lambda x: said.append(f"delete {x}"), *last)
+    assert turn(10.0) == ("b", 10.0, 10.0) and sorted(said) == ["delete done0", "delete done1", "run b", "update"]
+    said.clear()
+    assert turn(20.0, 10.0, 10.0) == ("b", 10.0, 10.0) and said == ["run b"]
+
+
+def test_stored_tables_follow_their_files(spark, tmp_path):
+    from gleaner.session import stored
+
+    made, source = [], str(tmp_path / "source")
+    spark.range(5).write.parquet(source)
+
+    def make():
+        made.append(1)
+        return {"twice": spark.read.parquet(source).selectExpr("id * 2 AS x")}
+
+    get = lambda: sorted(r.x for r in stored(spark, "test", [source], make)["twice"].collect())
+    assert get() == get() == [0, 2, 4, 6, 8] and len(made) == 1
+    spark.range(5, 6).write.mode("append").parquet(source)
+    assert get() == [0, 2, 4, 6, 8, 10] and len(made) == 2
+
+
+def test_task_files_of_other_shapes(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("#dataset = x\n#delcode = a = b\n#limit = 1\n#limit = 2\n7 blah\n# dataset = late\n8\n")
+    row = readers.read_descriptors(spark, str(tmp_path)).first()
+    assert row.header == {"dataset": "x", "delcode": "a = b", "limit": "2"} and row.ids == [7, 8]
+    (tmp_path / "a.txt").write_text("#what = 1\n")
+    with pytest.raises(Exception, match="no such key"):
+        readers.read_descriptors(spark, str(tmp_path)).collect()
+    (tmp_path / "a.txt").write_text("#dataset = only\n")
+    assert readers.read_descriptors(spark, str(tmp_path)).first().header == {"dataset": "only"}
