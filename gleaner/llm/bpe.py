@@ -99,6 +99,8 @@ class WordBpe:
         self.words = regex.compile(split["pattern"]["Regex"]).findall
         names = sorted(self.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
+        #: What all added tokens have, if they have it: a text without it has none of them.
+        self.hint = "<|" if all("<|" in n for n in names) else ""
         self.cache: dict[str, tuple[str, int, str]] = {}
 
     def normal(self, text: str) -> str:
@@ -123,7 +125,7 @@ class WordBpe:
 
     def pieces(self, text: str) -> list[tuple[str, int, str]]:
         get, word = self.cache.get, self.word
-        if not (self.marks and "<|" in text):
+        if not (self.marks and self.hint in text):
             return [get(w) or word(w) for w in self.words(self.normal(text))]
         out: list[tuple[str, int, str]] = []
         for part in self.marks.split(text):
