@@ -30,7 +30,7 @@ def plain(text: Column) -> Column:
     Each character is lowered by itself where that keeps its length.
     """
     low = F.when(F.length(F.lower(text)) == F.length(text), F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    return F.regexp_replace(low, "[^a-z0-9]", " ")
+    return F.regexp_replace(low, "[^a-z0-9 ]", " ")
 
 
 def match_spans(text: Column, pattern: Column) -> Column:
