@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import ann, bpe, chat, language, media, mixing, repair, secret_scan, shards, simhash, url_filter, yinyang
+from gleaner.llm import ann, bpe, chat, extraction, language, media, mixing, repair, secret_scan, shards, simhash, url_filter, yinyang
 from gleaner.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -55,6 +55,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_texts(table(spark, sf_dir, "documents"))
 
 
+def op11_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.digest(table(spark, sf_dir, "pages"))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digest(table(spark, sf_dir, "conversations"))
 
@@ -74,8 +78,9 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_mixing": op9_mixing,
     "op10_media": op10_media,
+    "op11_extract": op11_extract,
     "op12_repair": op12_repair,
     "op13_yinyang": op13_yinyang,
 }
 
-ORACLE: dict[str, str] = {"op2_shards": shards.ORACLE_SQL, "op5_chat": chat.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL, "op12_repair": repair.ORACLE_SQL, "op13_yinyang": yinyang.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op2_shards": shards.ORACLE_SQL, "op5_chat": chat.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL, "op11_extract": extraction.ORACLE_SQL, "op12_repair": repair.ORACLE_SQL, "op13_yinyang": yinyang.ORACLE_SQL}
