@@ -334,16 +334,17 @@ ORACLE["score_lines"] = sql("SELECT printf('%-10d %f', pmid, score) AS value FRO
 
 TEXTS = r"""
 txt AS (SELECT pmid AS text_id, concat_ws(' ', nullif(CASE WHEN coalesce(title, '') = '' OR title LIKE '%.' THEN coalesce(title, '') ELSE title || '.' END, ''), abstract) AS text FROM art)"""
+# a sentence ends after a word whose last sign and next word say so: words with the white space behind them, numbered and grouped
 _TITLES = "Rev|Mr|Dr|Miss|Mrs|Ms|Sr|Prof|Ph"
-_WS, _WSN = r"[ \t\x0B\f\r]", r"[ \t\x0B\f\r\n]"
-_BROKEN = "replace(replace(text, chr(10), ' '), '...', repeat(chr(57344), 3))"
-_BROKEN = rf"regexp_replace({_BROKEN}, '([!?]+{_WS}+)', '\1' || chr(10), 'g')"
-_BROKEN = rf"regexp_replace({_BROKEN}, '({_TITLES})[.]{_WS}', '\1' || chr(57344) || ' ', 'g')"
-_BROKEN = rf"regexp_replace({_BROKEN}, '[.]({_WSN}+[a-z])', chr(57344) || '\1', 'g')"
-_BROKEN = rf"regexp_replace({_BROKEN}, '([.]{_WSN}+)', '\1' || chr(10), 'g')"
-SENTENCES = f"""
-cut AS (SELECT text_id, unnest(string_split({_BROKEN}, chr(10))) AS s, generate_subscripts(string_split({_BROKEN}, chr(10)), 1) - 1 AS number FROM txt),
-sen AS (SELECT text_id, CAST(number AS INTEGER) AS number, replace(s, chr(57344), '.') AS sentence, CAST(e - length(s) AS INTEGER) AS start, CAST(e AS INTEGER) AS "end" FROM (SELECT *, sum(length(s)) OVER (PARTITION BY text_id ORDER BY number) AS e FROM cut))"""
+_WSN = r"\t\n\x0B\f\r "
+SENTENCES = rf"""
+wrd AS (SELECT text_id, unnest(w) AS piece, generate_subscripts(w, 1) AS k FROM (SELECT text_id, regexp_extract_all(replace(text, chr(10), ' '), '[^{_WSN}]+[{_WSN}]*|[{_WSN}]+') AS w FROM txt)),
+lst AS (SELECT *, regexp_extract(piece, '^[^{_WSN}]*') AS body, coalesce(lead(left(piece, 1)) OVER (PARTITION BY text_id ORDER BY k), '') AS ahead FROM wrd),
+ends AS (SELECT *, length(body) < length(piece) AND (body SIMILAR TO '.*[!?]' OR (length(regexp_extract(body, '[.]*$')) % 3 > 0 AND NOT body SIMILAR TO '.*({_TITLES})[.]' AND NOT ahead BETWEEN 'a' AND 'z')) AS over FROM lst),
+grp AS (SELECT text_id, k, piece, coalesce(sum(CASE WHEN over THEN 1 ELSE 0 END) OVER (PARTITION BY text_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS number FROM ends
+  UNION ALL SELECT text_id, 1 + coalesce(max(k), 0), '', coalesce(sum(CASE WHEN over THEN 1 ELSE 0 END), 0) FROM (SELECT text_id, 0 AS k, false AS over FROM txt WHERE text IS NOT NULL UNION ALL SELECT text_id, k, over FROM ends) GROUP BY text_id),
+cut AS (SELECT text_id, number, string_agg(piece, '' ORDER BY k) AS s FROM grp GROUP BY text_id, number),
+sen AS (SELECT text_id, CAST(number AS INTEGER) AS number, s AS sentence, CAST(e - length(s) AS INTEGER) AS start, CAST(e AS INTEGER) AS "end" FROM (SELECT *, sum(length(s)) OVER (PARTITION BY text_id ORDER BY number) AS e FROM cut))"""
 ORACLE["sentences"] = sql('SELECT text_id, number, sentence, start, "end" FROM sen', ARTICLES, TEXTS, SENTENCES)
 
 

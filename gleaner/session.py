@@ -32,6 +32,12 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "12g"
     )
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores, where the files have less than half as many splits: for work that is dear per row."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 2 * rows.rdd.getNumPartitions() <= cores else rows
+
+
 def reach(spark: SparkSession) -> None:
     """Let workers on machines that hold this package at the same place import it."""
     env = spark.sparkContext.environment

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.dates import date_key
+from gleaner.session import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as articles: the first line is the title, source is the journal, language a heading."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     cut = F.instr("text", "\n")
     title = F.when(cut > 0, F.substring("text", F.lit(1), cut - 1)).otherwise(F.col("text"))
     abstract = F.when(cut > 0, F.substring("text", cut + 1, F.length("text")))

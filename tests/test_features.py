@@ -1,8 +1,11 @@
 """Feature functions on the golden article and the adversarial string."""
 
 import datetime
+import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gleaner.functions import codec, dates, text
@@ -96,6 +99,38 @@ def test_sentences(spark):
     assert [r.x for r in joined] == ["T. A", "T. A", "A", "T."]
 
 
+def plain_sentences(said):
+    """The rule word by word: each with the white space behind it, ended where it says."""
+    words = re.findall(r"[^ \t\n\x0b\f\r]+[ \t\n\x0b\f\r]*|[ \t\n\x0b\f\r]+", said)
+    out, now = [], ""
+    for word, ahead in zip(words, [*words[1:], ""], strict=True):
+        body = word.rstrip(" \t\n\x0b\f\r")
+        stops = len(body) - len(body.rstrip("."))
+        now += word.replace("\n", " ")
+        title = stops == 1 and body[:-1].endswith(text.TITLES)
+        if body != word and body and (body[-1] in "!?" or (stops % 3 and not title and not "a" <= ahead[:1] <= "z")):
+            out.append(now)
+            now = ""
+    return [*out, now]
+
+
+@given(st.lists(st.lists(st.sampled_from([*"aA. .?!\n\t\ue000😀|é", "Mr.", "...", "Prof. ", "Ph"]), max_size=14).map("".join), min_size=1, max_size=30))
+@settings(max_examples=25, deadline=None)
+def test_sentences_are_the_rules(spark, said):
+    rows = spark.createDataFrame([(s,) for s in said], "t string").select("t", text.sentences(F.col("t")).alias("s")).collect()
+    for r in rows:
+        assert [x.sentence for x in r.s] == plain_sentences(r.t), r.t
+        assert all(r.t[x.start : x.end].replace("\n", " ") == x.sentence for x in r.s)
+
+
+def test_sentences_of_odd_texts(spark):
+    said = ["\ue000. Yes.\ue000 No", "Wait.... So", "Wait... So", "Six...... So", "Five..... So", None, "x. " * 30_000, ". " * 2]
+    rows = spark.createDataFrame([(s,) for s in said], "t string").select(text.sentences(F.col("t")).alias("s")).collect()
+    got = [r.s and [x.sentence for x in r.s] for r in rows]
+    assert got[:6] == [["\ue000. ", "Yes.\ue000 No"], ["Wait.... ", "So"], ["Wait... So"], ["Six...... So"], ["Five..... ", "So"], None]
+    assert got[6] == ["x. " * 30_000, ""] and got[7] == [". ", ". ", ""]
+
+
 def test_running_values(spark):
     from gleaner.functions.arrays import placed, running, sums_before
 
