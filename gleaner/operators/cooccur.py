@@ -2,35 +2,40 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.arrays import placed
 from gleaner.functions.text import sentences
 from gleaner.operators.order import numbered
+from gleaner.session import reach
 
 #: Score from which a gene span is kept in a store of spans, and above which it counts.
 KEPT_SCORE, GENE_SCORE = 0.1, 0.85
 
 
-def drug_patterns(drugs: DataFrame) -> DataFrame:
-    r"""(drug_id, name, pattern): aliases in lower case, anything but letters as one gap, any gap between words.
+def _words(drugs: DataFrame) -> DataFrame:
+    r"""The drugs with ``_kept``: aliases in lower case, anything but letters as one gap, in their order.
 
-    An alternative of three characters or less is dropped (a gap counts as ``\s+`` does);
-    a drug without any has no row. Aliases keep their order, so the first that fits wins.
+    An alias of three characters or less is dropped, where a gap counts as the three of ``\s+`` do.
     """
-    low = F.transform("aliases", lambda a: F.replace(F.trim(F.regexp_replace(F.lower(a), "[^a-z]+", " ")), F.lit(" "), F.lit(r"\s+")))
-    kept = F.filter(F.array_distinct(low), lambda a: F.length(a) > 3)
-    return drugs.withColumn("_kept", kept).where(F.size("_kept") > 0).select("drug_id", "name", F.concat(F.lit(r"\b("), F.array_join("_kept", "|"), F.lit(r")\b")).alias("pattern"))
+    low = F.transform("aliases", lambda a: F.trim(F.regexp_replace(F.lower(a), "[^a-z]+", " ")))
+    kept = F.filter(F.array_distinct(low), lambda a: F.length(F.replace(a, F.lit(" "), F.lit(r"\s+"))) > 3)
+    return drugs.withColumn("_kept", kept).where(F.size("_kept") > 0)
 
 
-def plain(text: Column) -> Column:
-    """Lower case, and a space for anything but letters and digits; places stay.
+def drug_patterns(drugs: DataFrame) -> DataFrame:
+    """(drug_id, name, pattern): any of a drug's aliases, with any gap between words; the first that fits wins.
 
-    Each character is lowered by itself where that keeps its length.
+    A drug without an alias to search for has no row.
     """
-    low = F.when(F.length(F.lower(text)) == F.length(text), F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    return F.regexp_replace(low, "[^a-z0-9 ]", " ")
+    patterns = F.transform("_kept", lambda a: F.replace(a, F.lit(" "), F.lit(r"\s+")))
+    return _words(drugs).select("drug_id", "name", F.concat(F.lit(r"\b("), F.array_join(patterns, "|"), F.lit(r")\b")).alias("pattern"))
 
 
 def match_spans(text: Column, pattern: Column) -> Column:
@@ -38,31 +43,95 @@ def match_spans(text: Column, pattern: Column) -> Column:
     return F.transform(placed(text, pattern), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
 
-#: Rows of (first word, drug) that a filter on texts and a broadcast hold; a larger drug table goes without both.
-FILTER_WORDS = 100_000
+#: Characters of aliases that one pass over the texts looks for, about; a larger table takes several passes.
+PASS_CHARS = 16 << 20
+_WORD = re.compile("[a-z0-9]+")
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+class Aliases:
+    """A tree of words: what follows a word, and the (drug, place in its list) of aliases that end there."""
+
+    def __init__(self, listed: Iterable[Iterable[str]]):
+        self.root: dict = {}
+        for drug, aliases in enumerate(listed):
+            for place, alias in enumerate(aliases):
+                node = {"": self.root}
+                for word in alias.split(" "):
+                    node = node[""].setdefault(word, {"": {}, "ends": []})
+                node["ends"].append((place, drug))
+
+    def matches(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """(drug, start, end) of every match: each drug's leftmost ones that do not overlap, the first alias that fits."""
+        low = text.lower()
+        if len(low) != len(text):  # a letter that lower case makes longer would move all places
+            low = text.translate(_LOWER)
+        words, spans, free = _WORD.findall(low), None, {}
+        for i, word in enumerate(words):
+            if word not in self.root:
+                continue
+            found: dict[int, tuple[int, int]] = {}
+            tree = self.root
+            for j in range(i, len(words)):
+                if (node := tree.get(words[j])) is None:
+                    break
+                for place, drug in node["ends"]:
+                    if drug not in found or place < found[drug][0]:
+                        found[drug] = (place, j)
+                tree = node[""]
+            spans = spans or [m.span() for m in _WORD.finditer(low)]
+            for drug, (_, j) in found.items():
+                if free.get(drug, 0) <= i:
+                    free[drug] = j + 1
+                    yield drug, spans[i][0], spans[j][1]
+
+
+#: The tree that this worker has built last.
+_trees: dict[str, Aliases] = {}
 
 
 def find_drugs(texts: DataFrame, drugs: DataFrame) -> DataFrame:
-    """(text_id, drug_id, name, surface, start, end): every match of every drug.
+    """(text_id, drug_id, name, surface, start, end): every match of every drug, in one pass over the texts.
 
-    A match starts with a whole word, so texts and drugs are joined on the aliases' first
-    words, and only such pairs are searched. A pair is searched once, for the first of the
-    text's words that the drug's aliases start with.
+    Letters are lowered and all but letters and digits are gaps, so a match is a run of whole words: each text's words
+    are followed through a tree of all aliases, whatever their number. The tree of a pass holds
+    ``PASS_CHARS``, which is all that is broadcast.
     """
-    firsts = F.array_distinct(F.transform(F.split(F.regexp_replace("pattern", r"\\b\(|\)\\b", ""), r"\|"), lambda a: F.substring_index(a, "\\s+", 1)))
-    patterns = drug_patterns(drugs).withColumn("firsts", firsts)
-    by_word = patterns.withColumn("word", F.explode("firsts"))
-    listed = [r.word for r in by_word.select("word").limit(FILTER_WORDS + 1).collect()]
-    known = sorted(set(listed))
-    rows = texts.select("text_id", "text", plain(F.col("text")).alias("_plain"))
-    hits = F.array_distinct(F.split("_plain", " +"))
-    if len(listed) <= FILTER_WORDS:
-        hits = F.filter(hits, lambda w: w.isin(known)) if known else F.array().cast("array<string>")
-        by_word = F.broadcast(by_word)
-    rows = rows.withColumn("_hits", hits).withColumn("word", F.explode("_hits")).join(by_word, "word")
-    rows = rows.where(F.col("word") == F.get(F.array_intersect("_hits", "firsts"), F.lit(0)))
-    spans = rows.select("text_id", "drug_id", "name", "text", F.explode(match_spans(F.col("_plain"), F.col("pattern"))).alias("s"))
-    return spans.select("text_id", "drug_id", "name", F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("surface"), "s.start", "s.end")
+    spark = texts.sparkSession
+    reach(spark)
+    kept = _words(drugs).select("drug_id", "name", "_kept")
+    size = kept.agg(F.sum(F.length(F.array_join("_kept", " ")))).first()[0] or 0
+    passes = -(-size // PASS_CHARS) or 1
+    found = None
+    for k in range(passes):
+        own = kept.where(F.pmod(F.xxhash64("drug_id", "_kept"), F.lit(passes)) == k).toArrow()
+        got = _found(texts, spark.sparkContext.broadcast(own), kept)
+        found = got if found is None else found.unionByName(got)
+    return found
+
+
+def _found(texts: DataFrame, listed, kept: DataFrame) -> DataFrame:
+    key = f"_{uuid.uuid4().hex}"
+
+    def run(batches):
+        table = listed.value
+        if key not in _trees:
+            _trees.clear()
+            _trees[key] = Aliases(table.column("_kept").to_pylist())
+        for batch in batches:
+            rows, which, surface, start, end = [], [], [], [], []
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                for drug, a, b in _trees[key].matches(text or ""):
+                    rows.append(row)
+                    which.append(drug)
+                    surface.append(text[a:b])
+                    start.append(a)
+                    end.append(b)
+            drugs = [table.column(c).take(pa.array(which, pa.int64())).combine_chunks() for c in ("drug_id", "name")]
+            yield pa.record_batch([batch.column("text_id").take(pa.array(rows, pa.int64())), *drugs, pa.array(surface, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["text_id", "drug_id", "name", "surface", "start", "end"])
+
+    out = texts.select("text_id").schema.add(kept.schema["drug_id"]).add(kept.schema["name"]).add("surface", "string").add("start", "integer").add("end", "integer")
+    return texts.select("text_id", "text").mapInArrow(run, out)
 
 
 def gene_spans(found: DataFrame, least: float = GENE_SCORE) -> DataFrame:

@@ -14,9 +14,9 @@ from gleaner.config import EXPERIMENTS, Params
 from gleaner.functions import dates
 from gleaner.operators import browse, cooccur, index, metrics, model, retrieve, sweep, validate
 from gleaner.plans import catalog
-from gleaner.plans.catalog import DRUGS, FOLDS, LATER, SEED, basket, rounded, text_corpus
+from gleaner.plans.catalog import FOLDS, LATER, SEED, basket, rounded, text_corpus
 from gleaner.plans.oracle import (
-    ARTICLES, BASKET, COUNTS, CO, CV, CV_SELECT, FOLLOW, LABELLED, OTHERS, RANKED, RESULTS, TEXT_CORPUS, TEXTS, ORACLE as KNOWN, pattern_of, ratios, scored, scores, sql, vector, weights,
+    ARTICLES, BASKET, COUNTS, CO, CV, CV_SELECT, FOLLOW, LABELLED, OTHERS, RANKED, RESULTS, TEXT_CORPUS, TEXTS, ORACLE as KNOWN, ratios, scored, scores, spans, sql, vector, weights,
 )
 from gleaner.session import Cuts
 from gleaner.sources import corpora, readers, writers
@@ -377,12 +377,28 @@ def browse_inverted(spark, d):
     return browse.inverted(browse.visible(catalog._results(spark, d), browse.Filter(minscore=20.0, journal="SRC1"))).select("pmid", "rank", "visible")
 
 
-_SAID = ", ".join("('{}', '{}', '{}')".format(i, n, pattern_of(a).replace("(?:", "(")) for i, n, a in DRUGS)
+@query(r"""
+SELECT drug_id, name, '\b(' || array_to_string(list_transform(list_filter(low, lambda a, i: list_position(low, a) = i AND length(replace(a, ' ', '\s+')) > 3), lambda a: replace(a, ' ', '\s+')), '|') || ')\b' AS pattern
+FROM (SELECT CAST(p_partkey AS VARCHAR) AS drug_id, p_name AS name, list_transform([p_name, p_brand, p_type, p_name || ' - ' || p_type, p_name], lambda a: trim(regexp_replace(lower(a), '[^a-z]+', ' ', 'g'))) AS low FROM part)""")
+def drug_patterns(spark, d):
+    """Parts as drugs, with their names, brands and types as aliases."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    drugs = part.select(F.col("p_partkey").cast("string").alias("drug_id"), F.col("p_name").alias("name"), F.array("p_name", "p_brand", "p_type", F.concat("p_name", F.lit(" - "), "p_type"), "p_name").alias("aliases"))
+    return cooccur.drug_patterns(drugs)
 
 
-@query(f"SELECT * FROM (VALUES {_SAID}) t(drug_id, name, pattern)")
-def drug_patterns(spark, d):
-    return cooccur.drug_patterns(catalog._drugs(spark))
+@query(sql(
+    """, beg AS (SELECT DISTINCT w[1] AS w1, w[2] AS w2 FROM (SELECT regexp_extract_all(regexp_replace(lower(title), '[^a-z0-9]', ' ', 'g'), '[a-z0-9]+') AS w FROM art) WHERE len(w) > 1 AND w[1] <> w[2] AND regexp_full_match(w[1] || w[2], '[a-z]+')),
+    seq AS (SELECT text_id, start, "end", regexp_replace(lower(surface), '[^a-z0-9]', ' ', 'g') AS w, lead(regexp_replace(lower(surface), '[^a-z0-9]', ' ', 'g')) OVER o AS follow, lead("end") OVER o AS until FROM words WINDOW o AS (PARTITION BY text_id ORDER BY start))
+    SELECT text_id, w || ' ' || follow AS drug_id, w1 AS name, start, until AS "end" FROM seq JOIN beg ON w = w1 AND follow = w2""",
+    ARTICLES, TEXTS, spans("regexp_replace(lower(text), '[^a-z0-9]', ' ', 'g')", "[a-z0-9]+", "words", "1 AS one"),
+))
+def term_spans_titles(spark, d):
+    """As many drugs as there are beginnings of titles: their first two words are an alias, searched in all texts in one pass."""
+    words = F.regexp_extract_all(F.regexp_replace(F.lower("title"), "[^a-z0-9]", " "), F.lit("[a-z0-9]+"), F.lit(0))
+    begun = corpora.text_articles(spark, d).select(F.slice(words, 1, 2).alias("w")).where((F.size("w") > 1) & (F.get("w", F.lit(0)) != F.get("w", F.lit(1))) & F.array_join("w", "").rlike("^[a-z]+$")).distinct()
+    drugs = begun.select(F.array_join("w", " ").alias("drug_id"), F.get("w", F.lit(0)).alias("name"), F.array(F.array_join("w", " ")).alias("aliases"))
+    return cooccur.find_drugs(catalog._texts(spark, d), drugs).select("text_id", "drug_id", "name", "start", "end")
 
 
 @query(sql('SELECT text_id, surface AS name, start, "end" FROM gens WHERE (text_id + start) % 5 <> 0', *CO))

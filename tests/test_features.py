@@ -103,7 +103,7 @@ def plain_sentences(said):
     """The rule word by word: each with the white space behind it, ended where it says."""
     words = re.findall(r"[^ \t\n\x0b\f\r]+[ \t\n\x0b\f\r]*|[ \t\n\x0b\f\r]+", said)
     out, now = [], ""
-    for word, ahead in zip(words, [*words[1:], ""], strict=True):
+    for word, ahead in zip(words, [*words[1:], ""], strict=False):
         body = word.rstrip(" \t\n\x0b\f\r")
         stops = len(body) - len(body.rstrip("."))
         now += word.replace("\n", " ")

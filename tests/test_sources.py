@@ -2,7 +2,10 @@
 
 import datetime
 import gzip
+import random
+import re
 import sqlite3
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +104,49 @@ def test_cooccurrence(spark):
     assert [r.pmid for r in cooccur.with_association(ids, pairs).collect()] == [1]
 
 
+def by_patterns(said, drugs):
+    """Each drug's pattern run over each text."""
+    out = []
+    for i, t in said:
+        low = re.sub("[^a-z0-9]", " ", t.lower())
+        for drug, _, aliases in drugs:
+            kept = dict.fromkeys(re.sub("[^a-z]+", " ", a.lower()).strip().replace(" ", r"\s+") for a in aliases)
+            if any(len(a) > 3 for a in kept):
+                out += [(i, drug, *m.span(), t[slice(*m.span())]) for m in re.finditer(r"\b(?:" + "|".join(a for a in kept if len(a) > 3) + r")\b", low)]
+    return sorted(out)
+
+
+def test_all_aliases_in_one_pass(spark, monkeypatch):
+    """Overlaps, aliases that begin others, their order, repeated drugs, signs and digits between words, several passes."""
+    rng = random.Random(2)
+    words = ["aa", "aab", "ab", "abcd", "b", "ABCD", "é", "a1", "x-y"]
+    said = [(i, "".join(rng.choice([*words, " ", "  ", "-", ". ", " 7 "]) + rng.choice([" ", ""]) for _ in range(rng.randrange(40)))) for i in range(120)]
+    drugs = [(f"D{k}", f"n{k % 7}", [" ".join(rng.choices(words, k=rng.randrange(1, 5))) for _ in range(rng.randrange(4))]) for k in range(60)] + [("D1", "again", ["abcd", "aa ab"])]
+    texts = spark.createDataFrame([*said, (500, None)], "text_id long, text string")
+    table = spark.createDataFrame(drugs, "drug_id string, name string, aliases array<string>")
+    want = by_patterns(said, drugs)
+    for chars in (cooccur.PASS_CHARS, 100):
+        monkeypatch.setattr(cooccur, "PASS_CHARS", chars)
+        got = cooccur.find_drugs(texts, table).collect()
+        assert sorted((r.text_id, r.drug_id, r.start, r.end, r.surface) for r in got) == want and len(want) > 500
+    assert cooccur.find_drugs(texts, table.limit(0)).count() == 0 and cooccur.find_drugs(texts.limit(0), table).count() == 0
+
+
+def test_many_aliases_cost_little(spark):
+    """A hundred thousand aliases take about the time of three."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    texts = spark.createDataFrame([(i, " ".join(word() for _ in range(300))) for i in range(2000)], "text_id long, text string").repartition(4).persist()
+    many = spark.createDataFrame([(str(k), "n", [f"{word()} {word()}", word()]) for k in range(50_000)], "drug_id string, name string, aliases array<string>").persist()
+    seconds = []
+    assert texts.count() + many.count() == 52_000
+    for drugs in (many.limit(3), many.limit(3), many):
+        began = time.perf_counter()
+        cooccur.find_drugs(texts, drugs).write.format("noop").mode("overwrite").save()
+        seconds.append(time.perf_counter() - began)
+    assert seconds[2] < 4 * seconds[1] + 10, seconds
+
+
 def test_export(spark, tmp_path):
     found = spark.createDataFrame([(1, "d1", ["g1", "g2"]), (2, "d1", ["g1"]), (1, "d2", ["g'3"])], "text_id long, drug string, genes array<string>")
     articles = spark.createDataFrame([(1, "It's", "x" * 3000), (2, None, "")], "pmid long, title string, abstract string")
