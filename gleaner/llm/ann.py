@@ -7,16 +7,19 @@ products, weighs more than the part across it. A query's tables of inner product
 all centers are scanned over the codes, two codes a byte; what the scan ranks high is
 scored again with the original vectors, in double precision.
 
-The quantiser is fit on a bounded sample; every vector is coded and searched. Queries meet
-all codes in blocks: both sides are dealt into groups of bounded size, and each pair of
-groups is one task's work. Only codes, of half a byte for two components, go to every block;
-a query's best of all groups are joined with their vectors once, and scored.
+The quantiser is fit on a bounded sample, center by center in small systems, so its time and memory grow
+with the dimension only; every vector is coded and searched. Queries meet all codes in blocks: codes are
+dealt into groups and queries into blocks, as large as a task's memory allows where there are many, and each
+pair of group and block is one task's work. Codes, of half a byte for two components, go to every
+block and queries, in single precision, to every group; the shortlists grow with the root of the table,
+as more vectors come between a query and its neighbours' codes. A query's best of all
+groups are joined with their vectors once, and scored.
 
 Defined results: vectors that are null, zero, empty or hold a null or a non-finite component
-take no part, neither as queries; vectors are compared within their own dimension; rows
-that repeat an id count once, with the smallest vector; rows with a null id take no
-part; ties go to the smaller id; with fewer candidates all are returned; an empty table
-gives no rows; extra columns are ignored.
+take no part, neither as queries; vectors are compared within their own dimension; rows are told apart by
+their place, so each row of a repeated id is a candidate, and a query of its own that does not find itself
+but finds the others; a null id is a candidate and the last at ties; ties go to the smaller id; with fewer
+candidates all are returned; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,12 +35,13 @@ from gleaner.llm.common import Cuts, lean, small_batches
 
 #: Vectors in the quantiser's training sample at most, on average over hashes.
 SAMPLE = 4096
-#: Vectors in a group of the index and queries in a group, about.
-GROUP, QUERIES = 16384, 2048
+#: Vectors in a group of the index and queries in a block at most, about.
+GROUP, QUERIES = 1 << 19, 1 << 15
 #: Least groups of an index that has enough vectors, so that small ones are shared out too.
 LEAST_GROUPS, LEAST_ROWS = 12, 1024
-#: The scan's best per query and group, and per query over all groups: the latter are scored exactly.
-SHORTLIST, RERANKED = 64, 256
+#: The scan's best per query and group, and per query over all groups, which are scored exactly: at least, for
+#: a table of so many vectors; they grow with the root of larger ones.
+SHORTLIST, RERANKED, OF = 64, 256, 50_000
 #: Inner products below this matter less: sets the weight of the residual along the vector.
 MATTERS = 0.2
 FIT_ROUNDS, CODE_ROUNDS = 6, 2
@@ -94,18 +98,23 @@ def fit(x: np.ndarray) -> Quantiser:
                 if (own == j).any():
                     centers[s, j] = split[own == j, s].mean(0)
     model = Quantiser(centers.astype(np.float64), weight)
-    slots = parts * 32
     for _ in range(FIT_ROUNDS):
         codes = model.code(x)
-        # least squares of all centers at once, weighted along each vector
-        at = (np.arange(parts) * 16 + codes)[..., None] * 2 + np.arange(2)
-        z = np.zeros((n, slots))
-        np.put_along_axis(z, at.reshape(n, -1), x, 1)
-        counts = np.zeros((n, slots), np.float32)
-        np.put_along_axis(counts, at.reshape(n, -1), 1, 1)
-        left = np.diag(counts.sum(0) + 1e-6) + (weight - 1) * z.T @ z
-        right = weight * z.sum(0) + 1e-6 * model.centers.ravel()
-        model.centers = np.linalg.solve(left, right).reshape(parts, 16, 2)
+        left = split - model.centers[np.arange(parts), codes]
+        along = (left * split).sum((1, 2))
+        for s in range(parts):
+            # a vector has one center of this part, so each center is a system of two unknowns, given the other parts
+            own, v = codes[:, s], split[:, s]
+            square = (v * v).sum(1)
+            rest = along - (left[:, s] * v).sum(1)
+            sums = lambda w: np.bincount(own, w, 16)  # noqa: B023, E731
+            n, xx, xy, yy = sums(np.ones(len(v))) + 1e-6, sums(v[:, 0] ** 2), sums(v[:, 0] * v[:, 1]), sums(v[:, 1] ** 2)
+            pull = 1 + (weight - 1) * (rest + square)
+            system = np.stack([np.stack([n + (weight - 1) * xx, (weight - 1) * xy], 1), np.stack([(weight - 1) * xy, n + (weight - 1) * yy], 1)], 1)
+            right = np.stack([sums(pull * v[:, 0]), sums(pull * v[:, 1])], 1) + 1e-6 * model.centers[s]
+            model.centers[s] = np.linalg.solve(system, right[..., None])[..., 0]
+            left[:, s] = v - model.centers[s][own]
+            along = rest + (left[:, s] * v).sum(1)
     return model
 
 
@@ -119,37 +128,42 @@ def scanned(model: Quantiser, codes: np.ndarray, queries: np.ndarray) -> np.ndar
     return out
 
 
-def shortlisted(model: Quantiser, qid: np.ndarray, q: np.ndarray, ids: np.ndarray, codes: np.ndarray):
-    """Yields (query id, ids, approximate scores): of ``ids``, which are ascending, each query's best by the scan."""
+def shortlisted(model: Quantiser, own: np.ndarray, q: np.ndarray, rows: np.ndarray, codes: np.ndarray, short: int):
+    """Yields (query's row, places, approximate scores): of ``rows``, in the order of ties, each query's best by the scan."""
     unit_q = padded(q / np.linalg.norm(q, axis=1, keepdims=True))
     for at in range(0, len(q), 64):
-        near = scanned(model, codes, unit_q[at : at + 64])
-        for i, row in enumerate(near):
-            row[ids == qid[at + i]] = -np.inf
-            least = -np.partition(-row, SHORTLIST - 1)[SHORTLIST - 1] if len(row) > SHORTLIST else -np.inf
-            chosen = np.flatnonzero((row >= least) & (row > -np.inf))
-            # ties go to the smaller ids
-            chosen = chosen[np.lexsort((ids[chosen], -row[chosen]))][:SHORTLIST]
-            yield qid[at + i], ids[chosen], row[chosen]
+        queries, best = unit_q[at : at + 64], [[] for _ in q[at : at + 64]]
+        for first in range(0, len(rows), 1 << 15):  # 64 queries' scores of so many codes are in memory
+            near = scanned(model, codes[first : first + (1 << 15)], queries)
+            for i, row in enumerate(near):
+                row[rows[first : first + len(row)] == own[at + i]] = -np.inf
+                least = -np.partition(-row, short - 1)[short - 1] if len(row) > short else -np.inf
+                chosen = np.flatnonzero((row >= least) & (row > -np.inf))
+                chosen = chosen[np.argsort(-row[chosen], kind="stable")][:short]
+                best[i].append((first + chosen, row[chosen]))
+        for i, found in enumerate(best):
+            places, scores = (np.concatenate(c) for c in zip(*found, strict=True))
+            chosen = np.argsort(-scores, kind="stable")[:short]
+            yield own[at + i], places[chosen], scores[chosen]
 
 
 def scored(batches):
-    """(query_id, vec_id, vector of the query, of the candidate) -> (query_id, vec_id, cosine)."""
+    """(query's row, id, candidate's row, id, vector of the query, of the candidate) -> the first four and the cosine."""
     for batch in batches:
         score = np.zeros(0)
         if batch.num_rows:
-            x, y = _matrix(batch.column(2)), _matrix(batch.column(3))
+            x, y = _matrix(batch.column(4)), _matrix(batch.column(5))
             score = np.einsum("nd,nd->n", x, y) / (np.sqrt(np.einsum("nd,nd->n", x, x)) * np.sqrt(np.einsum("nd,nd->n", y, y)))
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score)], names=["query_id", "vec_id", "score"])
+        yield pa.record_batch([*(batch.column(k) for k in range(4)), pa.array(score)], names=["q", "query_id", "r", "vec_id", "score"])
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v array<double>, d): one row per id whose vector takes part."""
+    """(r, id, v array<double>, d): the rows whose vector takes part, numbered."""
     v = F.transform(F.col(vector), lambda c: c.cast("double"))
     bad = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    rows = vectors.select(F.col(key).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null")
+    rows = vectors.select(F.col(key).cast("long").alias("id"), v.alias("v")).where("v is not null")
     rows = rows.where(~bad & F.exists("v", lambda c: c != 0))
-    return rows.groupBy("id").agg(F.min("v").alias("v")).withColumn("d", F.size("v"))
+    return rows.select(F.monotonically_increasing_id().alias("r"), "id", "v", F.size("v").alias("d"))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -171,52 +185,56 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
         if not q:
             continue
         own = rows.where(F.col("d") == d)
-        place = F.pmod(F.xxhash64(F.lit("ann"), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
-        sample = own.where(place < min(1.0, SAMPLE / n)).orderBy("id").select("v").toArrow() if n > 1 else own.select("v").toArrow()
+        place = F.pmod(F.xxhash64(F.lit("ann"), F.col("r")), F.lit(1 << 30)) / float(1 << 30)
+        sample = own.where(place < min(1.0, SAMPLE / n)).orderBy("r").select("v").toArrow() if n > 1 else own.select("v").toArrow()
         if not sample.num_rows:
-            sample = own.orderBy("id").limit(SAMPLE).select("v").toArrow()
+            sample = own.orderBy("r").limit(SAMPLE).select("v").toArrow()
         x = _matrix(sample.column(0))
         model = spark.sparkContext.broadcast(fit(padded(x / np.linalg.norm(x, axis=1, keepdims=True))))
         got = _searched(own, is_query, model, n, q)
         found = got if found is None else found.unionByName(got)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "r")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _searched(own: DataFrame, is_query: Column, model, n: int, q: int) -> DataFrame:
     groups = max(-(-n // GROUP), min(LEAST_GROUPS, -(-n // LEAST_ROWS)))
     blocks = -(-q // QUERIES)
-    g = F.pmod(F.xxhash64(F.lit(1), F.col("id")), F.lit(groups)).cast("int")
-    b = F.pmod(F.xxhash64(F.lit(2), F.col("id")), F.lit(blocks)).cast("int")
+    reranked = round(RERANKED * max(1.0, (n / OF) ** 0.5))
+    short = max(SHORTLIST, 3 * reranked // groups)
+    g = F.pmod(F.xxhash64(F.lit(1), F.col("r")), F.lit(groups)).cast("int")
+    b = F.pmod(F.xxhash64(F.lit(2), F.col("r")), F.lit(blocks)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
 
     def coded(batches):
         for batch in batches:
-            x = _matrix(batch.column(2))
+            x = _matrix(batch.column(3))
             codes = packed(model.value.code(padded(x / np.linalg.norm(x, axis=1, keepdims=True)))) if len(x) else np.zeros((0, 1), np.uint8)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], names=["g", "id", "code"])
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array([c.tobytes() for c in codes], pa.binary())], names=["g", "r", "id", "code"])
 
-    index = own.select(g.alias("g"), "id", "v").mapInArrow(lean(coded), "g int, id long, code binary")
-    index = index.select("g", every(blocks).alias("b"), "id", "code")
-    asked = own.where(is_query).select(every(groups).alias("g"), b.alias("b"), "id", "v")
+    index = own.select(g.alias("g"), "r", "id", "v").mapInArrow(lean(coded), "g int, r long, id long, code binary")
+    index = index.select("g", every(blocks).alias("b"), "r", "id", "code")
+    asked = own.where(is_query).select(every(groups).alias("g"), b.alias("b"), "r", F.col("v").cast("array<float>").alias("v"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
+        out: tuple[list, list, list, list] = ([], [], [], [])
         if left.num_rows and right.num_rows:
-            left = left.sort_by("id")
+            left = left.sort_by([("id", "ascending"), ("r", "ascending")])  # ties; nulls are last
             codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(left.num_rows, -1)
-            for one, ids, near in shortlisted(model.value, right.column("id").to_numpy(), _matrix(right.column("v")), left.column("id").to_numpy(), codes):
-                out[0].append(np.full(len(ids), one))
-                out[1].append(ids)
-                out[2].append(near)
-        cols = [np.concatenate(c) if c else np.zeros(0) for c in out]
-        return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "vec_id": pa.array(cols[1].astype(np.int64)), "near": pa.array(cols[2].astype(np.float32))})
-
-    found = index.groupBy("g", "b").cogroup(asked.groupBy("g", "b")).applyInArrow(search, "query_id long, vec_id long, near float")
-    order = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-    short = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= RERANKED).select("query_id", "vec_id")
-    candidates = short.join(own.select(F.col("id").alias("vec_id"), F.col("v").alias("y")), "vec_id")
-    both = candidates.join(own.where(is_query).select(F.col("id").alias("query_id"), F.col("v").alias("x")), "query_id").select("query_id", "vec_id", "x", "y")
-    return both.mapInArrow(lean(scored), "query_id long, vec_id long, score double")
+            rows = left.column("r").to_numpy()
+            for one, places, near in shortlisted(model.value, right.column("r").to_numpy(), _matrix(right.column("v")).astype(np.float64), rows, codes, short):
+                for c, own_ in zip(out, (np.full(len(places), one), rows[places], places, near), strict=True):
+                    c.append(own_)
+        q, r, places, near = (np.concatenate(c) if c else np.zeros(0) for c in out)
+        ids = left.column("id").combine_chunks().take(pa.array(places.astype(np.int64)))
+        return pa.table({"q": pa.array(q.astype(np.int64)), "r": pa.array(r.astype(np.int64)), "vec_id": ids, "near": pa.array(near.astype(np.float32))})
+
+    found = index.groupBy("g", "b").cogroup(asked.groupBy("g", "b")).applyInArrow(search, "q long, r long, vec_id long, near float")
+    order = Window.partitionBy("q").orderBy(F.desc("near"), F.asc_nulls_last("vec_id"), "r")
+    best = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= reranked).select("q", "r", "vec_id")
+    candidates = best.join(own.select("r", F.col("v").alias("y")), "r")
+    both = candidates.join(own.where(is_query).select(F.col("r").alias("q"), F.col("id").alias("query_id"), F.col("v").alias("x")), "q").select("q", "query_id", "r", "vec_id", "x", "y")
+    return both.mapInArrow(lean(scored), "q long, query_id long, r long, vec_id long, score double")
+

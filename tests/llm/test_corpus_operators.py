@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import time
+import tracemalloc
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -33,21 +35,61 @@ def test_ann_against_brute_force(spark, n):
         rows += rows[:5] + [(2000 + i, rows[7][1], "") for i in range(40)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
     got = defaultdict(list)
-    for r in ann.nearest(df, F.col("id") % 50 == 0).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    valid = {i: np.array(v, float) for i, v, _ in rows if i is not None and v and None not in v and len(v) == 6 and np.isfinite(v).all() and any(v)}
+    for r in ann.nearest(df, F.col("id") % 50 == 0).orderBy("rank").collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    valid = [(i, np.array(v, float)) for i, v, _ in rows if v and None not in v and len(v) == 6 and np.isfinite(v).all() and any(v)]
+    cosine = lambda x, y: float(x @ y / np.linalg.norm(x) / np.linalg.norm(y))
+    late = lambda i: (i is None, i)
     hits = total = 0
-    for q in (i for i in valid if i % 50 == 0):
-        scored = sorted((-float(valid[q] @ v / np.linalg.norm(valid[q]) / np.linalg.norm(v)), i) for i, v in valid.items() if i != q)[:5]
-        assert len(got[q]) == len(scored)
-        hits += len({i for _, i in scored} & {i for i, _ in got[q]})
-        total += len(scored)
-        for (i, s), (t, _) in zip(got[q], scored, strict=True):
+    for q in {i for i, _ in valid if i is not None and i % 50 == 0}:
+        own = [(k, v) for k, (i, v) in enumerate(valid) if i == q]
+        want = [sorted((-cosine(x, v), late(i)) for j, (i, v) in enumerate(valid) if j != k)[:5] for k, x in own]
+        assert len(got[q]) == sum(map(len, want))
+        for (_, i, s), (t, _) in zip(got[q], sorted(w for ws in want for w in ws) if len(own) == 1 else [], strict=len(own) == 1):
             assert s == pytest.approx(-t, abs=0.2)
-            assert s == pytest.approx(float(valid[q] @ valid[i] / np.linalg.norm(valid[q]) / np.linalg.norm(valid[i])), abs=1e-12)
+            assert any(s == pytest.approx(cosine(own[0][1], v), abs=1e-12) for j, v in valid if j == i)
+        # a repeated id is several queries, here with the same vector
+        hits += len({i for w in want for _, i in w} & {late(i) for _, i, _ in got[q]}) * len(own)
+        total += sum(len({i for _, i in w}) for w in want)
     assert hits >= 0.9 * total
 
 
+def test_ann_every_row_is_a_candidate(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [0.0, 1.0]), (2, [0.5, 0.5]), (None, [1.0, 0.0]), (0, [0.0, 2.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 0).collect()
+    first = sorted((r.rank, r.vec_id, round(r.score, 3)) for r in got if r.vec_id)
+    assert len(got) == 10 and {r.query_id for r in got} == {0}
+    assert (1, None, 1.0) in [(r.rank, r.vec_id, round(r.score, 3)) for r in got] and (1, 1, 1.0) in first and (2, 1, 0.995) in first
+
+
+def test_ann_fit_of_long_vectors():
+    """Time and memory of the fit grow with the dimension, not with its square."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2000, 1024))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    began = time.perf_counter()
+    tracemalloc.start()
+    model = ann.fit(x)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.centers.shape == (512, 16, 2) and most < 500e6 and time.perf_counter() - began < 120
+
+
+def test_ann_centers_are_best(spark):
+    """Of one part, no small step of a center lowers the loss."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = ann.fit(x)
+    codes = model.code(x, rounds=6)
+
+    def loss(centers):
+        left = x - centers[np.arange(4), codes].reshape(len(x), -1)
+        return ((left**2).sum(1) + (model.weight - 1) * (left * x).sum(1) ** 2).sum()
+
+    assert loss(model.centers) < 1.05 * min(loss(model.centers + d) for d in rng.normal(scale=0.02, size=(50, 4, 16, 2)))
+
+
 def test_anisotropic_codes_lower_the_loss():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(800, 40))
