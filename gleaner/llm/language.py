@@ -7,7 +7,8 @@ pieces of the language's training texts; cosines of texts with few distinct gram
 so the floor is for a language and a number of distinct grams.
 
 The model is fit on a bounded sample: ``PER_LANGUAGE`` texts of each language at most,
-those with the smallest hash of id and text. Prediction reads every whole text, in pieces of
+those with the smallest hash of id and text. Each language's centroids and floors are found in a task of their
+own; the driver gets these and a number for each hashed gram. Prediction reads every whole text, in pieces of
 bounded size, and needs no shuffle.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, and rejected;
@@ -27,7 +28,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import give_back, kind_of, lean, small_batches
+from gleaner.llm.common import Cuts, give_back, kind_of, lean, small_batches
 
 #: Texts of each language in the training sample at most.
 PER_LANGUAGE = 256
@@ -157,38 +158,31 @@ def training_sample(docs: DataFrame, held_out: Column, key: str, lang: str, text
     return once.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).where(F.col("nth") <= PER_LANGUAGE).drop("nth")
 
 
-def fit(docs: DataFrame, held_out: Column, key: str = "doc_id", lang: str = "lang", text: str = "text") -> Model:
-    """A model from a bounded sample of the rows that are not held out."""
-
-    def run(batches):
-        for batch in batches:
-            row, words, at, n = [], [], [], []
-            for r, t in enumerate(batch.column(2).to_pylist()):
-                for w in (0, *PIECES):
-                    part = piece(t, w) if w else t
-                    if part is None:
-                        continue
-                    counts = grams(part)
-                    i = np.flatnonzero(counts)
-                    row.append(r)
-                    words.append(w)
-                    at.append(i.astype(np.int32))
-                    n.append(np.log1p(counts[i]).astype(np.float32))
-            row = pa.array(row, pa.int32())
-            yield pa.record_batch([batch.column(0).take(row), batch.column(1).take(row), pa.array(words, pa.int32()), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32()))], names=["lang", "place", "words", "at", "n"])
-
-    small_batches(docs.sparkSession)
-    rows = training_sample(docs, held_out, key, lang, text).mapInArrow(lean(run), "lang string, place double, words int, at array<int>, n array<float>").toArrow()
-    rows = rows.sort_by([("lang", "ascending"), ("words", "ascending"), ("place", "ascending")]).combine_chunks()  # whatever order the tasks gave
-    every, words = np.array(rows.column("lang").to_pylist(), object), rows.column("words").to_numpy()
-    names = every[words == 0]
+def _counted(batches):
+    """(lang, place, text) -> (lang, place, words, grams, logs of their counts) of each text (0 words) and its pieces."""
+    for batch in batches:
+        row, words, at, n = [], [], [], []
+        for r, t in enumerate(batch.column(2).to_pylist()):
+            for w in (0, *PIECES):
+                part = piece(t, w) if w else t
+                if part is None:
+                    continue
+                counts = grams(part)
+                i = np.flatnonzero(counts)
+                row.append(r)
+                words.append(w)
+                at.append(i.astype(np.int32))
+                n.append(np.log1p(counts[i]).astype(np.float32))
+        row = pa.array(row, pa.int32())
+        yield pa.record_batch([batch.column(0).take(row), batch.column(1).take(row), pa.array(words, pa.int32()), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32()))], names=["lang", "place", "words", "at", "n"])
+
+
+def _language(idf: np.ndarray, rows: pa.Table) -> pa.Table:
+    """One language's rows of ``_counted`` -> (lang, centroids, lengths, floors)."""
+    rows = rows.sort_by([("words", "ascending"), ("place", "ascending")]).combine_chunks()  # whatever order the tasks gave
+    words, model = rows.column("words").to_numpy(), Model(idf, [], np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, np.int64), [])
     lists = rows.column("at").combine_chunks()
     ends, at, n = lists.offsets.to_numpy(), lists.flatten().to_numpy(), rows.column("n").combine_chunks().flatten().to_numpy()
-    languages = sorted(set(names))
-    seen = np.bincount(at[np.repeat(words == 0, np.diff(ends))], minlength=DIMENSIONS) if len(at) else np.zeros(DIMENSIONS)
-    idf = (np.log((1 + len(names)) / (1 + seen)) + 1).astype(np.float32)
-    model = Model(idf, languages, np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, np.int64), [])
-    centers, owner = [], []
 
     def vectors(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unit vectors of these rows, and their numbers of distinct grams."""
@@ -198,25 +192,50 @@ def fit(docs: DataFrame, held_out: Column, key: str = "doc_id", lang: str = "lan
         length = (x > 0).sum(1)
         return model.weighted(x), length
 
-    for k, name in enumerate(languages):
-        x, _ = vectors(np.flatnonzero((every == name) & (words == 0)))
-        found = _clustered(x, CENTROIDS)
+    x, _ = vectors(np.flatnonzero(words == 0))
+    found = _clustered(x, CENTROIDS)
+    lengths, floors = [], []
+    for w in PIECES if len(x) >= FEW else ():
+        y, length = vectors(np.flatnonzero(words == w))
+        if len(y) >= FEW:
+            lengths.append(float(np.log1p(np.median(length))))
+            floors.append(MARGIN * float(np.quantile((y @ found.T).max(1), QUANTILE)))
+    if not lengths:
         lengths, floors = [0.0], [TOLERANCE * float((x @ found.T).max(1).min())]
-        if len(x) >= FEW:
-            lengths, floors = [], []
-            for w in PIECES:
-                y, length = vectors(np.flatnonzero((every == name) & (words == w)))
-                if len(y) >= FEW:
-                    lengths.append(float(np.log1p(np.median(length))))
-                    floors.append(MARGIN * float(np.quantile((y @ found.T).max(1), QUANTILE)))
-            if not lengths:
-                lengths, floors = [0.0], [TOLERANCE * float((x @ found.T).max(1).min())]
-        model.floors.append((np.maximum.accumulate(lengths), np.maximum.accumulate(floors)))
-        centers.append(found)
-        owner += [k] * len(found)
+    return pa.table({"lang": rows.column("lang").slice(0, 1), "centroids": pa.array([found.ravel()], pa.list_(pa.float32())), "lengths": pa.array([lengths], pa.list_(pa.float64())), "floors": pa.array([floors], pa.list_(pa.float64()))})
+
+
+def fit(docs: DataFrame, held_out: Column, key: str = "doc_id", lang: str = "lang", text: str = "text") -> Model:
+    """A model from a bounded sample of the rows that are not held out; each language is fit in a task."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    cuts = Cuts(spark, "languages")
+    rows = cuts.write(training_sample(docs, held_out, key, lang, text).mapInArrow(lean(_counted), "lang string, place double, words int, at array<int>, n array<float>"))
+    texts = rows.where("words = 0")
+    seen = np.zeros(DIMENSIONS)
+    for r in texts.select(F.explode("at").alias("i")).groupBy("i").agg(F.count("*").alias("n")).collect():
+        seen[r.i] = r.n
+    idf = (np.log((1 + texts.count()) / (1 + seen)) + 1).astype(np.float32)
+    told = spark.sparkContext.broadcast(idf)
+
+    def run(own: pa.Table) -> pa.Table:
+        out = _language(told.value, own)
+        give_back()
+        return out
+
+    got = rows.groupBy("lang").applyInArrow(run, "lang string, centroids array<float>, lengths array<double>, floors array<double>").toArrow()
+    cuts.drop(rows)
+    model = Model(idf, [], np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, np.int64), [])
+    order = sorted(range(got.num_rows), key=lambda i: got.column("lang")[i].as_py())
+    centers = []
+    for k, i in enumerate(order):
+        model.languages.append(got.column("lang")[i].as_py())
+        centers.append(got.column("centroids")[i].values.to_numpy().reshape(-1, DIMENSIONS))
+        model.floors.append((np.maximum.accumulate(got.column("lengths")[i].as_py()), np.maximum.accumulate(got.column("floors")[i].as_py())))
+        model.owner = np.append(model.owner, [k] * len(centers[-1]))
     if centers:
-        model.centroids, model.owner = np.concatenate(centers), np.array(owner)
-    del rows, lists, at, n, every, words
+        model.centroids = np.concatenate(centers)
+    del got, centers
     give_back()
     return model
 
