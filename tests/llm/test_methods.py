@@ -114,6 +114,19 @@ def test_copies_of_urls_change_no_verdict(spark):
 # ---- chat
 
 
+def test_whole_urls_are_learned_from(spark, monkeypatch):
+    """What tells two long urls apart stands at their ends; the characters of all bound the sample."""
+    long = "x" * 6000
+    rows = [(i, f"http://a{i}.{'net' if i % 2 else 'org/fr'}/{long}{'bad' if i % 2 else 'good'}{i % 7}") for i in range(40)]
+    urls = spark.createDataFrame(rows, "page_id long, url string")
+    sample = url_filter.training_sample(url_filter.ruled(urls))
+    assert {v: len(u) for v, u in sample.items()} == {"allow": 20, "block": 20} and all(len(u) > 6000 for us in sample.values() for u in us)
+    monkeypatch.setattr(url_filter, "CHARS", 20_000)
+    assert {len(u) for u in url_filter.training_sample(url_filter.ruled(urls)).values()} == {3}
+    monkeypatch.setattr(url_filter, "CHARS", 5_000)
+    assert not any(url_filter.training_sample(url_filter.ruled(urls)).values())
+
+
 def test_chat_digest_is_brute_force(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     odd = [(-5, 1, "user", "a"), (-5, 2, "assistant", None), (-5, 3, "assistant", "é <|end|>\n&lt;"), (-6, 1, None, "<|turn|>"), (-7, 1, "assistant", "")]
@@ -160,6 +173,23 @@ def test_language_learns_from_copies_too(spark):
 # ---- mixing
 
 
+def test_a_thousand_languages(spark):
+    """Each language has words of its own letters' pairs; only centroids and floors reach the driver."""
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(1000):
+        own = ["".join(rng.choices(letters, k=4)) for _ in range(6)]
+        rows += [(3 * (3 * k + j), " ".join(rng.choices(own, k=30)), f"l{k:04}") for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, F.lit(False))
+    assert len(model.languages) == 1000 and model.languages == sorted(model.languages) and len(model.floors) == 1000
+    assert list(model.owner) == sorted(model.owner) and len(model.centroids) == len(model.owner)
+    got = model.predict([t for _, t, _ in rows[:300]])
+    assert sum(g[0] == r[2] for g, r in zip(got, rows, strict=False)) > 290
+    assert language.fit(docs.limit(0), F.lit(False)).languages == []
+
+
 def test_the_schedule_decides_what_is_taken(spark):
     docs = spark.createDataFrame([(i, "w " * (i % 50 + 1), "abc"[i % 3]) for i in range(300)], "doc_id long, text string, source string")
     plain = {tuple(r) for r in mixing.mix(docs)[0].select("doc_id", "taken", "first_slot").collect()}
