@@ -5,7 +5,7 @@ Each query stands beside its SQL twin, whose building blocks come from ``plans.o
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +18,10 @@ from gleaner.plans.catalog import FOLDS, LATER, SEED, basket, rounded, text_corp
 from gleaner.plans.oracle import (
     ARTICLES, BASKET, COUNTS, CO, CV, CV_SELECT, FOLLOW, LABELLED, OTHERS, RANKED, RESULTS, TEXT_CORPUS, TEXTS, ORACLE as KNOWN, ratios, scored, scores, spans, sql, vector, weights,
 )
-from gleaner.session import Cuts
+from gleaner.session import Cuts, delete
 from gleaner.sources import corpora, readers, writers
 from gleaner.streaming import ingest, tasks
+from gleaner.streaming.growing import Batches, GrowingIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,6 +35,17 @@ def query(twin: str):
     return add
 
 
+#: From this date on, orders are the third batch of a growing index.
+LATEST = 19980101
+
+
+def copy(spark, source: str, target: str) -> None:
+    """A folder's files in another."""
+    p, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    a, b = p(source), p(target)
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf)
+
+
 def folder(spark, name: str) -> str:
     """A new folder in the shared one."""
     return Cuts(spark, name).root
@@ -105,13 +117,17 @@ def citations_xml(spark, d):
 
 @query(sql("SELECT ftype, fname, count(*) AS df FROM (SELECT pmid, 'mesh' AS ftype, source AS fname FROM art UNION ALL SELECT pmid, 'qual', source FROM art UNION ALL SELECT pmid, 'issn', source FROM art) WHERE fname IS NOT NULL GROUP BY ftype, fname", ARTICLES))
 def ingested_frequencies(spark, d):
-    """Two deliveries of files through the stream into a store, and a third that brings nothing new."""
+    """Two deliveries of files through the stream into a store, each also as a copy in another directory, which brings nothing; then all batches merged."""
     articles, path = corpora.text_articles(spark, d).withColumn("abstract", F.lit(None).cast("string")), folder(spark, "ingest")
     store = ingest.Store(spark, f"{path}/store", ("mqi",))
     early = F.col("date_completed") < F.lit("2004-01-01").cast("date")
-    for part in (early, ~early, F.lit(False)):
-        _put(spark, citations(articles.where(part)), f"{path}/in", "gzip")
-        ingest.ingest(store, f"{path}/in", f"{path}/checkpoint")
+    _put(spark, citations(articles.where(early)), f"{path}/in/a", "gzip")
+    ingest.ingest(store, f"{path}/in/*", f"{path}/checkpoint")
+    _put(spark, citations(articles.where(~early)), f"{path}/in/b", "gzip")
+    ingest.ingest(store, f"{path}/in/*", f"{path}/checkpoint")
+    copy(spark, f"{path}/in/a", f"{path}/in/c")
+    ingest.ingest(store, f"{path}/in/*", f"{path}/checkpoint")
+    store.compact()
     return store.frequencies("mqi")
 
 
@@ -197,6 +213,52 @@ def ids_in_text(spark, d):
 # ---- the index and its stores
 
 
+def _growing(spark, d) -> Iterator[GrowingIndex]:
+    """The basket's index after each of three batches of orders by date; the second brings the first's orders again, and all is merged before the third."""
+    long, articles = Cuts(spark, "growing").write(corpora.basket_features(spark, d)), corpora.basket_articles(spark, d)
+    batches = Batches(spark, folder(spark, "grown"))
+    grown = GrowingIndex(batches)
+    for k, until in enumerate((LATER, LATEST, 99991231)):
+        own = articles.where(F.col("date_key") < until if k < 2 else F.col("date_key") >= LATEST)
+        grown.add(own, long, k)
+        batches.commit(k)
+        yield grown
+        if k == 1:
+            batches.merge(grown.tables())
+
+
+_GROWN = f"""bat AS (SELECT pmid, CASE WHEN date_key < {LATER} THEN 0 WHEN date_key < {LATEST} THEN 1 ELSE 2 END AS batch FROM art),
+fst AS (SELECT ftype, fname, min(batch) AS since FROM long JOIN bat USING (pmid) GROUP BY ftype, fname),
+grw AS (SELECT *, CAST(row_number() OVER (ORDER BY since, ftype, fname) AS INTEGER) AS id FROM fst),
+gid AS (SELECT pmid, id FROM long JOIN grw USING (ftype, fname))"""
+
+
+@query(sql(f"SELECT pmid, date_key, coalesce(features, '') AS features FROM art LEFT JOIN ({vector('gid', 'id')}) USING (pmid)", BASKET, _GROWN))
+def growing_index(spark, d):
+    """Vectors after three batches: each batch has touched its own rows, and ids are as the batches gave them."""
+    *_, last = _growing(spark, d)
+    return last.vectors().select("pmid", "date_key", F.array_join(F.col("features").cast("array<string>"), " ").alias("features"))
+
+
+@query(sql("SELECT CAST(k AS INTEGER) AS after, id AS fid, ftype, fname, count(*) AS df FROM range(3) t(k), grw JOIN long USING (ftype, fname) JOIN bat USING (pmid) WHERE batch <= k GROUP BY ALL", BASKET, _GROWN))
+def growing_vocabulary(spark, d):
+    """The vocabulary after each batch: ids never change."""
+    cuts, each = Cuts(spark, "snapshots"), []
+    for k, grown in enumerate(_growing(spark, d)):
+        each.append(cuts.write(grown.vocabulary().select(F.lit(k).alias("after"), "fid", "ftype", "fname", "df")))
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@query(sql("SELECT id AS fid, ftype, fname, count(*) AS df FROM grw JOIN long USING (ftype, fname) GROUP BY ALL", BASKET, _GROWN))
+def regenerated_index(spark, d):
+    """Vectors and counts lost and made again from the names and the articles; the vocabulary that comes from them."""
+    *_, last = _growing(spark, d)
+    for name in ("vectors", "counts"):
+        delete(spark, f"{last.batches.root}/{last.prefix}/{name}")
+    last.regenerate(corpora.basket_articles(spark, d), corpora.basket_features(spark, d))
+    return last.vocabulary()
+
+
 @query(sql("SELECT pmid, ftype, fname FROM long", BASKET))
 def named_vectors(spark, d):
     docs, vocab, _ = basket(spark, d)

@@ -64,7 +64,7 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -74,6 +74,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder; none if there is no such folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def make_file(spark: SparkSession, path: str) -> None:
+    """An empty file, which is there at once or not at all."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True).close()
+
+
 _left: list[tuple[SparkSession, str]] = []
 
 
@@ -82,7 +95,7 @@ def _end() -> None:
     """Deletes what cuts have left. Results may read them until the program ends."""
     for spark, root in _left:
         with contextlib.suppress(Exception):  # the JVM may be gone
-            _delete(spark, root)
+            delete(spark, root)
 
 
 class Cuts:
@@ -107,7 +120,7 @@ class Cuts:
         return out
 
     def drop(self, df: DataFrame) -> None:
-        _delete(self.spark, df.cut_path)
+        delete(self.spark, df.cut_path)
 
 
 def fingerprint(spark: SparkSession, paths: Sequence[str]) -> str:
@@ -130,10 +143,5 @@ def stored(spark: SparkSession, name: str, paths: Sequence[str], make: Callable[
         p = spark._jvm.org.apache.hadoop.fs.Path
         fs = p(own).getFileSystem(spark._jsc.hadoopConfiguration())
         if fs.exists(p(root)) or not fs.rename(p(own), p(root)):
-            _delete(spark, own)
-    return {s.getPath().getName(): spark.read.parquet(s.getPath().toString()) for s in _children(spark, root)}
-
-
-def _children(spark: SparkSession, root: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(root)
-    return list(p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p))
+            delete(spark, own)
+    return {name: spark.read.parquet(f"{root}/{name}") for name in children(spark, root)}

@@ -30,7 +30,7 @@ CITATION = (
 
 
 def citation_articles(records: DataFrame) -> DataFrame:
-    """Parsed citation records -> article rows; records that are not final are skipped."""
+    """Parsed citation records -> article rows; records that are not final are skipped. A column ``file`` stays."""
     date = F.col("DateCompleted")
     heading = lambda m: F.struct(m["DescriptorName"]["_VALUE"].alias("descriptor"), F.coalesce(F.transform(m["QualifierName"], lambda q: q["_VALUE"]), F.array().cast("array<string>")).alias("qualifiers"))
     author = lambda a: F.struct(a["Initials"].alias("initials"), a["LastName"].alias("lastname"))
@@ -44,6 +44,7 @@ def citation_articles(records: DataFrame) -> DataFrame:
         F.col("Article.Journal.JournalIssue.PubDate.Year").alias("pubyear"),
         F.coalesce(F.transform("MeshHeadingList.MeshHeading", heading), F.array().cast("array<struct<descriptor:string,qualifiers:array<string>>>")).alias("meshterms"),
         F.coalesce(F.transform("Article.AuthorList.Author", author), F.array().cast("array<struct<initials:string,lastname:string>>")).alias("authors"),
+        *(c for c in records.columns if c == "file"),
     )
 
 

@@ -4,6 +4,7 @@ import datetime
 import gzip
 import random
 import re
+import shutil
 import sqlite3
 import time
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from gleaner.config import Params
 from gleaner.operators import browse, cooccur, model, retrieve
 from gleaner.sources import readers, writers
-from gleaner.streaming import ingest, tasks
+from gleaner.streaming import growing, ingest, tasks
 
 
 def record(pmid, status="MEDLINE", full=True):
@@ -216,6 +217,101 @@ def test_writers_and_reports(spark, tmp_path):
     assert model.best_features(m.weights).count() == 3
 
 
+def named(rows):
+    return {(r.ftype, r.fname): (r.fid, r.df) for r in rows.collect()}
+
+
+def test_growing_index(spark, tmp_path):
+    """Ids stay whatever comes later; what is not committed is not seen; a batch again and articles again change nothing."""
+    batches = growing.Batches(spark, str(tmp_path / "grown"))
+    own = growing.GrowingIndex(batches)
+    articles = lambda *ids: spark.createDataFrame([(i, 20000100 + i) for i in ids], "pmid long, date_key int")
+    long = lambda *rows: spark.createDataFrame(list(rows), "pmid long, ftype string, fname string")
+    assert own.vocabulary().count() == 0 and own.vectors().count() == 0
+    own.add(articles(1, 9), long((1, "Q", "A"), (1, "Q", "B"), (1, "T", "A"), (1, "T", "C")), 0)
+    assert own.vocabulary().count() == 0  # not committed
+    batches.commit(0)
+    assert named(own.vocabulary()) == {("Q", "A"): (1, 1), ("Q", "B"): (2, 1), ("T", "A"): (3, 1), ("T", "C"): (4, 1)}
+    own.add(articles(2), long((2, "A", "first"), (2, "Z", "z")), 1)  # fails before its commit, and runs again with other rows
+    own.add(articles(2, 1), long((2, "Q", "B"), (2, "Q", "D\u00d8"), (1, "T", "new")), 1)
+    batches.commit(1)
+    known = {("Q", "A"): (1, 1), ("Q", "B"): (2, 2), ("T", "A"): (3, 1), ("T", "C"): (4, 1), ("Q", "D\u00d8"): (5, 1)}
+    assert named(own.vocabulary()) == known
+    vectors = {1: [1, 2, 3, 4], 9: [], 2: [2, 5]}
+    assert {r.pmid: r.features for r in own.vectors().collect()} == vectors
+    for _ in range(2):
+        batches.merge(own.tables())
+        assert named(own.vocabulary()) == known and batches.folders() == [-2] and batches.last() == 1 and batches.committed(0)
+    own.add(articles(3), long((3, "A", "x"), (3, "T", "C")), 2)
+    batches.commit(2)
+    assert named(own.vocabulary()) == known | {("A", "x"): (6, 1), ("T", "C"): (4, 2)} and batches.folders() == [-2, 2]
+    batches.merge(own.tables())
+    assert {r.pmid: r.features for r in own.vectors().collect()} == vectors | {3: [4, 6]}
+    everything = long((1, "Q", "A"), (1, "Q", "B"), (1, "T", "A"), (1, "T", "C"), (2, "Q", "B"), (2, "Q", "D\u00d8"), (3, "A", "x"), (3, "T", "C"))
+    shutil.rmtree(tmp_path / "grown/index/vectors")
+    assert own.regenerate(articles(1, 2, 3, 9), everything) == ["vectors"] and own.regenerate(articles(1), everything) == []
+    assert {r.pmid: r.features for r in own.vectors().collect()} == vectors | {3: [4, 6]}
+    shutil.rmtree(tmp_path / "grown/index/names")
+    with pytest.raises(ValueError, match="names are gone"):
+        own.regenerate(articles(1), everything)
+    for name in ("counts", "vectors"):
+        shutil.rmtree(tmp_path / "grown/index" / name)
+    assert own.regenerate(articles(1, 2, 3, 9), everything) == ["names", "counts", "vectors"]
+    assert {k: df for k, (_, df) in named(own.vocabulary()).items()} == {("Q", "A"): 1, ("Q", "B"): 2, ("T", "A"): 1, ("T", "C"): 2, ("Q", "D\u00d8"): 1, ("A", "x"): 1}
+
+
+def test_a_batch_touches_its_own_rows(spark, tmp_path):
+    """Adding scans names and document ids of what is there, not its vectors' features nor counts."""
+    batches = growing.Batches(spark, str(tmp_path / "grown"))
+    own = growing.GrowingIndex(batches)
+    for k in range(2):
+        own.add(spark.range(10 * k, 10 * k + 10).selectExpr("id AS pmid", "20000101 AS date_key"), spark.range(20).selectExpr("id AS pmid", "'t' AS ftype", "string(id % 7) AS fname"), k)
+        batches.commit(k)
+    plan = own.vectors().select("pmid")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<pmid:bigint>" in plan
+    assert sorted(p.name for p in (tmp_path / "grown/index").iterdir()) == ["counts", "names", "vectors"]
+    assert sum(1 for _ in (tmp_path / "grown/index/vectors/batch=1").glob("*.parquet")) > 0
+    assert spark.read.parquet(str(tmp_path / "grown/index/vectors/batch=1")).count() == 10
+
+
+def test_ledger_of_base_names(spark, tmp_path):
+    """A name that is in brings nothing from any directory; names are taken in order; a failed batch runs again."""
+    store = ingest.Store(spark, str(tmp_path / "store"), ("mqi",))
+    for d in "abc":
+        (tmp_path / "in" / d).mkdir(parents=True)
+    write_xml(tmp_path / "in/b/2.xml", record(2), record(3, full=False))
+    write_xml(tmp_path / "in/a/3.xml", record(3))
+    run = lambda: ingest.ingest(store, str(tmp_path / "in/*"), str(tmp_path / "cp"))
+    run()
+    titles = lambda: {r.pmid: r.title for r in store.articles().collect()}
+    assert titles() == {2: "T&1 é", 3: "Only"}  # of 3 the file that is first by name
+    write_xml(tmp_path / "in/c/2.xml", record(7))  # a name that is in
+    write_xml(tmp_path / "in/b/4.xml", record(8))
+    write_xml(tmp_path / "in/a/4.xml", record(9))  # twice in one batch: the first path counts
+    extract, left = ingest.extract, [1]
+
+    def failing(*x):
+        if left:
+            left.pop()
+            raise OSError("lost")
+        return extract(*x)
+
+    ingest.extract = failing
+    try:
+        with pytest.raises(Exception, match="lost"):
+            run()
+        assert set(titles()) == {2, 3} and store.files().count() == 2
+        run()
+    finally:
+        ingest.extract = extract
+    assert set(titles()) == {2, 3, 9} and sorted(r.name for r in store.files().collect()) == ["2.xml", "3.xml", "4.xml"]
+    before = store.frequencies("mqi").collect()
+    store.compact()
+    assert sorted(before) == sorted(store.frequencies("mqi").collect()) and store.regenerate("mqi") == []
+    run()
+    assert set(titles()) == {2, 3, 9}
+
+
 def test_ingest(spark, tmp_path):
     source, store = tmp_path / "in", ingest.Store(spark, str(tmp_path / "store"), ("mqi",))
     source.mkdir()
