@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.operators.order import running, with_next
+from gleaner.session import Cuts
 
 
 def _totals(curve: DataFrame) -> DataFrame:
@@ -142,47 +143,41 @@ def operating_point(labelled: DataFrame, threshold: float | None = 0.0, alpha: f
     return ratios.join(F.broadcast(index_for(ratios, threshold)), "score")
 
 
-def bin_count(values: DataFrame, column: str = "score") -> DataFrame:
-    """bins: range over twice the inter-quartile range times the cube root of n, within 10 and 150.
+def bin_count(values: DataFrame, column: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
+    """n, least, most, bins, for each group of ``by``: range over twice the inter-quartile range times the cube root of n, within 10 and 150.
 
     Quartiles are the values at places 3n div 4 and n div 4 of the sorted list; only counts
-    per distinct value are sorted.
+    per distinct value are sorted, by ranges of (group, value).
     """
-    ties = values.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("k"))
-    placed = running(ties, ["v"], {"upto": "k"})
-    placed = placed.crossJoin(F.broadcast(placed.agg(F.sum("k").alias("n"))))
+    ties = values.groupBy(*by, F.col(column).alias("v")).agg(F.count("*").alias("k"))
+    placed = running(ties, ["v"], {"upto": "k"}, by=by)
+    sizes = ties.groupBy(F.struct(*by, F.lit(0)).alias("_g")).agg(F.sum("k").alias("n"))
+    placed = placed.join(sizes if by else F.broadcast(sizes), F.struct(*by, F.lit(0)).eqNullSafe(F.col("_g")))
     at = lambda place: F.min(F.when(F.col("upto") > place, F.col("v")))
-    q = placed.groupBy("n").agg(at(F.expr("(3 * n) div 4")).alias("high"), at(F.expr("n div 4")).alias("low"), (F.max("v") - F.min("v")).alias("r"), F.min("v").alias("least"), F.max("v").alias("most"))
+    q = placed.groupBy(*by, "n").agg(at(F.expr("(3 * n) div 4")).alias("high"), at(F.expr("n div 4")).alias("low"), (F.max("v") - F.min("v")).alias("r"), F.min("v").alias("least"), F.max("v").alias("most"))
     width = 2 * (F.col("high") - F.col("low")) * F.pow("n", F.lit(-1 / 3))
     bins = F.coalesce(F.floor(F.try_divide(F.col("r"), width)), F.lit(150))
-    return q.select("n", "least", "most", F.least(F.lit(150), F.greatest(F.lit(10), bins)).cast("int").alias("bins"))
-
-
-#: Groups of a histogram; more are an error, not dropped.
-MOST_GROUPS = 100
+    return q.select(*by, "n", "least", "most", F.least(F.lit(150), F.greatest(F.lit(10), bins)).cast("int").alias("bins"))
 
 
 def histogram(values: DataFrame, column: str = "score", by: tuple[str, ...] = (), density: bool = True, empty_as: float = 0.0) -> DataFrame:
-    """bin, left, n, mass: equal bins between the extremes, the last one closed; every bin has a row.
+    """bin, left, n, mass, and ``by``: equal bins between each group's extremes, the last one closed; every bin has a row.
 
-    ``mass`` is normalised to area 1 if ``density``, else the count; ``empty_as`` stands for empty bins.
+    ``mass`` is normalised to area 1 if ``density``, else the count; ``empty_as`` stands for empty bins. All
+    groups are one plan, however many there are.
     """
-    if by:
-        parts = [r[0] for r in values.select(by[0]).distinct().limit(MOST_GROUPS + 1).collect()]
-        if len(parts) > MOST_GROUPS:
-            raise ValueError(f"more than {MOST_GROUPS} groups")
-        made = None
-        for v in sorted(parts):
-            one = histogram(values.where(F.col(by[0]) == v), column, (), density, empty_as).withColumn(by[0], F.lit(v))
-            made = one if made is None else made.unionByName(one)
-        return made
-    shape = bin_count(values, column)
+    values = values.where(F.col(column).isNotNull())
+    shape = Cuts(values.sparkSession, "bins").write(bin_count(values, column, by))
     width = (F.col("most") - F.col("least")) / F.col("bins")
     at = F.least(F.col("bins") - 1, F.floor(F.coalesce(F.try_divide(F.col(column) - F.col("least"), width), F.lit(0.0)))).cast("int")
-    counts = values.crossJoin(F.broadcast(shape)).select(at.alias("bin")).groupBy("bin").agg(F.count("*").alias("k"))
-    rows = shape.select("*", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin")).join(counts, "bin", "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    group = F.struct(*by, F.lit(0))
+    told = shape.select(group.alias("_g"), "least", "most", "bins")
+    counts = values.join(told if by else F.broadcast(told), group.eqNullSafe(F.col("_g"))).select("_g", at.alias("bin")).groupBy("_g", "bin").agg(F.count("*").alias("k"))
+    counts = counts.withColumnRenamed("bin", "_bin")
+    every = shape.select("*", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
+    rows = every.join(counts, group.eqNullSafe(F.col("_g")) & (F.col("bin") == F.col("_bin")), "left").withColumn("k", F.coalesce("k", F.lit(0)))
     mass = F.coalesce(F.try_divide(F.col("k"), F.col("n") * width), F.lit(0.0)) if density else F.col("k").cast("double")
-    return rows.select("bin", (F.col("least") + F.col("bin") * width).alias("left"), F.col("k").alias("count"), F.when(F.col("k") == 0, F.lit(float(empty_as))).otherwise(mass).alias("mass"))
+    return rows.select(*by, "bin", (F.col("least") + F.col("bin") * width).alias("left"), F.col("k").alias("count"), F.when(F.col("k") == 0, F.lit(float(empty_as))).otherwise(mass).alias("mass"))
 
 
 def feature_histogram(weights: DataFrame) -> DataFrame:
@@ -190,17 +185,28 @@ def feature_histogram(weights: DataFrame) -> DataFrame:
     return histogram(weights.where("selected and pos + neg > 0"), "score", density=False, empty_as=1.0)
 
 
+#: A kernel ends where it is 1e-12 of its height: so many widths from its middle.
+REACH = 7.44
+
+
 def kernel_density(values: DataFrame, column: str = "score", points: int = 512) -> DataFrame:
     """x, density: Gaussian kernels of width n^(-1/5) sigma over an even grid between the extremes.
 
-    Values are first counted, so the join is a fixed grid with distinct values.
+    Values are first counted, and each distinct one meets only the grid points that its kernel reaches. Values that are all
+    equal have no density.
     """
-    ties = values.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("k"))
-    stats = values.agg(F.count("*").alias("n"), F.stddev_pop(column).alias("sd"), F.min(column).alias("lo"), F.max(column).alias("hi"))
-    grid = stats.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")).withColumn("x", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (points - 1))
-    h = F.pow("n", F.lit(-0.2)) * F.col("sd")
-    z = (F.col("x") - F.col("v")) / h
-    return ties.crossJoin(F.broadcast(grid)).groupBy("i", "x").agg(F.sum(F.col("k") * F.exp(-z * z / 2) / (F.col("n") * h * 2.5066282746310002)).alias("density")).select("x", "density")
+    ties = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("k"))
+    stats = values.agg(F.count(column).alias("n"), F.stddev_pop(column).alias("sd"), F.min(column).alias("lo"), F.max(column).alias("hi"))
+    stats = stats.where("hi > lo").select("n", "lo", (F.pow("n", F.lit(-0.2)) * F.col("sd")).alias("h"), ((F.col("hi") - F.col("lo")) / (points - 1)).alias("step"))
+    place = lambda x: (x - F.col("lo")) / F.col("step")
+    first = F.greatest(F.lit(0), F.ceil(place(F.col("v") - REACH * F.col("h"))).cast("int"))
+    last = F.least(F.lit(points - 1), F.floor(place(F.col("v") + REACH * F.col("h"))).cast("int"))
+    # one row of statistics; a kernel between two grid points reaches none
+    met = ties.crossJoin(F.broadcast(stats)).withColumns({"_first": first, "_last": last}).where("_first <= _last").select("v", "k", "n", "h", "lo", "step", F.explode(F.sequence("_first", "_last")).alias("i"))
+    z = (F.col("lo") + F.col("step") * F.col("i") - F.col("v")) / F.col("h")
+    sums = met.groupBy("i").agg(F.sum(F.col("k") * F.exp(-z * z / 2) / (F.col("n") * F.col("h") * 2.5066282746310002)).alias("density"))
+    grid = stats.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
+    return grid.join(sums, "i", "left").select((F.col("lo") + F.col("step") * F.col("i")).alias("x"), F.coalesce("density", F.lit(0.0)).alias("density"))
 
 
 def interpolated(curve: DataFrame, x: str, y: str, points: int = 8000, least: int = 12000) -> DataFrame:

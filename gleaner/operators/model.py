@@ -118,10 +118,11 @@ def _frequencies(method: str) -> tuple[Column, Column]:
     return (pa + p) / (pab + np_), (na + n) / (nab + nn)
 
 
-def train(counts: DataFrame, totals: DataFrame, params: Params = Params(), by: Sequence[str] = ()) -> Model:
+def train(counts: DataFrame, totals: DataFrame, params: Params = Params(), by: Sequence[str] = (), keep: Sequence[str] = ()) -> Model:
     """Weights and scalars from counts and totals.
 
-    ``by`` names columns that both tables have, if there are several models at once: folds.
+    ``by`` names columns that both tables have, if there are several models at once: folds. ``keep`` names further columns
+    of the weights: any of the counts, or ``absent``, what a feature weighs where a document lacks it.
     """
     keys = list(by)
     totals = totals.withColumn("prior", prior(params.prior)) if "prior" not in totals.columns else totals
@@ -141,7 +142,7 @@ def train(counts: DataFrame, totals: DataFrame, params: Params = Params(), by: S
     scalars = totals.join(base, keys) if keys else totals.crossJoin(base)
     if params.method == "rubin":
         scalars = scalars.withColumn("prior", F.lit(0.0))
-    weights = rows.select(*keys, "fid", "ftype", "fname", "df", "pos", "neg", "selected", "infogain", "pfreq", "nfreq", "score")
+    weights = rows.select(*keys, "fid", "ftype", "fname", "df", "pos", "neg", "selected", "infogain", "pfreq", "nfreq", "score", *keep)
     return Model(weights, scalars)
 
 

@@ -143,9 +143,29 @@ def shuffle_order(seed: int, key: str = "pmid") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
 
 
+#: Hexadecimal digits of a hash that samples are counted by: 65,536 beginnings at most.
+HEAD = 4
+
+
 def random_subset(pool: DataFrame, k: int, seed: int = 1, exclude: DataFrame | None = None) -> DataFrame:
-    """``k`` rows without replacement, not in ``exclude``; the same for the same seed."""
-    return without(pool, exclude).orderBy(shuffle_order(seed), "pmid").limit(k)
+    """``k`` rows without replacement, not in ``exclude``; the same for the same seed.
+
+    They are those with the smallest hashes. Counts of the hashes' beginnings tell which are small enough without a sort of the
+    pool; only rows with the one beginning in which the sample ends are sorted.
+    """
+    rows = without(pool, exclude)
+    head = F.substring(shuffle_order(seed), 1, HEAD)
+    left, bound = k, None
+    # a row for each beginning
+    for r in sorted(rows.groupBy(head.alias("head")).agg(F.count("*").alias("n")).collect(), key=lambda r: (r["head"] is not None, r["head"])):
+        if r.n >= left:
+            bound = r["head"]
+            break
+        left -= r.n
+    else:
+        return rows
+    whole = F.lit(False) if bound is None else (head < bound) | head.isNull()
+    return rows.where(whole).unionByName(rows.where(head.eqNullSafe(F.lit(bound))).orderBy(shuffle_order(seed), "pmid").limit(left))
 
 
 def negatives(pool: DataFrame, positives: DataFrame, wanted: int | DataFrame, seed: int = 1) -> DataFrame:

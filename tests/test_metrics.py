@@ -95,6 +95,52 @@ def test_interpolation(spark):
     assert M.interpolated(df, "x", "y", 50, 1000).count() == 200
 
 
-def test_histogram_of_too_many_groups_is_an_error(spark):
-    with pytest.raises(ValueError, match="more than 100 groups"):
-        M.histogram(spark.range(101).selectExpr("id AS g", "CAST(id AS DOUBLE) AS score"), by=("g",))
+def plain_bins(v):
+    """(least, most, bins, counts) of a list."""
+    v, n = sorted(v), len(v)
+    iqr = v[3 * n // 4] - v[n // 4]
+    bins = 150 if iqr == 0 else int(min(150, max(10, (v[-1] - v[0]) // (2 * iqr * n ** (-1 / 3)))))
+    width = (v[-1] - v[0]) / bins
+    counts = [0] * bins
+    for x in v:
+        counts[min(bins - 1, int((x - v[0]) / width) if width else 0)] += 1
+    return v[0], v[-1], bins, counts
+
+
+def test_histograms_of_many_groups(spark):
+    """One plan for all groups; a group may hold most rows, another one value only, a third is null."""
+    rng = random.Random(1)
+    rows = [(7, float(rng.randrange(400)) / 4) for _ in range(4000)] + [(g % 500, float(rng.randrange(50))) for g in range(6000)] + [(None, 1.0), (None, 2.0), (900, 5.0), (900, 5.0), (901, None)]
+    df = spark.createDataFrame(rows, "g int, score double")
+    got = {}
+    for r in M.histogram(df, by=("g",), density=False).collect():
+        got.setdefault(r.g, {})[r.bin] = (r["count"], r.left)
+    groups = {}
+    for g, v in rows:
+        if v is not None:
+            groups.setdefault(g, []).append(v)
+    assert set(got) == set(groups)
+    for g, v in groups.items():
+        least, most, bins, counts = plain_bins(v)
+        assert [got[g][b][0] for b in range(bins)] == counts and len(got[g]) == bins
+        assert got[g][bins - 1][1] == pytest.approx(least + (bins - 1) * (most - least) / bins)
+
+
+def test_ten_thousand_histograms(spark):
+    df = spark.range(40_000).selectExpr("id % 10000 AS g", "CAST(id AS DOUBLE) AS score")
+    got = M.histogram(df, by=("g",))
+    assert got.count() == 100_000 and got.agg({"count": "sum"}).first()[0] == 40_000
+
+
+def test_density_meets_only_what_a_kernel_reaches(spark):
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.normal(size=3000), [50.0, -30.0]])
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "score double")
+    got = M.kernel_density(df, points=512).orderBy("x").collect()
+    h = len(v) ** -0.2 * v.std()
+    grid = np.linspace(v.min(), v.max(), 512)
+    want = np.exp(-(((grid[:, None] - v[None]) / h) ** 2) / 2).sum(1) / (len(v) * h * np.sqrt(2 * np.pi))
+    assert [r.x for r in got] == pytest.approx(grid.tolist()) and [r.density for r in got] == pytest.approx(want.tolist(), abs=1e-9)
+    assert M.kernel_density(spark.createDataFrame([(1.0,)] * 4, "score double")).count() == 0
+    assert M.kernel_density(df.limit(0)).count() == 0
+

@@ -1,6 +1,8 @@
 """Index, training, retrieval and cross-validation on the golden inputs."""
 
+import hashlib
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,6 +108,64 @@ def test_count_features(spark):
     assert {r.fid: r.n for r in model.count_features(df).collect()} == {1: 1, 2: 2, 3: 2, 4: 1}
 
 
+def test_orders_of_groups(spark):
+    """Numbers, runs and sums of several groups, of which one reaches over all partitions, one is null, and ties stay together."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["big", "big", "big", "a", "b", None]), rng.randrange(50), k) for k in range(900)]
+    df = spark.createDataFrame(rows, "g string, v int, k int")
+    want = {}
+    for g, v, k in sorted(rows, key=lambda r: (r[1], r[2])):
+        want.setdefault(g, []).append((v, k))
+    told = order.numbered(df, ["v", "k"], "n", 5, by=["g"])
+    assert told.columns == ["g", "v", "k", "n"]
+    assert {(r.g, r.k): r.n for r in told.collect()} == {(g, k): 5 + i for g, own in want.items() for i, (_, k) in enumerate(own)}
+    sums = order.running(df, ["v", "k"], {"upto": "v"}, by=["g"]).collect()
+    assert {(r.g, r.k): r.upto for r in sums} == {(g, k): sum(v for v, _ in own[: i + 1]) for g, own in want.items() for i, (_, k) in enumerate(own)}
+    for tiles in (1, 4, 1000):
+        sizes = {g: [size for _, size in validate.fold_sizes(len(own), tiles)] for g, own in want.items()}
+        got = order.tiled(df, ["v", "k"], "t", tiles, by=["g"]).collect()
+        assert {(r.g, r.k): r.t for r in got} == {(g, k): t for g, own in want.items() for (_, k), t in zip(own, [t for t, n in enumerate(sizes[g]) for _ in range(n)], strict=True)}
+    assert order.numbered(df.limit(0), ["v"], "n", by=["g"]).count() == 0 and order.tiled(df, ["v", "k"], "t", 3).groupBy("t").count().count() == 3
+
+
+def plain_cross_validation(spark, docs, vocab, folded, params):
+    """A model for each fold, trained on the other folds' counts of every feature."""
+    out = {}
+    rows = docs.join(folded.select("pmid", "label", "fold"), "pmid").collect()
+    features = vocab.collect()
+    for fold in {r.fold for r in rows}:
+        rest, own = [r for r in rows if r.fold != fold], [r for r in rows if r.fold == fold]
+        n = lambda f, label: sum(f in r.features for r in rest if (r.label == 1) == label)  # noqa: E731, B023
+        counts = spark.createDataFrame([(f.fid, f.ftype, f.fname, f.df, n(f.fid, True), n(f.fid, False)) for f in features], "fid int, ftype string, fname string, df long, pos long, neg long")
+        p = sum(r.label == 1 for r in rows)
+        totals = spark.createDataFrame([(sum(r.label == 1 for r in rest), sum(r.label != 1 for r in rest), len(rows), math.log(p / (len(rows) - p)))], "pdocs long, ndocs long, numdocs long, prior double")
+        m = model.train(counts, totals, params)
+        weights, scalars = {r.fid: r.score for r in m.weights.collect()}, m.scalars.first()
+        for r in own:
+            out[r.pmid] = scalars.base + scalars.prior + sum(weights[f] for f in set(r.features))
+    return out
+
+
+@pytest.mark.parametrize("params", [Params(), Params(method="bgfreq"), Params(method="rubin"), Params(method="laplace", mincount=2, type_mask=("x",)), Params(min_infogain=0.01, positives_only=True)])
+def test_cross_validation_is_a_model_for_each_fold(spark, params):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(k, 20000101, sorted(rng.sample(range(1, 16), rng.randrange(0, 7)))) for k in range(40)], "pmid long, date_key int, features array<int>")
+    vocab = spark.createDataFrame([(f, "x" if f % 5 == 0 else "w", f"n{f}", 30 + f) for f in range(1, 20)], "fid int, ftype string, fname string, df long")
+    folded = validate.folds(spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(40)], "pmid long, label int"), 4, 2)
+    got = {r.pmid: r.score for r in validate.cross_validate(docs, vocab, folded, params).collect()}
+    assert got == pytest.approx(plain_cross_validation(spark, docs, vocab, folded, params), abs=1e-9) and len(got) == 40
+
+
+def test_samples_are_the_smallest_hashes(spark):
+    pool = spark.range(3000).selectExpr("id AS pmid")
+    place = lambda i: (hashlib.md5(f"7|{i}".encode()).hexdigest(), i)
+    for k in (0, 1, 37, 2999, 3000, 5000):
+        assert {r.pmid for r in retrieve.random_subset(pool, k, 7).collect()} == set(sorted(range(3000), key=place)[:k])
+    some = retrieve.random_subset(pool, 2000, 7)
+    # whoever is surely in comes through a filter; only those with the one beginning are sorted
+    assert "TakeOrderedAndProject" in some._jdf.queryExecution().executedPlan().toString() and "Union" in some._jdf.queryExecution().executedPlan().toString()
+
+
 def test_folds(spark):
     assert [s for _, s in validate.fold_sizes(10, 5)] == [2] * 5
     assert validate.fold_sizes(33, 5) == [(0, 7), (7, 7), (14, 7), (21, 6), (27, 6)]
