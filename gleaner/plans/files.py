@@ -437,13 +437,13 @@ shp AS (SELECT *, CAST(CASE WHEN iqr = 0 THEN 150 ELSE least(150, greatest(10, f
 put AS (SELECT c, CAST(least(bins - 1, CASE WHEN most = least THEN 0 ELSE floor((v - least) / ((most - least) / bins)) END) AS INTEGER) AS bin, count(*) AS k FROM srt JOIN shp USING (c) GROUP BY ALL)"""
 
 
-@query(f"""WITH {_QUARTERS} SELECT s.c AS customer, CAST(b AS INTEGER) AS bin, round(least + b * ((most - least) / bins), 4) + 0.0 AS left, coalesce(k, 0) AS count, round(CASE WHEN coalesce(k, 0) = 0 OR most = least THEN 0.0 ELSE k / (n * ((most - least) / bins)) END, 9) + 0.0 AS mass
+@query(f"""WITH {_QUARTERS} SELECT s.c AS customer, CAST(b AS INTEGER) AS bin, round(least + b * ((most - least) / bins), 6) + 0.0 AS left, coalesce(k, 0) AS count, round(CASE WHEN coalesce(k, 0) = 0 OR most = least THEN 0.0 ELSE k / (n * ((most - least) / bins)) END, 9) + 0.0 AS mass
 FROM (SELECT c, n, least, most, bins, unnest(range(bins)) AS b FROM shp) s LEFT JOIN put p ON p.c = s.c AND p.bin = s.b""")
 def customer_histograms(spark, d):
     """A histogram of the prices of each customer's orders, all in one plan."""
     orders = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("customer"), "o_totalprice")
     got = metrics.histogram(orders, "o_totalprice", by=("customer",))
-    return rounded(rounded(got, "left", digits=4), "mass", digits=9)
+    return rounded(rounded(got, "left", digits=6), "mass", digits=9)
 
 
 # ---- result tables, co-occurrence, the queue
