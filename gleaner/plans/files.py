@@ -16,10 +16,10 @@ from gleaner.operators import browse, cooccur, index, metrics, model, retrieve,
 from gleaner.plans import catalog
 from gleaner.plans.catalog import FOLDS, LATER, SEED, basket, rounded, text_corpus
 from gleaner.plans.oracle import (
-    ARTICLES, BASKET, COUNTS, CO, CV, CV_SELECT, FOLLOW, LABELLED, OTHERS, RANKED, RESULTS, TEXT_CORPUS, TEXTS, ORACLE as KNOWN, ratios, scored, scores, spans, sql, vector, weights,
+    ARTICLES, BASKET, COUNTS, CO, CV, CV_SELECT, FOLLOW, LABELLED, NUMBERED, OTHERS, RANKED, RESULTS, TEXT_CORPUS, TEXTS, ORACLE as KNOWN, ratios, scored, scores, spans, sql, vector, weights,
 )
 from gleaner.session import Cuts, delete
-from gleaner.sources import corpora, readers, writers
+from gleaner.sources import corpora, files, readers, writers
 from gleaner.streaming import ingest, tasks
 from gleaner.streaming.growing import Batches, GrowingIndex
 
@@ -446,6 +446,38 @@ def customer_histograms(spark, d):
     return rounded(rounded(got, "left", digits=6), "mass", digits=9)
 
 
+def _literal(c: str) -> str:
+    quote = "chr(39)"
+    return f"CASE WHEN {c} IS NULL THEN 'NULL' ELSE {quote} || replace({c}, {quote}, {quote} || {quote}) || {quote} END"
+
+
+@query(sql(
+    f"""SELECT 'genedrug' AS name, 'INSERT INTO genedrug VALUES (' || id || ', ' || {_literal('gene')} || ', ' || {_literal('drug')} || ', ' || numarticles || ');' AS statement FROM num
+    UNION ALL SELECT 'dg_pmids', 'INSERT INTO dg_pmids VALUES (' || {_literal('CAST(text_id AS VARCHAR)')} || ', NULL, ' || id || ');' FROM fnd JOIN num USING (gene, drug)
+    UNION ALL SELECT 'cbs', 'INSERT INTO cbs VALUES (' || {_literal('CAST(pmid AS VARCHAR)')} || ', ' || {_literal('title')} || ', ' || CASE WHEN abstract <> '' THEN {_literal('substr(abstract, 1, 2450)')} ELSE 'NULL' END || ', ' || {_literal('genes')} || ', ' || {_literal('drugs')} || ', NULL, NULL);'
+    FROM art JOIN (SELECT text_id AS pmid, string_agg(DISTINCT gene, ' ' ORDER BY gene) AS genes, string_agg(DISTINCT drug, ' ' ORDER BY drug) AS drugs FROM fnd GROUP BY text_id) USING (pmid)""",
+    *CO, NUMBERED,
+))
+def export_statements(spark, d):
+    """All three tables written as ordered statements and read back."""
+    tables = {name: Cuts(spark, "star").write(t) for name, t in catalog._star(spark, d).items()}
+    got = None
+    for folder_ in writers.export_sql(tables, folder(spark, "sql"))[1:]:
+        own = files.read_statements(spark, folder_).select(F.lit(folder_.rpartition("/")[2][2:]).alias("name"), "statement")
+        got = own if got is None else got.unionByName(own)
+    return got
+
+
+@query(sql(f"SELECT pmid, date_key, coalesce(features, '') AS features FROM art LEFT JOIN ({vector('ids')}) USING (pmid)", BASKET))
+def feature_stream(spark, d):
+    """All orders' vectors as an unindexed stream of records, read back in several parts."""
+    docs, _, _ = basket(spark, d)
+    path = folder(spark, "stream")
+    files.write_feature_stream(docs.coalesce(2), path)
+    got = files.read_feature_stream(spark, path, part=64 << 10)
+    return got.select("pmid", "date_key", F.array_join(F.col("features").cast("array<string>"), " ").alias("features"))
+
+
 # ---- result tables, co-occurrence, the queue
 
 

@@ -374,9 +374,9 @@ CO = (ARTICLES, TEXTS, SENTENCES, *_DRUG_CTES, _DRUGS, spans("text", "(?:" + "|"
 ORACLE["cooccurrences"] = sql("SELECT text_id, drug, string_agg(gene, ' ' ORDER BY gene) AS genes FROM fnd GROUP BY text_id, drug", *CO)
 ORACLE["cooccurrence_pairs"] = sql("SELECT gene, drug, count(*) AS n FROM fnd GROUP BY gene, drug", *CO)
 ORACLE["pair_articles"] = sql('SELECT text_id AS "PMID", gene AS "GENE", drug AS "DRUG" FROM fnd', *CO)
-_NUMBERED = "num AS (SELECT CAST(row_number() OVER (ORDER BY gene, drug) - 1 AS INTEGER) AS id, gene, drug, count(*) AS numarticles FROM fnd GROUP BY gene, drug)"
-ORACLE["export_genedrug"] = sql("SELECT * FROM num", *CO, _NUMBERED)
-ORACLE["export_dg_pmids"] = sql("SELECT CAST(text_id AS VARCHAR) AS pmid, id AS dg_id FROM fnd JOIN num USING (gene, drug)", *CO, _NUMBERED)
+NUMBERED = "num AS (SELECT CAST(row_number() OVER (ORDER BY gene, drug) - 1 AS INTEGER) AS id, gene, drug, count(*) AS numarticles FROM fnd GROUP BY gene, drug)"
+ORACLE["export_genedrug"] = sql("SELECT * FROM num", *CO, NUMBERED)
+ORACLE["export_dg_pmids"] = sql("SELECT CAST(text_id AS VARCHAR) AS pmid, id AS dg_id FROM fnd JOIN num USING (gene, drug)", *CO, NUMBERED)
 ORACLE["export_star"] = sql(
     """SELECT CAST(pmid AS VARCHAR) AS pmid, title, CASE WHEN abstract <> '' THEN substr(abstract, 1, 2450) END AS abs, genes, drugs
     FROM art JOIN (SELECT text_id AS pmid, string_agg(DISTINCT gene, ' ' ORDER BY gene) AS genes, string_agg(DISTINCT drug, ' ' ORDER BY drug) AS drugs FROM fnd GROUP BY text_id) USING (pmid)""",

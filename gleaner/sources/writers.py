@@ -15,6 +15,8 @@ from gleaner.operators import metrics
 from gleaner.operators.browse import paged, rendered
 from gleaner.operators.model import Model, feature_stats, feature_table, top_tfidf
 from gleaner.operators.retrieve import ranked
+from gleaner.session import Cuts
+from gleaner.sources.files import listed, statements, write_statements
 
 
 def score_lines(scores: DataFrame, ordered: bool = True) -> DataFrame:
@@ -76,7 +78,7 @@ def descriptor_lines(values: Mapping, ids: Iterable[int] = ()) -> list[str]:
 def query_report(results: DataFrame, inputs: DataFrame, model: Model, articles: DataFrame, params: Params, maxreport: int = 1000, perfile: int = 100) -> dict[str, DataFrame]:
     """The tables of a retrieval report: parameters, feature statistics, best terms, inputs and paged results."""
     spark = results.sparkSession
-    shown = paged(rendered(results.limit(maxreport).join(articles, "pmid")), perfile)
+    shown = paged(rendered(results.where(F.col("rank") <= maxreport).join(articles, "pmid")), perfile)
     given = spark.createDataFrame([(k, str(v)) for k, v in vars(params).items()], "name string, value string")
     return {
         "parameters": given, "stats": feature_stats(model, params.type_mask), "top_terms": top_tfidf(model),
@@ -114,27 +116,40 @@ SCHEMA = (
 )
 
 
-def export_sql(tables: Mapping[str, DataFrame], path: str) -> None:
-    """Text files of statements: the schema, then each table's inserts in its own directory."""
+#: The order of each table's rows.
+_KEYS = {"cbs": ["pmid"], "genedrug": ["id"], "dg_pmids": ["dg_id", "pmid"]}
+
+
+def export_sql(tables: Mapping[str, DataFrame], path: str) -> list[str]:
+    """Files of statements: the schema, then each table's inserts in its own folder, in the order of its key. Returns the folders in order.
+
+    A table's files are there once all of them are written; rows are dealt by range, so the parts follow each other.
+    """
     from gleaner.operators.cooccur import insert_statements
 
     spark = next(iter(tables.values())).sparkSession
-    write_text(spark.createDataFrame([(s,) for s in SCHEMA], "value string").coalesce(1), f"{path}/0_schema")
+    folders = [f"{path}/0_schema"]
+    write_statements(spark.createDataFrame([(s,) for s in SCHEMA], "statement string").coalesce(1), folders[0])
     for k, name in enumerate(("genedrug", "dg_pmids", "cbs"), 1):
-        write_text(insert_statements(tables[name], name), f"{path}/{k}_{name}")
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = tables[name].repartitionByRange(parts, *_KEYS[name]).sortWithinPartitions(*_KEYS[name])
+        folders.append(f"{path}/{k}_{name}")
+        write_statements(insert_statements(rows, name).withColumnRenamed("value", "statement"), folders[-1])
+    return folders
 
 
 def export_sqlite(tables: Mapping[str, DataFrame], path: str) -> None:
-    """A small export into one local SQLite file, row by row from the driver."""
+    """The export's files of statements, run into one new local SQLite file in one transaction."""
     import sqlite3
 
     if os.path.exists(path):
         os.remove(path)
+    cuts = Cuts(next(iter(tables.values())).sparkSession, "export")
     with sqlite3.connect(path) as con:
-        con.executescript("".join(SCHEMA))
-        for name in ("genedrug", "dg_pmids", "cbs"):
-            df = tables[name]
-            con.executemany(f"INSERT INTO {name} VALUES ({','.join('?' * len(df.columns))})", (tuple(r) for r in df.toLocalIterator()))
+        for folder in export_sql(tables, f"{cuts.root}/sql"):
+            for part in listed(folder, ".sql"):
+                for said in statements(part):
+                    con.execute(said)
 
 
 def zip_directory(directory: str, target: str, skip: Iterable[str] = ()) -> None:

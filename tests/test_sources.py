@@ -6,6 +6,7 @@ import random
 import re
 import shutil
 import sqlite3
+import struct
 import time
 
 import pytest
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gleaner.config import Params
 from gleaner.operators import browse, cooccur, model, retrieve
-from gleaner.sources import readers, writers
+from gleaner.sources import files, readers, writers
 from gleaner.streaming import growing, ingest, tasks
 
 
@@ -217,6 +218,65 @@ def test_writers_and_reports(spark, tmp_path):
     assert model.best_features(m.weights).count() == 3
 
 
+VECTORS = [(12, 20070101, [1, 2, 6, 5484]), (34, 19980308, [5, 6, 8342, 9000, 9001]), (56, 20001207, [])]
+
+
+def test_feature_stream(spark, tmp_path, monkeypatch):
+    """Round trip in any number of parts; the file as other programs have it; bad lengths and cut records are errors."""
+    kind = "pmid long, date_key int, features array<int>"
+    files.write_feature_stream(spark.createDataFrame(VECTORS, kind).coalesce(1), str(tmp_path / "a"))
+    (path,) = (tmp_path / "a").glob("*.stream")
+    said = bytes.fromhex("0c000000d53e32010500" + "8181842ae6" + "2200000014e030010700" + "85814190059281" + "38000000b73131010000")
+    assert path.read_bytes() == said
+    for part, n in ((1, 3), (20, 2), (1 << 20, 1)):
+        got = files.read_feature_stream(spark, str(path), part=part)
+        assert sorted(map(tuple, got.collect())) == VECTORS and got.rdd.getNumPartitions() == n
+    many = spark.range(20_000).selectExpr("id AS pmid", "CAST(20000101 + id % 28 AS INT) AS date_key", "transform(sequence(1, CAST(1 + id % 40 AS INT)), x -> CAST(x * x * 7 AS INT)) AS features")
+    files.write_feature_stream(many.repartition(5), f"file://{tmp_path}/b")
+    back = files.read_feature_stream(spark, f"file://{tmp_path}/b", part=50_000)
+    assert back.rdd.getNumPartitions() > 10 and back.exceptAll(many).count() == 0 and back.count() == 20_000
+    for bad, message in ((said[:-1], "cut off"), (said[:-11], "cut off"), (said + bytes(4), "cut off"), (said[:8] + b"\xff\x7f" + said[10:], "a record of 32767 bytes")):
+        (tmp_path / "bad.stream").write_bytes(bad)
+        with pytest.raises(Exception, match=message):
+            files.read_feature_stream(spark, str(tmp_path / "bad.stream"), longest=1000).collect()
+    (tmp_path / "none.stream").write_bytes(b"")
+    assert files.read_feature_stream(spark, str(tmp_path / "none.stream")).count() == 0
+    with pytest.raises(Exception, match="too long"):
+        files.write_feature_stream(spark.createDataFrame([(1, 1, list(range(0, 70_000)))], kind), str(tmp_path / "long"))
+    assert not list((tmp_path / "long").glob("part-*"))
+
+
+def test_records_in_small_chunks(tmp_path, monkeypatch):
+    """Heads and features that reach over the ends of chunks."""
+    monkeypatch.setattr(files, "CHUNK", 37)
+    rng = random.Random(1)
+    rows = [(i, 20000101 + i, rng.randbytes(rng.randrange(60))) for i in range(300)]
+    path = tmp_path / "r.stream"
+    path.write_bytes(b"".join(struct.pack("<IIH", i, d, len(c)) + c for i, d, c in rows))
+    records = files.Records(str(path), 100)
+    assert [(i, d, bytes(c)) for _, i, d, c in records.heads(0, None)] == rows
+    borders = records.borders(500)
+    assert [(i, d, bytes(c)) for a, b in zip(borders, borders[1:], strict=False) for _, i, d, c in records.heads(a, b)] == rows and len(borders) > 10
+
+
+def test_statements_are_written_whole_or_not(spark, tmp_path):
+    """Order over parts, strings with semicolons, quotes and line ends; what was there stays if a write fails."""
+    said = [f"INSERT INTO t VALUES ({i}, 'it''s; {i};\n'';\n é');" for i in range(300)]
+    rows = spark.createDataFrame(list(enumerate(said)), "k int, statement string").repartitionByRange(7, "k").sortWithinPartitions("k")
+    path = str(tmp_path / "s")
+    files.write_statements(rows, path)
+    assert [r.statement for r in files.read_statements(spark, path).orderBy("part", "number").collect()] == said
+    old = sorted(p.name for p in (tmp_path / "s").iterdir())
+    fails = rows.withColumn("statement", F.when(F.col("k") == 299, F.raise_error(F.lit("lost"))).otherwise(F.col("statement")))
+    with pytest.raises(Exception, match="lost"):
+        files.write_statements(fails, path)
+    assert sorted(p.name for p in (tmp_path / "s").iterdir()) == old
+    with pytest.raises(Exception, match="FileExists"):
+        files.write_statements(rows, path, "append")
+    files.write_statements(rows.where("k < 2"), path)
+    assert [r.statement for r in files.read_statements(spark, path).orderBy("part", "number").collect()] == said[:2] and len(list((tmp_path / "s").glob("part-*"))) <= 2
+
+
 def named(rows):
     return {(r.ftype, r.fname): (r.fid, r.df) for r in rows.collect()}
 
