@@ -68,22 +68,28 @@ EXPERIMENTS = {
     "query_small": Params(space="mqi", method="bgfreq", mincount=1, limit=1000),
 }
 
-#: Aliases of feature spaces: the space and the types that are masked out of it.
+#: Codes of feature spaces: the space and the types that are left out of it. (Fixed values.)
 SPACES = {
-    "mesh": ("mqi", ("qual", "issn")),
+    "iedbword": ("raw_word", ()),
+    "iedbconcat": ("raw_all", ()),
+    "wordfold": ("word_fold", ()),
+    "wordnum": ("word_num", ()),
+    "wordstrip": ("word_strip", ()),
+    "wmqia": ("wmqia", ()),
+    "wmqiafilt": ("wmqia_filt", ()),
+    "word": ("wmqia", ("mesh", "qual", "issn", "a")),
+    "author": ("wmqia", ("mesh", "qual", "issn", "w")),
+    "meshqi": ("mqi", ()),
+    "meshq": ("mqi", ("issn",)),
+    "meshnq": ("mqi", ("qual", "issn")),
     "qual": ("mqi", ("mesh", "issn")),
     "issn": ("mqi", ("mesh", "qual")),
-    "mesh_qual": ("mqi", ("issn",)),
+}
+#: Further ones of the same kind.
+MORE_SPACES = {
     "mesh_issn": ("mqi", ("qual",)),
-    "mqi": ("mqi", ()),
-    "word": ("wmqia", ("mesh", "qual", "issn", "a")),
-    "author": ("wmqia", ("mesh", "qual", "issn", "w")),
     "word_mesh": ("wmqia", ("qual", "issn", "a")),
     "wmqi": ("wmqia", ("a",)),
-    "wmqia": ("wmqia", ()),
-    "wmqia_filt": ("wmqia_filt", ()),
-    "raw_word": ("raw_word", ()),
-    "raw_all": ("raw_all", ()),
 }
 
 #: What a task's form may hold, and its ranges. (Fixed values.)

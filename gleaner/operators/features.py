@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner import config
 from gleaner.functions import text as T
 
 Space = Callable[[DataFrame], DataFrame]
 
 
-
 def _typed(ftype: str, names: Column) -> Column:
     return F.transform(names, lambda n: F.struct(F.lit(ftype).alias("ftype"), n.alias("fname")))
 
@@ -98,3 +98,13 @@ def extract(articles: DataFrame, space: str) -> DataFrame:
     if space not in SPACES:
         raise KeyError(f"no feature space {space!r}")
     return SPACES[space](articles)
+
+
+def coded(articles: DataFrame, code: str) -> DataFrame:
+    """The features of a space by its code: its space without the types that the code leaves out."""
+    codes = config.SPACES | config.MORE_SPACES
+    if code not in codes:
+        raise KeyError(f"no feature space of code {code!r}")
+    space, left_out = codes[code]
+    rows = extract(articles, space)
+    return rows.where(~F.col("ftype").isin(list(left_out))) if left_out else rows

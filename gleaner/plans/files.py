@@ -7,18 +7,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.config import EXPERIMENTS, Params
+from gleaner.config import EXPERIMENTS, SPACES, Params, Task
 from gleaner.functions import dates
-from gleaner.operators import browse, cooccur, index, metrics, model, retrieve, sweep, validate
+from gleaner.operators import browse, cooccur, features, index, metrics, model, retrieve, sweep, validate
+from gleaner.operators.order import numbered
 from gleaner.plans import catalog
 from gleaner.plans.catalog import FOLDS, LATER, SEED, basket, rounded, text_corpus
 from gleaner.plans.oracle import (
     ARTICLES, BASKET, COUNTS, CO, CV, CV_SELECT, FOLLOW, LABELLED, NUMBERED, OTHERS, RANKED, RESULTS, TEXT_CORPUS, TEXTS, ORACLE as KNOWN, ratios, scored, scores, spans, sql, vector, weights,
 )
-from gleaner.session import Cuts, delete
+from gleaner.session import Cuts, delete, reach
 from gleaner.sources import corpora, files, readers, writers
 from gleaner.streaming import ingest, tasks
 from gleaner.streaming.growing import Batches, GrowingIndex
@@ -182,7 +184,7 @@ def drugs_file(spark, d):
 def stopwords_file(spark, d):
     path = folder(spark, "stop")
     writers.write_text(spark.read.parquet(f"{d}/part.parquet").where("p_type is not null").select(F.col("p_type").alias("value")), path)
-    return spark.createDataFrame([(w,) for w in readers.read_stopwords(spark, path)], "word string")
+    return readers.stopwords(spark, path)
 
 
 @query(sql("SELECT pmid, title, source AS journal, lang AS heading FROM art WHERE pmid IN (SELECT doc_id FROM labels)", ARTICLES))
@@ -210,6 +212,69 @@ def ids_in_text(spark, d):
     return said.select(F.col("o_custkey").alias("customer"), F.explode(dates.parse_ids(F.col("t"))).alias("pmid"))
 
 
+_KEPT = {code: (spaces[0], spaces[1]) for code, spaces in SPACES.items()}
+_SPACE_SQL = {"raw_word": "words_raw", "raw_all": "words_raw_all", "word_fold": "words_fold", "word_num": "words_num", "word_strip": "words_strip", "wmqia": "features_union", "wmqia_filt": "features_filtered", "mqi": "features_headings"}
+_CODED = " UNION ALL ".join(
+    f"SELECT '{code}' AS code, ftype, count(*) AS n, count(DISTINCT fname) AS names FROM {space} WHERE ftype NOT IN ('', {', '.join(repr(t) for t in left) or repr('')}) GROUP BY ftype" for code, (space, left) in _KEPT.items()
+)
+
+
+@query(sql(f", {', '.join(f'{name} AS ({KNOWN[of].partition(ARTICLES.strip())[2]})' for name, of in _SPACE_SQL.items())} {_CODED}", ARTICLES))
+def space_codes(spark, d):
+    """How many features and names of each type every code of a space has in all documents."""
+    articles, got = corpora.text_articles(spark, d), None
+    for code in SPACES:
+        own = features.coded(articles, code).groupBy("ftype").agg(F.count("*").alias("n"), F.count_distinct("fname").alias("names")).withColumn("code", F.lit(code))
+        got = own if got is None else got.unionByName(own)
+    return got
+
+
+@query(sql("SELECT pmid, title, source AS journal FROM art WHERE pmid = (SELECT max(pmid) FROM art)", ARTICLES))
+def article_by_key(spark, d):
+    """The newest article by its key, through its printable form."""
+    articles = corpora.text_articles(spark, d)
+    found = readers.point(articles, articles.agg(F.max("pmid")).first()[0])
+    said = found.select("pmid", readers.as_json(found).alias("said"))
+    return said.select("pmid", F.get_json_object("said", "$.title").alias("title"), F.get_json_object("said", "$.journal").alias("journal"))
+
+
+@query(sql(f"SELECT pmid, date_key FROM art WHERE date_key BETWEEN {LATER} AND {LATEST} ORDER BY md5('{SEED}|' || pmid), pmid LIMIT 1000", BASKET))
+def dated_sample(spark, d):
+    """A random thousand of the dated ids within bounds."""
+    path = folder(spark, "dated")
+    writers.write_text(writers.dated_lines(corpora.basket_articles(spark, d)), path)
+    return readers.dated_subset(readers.read_dated_ids(spark, path), LATER, LATEST, 1000, SEED)
+
+
+@query("SELECT o_orderkey + 1000000000 AS pmid FROM orders")
+def no_valid_ids(spark, d):
+    """A query of ids that the index lacks ends with all of them."""
+    articles = corpora.basket_articles(spark, d)
+    try:
+        return retrieve.valid_ids(retrieve.id_status(articles.selectExpr("pmid + 1000000000 AS pmid"), articles))
+    except retrieve.NoValidIds as none:
+        return none.broken
+
+
+def _problems(batches):
+    for rows in batches:
+        said = [Task(r.dataset, r.operation, tuple(range(r.n_ids)), r.limit, numnegs=r.numnegs, delcode=r.delcode).problems() for r in rows.itertuples()]
+        yield pd.DataFrame({"form": rows.form, "problems": [" | ".join(s.partition(":")[0] for s in p) for p in said]})
+
+
+_FORM = "SELECT o_orderkey AS form, o_orderpriority || CASE WHEN o_orderkey % 7 = 0 THEN '#' ELSE '' END AS dataset, CASE WHEN o_custkey % 3 = 0 THEN 'validation' WHEN o_custkey % 11 = 0 THEN 'other' ELSE 'retrieval' END AS operation, CAST(o_custkey % 50 AS INT) AS n_ids, CAST(o_totalprice AS INT) AS \"limit\", CAST(o_custkey AS INT) AS numnegs, o_orderstatus || o_custkey AS delcode FROM orders"
+
+
+@query(f"""SELECT form, array_to_string(list_filter([CASE WHEN NOT regexp_full_match(dataset, '[ a-zA-Z0-9.,;:_-]{{1,30}}') THEN 'dataset' END, CASE WHEN NOT regexp_full_match(delcode, '[ a-zA-Z0-9.;:_-]{{0,10}}') THEN 'delcode' END,
+  CASE WHEN operation = 'other' THEN 'operation' END, CASE WHEN "limit" NOT BETWEEN 100 AND 10000 THEN 'limit' END, CASE WHEN numnegs NOT BETWEEN 100 AND 100000 THEN 'numnegs' END, CASE WHEN operation = 'validation' AND n_ids < 30 THEN 'ids' END], lambda x: x IS NOT NULL), ' | ') AS problems
+  FROM ({_FORM.replace("CAST(o_totalprice AS INT)", "CAST(trunc(o_totalprice) AS INT)")})""")
+def form_problems(spark, d):
+    """What is wrong with forms that orders stand for."""
+    reach(spark)
+    forms = spark.sql(_FORM.replace("FROM orders", "FROM {orders}").replace('"limit"', "`limit`"), orders=spark.read.parquet(f"{d}/orders.parquet"))
+    return forms.mapInPandas(_problems, "form long, problems string")
+
+
 # ---- the index and its stores
 
 
@@ -446,6 +511,18 @@ def customer_histograms(spark, d):
     return rounded(rounded(got, "left", digits=6), "mass", digits=9)
 
 
+@query(sql("SELECT CAST(row_number() OVER (ORDER BY date DESC, rank) AS INTEGER) AS place, rank, pmid, date FROM res", ARTICLES, RESULTS))
+def browse_by_date(spark, d):
+    rows = catalog._results(spark, d).select("rank", "pmid", "date")
+    return numbered(rows, [F.desc("date"), "rank"], "place")
+
+
+@query(sql("SELECT CAST(row_number() OVER (ORDER BY journal NULLS LAST, rank) AS INTEGER) AS place, rank, pmid, journal FROM res", ARTICLES, RESULTS))
+def browse_by_journal(spark, d):
+    rows = catalog._results(spark, d).select("rank", "pmid", "journal")
+    return numbered(rows, [F.asc_nulls_last("journal"), "rank"], "place")
+
+
 def _literal(c: str) -> str:
     quote = "chr(39)"
     return f"CASE WHEN {c} IS NULL THEN 'NULL' ELSE {quote} || replace({c}, {quote}, {quote} || {quote}) || {quote} END"

@@ -85,9 +85,14 @@ def read_dated_ids(spark: SparkSession, path: str) -> DataFrame:
     return _lines(spark, path).select(F.get("t", F.lit(0)).cast("long").alias("pmid"), F.get("t", F.lit(1)).cast("int").alias("date_key"))
 
 
+def stopwords(spark: SparkSession, path: str) -> DataFrame:
+    """(word): the distinct words of files with one a line, lower-cased."""
+    return spark.read.text(path).where("trim(value) <> ''").select(F.lower(F.trim("value")).alias("word")).distinct()
+
+
 def read_stopwords(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """One word a line, lower-cased; a list of this kind is small, and has to be."""
-    found = spark.read.text(path).where("trim(value) <> ''").select(F.lower(F.trim("value"))).distinct().limit(100_001).collect()
+    """The words as a parameter of word spaces; a list of this kind is small, and has to be."""
+    found = stopwords(spark, path).limit(100_001).collect()
     if len(found) > 100_000:
         raise ValueError("more than 100000 stop words")
     return tuple(sorted(r[0] for r in found))
