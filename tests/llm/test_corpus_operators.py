@@ -235,6 +235,62 @@ def test_secrets_on_documents(spark, sf_dir):
         assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
 
 
+def plain_ownership(rows):
+    """Per row of (id, text, owner): all spans by start and kind, with those of tokens that only one owner has in few texts."""
+    finds, counts = [], defaultdict(dict)
+    for k, (_, t, owner) in enumerate(rows):
+        t = t or ""
+        base = spans(t)
+        own = [(kind, a, b, t[a:b] if kind != "assign" else re.search(r"[A-Za-z0-9+/_.=-]+\Z", t[a:b])[0]) for kind, a, b in base]
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", t):
+            if all(re.search(c, m[0]) for c in ("[0-9]", "[a-z]", "[A-Z]")) and not any(a < m.end() and m.start() < b for _, a, b in base):
+                own.append(("owned", *m.span(), m[0]))
+        finds.append(own)
+        for *_, value in own:
+            held = counts[value].setdefault(t, [])
+            held += [owner] if owner is not None else []
+    out = []
+    for own in finds:
+        kept = []
+        for kind, a, b, value in own:
+            owners = {min(o, default=None) for o in counts[value].values()}
+            live = len(set(value)) >= 8 and len(owners) < 2 and len(counts[value]) < 16
+            if kind != "owned" or live:
+                kept.append((a, ("assign", "access", "hex", "owned").index(kind), f"{kind}:{a}:{b}"))
+        out.append(",".join(x for *_, x in sorted(kept)))
+    return out
+
+
+def test_ownership_is_brute_force(spark, sf_dir):
+    """All spans of documents with planted tokens: of one owner, of several, in many texts, copied texts, inside base spans, and dull ones."""
+    rng = random.Random(8)
+    token = lambda: "".join(rng.choices("abcdefgHIJKLM0123456789+/_-", k=rng.randrange(20, 40))) + "aZ1"
+    pool = [token() for _ in range(60)] + ["aA1" * 8, "Aa1" + "0" * 30]
+    rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source").collect()]
+    for k in range(300):
+        said = " ".join(rng.choice(["a word", f"key {rng.choice(pool)},", f'token = "{rng.choice(pool)}"', f"({pool[k % 12]})", "deadbeef" * 3]) for _ in range(rng.randrange(5)))
+        rows.append((10_000 + k, said, rng.choice(["a", "a", "a", "b", None])))
+    rows += [(20_000 + k, f"see {pool[59]}", "a") for k in range(3)] + [(21_000 + k, f"{k} has {pool[58]}", "c") for k in range(20)] + [(5, f"see {pool[59]}", "b")]
+    want = plain_ownership(rows)
+    got = defaultdict(list)
+    for r in secret_scan.digest(docs(spark, rows)).collect():
+        got[r.doc_id].append(r.spans)
+    for i in {i for i, _, _ in rows}:
+        assert sorted(got[i]) == sorted(w for (j, _, _), w in zip(rows, want, strict=True) if i == j), i
+    assert sum("owned" in w for w in want) > 15 and sum("owned" not in w and bool(t) and any(p in t for p in pool) for (_, t, _), w in zip(rows, want, strict=True)) > 30
+
+
+def test_secrets_of_long_texts(spark):
+    """A text of many finds takes time that grows with it."""
+    many = " ".join(f'token="abcdefgh{i:06}" Zq{i:06}aBGhIjKlMnOp' for i in range(6000))
+    table = docs(spark, [(1, many, "a"), (2, "x" * 2_000_000, "b")])
+    began = time.perf_counter()
+    (row,) = [r for r in secret_scan.digest(table).collect() if r.doc_id == 1]
+    blank = {r.doc_id: r.text for r in secret_scan.without_secrets(table).collect()}
+    assert row.n_assign == 6000 and row.spans.count("owned:") == 6000 and time.perf_counter() - began < 120
+    assert blank[1].count("[SECRET]") == 12_000 and blank[2] == "x" * 2_000_000
+
+
 def test_without_secrets(spark):
     df = docs(spark, [(1, 'a token="abcdefghijkl0123" b', "x"), (2, "clean", "y"), (3, None, "y"), (4, "token=" + "0" * 20, "x")])
     out = secret_scan.without_secrets(df)

@@ -1,6 +1,8 @@
 """The pipeline's stages on odd tables and, on the smallest data, against plain Python."""
 
 import re
+from collections import Counter
+from itertools import combinations
 
 import public_tokenizers
 import pytest
@@ -78,23 +80,27 @@ def test_dedup_stage_keeps_one_of_each_group(spark, sf_dir):
     kept = {r.doc_id for r in simhash.without_copies(docs).select("doc_id").collect()}
     exact = {r.component_id for r in simhash.near_duplicates(docs).collect()}
     assert kept <= exact
-    shingles = {}
+    shingles, holders = {}, {}
     for r in docs.collect():
-        w = r.text.lower().split()
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text))
         shingles[r.doc_id] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
-    by_first = {}
-    for i in sorted(shingles):
-        for s in shingles[i]:
-            by_first.setdefault(s, []).append(i)
-    near = lambda a, b: len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])
-    pairs = {(a, b) for group in by_first.values() for a in group[:20] for b in group[:20] if a < b and near(a, b)}
-    left = [p for p in pairs if p[0] in kept and p[1] in kept]
-    assert len(pairs) > 20 and len(left) <= 0.02 * len(pairs)
-    # a document that goes has a copy that stays or leads to one
-    alone = set(shingles) - {i for p in pairs for i in p}
-    gone = alone - kept
-    fp = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
-    assert all(fp[i] != i for i in gone)
+        for x in shingles[r.doc_id]:
+            holders.setdefault(x, []).append(r.doc_id)
+    # all pairs that share a shingle, and what they share
+    shared = Counter(p for own in holders.values() for p in combinations(own, 2))
+    links = [p for p, n in shared.items() if n >= 0.8 * (len(shingles[p[0]]) + len(shingles[p[1]]) - n)]
+    root = {i: i for i in shingles}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in [*links, *((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect())]:
+        x, y = sorted((top(a), top(b)))
+        root[y] = x
+    assert len(links) > 50 and not [p for p in links if p[0] in kept and p[1] in kept]
+    assert kept == {top(i) for i in shingles}
 
 
 @pytest.mark.parametrize("ids", [(None, None, None, None, None), (7, 7, 7, 7, 7)])
