@@ -71,8 +71,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages; a stage's table is deleted as soon as the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     cuts = Cuts(spark, "pipeline")
     for _, stage in STAGES[:-1]:
         docs = cuts.write(stage(spark, docs, sf_dir))
+        if before is not None:
+            cuts.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
