@@ -18,7 +18,7 @@ from gleaner.operators.order import numbered
 from gleaner.plans import catalog
 from gleaner.plans.catalog import FOLDS, LATER, SEED, basket, rounded, text_corpus
 from gleaner.plans.oracle import (
-    ARTICLES, BASKET, COUNTS, CO, CV, CV_SELECT, FOLLOW, LABELLED, NUMBERED, OTHERS, RANKED, RESULTS, TEXT_CORPUS, TEXTS, ORACLE as KNOWN, ratios, scored, scores, spans, sql, vector, weights,
+    ARTICLES, BASKET, COUNTS, CO, CV, CV_SELECT, FOLLOW, LABELLED, NUMBERED, OTHERS, RANKED, RESULTS, STATS, TEXT_CORPUS, TEXTS, TOP_TERMS, ORACLE as KNOWN, fold_ranges, ratios, scored, scores, spans, sql, vector, weights,
 )
 from gleaner.session import Cuts, delete, reach
 from gleaner.sources import corpora, files, readers, writers
@@ -397,15 +397,41 @@ _PAGED = """lst_ AS (SELECT pmid, row_number() OVER (ORDER BY score DESC, pmid D
 pgd AS (SELECT *, CAST(least((rank - 1) // 64, greatest(1, (n + 63) // 64 - CASE WHEN n % 64 <> 0 AND n % 64 < 32 THEN 1 ELSE 0 END) - 1) AS INTEGER) AS page FROM (SELECT *, count(*) OVER () AS n FROM lst_))"""
 
 
-@query(sql("SELECT pmid, CAST(rank AS INTEGER) AS rank, page FROM pgd", *_TEXT, _PAGED))
-def query_report(spark, d):
-    """A report's tables written, and its pages of results read back."""
+def _report(spark, d, name: str) -> DataFrame:
+    """One table of a retrieval's report, written and read back."""
     docs, vocab = text_corpus(spark, d)
     positives, path = corpora.toxic_labels(spark, d).where("label = 1").select("pmid"), folder(spark, "report")
     params = Params(limit=200)
     results, inputs, m = retrieve.query(docs, vocab, positives, params)
-    writers.write_report(writers.query_report(results, inputs, m, corpora.text_articles(spark, d), params, maxreport=200, perfile=64), path)
-    return spark.read.parquet(f"{path}/results").select("pmid", "rank", "page")
+    tables = writers.query_report(results, inputs, m, corpora.text_articles(spark, d), params, maxreport=150, perfile=64)
+    writers.write_report({name: tables[name]}, path)
+    return spark.read.parquet(f"{path}/{name}")
+
+
+@query(sql("SELECT pmid, CAST(rank AS INTEGER) AS rank, page FROM pgd", *_TEXT, _PAGED.replace("LIMIT 200", "LIMIT 150")))
+def query_report(spark, d):
+    """Of 200 results the best 150, in pages."""
+    return _report(spark, d, "results").select("pmid", "rank", "page")
+
+
+@query(sql(STATS.format(open="pos + neg > 0"), *_TEXT))
+def report_stats(spark, d):
+    return rounded(_report(spark, d, "stats"), "aggressivity", "pos_average", "neg_average")
+
+
+@query(sql(TOP_TERMS, *_TEXT))
+def report_top_terms(spark, d):
+    return _report(spark, d, "top_terms").select("fid", "ftype", "fname", "pos", "neg", "tfidf")
+
+
+@query(sql("SELECT pos AS pos_count, neg AS neg_count, fid AS termid, ftype AS type, fname AS term, round(score, 6) + 0.0 AS score FROM wts", *_TEXT))
+def report_features(spark, d):
+    return rounded(_report(spark, d, "features").select("pos_count", "neg_count", "termid", "type", "term", "score"), "score")
+
+
+@query(sql("SELECT pmid, CAST(rank AS INTEGER) AS rank, title FROM (SELECT pmid, row_number() OVER (ORDER BY score DESC, pmid DESC) AS rank FROM scr WHERE pmid IN (SELECT pmid FROM relevant)) JOIN art USING (pmid) WHERE rank <= 150", *_TEXT))
+def report_inputs(spark, d):
+    return _report(spark, d, "inputs").select("pmid", "rank", "title")
 
 
 _CUTS = {"df0": "true", "df2": "pos + neg >= 2", "df5": "pos + neg >= 5", "df10": "pos + neg >= 10", **{f"ig{x:g}": f"infogain >= {x:.7f}" for x in (1e-6, 1e-5, 2e-5, 1e-4, 1e-3)}, "positives": "pos <> 0"}
@@ -482,12 +508,45 @@ def experiment_row(spark, d):
     return rounded(row, "avprec", "w", "aggressivity", "breakeven", *(f"p{k}" for k in range(11)))
 
 
+def _validation(spark, d, name: str) -> DataFrame:
+    """One table of a validation's report, written and read back."""
+    path = folder(spark, "validation")
+    tables = writers.validation_report(catalog._basket_scores(spark, d), catalog.trained(spark, d))
+    writers.write_report({name: tables[name]}, path)
+    return spark.read.parquet(f"{path}/{name}")
+
+
 @query(KNOWN["precision_11"])
 def validation_report(spark, d):
-    """A validation's tables written, and one of them read back."""
-    path = folder(spark, "validation")
-    writers.write_report(writers.validation_report(catalog._basket_scores(spark, d), catalog.trained(spark, d)), path)
-    return rounded(spark.read.parquet(f"{path}/precision_11"), "precision")
+    return rounded(_validation(spark, d, "precision_11"), "precision")
+
+
+@query(fold_ranges("coalesce(min(score) FILTER (score >= 0), max(score))"))
+def validation_ranges(spark, d):
+    return rounded(_validation(spark, d, "ranges"), "average", "minimum", "maximum")
+
+
+@query(scored("SELECT score, pe, ne, tp, fp, tn, fn, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("tpr", "fpr", "ppv", "u", "fm", "fma")) + " FROM rat", ratios()))
+def validation_ratios(spark, d):
+    return rounded(_validation(spark, d, "ratios"), "tpr", "fpr", "ppv", "u", "fm", "fma")
+
+
+@query(sql(STATS.format(open="pos + neg > 0"), BASKET, COUNTS, weights()))
+def validation_stats(spark, d):
+    return rounded(_validation(spark, d, "stats"), "aggressivity", "pos_average", "neg_average")
+
+
+@query(scored(
+    """SELECT * FROM (SELECT s.label, CAST(b AS INTEGER) AS bin, round(least + b * ((most - least) / bins), 10) + 0.0 AS left, coalesce(k, 0) AS count, round(CASE WHEN coalesce(k, 0) = 0 THEN 0.0 ELSE k / (n * ((most - least) / bins)) END, 6) + 0.0 AS mass
+    FROM (SELECT *, unnest(range(bins)) AS b FROM shp) s LEFT JOIN put p ON p.label = s.label AND p.bin = s.b)""",
+    """srt AS (SELECT label, score AS v, row_number() OVER (PARTITION BY label ORDER BY score) - 1 AS spot, count(*) OVER (PARTITION BY label) AS n FROM lab),
+    qrt AS (SELECT label, any_value(n) AS n, min(v) AS least, max(v) AS most, max(v) FILTER (spot = (3 * n) // 4) - max(v) FILTER (spot = n // 4) AS iqr FROM srt GROUP BY label),
+    shp AS (SELECT *, CAST(CASE WHEN iqr = 0 THEN 150 ELSE least(150, greatest(10, floor((most - least) / (2 * iqr * pow(n, -1.0 / 3))))) END AS INTEGER) AS bins FROM qrt),
+    put AS (SELECT label, CAST(least(bins - 1, CASE WHEN most = least THEN 0 ELSE floor((v - least) / ((most - least) / bins)) END) AS INTEGER) AS bin, count(*) AS k FROM srt JOIN shp USING (label) GROUP BY ALL)""",
+))
+def validation_histograms(spark, d):
+    """Scores of both classes."""
+    return rounded(rounded(_validation(spark, d, "score_histogram"), "left", digits=10), "mass")
 
 
 @query(sql("SELECT printf('%d, %d, %.6f, %.6f', rank, tp, recall, precision) AS value FROM (" + FOLLOW.format(known="relevant", ranked=RANKED.format(where="", limit=500)) + ")", BASKET, COUNTS, weights(), scores()))

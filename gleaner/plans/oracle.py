@@ -99,19 +99,15 @@ ORACLE["bg_counts_dated"] = sql("SELECT fid, pos, neg, pdocs, ndocs FROM cnt, to
 ORACLE["infogain"] = sql("SELECT fid, round(infogain, 9) + 0.0 AS infogain FROM wts", BASKET, COUNTS, weights())
 _CHOSEN = "ftype <> 'flag' AND pos + neg >= 20 AND pos <> 0 AND infogain >= 1e-6"
 ORACLE["select_features"] = sql("SELECT fid, selected FROM wts", BASKET, COUNTS, weights(select=_CHOSEN))
-ORACLE["feature_stats"] = sql(
-    """SELECT count(*) FILTER (selected) AS feats_selected, count(*) AS feats_total, count(*) FILTER (ftype <> 'flag' AND pos + neg > 0) AS feats_in_data,
+STATS = """SELECT count(*) FILTER (selected) AS feats_selected, count(*) AS feats_total, count(*) FILTER ({open}) AS feats_in_data,
     CAST(coalesce(sum(pos) FILTER (selected), 0) AS BIGINT) AS pos_occurrences, CAST(coalesce(sum(neg) FILTER (selected), 0) AS BIGINT) AS neg_occurrences,
     count(*) FILTER (selected AND pos > 0) AS pos_distinct, count(*) FILTER (selected AND neg > 0) AS neg_distinct, any_value(pdocs) AS pdocs, any_value(ndocs) AS ndocs,
-    round(CAST(count(*) FILTER (ftype <> 'flag' AND pos + neg > 0) AS DOUBLE) / count(*) FILTER (selected), 6) AS aggressivity,
-    round(CAST(sum(pos) FILTER (selected) AS DOUBLE) / any_value(pdocs), 6) AS pos_average, round(CAST(sum(neg) FILTER (selected) AS DOUBLE) / any_value(ndocs), 6) AS neg_average FROM wts""",
-    BASKET, COUNTS, weights(select="ftype <> 'flag' AND pos + neg >= 20"),
-)
-ORACLE["tfidf_top"] = sql(
-    """SELECT * FROM (SELECT fid, ftype, fname, pos, neg, round(CAST(pos AS DOUBLE) / (SELECT sum(pos) FROM wts) * CASE WHEN pos + neg = 0 THEN 0.0 ELSE ln((pdocs + ndocs) / CAST(pos + neg AS DOUBLE)) END, 9) AS tfidf
-    FROM wts ORDER BY tfidf DESC, fid DESC LIMIT 20) WHERE tfidf >= 0.001""",
-    BASKET, COUNTS, weights(),
-)
+    round(CAST(count(*) FILTER ({open}) AS DOUBLE) / count(*) FILTER (selected), 6) AS aggressivity,
+    round(CAST(sum(pos) FILTER (selected) AS DOUBLE) / any_value(pdocs), 6) AS pos_average, round(CAST(sum(neg) FILTER (selected) AS DOUBLE) / any_value(ndocs), 6) AS neg_average FROM wts"""
+ORACLE["feature_stats"] = sql(STATS.format(open="ftype <> 'flag' AND pos + neg > 0"), BASKET, COUNTS, weights(select="ftype <> 'flag' AND pos + neg >= 20"))
+TOP_TERMS = """SELECT * FROM (SELECT fid, ftype, fname, pos, neg, round(CAST(pos AS DOUBLE) / (SELECT sum(pos) FROM wts) * CASE WHEN pos + neg = 0 THEN 0.0 ELSE ln((pdocs + ndocs) / CAST(pos + neg AS DOUBLE)) END, 9) AS tfidf
+    FROM wts ORDER BY tfidf DESC, fid DESC LIMIT 20) WHERE tfidf >= 0.001"""
+ORACLE["tfidf_top"] = sql(TOP_TERMS, BASKET, COUNTS, weights())
 for _query, _method in {"weights_laplace": "laplace", "weights_split": "laplace_split", "weights_bgfreq": "bgfreq", "weights_ratio": "rubin"}.items():
     ORACLE[_query] = sql("SELECT fid, round(pfreq, 8) + 0.0 AS pfreq, round(nfreq, 8) + 0.0 AS nfreq, round(score, 8) + 0.0 AS score FROM wts", BASKET, COUNTS, weights(_method))
 ORACLE["model_scalars"] = sql("SELECT pdocs, ndocs, numdocs, round(prior, 6) + 0.0 AS prior, round(base, 6) + 0.0 AS base FROM mdl", BASKET, COUNTS, weights())
@@ -203,14 +199,22 @@ _AT = f"""mat AS (SELECT score, CAST(tp AS DOUBLE) AS tp, CAST(tn AS DOUBLE) AS
   WHERE score = (SELECT coalesce(min(score) FILTER (score >= {LEAST_SCORE}), max(score)) FROM crv))"""
 ORACLE["threshold_metrics"] = scored("SELECT score, " + ", ".join(f"round({m}, 6) + 0.0 AS {m}" for m in _METRICS) + " FROM perf", _AT, _PERFORMANCE.format(alpha=0.3))
 ORACLE["best_threshold"] = scored("SELECT score, round(fma, 6) AS fma FROM rat ORDER BY round(fma, 9) DESC, score LIMIT 1", ratios(0.3))
-_BY_FOLD = f"""matrices AS (SELECT fold, CAST(count(*) FILTER (label = 1 AND score >= {LEAST_SCORE}) AS DOUBLE) AS tp, CAST(count(*) FILTER (label <> 1 AND score < {LEAST_SCORE}) AS DOUBLE) AS tn,
-  CAST(count(*) FILTER (label <> 1 AND score >= {LEAST_SCORE}) AS DOUBLE) AS fp, CAST(count(*) FILTER (label = 1 AND score < {LEAST_SCORE}) AS DOUBLE) AS fn FROM lab GROUP BY GROUPING SETS ((fold), ())),
+
+
+def fold_ranges(least: str) -> str:
+    """Pooled values and extremes over folds of all metrics, at a threshold."""
+    by_fold = f"""bar AS (SELECT {least} AS least FROM crv),
+matrices AS (SELECT fold, CAST(count(*) FILTER (label = 1 AND score >= least) AS DOUBLE) AS tp, CAST(count(*) FILTER (label <> 1 AND score < least) AS DOUBLE) AS tn,
+  CAST(count(*) FILTER (label <> 1 AND score >= least) AS DOUBLE) AS fp, CAST(count(*) FILTER (label = 1 AND score < least) AS DOUBLE) AS fn FROM lab, bar GROUP BY GROUPING SETS ((fold), ())),
 mat AS (SELECT *, (SELECT (fp + tn) / (tp + fn) FROM matrices WHERE fold IS NULL) AS ur FROM matrices)"""
-ORACLE["fold_range"] = scored(
-    "SELECT metric, round(max(value) FILTER (fold IS NULL), 6) + 0.0 AS average, round(min(value), 6) + 0.0 AS minimum, round(max(value), 6) + 0.0 AS maximum FROM ("
-    + " UNION ALL ".join(f"SELECT '{m}' AS metric, fold, CAST({m} AS DOUBLE) AS value FROM perf" for m in _METRICS) + ") GROUP BY metric",
-    _BY_FOLD, _PERFORMANCE.format(alpha=0.5),
-)
+    return scored(
+        "SELECT metric, round(max(value) FILTER (fold IS NULL), 6) + 0.0 AS average, round(min(value), 6) + 0.0 AS minimum, round(max(value), 6) + 0.0 AS maximum FROM ("
+        + " UNION ALL ".join(f"SELECT '{m}' AS metric, fold, CAST({m} AS DOUBLE) AS value FROM perf" for m in _METRICS) + ") GROUP BY metric",
+        by_fold, _PERFORMANCE.format(alpha=0.5),
+    )
+
+
+ORACLE["fold_range"] = fold_ranges(f"any_value({LEAST_SCORE})")
 
 
 def binned(values: str, density: bool, empty: str) -> tuple[str, str]:
