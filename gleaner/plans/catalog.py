@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.config import Params
 from gleaner.functions import codec, dates
+from gleaner.functions.arrays import placed
 from gleaner.functions.text import article_text
 from gleaner.operators import browse, cooccur, index, metrics, model, retrieve, sweep, validate
 from gleaner.operators.features import extract
@@ -424,11 +425,9 @@ def _drugs(spark):
 
 def _genes(texts):
     """Spans of the gene words; their score stands for a finder's."""
-    spans = cooccur.match_spans(F.col("text"), F.lit("|".join(GENES)))
-    rows = texts.select("text_id", "text", F.explode(spans).alias("s"))
-    surface = F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
+    rows = texts.select("text_id", F.explode(placed(F.col("text"), "|".join(GENES))).alias("s"))
     score = F.when((F.col("text_id") + F.col("s.start")) % 5 == 0, 0.5).otherwise(0.9)
-    return rows.select("text_id", surface.alias("name"), "s.start", "s.end", score.alias("score"))
+    return rows.select("text_id", F.col("s.all").alias("name"), "s.start", "s.end", score.alias("score"))
 
 
 @query
@@ -442,7 +441,8 @@ def term_spans(spark, d):
 
 
 def _found(spark, d):
-    texts, cuts = _texts(spark, d), Cuts(spark, "spans")
+    cuts = Cuts(spark, "spans")
+    texts = cuts.write(_texts(spark, d))
     drugs = cuts.write(cooccur.find_drugs(texts, _drugs(spark)))
     return cuts.write(cooccur.cooccurrences(texts, drugs, cooccur.gene_spans(_genes(texts))))
 
