@@ -5,7 +5,8 @@ their fractional rank ``(rank - 1/2) / rows of the source`` and cut into shards
 counts differ by one at most, so each shard has each source's share.
 
 A hot source is ranked in hash buckets, and the global order in buckets of the fractional
-rank, so neither gathers in one task; texts are never shuffled.
+rank, so neither gathers in one task, nor do rows that are equal in all columns; texts are read once and never
+shuffled.
 
 Defined results: a null text has no bytes and the checksum of an empty one; a null source is
 a source of its own; repeated rows are rows; equal keys are ordered by size and checksum;
@@ -29,10 +30,11 @@ def interleaved(docs: DataFrame, shards: int = 16, seed: int = SEED, key: str =
     buckets = buckets_for(total)
     cuts = Cuts(docs.sparkSession, "shards")
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("id"), group_key(F.col(source)).alias("stratum"), (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole.cast("binary")).alias("crc"), shuffle_key(seed, F.col(key), F.col(text)).alias("h"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), group_key(F.col(source)).alias("stratum"), (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole.cast("binary")).alias("crc"), shuffle_key(seed, F.col(key), F.col(text)).alias("h"))
+    rows = cuts.write(rows)
     ranked = running(rows, "stratum", ["id", "size", "crc"], buckets)
     # the fraction of row r (from 0) of n is (2r + 1) / 2n; its bucket is exact in longs
-    counts = docs.groupBy(group_key(F.col(source)).alias("stratum")).agg(F.count("*").alias("n"))
+    counts = rows.groupBy("stratum").agg(F.count("*").alias("n"))
     placed = cuts.write(
         ranked.join(counts, "stratum")
         .withColumn("cell", F.expr(f"((2 * before + 1) * {buckets}L) div (2 * n)"))

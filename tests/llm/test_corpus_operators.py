@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gleaner.llm import ann, components, mixing, secret_scan, shards, simhash
+from gleaner.llm import ann, components, mixing, ranks, secret_scan, shards, simhash
 from gleaner.llm.common import Cuts
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, row string"
@@ -169,6 +169,29 @@ def test_mixing(spark, n):
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
 
+def test_one_row_is_a_third_of_a_table(spark, monkeypatch):
+    """Equal rows spread over the buckets like others, and laws hold."""
+    monkeypatch.setattr(ranks, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(ranks, "HOT", 50)
+    monkeypatch.setattr(ranks, "LEAST_BUCKETS", 8)
+    rows = [(7, "the same words again", "a")] * 1500 + [(i, f"text {i}", "ab"[i % 2]) for i in range(3000)]
+    table = docs(spark, rows).repartition(5).persist()
+    h = table.select(F.monotonically_increasing_id().alias("row"), F.col("source").alias("g"), ranks.shuffle_key(1, F.col("doc_id"), F.col("text")).alias("h"))
+    buckets = ranks.buckets_for(4500)
+    sizes = lambda df: df.groupBy("g", F.pmod("h", F.lit(buckets)).alias("b")).count().agg(F.max("count")).first()[0]
+    assert sizes(h) > 1500 and sizes(ranks.without_hot_keys(h, "g", buckets, "row")) < 60
+    got = shards.digest(table).collect()
+    per = Counter(r.shard for r in got)
+    assert len(got) == 4500 and max(per.values()) - min(per.values()) <= 1 and sorted(r.slot for r in got if r.shard == 3) == list(range(per[3]))
+    assert max(Counter(r.shard for r in got if r.doc_id == 7).values()) < 110  # 94 in the mean
+    mixed = mixing.digest(table).collect()
+    by = defaultdict(list)
+    for r in mixed:
+        assert r.taken <= 2 * r.size
+        by[r.target].append(r.taken)
+    assert len(mixed) == 4500 and all(abs(sum(t) - target) <= 0.02 * target + 10 for target, t in by.items())
+
+
 def test_schedule_follows_the_targets(spark):
     rows = [(i, "w " * 50, "abc"[i % 3]) for i in range(300)]
     _, filled = mixing.mix(docs(spark, rows))
