@@ -2,7 +2,8 @@
 
 Both write transactionally: every task writes a part into a hidden folder, and the commit gives the parts of the
 tasks that succeeded their final names, in order, and then one manifest; readers read what a manifest lists, or, where there is
-none, all files. A write that fails leaves nothing to read.
+none, all files. A write that fails leaves nothing to read: its hidden folder is deleted, and a task that outlives
+the failure finds no folder to write into, or leaves at most that hidden folder.
 """
 
 from __future__ import annotations
@@ -75,6 +76,9 @@ class PartsWriter(DataSourceArrowWriter):
 
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.overwrite, self.staging = options["path"].rstrip("/"), overwrite, f"_staging-{uuid.uuid4().hex}"
+        # made here, once, and not by tasks, which may outlive the write
+        files, own = _opened(self.path)
+        files.create_dir(f"{own}/{self.staging}", recursive=True)
 
     def pack(self, batch: pa.RecordBatch) -> bytes:
         raise NotImplementedError
@@ -83,7 +87,6 @@ class PartsWriter(DataSourceArrowWriter):
         context = TaskContext.get()
         files, own = _opened(self.path)
         part = f"{own}/{self.staging}/{context.partitionId()}-{context.taskAttemptId()}"
-        files.create_dir(f"{own}/{self.staging}", recursive=True)
         rows = 0
         with files.open_output_stream(part) as out:
             for batch in iterator:
@@ -93,8 +96,7 @@ class PartsWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Part | None]) -> None:
         files, own = _opened(self.path)
-        files.create_dir(own, recursive=True)
-        old = [] if files.get_file_info(own).type == pafs.FileType.NotFound else [i.path for i in files.get_file_info(pafs.FileSelector(own)) if i.is_file]
+        old = [i.path for i in files.get_file_info(pafs.FileSelector(own)) if i.is_file]
         if old and not self.overwrite:
             self.abort(messages)
             raise FileExistsError(self.path)
