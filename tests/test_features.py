@@ -12,6 +12,7 @@ from gleaner.functions import codec, dates, text
 from gleaner.operators import features
 from gleaner.sources import readers
 
+#: A string of odd signs, and below the article and words that must come out. (Fixed values.)
 STRING = "335-349 EU-Ses\n[ZC ad]. A/V-ATP +85.32% Nebø n=>3 -ORF's 2,3-zn(ncs)2 st--foc :-Foc:\n-a-3.-b qe-- (RS) M.G.T. (orth)"
 
 

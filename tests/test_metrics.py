@@ -7,6 +7,7 @@ import pytest
 
 from gleaner.operators import metrics as M
 
+#: Scores of two classes, and below what must come out of them. (Fixed values.)
 POS, NEG = (1, 2, 3, 4, 4, 5, 5), (0, 0, 1, 1, 2, 4, 5)
 
 

@@ -11,6 +11,7 @@ from gleaner.config import Params, Task
 from gleaner.operators import index, model, order, retrieve, sweep, validate
 from gleaner.plans.catalog import QUERIES
 
+#: The toy documents, and below the numbers that must come out of them. (Fixed values.)
 FEATURES = "ABDCE"
 TOY = {1: "ABD", 2: "AB", 3: "AC", 4: "BAE", 5: "BA", 6: "BC"}
 

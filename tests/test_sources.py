@@ -218,6 +218,7 @@ def test_writers_and_reports(spark, tmp_path):
     assert model.best_features(m.weights).count() == 3
 
 
+#: Records of a feature stream. (Fixed values.)
 VECTORS = [(12, 20070101, [1, 2, 6, 5484]), (34, 19980308, [5, 6, 8342, 9000, 9001]), (56, 20001207, [])]
 
 
