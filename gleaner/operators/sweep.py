@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.config import Params
+from gleaner.operators import dense
 from gleaner.operators.model import Model, train
+from gleaner.session import Cuts
 
 
 def train_all(counts: DataFrame, totals: DataFrame, grid: Mapping[str, Params]) -> Model:
@@ -28,20 +30,36 @@ def train_all(counts: DataFrame, totals: DataFrame, grid: Mapping[str, Params])
 def score_all(docs: DataFrame, model: Model) -> DataFrame:
     """(config, pmid, score); a document without weighted features still has a row per configuration.
 
-    A feature's weights in all configurations travel as one map, so the join with the corpus
-    does not multiply rows.
+    A feature's weights in all configurations are one row, so the corpus is read once and its rows are not multiplied;
+    sums are written with a column for each configuration, of which each configuration's rows read one.
     """
-    useful = model.weights.where("score <> 0").groupBy("fid").agg(F.map_from_entries(F.collect_list(F.struct("config", "score"))).alias("w"))
-    names = sorted(r.config for r in model.scalars.select("config").collect())
-    rows = docs.select("pmid", F.explode_outer(F.array_distinct("features")).alias("fid")).join(useful, "fid", "left")
-    sums = rows.groupBy("pmid").agg(*(F.coalesce(F.sum(F.try_element_at("w", F.lit(n))), F.lit(0.0)).alias(f"s{i}") for i, n in enumerate(names)))
-    long = sums.select("pmid", F.explode(F.array(*(F.struct(F.lit(n).alias("config"), F.col(f"s{i}").alias("own")) for i, n in enumerate(names)))).alias("x")).select("pmid", "x.config", "x.own")
-    return long.join(F.broadcast(model.scalars.select("config", "base", "prior")), "config").select("config", "pmid", (F.col("own") + F.col("base") + F.col("prior")).alias("score"))
+    cuts = Cuts(docs.sparkSession, "sweep")
+    scalars = {r.config: (r.base, r.prior) for r in model.scalars.select("config", "base", "prior").collect()}
+    names = sorted(scalars)
+    own = [f"s{i}" for i in range(len(names))]
+    useful = cuts.write(model.weights.where("score <> 0").groupBy("fid").agg(*(F.coalesce(F.sum(F.when(F.col("config") == n, F.col("score"))), F.lit(0.0)).alias(c) for c, n in zip(own, names, strict=True))))
+    if (weights := dense.table(useful, own)) is not None:
+        sums = dense.summed(docs, weights, own)
+    else:
+        rows = docs.select("pmid", F.explode_outer(F.array_distinct("features")).alias("fid")).join(useful, "fid", "left")
+        sums = rows.groupBy("pmid").agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in own))
+    sums, out = cuts.write(sums), None
+    for c, n in zip(own, names, strict=True):
+        one = sums.select(F.lit(n).alias("config"), "pmid", (F.col(c) + F.lit(scalars[n][0]) + F.lit(scalars[n][1])).alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def ranked_all(scores: DataFrame, limit: int, digits: int = 6) -> DataFrame:
-    """(config, rank, pmid, score): the best of each configuration."""
-    rows = scores.withColumn("score", F.round("score", digits))
+    """(config, rank, pmid, score): the best of each configuration.
+
+    Each task keeps its best rows only, so no configuration's rows are sorted; the window sees the best of all.
+    """
+    rows, best = scores.withColumn("score", F.round("score", digits)), None
+    for r in scores.select("config").distinct().collect():
+        one = rows.where(F.col("config").eqNullSafe(F.lit(r.config))).orderBy(F.desc("score"), F.desc("pmid")).limit(limit)
+        best = one if best is None else best.unionByName(one)
+    rows = rows if best is None else best
     order = Window.partitionBy("config").orderBy(F.desc("score"), F.desc("pmid"))
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("config", "rank", "pmid", "score")
 
