@@ -1,7 +1,7 @@
 """Whole results of queries that have a limit of their own, and plans that keep tasks small."""
 
 from gleaner.config import Params
-from gleaner.operators import retrieve
+from gleaner.operators import dense, index, model, retrieve, sweep
 from gleaner.plans import catalog, files
 from gleaner.sources import corpora
 
@@ -14,3 +14,42 @@ def test_report_has_all_results(spark, sf_dir):
     want = {(r.pmid, r["rank"]) for r in found.collect()}
     got = files.QUERIES["query_report"](spark, sf_dir).collect()
     assert len(want) > 150 and {(r.pmid, r["rank"]) for r in got} == want
+
+
+def test_scores_are_summed_where_documents_are(spark, monkeypatch):
+    """Few weights: no shuffle of documents; many: a join, with the same scores, repeated and unknown features included."""
+    docs = spark.createDataFrame([(1, 19990101, [1, 2, 2]), (2, 19990101, []), (3, 19990101, [3, 9]), (4, 19990101, None), (5, 19990101, [2, 1])], "pmid long, date_key int, features array<int>")
+    weights = spark.createDataFrame([(1, 0.5), (2, -1.25), (3, 2.0), (4, 0.0)], "fid int, score double")
+    m = model.Model(weights, spark.createDataFrame([(0.25, -1.0)], "base double, prior double"))
+    near = retrieve.score(docs, m)
+    assert "Exchange hashpartitioning" not in near._jdf.queryExecution().executedPlan().toString()
+    want = {1: -1.5, 2: -0.75, 3: 1.25, 4: -0.75, 5: -1.5}
+    assert {r.pmid: r.score for r in near.collect()} == want
+    monkeypatch.setattr(dense, "MOST", 0)
+    assert {r.pmid: r.score for r in retrieve.score(docs, m).collect()} == want
+
+
+def test_sweeps_sort_no_configuration_whole(spark, sf_dir, monkeypatch):
+    """The best of each configuration are taken task by task; joined weights give the same."""
+    docs, vocab, positives = catalog.basket(spark, sf_dir)
+    counts, totals = model.counts_by_subtraction(docs, vocab, positives)
+    m = sweep.train_all(counts, totals, sweep.smoothing_grid())
+    got = sweep.ranked_all(sweep.score_all(docs, m), 7)
+    assert got._jdf.queryExecution().executedPlan().toString().count("TakeOrderedAndProject") == 4
+    rows = sorted(got.collect())
+    assert len(rows) == 28
+    monkeypatch.setattr(dense, "MOST", 0)
+    assert sorted(sweep.ranked_all(sweep.score_all(docs, m), 7).collect()) == rows
+
+
+def test_vectors_of_sets_are_those_of_rows(spark, monkeypatch):
+    """A type and a name that run into each other, repeated, unknown and no names."""
+    shape = "pmid long, date_key int, names array<struct<ftype string, fname string>>"
+    sets = spark.createDataFrame([(1, 1, [("a", "bc"), ("ab", "c"), ("a", "bc")]), (2, 1, None), (3, 2, [("x", "y")]), (4, 2, [("ab", "c")])], shape)
+    vocab = spark.createDataFrame([(7, "a", "bc", 1), (2, "ab", "c", 2)], "fid int, ftype string, fname string, df long")
+    want = [(1, 1, [2, 7]), (2, 1, []), (3, 2, []), (4, 2, [2])]
+    near = index.vectors_of_sets(sets, vocab)
+    assert "Exchange" not in near._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, near.collect())) == want
+    monkeypatch.setattr(dense, "MOST_NAMES", 0)
+    assert sorted(map(tuple, index.vectors_of_sets(sets, vocab).collect())) == want
