@@ -21,20 +21,20 @@ def _large(links: DataFrame) -> DataFrame:
     """(u, v) with u > v: each node's larger neighbours point at the smallest of the node and its neighbours."""
     flipped = links.select(F.col("v").alias("u"), F.col("u").alias("v"))
     least = links.unionByName(flipped).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return flipped.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return flipped.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(links: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours point at the smallest of these."""
     least = links.groupBy("u").agg(F.min("v").alias("m"))
     ends = F.explode(F.array("u", "v")).alias("u")
-    return links.join(least, "u").select(ends, F.col("m").alias("v")).where("u > v").distinct()
+    return links.join(least.hint("merge"), "u").select(ends, F.col("m").alias("v")).where("u > v").distinct()
 
 
 def _settled(links: DataFrame) -> bool:
     """True if the links are stars: each node points at one root, and no root points anywhere."""
     nodes = links.groupBy("u").agg(F.count("*").alias("n"))
-    return nodes.where("n > 1").isEmpty() and links.select("v").distinct().join(nodes.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+    return nodes.where("n > 1").isEmpty() and links.select("v").distinct().join(nodes.select(F.col("u").alias("v")).hint("merge"), "v", "left_semi").isEmpty()
 
 
 def components(links: DataFrame, cuts: Cuts) -> DataFrame:

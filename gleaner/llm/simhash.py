@@ -25,6 +25,7 @@ Rows are told apart by their place in their file, so texts are not copied, and t
 that need texts take only rows that a map of bits does not rule out.
 
 Equal texts and equal fingerprints are grouped first, so no step pairs exact copies.
+Joins are by merge: no table that grows with the documents is broadcast, which would be built by the driver, several at once.
 
 Defined results: a null or empty text has no words and fingerprint zero, linked like any
 other; fewer words than a shingle make one shingle; repeated rows are kept, each with its
@@ -172,9 +173,9 @@ def linked(nodes: DataFrame, bits: int = 2) -> DataFrame:
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits
     counts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1")
     twos = counts.where("n = 2").select("u", "v")
-    many = keyed.join(counts.where("n > 2").select("key", "n"), "key")
+    many = keyed.join(counts.where("n > 2").select("key", "n").hint("merge"), "key")
     few = many.where(F.col("n") <= PAIRED)
-    pairs = few.select("key", F.col("fp").alias("u")).join(few.select("key", F.col("fp").alias("v")), "key").where("u < v").select("u", "v")
+    pairs = few.select("key", F.col("fp").alias("u")).join(few.select("key", F.col("fp").alias("v")).hint("merge"), "key").where("u < v").select("u", "v")
     hot = many.where(F.col("n") > PAIRED).select("fp").distinct()
     if bits == 2:
         flips = F.concat(F.array(F.lit(0).cast("long")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b)))
@@ -184,7 +185,7 @@ def linked(nodes: DataFrame, bits: int = 2) -> DataFrame:
         flips = F.array(F.lit(0).cast("long"))
     if bits == 1:  # neighbours of distance one are the links themselves
         around = hot.select(F.col("fp").alias("u"), F.explode(flips).alias("flip")).select("u", F.col("u").bitwiseXOR(F.col("flip")).alias("v"))
-        close = around.join(hot.select(F.col("fp").alias("v")), "v", "left_semi").select("u", "v")
+        close = around.join(hot.select(F.col("fp").alias("v")).hint("merge"), "v", "left_semi").select("u", "v")
     else:
         around = hot.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"))
         # a neighbour has 65 fingerprints at most, so this list is bounded
@@ -199,11 +200,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, bits: int = 2, text: str = "
     rows = cuts.write(fingerprints(docs, size, text, key))
     nodes = cuts.write(rows.groupBy("fp").agg(F.min(key).alias("least")))
     roots = cuts.write(components(linked(nodes, bits), cuts))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = nodes.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # a root's own row and its members' rows meet in a sum over links only, not over documents
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = named.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return rows.join(of_fp, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_fp = named.select("fp", "root").join(least.hint("merge"), "root").select("fp", "component_id")
+    return rows.join(of_fp.hint("merge"), "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # ---- texts of a given similarity
@@ -295,7 +296,7 @@ def _shared(nodes: DataFrame, cuts: Cuts) -> DataFrame:
     """
     keyed = nodes.select("node", "n", F.posexplode("prefix").alias("place", "token")).select("token", "node", (F.shiftleft("n", 32) + F.col("place")).alias("at"))
     counts = cuts.write(keyed.groupBy("token").agg(F.count("*").alias("many")).where("many > 1"))
-    rows = keyed.join(counts, "token").select("token", "many", "node", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("place"))
+    rows = keyed.join(counts.hint("merge"), "token").select("token", "many", "node", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("place"))
     # a text's prefix at most is one part of this window
     before = F.lag("token").over(Window.partitionBy("node").orderBy("place"))
     shared = cuts.write(rows.withColumn("prev", F.coalesce(before, F.lit(0).cast("long"))).withColumn("first", before.isNull()))
@@ -352,14 +353,14 @@ def _meet(cells: DataFrame, similarity: float) -> DataFrame:
 def _near(pairs: DataFrame, nodes: DataFrame, similarity: float, cuts: Cuts) -> DataFrame:
     """The pairs whose sizes and parities allow the similarity."""
     end = lambda c: nodes.select(F.col("node").alias(c), F.struct("n", *PARITIES).alias(f"{c}_"))
-    got = pairs.join(end("u"), "u").join(end("v"), "v")
+    got = pairs.join(end("u").hint("merge"), "u").join(end("v").hint("merge"), "v")
     differ = sum((F.bit_count(F.col(f"u_.{w}").bitwiseXOR(F.col(f"v_.{w}"))) for w in PARITIES), F.lit(0))
     sizes = F.least("u_.n", "v_.n") >= similarity * F.greatest("u_.n", "v_.n") - F.lit(1e-6)
     most = (1 - similarity) / (1 + similarity) * (F.col("u_.n") + F.col("v_.n")) + F.lit(1e-6)
     left = cuts.write(got.where(sizes & (differ <= most)).select("u", "v", most.alias("most")))
     # long texts have parities of their own length; the longer one is folded to the shorter one
     full = lambda c: nodes.where(F.size("parity") > 0).select(F.col("node").alias(c), F.col("parity").alias(f"{c}_"))
-    both = left.join(full("u"), "u", "left").join(full("v"), "v", "left")
+    both = left.join(full("u").hint("merge"), "u", "left").join(full("v").hint("merge"), "v", "left")
     wide, slim = F.size("u_") >= F.size("v_"), F.least(F.size("u_"), F.size("v_"))
     both = both.select("u", "v", "most", F.when(wide, F.col("u_")).otherwise(F.col("v_")).alias("wide"), F.when(wide, F.col("v_")).otherwise(F.col("u_")).alias("slim"), slim.alias("k"))
 
@@ -376,8 +377,8 @@ def _first_pairs(shared: DataFrame, similarity: float) -> DataFrame:
     few = shared.where(F.col("many") <= MET).select("*", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side"), F.col("node").alias("root"))
     large = shared.where(F.col("many") > MET)
     central = large.groupBy("node").agg(F.count("*").alias("meets"))
-    hubs = large.join(central, "node").groupBy("token").agg(F.max_by("node", F.struct("meets", "node")).alias("hub"))
-    rays = large.join(hubs, "token").where("node <> hub").select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v"))
+    hubs = large.join(central.hint("merge"), "node").groupBy("token").agg(F.max_by("node", F.struct("meets", "node")).alias("hub"))
+    rays = large.join(hubs.hint("merge"), "token").where("node <> hub").select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v"))
     return _meet(few, similarity).unionByName(rays).distinct()
 
 
@@ -386,12 +387,12 @@ def _other_pairs(shared: DataFrame, roots: DataFrame, similarity: float) -> Data
 
     A shingle's texts are cut into blocks, and every two blocks meet in a cell of their own.
     """
-    large = shared.where(F.col("many") > MET).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    large = shared.where(F.col("many") > MET).join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     # the size of the largest partner that what follows the shingle suffices for
     reach = (F.col("n") - F.col("place")) * F.lit((1 + similarity) / similarity) - F.col("n") + F.lit(1e-6)
     large = large.withColumn("reach", reach).where(F.col("reach") >= similarity * F.col("n") - F.lit(1e-6))
     whole = large.groupBy("token").agg(F.count("*").alias("left"), F.min("n").alias("least"), F.max("reach").alias("most"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-    open_ = large.join(whole, "token").where((F.col("reach") >= F.col("least") - F.lit(1e-6)) & (F.col("n") <= F.col("most") + F.lit(1e-6)))
+    open_ = large.join(whole.hint("merge"), "token").where((F.col("reach") >= F.col("least") - F.lit(1e-6)) & (F.col("n") <= F.col("most") + F.lit(1e-6)))
     blocks = F.ceil(F.col("left") / F.lit(BLOCK)).cast("int")
     open_ = open_.withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return _meet(open_.withColumn("a", F.least("side", "other")).withColumn("b", F.greatest("side", "other")), similarity)
@@ -447,7 +448,7 @@ def _grouped(docs: DataFrame, cuts: Cuts, row: str, size: int = 5, similarity: f
     rows = cuts.write(docs.select("key", "row", "bare", "same"))
     # a text is described once; of equal ones, all but one are left out
     least = rows.groupBy("same").agg(F.min(order).alias("least"), F.count("*").alias("many")).where("many > 1")
-    again = cuts.write(rows.join(least, "same").where(F.col("row") != F.col("least.row")).select("row"))
+    again = cuts.write(rows.join(least.hint("merge"), "same").where(F.col("row") != F.col("least.row")).select("row"))
     common = spark.sparkContext.broadcast(common_shingles(docs, size, "text"))
     once = without_rows(docs, "row", again).withColumn("least", order)
     nodes = cuts.write(described(once, common, "text", size=size, similarity=similarity).withColumn("node", F.monotonically_increasing_id()))
@@ -457,17 +458,17 @@ def _grouped(docs: DataFrame, cuts: Cuts, row: str, size: int = 5, similarity: f
     # fingerprints that links join: a star of the nodes that have them
     fps = nodes.select("fp").distinct()
     roots = components(linked(fps, bits), cuts)
-    group = nodes.select("node", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
-    stars = group.join(group.groupBy("root").agg(F.min("node").alias("v")), "root").select(F.col("node").alias("u"), "v").where("u <> v")
+    group = nodes.select("node", "fp").join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
+    stars = group.join(group.groupBy("root").agg(F.min("node").alias("v")).hint("merge"), "root").select(F.col("node").alias("u"), "v").where("u <> v")
 
     def alike(pairs: DataFrame) -> DataFrame:
         pairs = cuts.write(_near(pairs, nodes, similarity, cuts))
         ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
         # one text of each node that a pair names
-        owners = cuts.write(nodes.join(ends, "node").select(F.col("least.row").alias("row"), "node"))
-        sets = cuts.write(_sets(maybe_among(docs.select("row", "text"), "row", owners).join(owners, "row"), size, "text"))
-        first = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("x")), "u")
-        both = first.join(sets.select(F.col("node").alias("v"), F.col("set").alias("y")), "v").select("u", "v", "x", "y")
+        owners = cuts.write(nodes.join(ends.hint("merge"), "node").select(F.col("least.row").alias("row"), "node"))
+        sets = cuts.write(_sets(maybe_among(docs.select("row", "text"), "row", owners).join(owners.hint("merge"), "row"), size, "text"))
+        first = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("x")).hint("merge"), "u")
+        both = first.join(sets.select(F.col("node").alias("v"), F.col("set").alias("y")).hint("merge"), "v").select("u", "v", "x", "y")
         found = cuts.write(both.mapInArrow(lean(lambda batches: _alike(batches, similarity)), "u long, v long"))
         cuts.drop(sets)
         return found
@@ -476,10 +477,10 @@ def _grouped(docs: DataFrame, cuts: Cuts, row: str, size: int = 5, similarity: f
     more = alike(_other_pairs(shared, first, similarity))
     cuts.drop(shared)
     joined = cuts.write(components(more.unionByName(first.select(F.col("node").alias("u"), F.col("root").alias("v"))), cuts))
-    belongs = nodes.select("node", "same", "least").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    belongs = nodes.select("node", "same", "least").join(joined.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     chosen = belongs.groupBy("root").agg(F.min("least").alias("first"))
-    of = belongs.select("same", "root").join(chosen, "root").select("same", F.col("first.key").alias("component_id"), F.col("first.row").alias("first"))
-    return rows.join(of, "same").select("key", "row", "bare", "component_id", "first")
+    of = belongs.select("same", "root").join(chosen.hint("merge"), "root").select("same", F.col("first.key").alias("component_id"), F.col("first.row").alias("first"))
+    return rows.join(of.hint("merge"), "same").select("key", "row", "bare", "component_id", "first")
 
 
 def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
