@@ -1,7 +1,7 @@
 """Whole results of queries that have a limit of their own, and plans that keep tasks small."""
 
-from gleaner.config import Params
-from gleaner.operators import dense, index, model, retrieve, sweep
+from gleaner.config import SPACES, Params
+from gleaner.operators import dense, features, index, model, retrieve, sweep
 from gleaner.plans import catalog, files
 from gleaner.sources import corpora
 
@@ -53,3 +53,12 @@ def test_vectors_of_sets_are_those_of_rows(spark, monkeypatch):
     assert sorted(map(tuple, near.collect())) == want
     monkeypatch.setattr(dense, "MOST_NAMES", 0)
     assert sorted(map(tuple, index.vectors_of_sets(sets, vocab).collect())) == want
+
+
+def test_a_space_is_extracted_once(spark, sf_dir, monkeypatch):
+    """Fourteen codes, eight spaces: eight passes over the texts."""
+    made = []
+    real = features.extract
+    monkeypatch.setattr(features, "extract", lambda articles, space: made.append(space) or real(articles, space))
+    files.QUERIES["space_codes"](spark, sf_dir)
+    assert sorted(made) == sorted({space for space, _ in SPACES.values()})
