@@ -62,6 +62,30 @@ def test_ann_every_row_is_a_candidate(spark):
     assert (1, None, 1.0) in [(r.rank, r.vec_id, round(r.score, 3)) for r in got] and (1, 1, 1.0) in first and (2, 1, 0.995) in first
 
 
+@pytest.mark.parametrize("shape", ["clusters", "offset", "outweighed"])
+def test_ann_finds_the_nearest_of_other_shapes(spark, shape):
+    """Tight clusters, a common offset, and a component that outweighs the others."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(8000, 32))
+    if shape == "clusters":
+        x = rng.normal(size=(5, 32))[rng.integers(0, 5, len(x))] + 0.02 * x
+    elif shape == "offset":
+        x = x + 40
+    else:
+        x[:, 0] *= 200
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.col("id") % 100 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q, found in got.items():
+        near = unit @ unit[q]
+        near[q] = -np.inf
+        hit += len(found & set(np.argsort(-near, kind="stable")[:5].tolist()))
+    assert len(got) == 80 and hit >= 0.9 * 5 * 80
+
+
 def test_ann_fit_of_long_vectors():
     """Time and memory of the fit grow with the dimension, not with its square."""
     rng = np.random.default_rng(1)
