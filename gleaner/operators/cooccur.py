@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.arrays import placed
 from gleaner.functions.text import sentences
 from gleaner.operators.order import numbered
-from gleaner.session import reach
+from gleaner.session import small_batches
 
 #: Score from which a gene span is kept in a store of spans, and above which it counts.
 KEPT_SCORE, GENE_SCORE = 0.1, 0.85
@@ -46,20 +49,55 @@ def match_spans(text: Column, pattern: Column) -> Column:
 #: Characters of aliases that one pass over the texts looks for, about; a larger table takes several passes.
 PASS_CHARS = 16 << 20
 _WORD = re.compile("[a-z0-9]+")
+#: Of a run's hash, in 64 bits.
+_FACTOR, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 class Aliases:
-    """A tree of words: what follows a word, and the (drug, place in its list) of aliases that end there."""
+    """Runs of words that begin an alias, and those that are one, as sorted hashes: a few bytes for each, whatever the number of aliases.
 
-    def __init__(self, listed: Iterable[Iterable[str]]):
-        self.root: dict = {}
-        for drug, aliases in enumerate(listed):
-            for place, alias in enumerate(aliases):
-                node = {"": self.root}
-                for word in alias.split(" "):
-                    node = node[""].setdefault(word, {"": {}, "ends": []})
-                node["ends"].append((place, drug))
+    ``listed`` has each drug's aliases. A hash of a run is built word by word; a run that fits by its hash is compared with the alias.
+    """
+
+    def __init__(self, listed: pa.ChunkedArray | pa.Array | Iterable[Iterable[str]]):
+        lists = listed if isinstance(listed, pa.Array | pa.ChunkedArray) else pa.array(list(listed), pa.list_(pa.string()))
+        self.lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        begun, ends, places, drugs = array("Q"), array("Q"), array("i"), array("i")
+        for first in range(0, len(self.lists), 4096):
+            for drug, aliases in enumerate(self.lists.slice(first, 4096).to_pylist(), first):
+                for place, alias in enumerate(aliases):
+                    run = 0
+                    for word in alias.split(" "):
+                        run = (run * _FACTOR + hash(word)) & _ALL
+                        begun.append(run)
+                    ends.append(run)
+                    places.append(place)
+                    drugs.append(drug)
+        self.begun = np.unique(np.frombuffer(begun, np.uint64))
+        ends = np.frombuffer(ends, np.uint64)
+        order = np.argsort(ends, kind="stable")
+        self.ends, self.places, self.drugs = ends[order], np.frombuffer(places, np.int32)[order], np.frombuffer(drugs, np.int32)[order]
+
+    def _runs(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
+        """(i, j, place in ``ends``) of every alias that words i to j are, by i, j."""
+        if not words or not len(self.begun):
+            return
+        hashes = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+        at, runs, found, j = np.arange(len(words)), np.zeros(len(words), np.uint64), [], 0
+        while len(at):
+            runs = runs * np.uint64(_FACTOR) + hashes[at + j]
+            known = self.begun[np.minimum(np.searchsorted(self.begun, runs), len(self.begun) - 1)] == runs
+            at, runs = at[known], runs[known]
+            low, high = np.searchsorted(self.ends, runs), np.searchsorted(self.ends, runs, "right")
+            for k in np.flatnonzero(low < high):
+                found += [(int(at[k]), int(at[k]) + j, e) for e in range(low[k], high[k])]
+            j += 1
+            more = at + j < len(words)
+            at, runs = at[more], runs[more]
+        for i, j, e in sorted(found):
+            if self.lists[int(self.drugs[e])][int(self.places[e])].as_py() == " ".join(words[i : j + 1]):
+                yield i, j, e
 
     def matches(self, text: str) -> Iterator[tuple[int, int, int]]:
         """(drug, start, end) of every match: each drug's leftmost ones that do not overlap, the first alias that fits."""
@@ -67,18 +105,12 @@ class Aliases:
         if len(low) != len(text):  # a letter that lower case makes longer would move all places
             low = text.translate(_LOWER)
         words, spans, free = _WORD.findall(low), None, {}
-        for i, word in enumerate(words):
-            if word not in self.root:
-                continue
+        for i, fitting in groupby(self._runs(words), lambda x: x[0]):
             found: dict[int, tuple[int, int]] = {}
-            tree = self.root
-            for j in range(i, len(words)):
-                if (node := tree.get(words[j])) is None:
-                    break
-                for place, drug in node["ends"]:
-                    if drug not in found or place < found[drug][0]:
-                        found[drug] = (place, j)
-                tree = node[""]
+            for _, j, e in fitting:
+                drug, place = int(self.drugs[e]), int(self.places[e])
+                if drug not in found or place < found[drug][0]:
+                    found[drug] = (place, j)
             spans = spans or [m.span() for m in _WORD.finditer(low)]
             for drug, (_, j) in found.items():
                 if free.get(drug, 0) <= i:
@@ -86,19 +118,19 @@ class Aliases:
                     yield drug, spans[i][0], spans[j][1]
 
 
-#: The tree that this worker has built last.
-_trees: dict[str, Aliases] = {}
+#: The aliases that this worker has hashed last.
+_known: dict[str, Aliases] = {}
 
 
 def find_drugs(texts: DataFrame, drugs: DataFrame) -> DataFrame:
     """(text_id, drug_id, name, surface, start, end): every match of every drug, in one pass over the texts.
 
     Letters are lowered and all but letters and digits are gaps, so a match is a run of whole words: each text's words
-    are followed through a tree of all aliases, whatever their number. The tree of a pass holds
+    are looked up in hashes of all aliases, whatever their number. Those of a pass hold
     ``PASS_CHARS``, which is all that is broadcast.
     """
     spark = texts.sparkSession
-    reach(spark)
+    small_batches(spark)
     kept = _words(drugs).select("drug_id", "name", "_kept")
     size = kept.agg(F.sum(F.length(F.array_join("_kept", " ")))).first()[0] or 0
     passes = -(-size // PASS_CHARS) or 1
@@ -115,13 +147,13 @@ def _found(texts: DataFrame, listed, kept: DataFrame) -> DataFrame:
 
     def run(batches):
         table = listed.value
-        if key not in _trees:
-            _trees.clear()
-            _trees[key] = Aliases(table.column("_kept").to_pylist())
+        if key not in _known:
+            _known.clear()
+            _known[key] = Aliases(table.column("_kept"))
         for batch in batches:
             rows, which, surface, start, end = [], [], [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
-                for drug, a, b in _trees[key].matches(text or ""):
+                for drug, a, b in _known[key].matches(text or ""):
                     rows.append(row)
                     which.append(drug)
                     surface.append(text[a:b])
