@@ -24,6 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from gleaner.functions import codec
+from gleaner.session import small_batches
 
 #: Id, date, and how many bytes of features follow, least byte first. (Fixed values.)
 HEAD, HEAD_BYTES = "<IIH", 10
@@ -31,6 +32,8 @@ HEAD, HEAD_BYTES = "<IIH", 10
 LONGEST = (1 << 16) - 1
 #: Bytes that one task reads, about, and that are in memory at once.
 PART, CHUNK = 32 << 20, 4 << 20
+#: Rows that a writer has as Python values at once.
+SLICE = 256
 MANIFEST = "_manifest.json"
 
 
@@ -90,7 +93,8 @@ class PartsWriter(DataSourceArrowWriter):
         rows = 0
         with files.open_output_stream(part) as out:
             for batch in iterator:
-                out.write(self.pack(batch))
+                for first in range(0, batch.num_rows, SLICE):
+                    out.write(self.pack(batch.slice(first, SLICE)))
                 rows += batch.num_rows
         return Part(context.partitionId(), part, rows)
 
@@ -227,10 +231,21 @@ class StatementsReader(DataSourceReader):
     def partitions(self) -> list[Range]:
         return [Range(p, k, 0) for k, p in enumerate(listed(self.path, ".sql"))] or [Range("", 0, 0)]
 
-    def read(self, partition: Range) -> Iterator[tuple[int, int, str]]:
-        """(part, number, statement): a statement ends with a line whose semicolon no string holds."""
-        for number, said in enumerate(statements(partition.path) if partition.path else ()):
-            yield partition.start, number, said
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        """(part, number, statement), in batches of bounded bytes: a statement ends with a line whose semicolon no string holds."""
+        held, size, first = [], 0, 0
+
+        def batch() -> pa.RecordBatch:
+            numbers = pa.array(range(first, first + len(held)), pa.int32())
+            return pa.record_batch([pa.array([partition.start] * len(held), pa.int32()), numbers, pa.array(held, pa.string())], names=["part", "number", "statement"])
+
+        for said in statements(partition.path) if partition.path else ():
+            held.append(said)
+            size += len(said)
+            if size >= CHUNK:
+                yield batch()
+                held, size, first = [], 0, first + len(held)
+        yield batch()
 
 
 def statements(path: str) -> Iterator[str]:
@@ -275,7 +290,8 @@ class Statements(DataSource):
 
 
 def _register(spark: SparkSession) -> None:
-    """Makes both formats known; their code goes along, so that no machine has to find this module."""
+    """Makes both formats known; their code goes along, so that no machine has to find this module. Writers get batches of bounded bytes."""
+    small_batches(spark)
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     for source in (FeatureStream, Statements):
         spark.dataSource.register(source)

@@ -5,6 +5,7 @@ import tracemalloc
 import pyarrow as pa
 
 from gleaner.operators import cooccur
+from gleaner.sources import files
 
 
 def test_many_aliases_take_few_bytes():
@@ -17,3 +18,11 @@ def test_many_aliases_take_few_bytes():
     assert list(aliases.matches("a w7 v7, w976-V976 w8 v9")) == [(7, 2, 7), (976, 9, 18)]
 
 
+def test_statements_are_read_in_bounded_batches(tmp_path):
+    path = tmp_path / "part.sql"
+    said = [f"INSERT INTO t VALUES ({k}, '{'x' * 5000}');" for k in range(3000)]
+    path.write_text("".join(f"{s}\n" for s in said))
+    batches = list(files.StatementsReader({"path": str(path)}).read(files.Range(str(path), 4, 0)))
+    assert all(b.nbytes < 2 * files.CHUNK for b in batches) and len(batches) > 2
+    rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("part", "number", "statement")), strict=True)]
+    assert rows == [(4, k, s) for k, s in enumerate(said)]
