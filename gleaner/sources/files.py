@@ -34,6 +34,8 @@ LONGEST = (1 << 16) - 1
 PART, CHUNK = 32 << 20, 4 << 20
 #: Rows that a writer has as Python values at once.
 SLICE = 256
+#: Bytes between a part's marks, about: places where a row begins, which a manifest lists. Tasks that read a stream at most, about.
+MARK, MOST_PARTS = 64 << 10, 1024
 MANIFEST = "_manifest.json"
 
 
@@ -44,6 +46,15 @@ def _opened(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
+def manifest(path: str) -> list[dict] | None:
+    """What a folder's manifest says of its parts; None if there is none."""
+    files, own = _opened(path)
+    if not files.get_file_info(f"{own}/{MANIFEST}").is_file:
+        return None
+    with files.open_input_stream(f"{own}/{MANIFEST}") as f:
+        return json.loads(f.read())
+
+
 def listed(path: str, suffix: str) -> list[str]:
     """The files to read: one file, those of a folder's manifest in its order, or all with the suffix by name."""
     files, own = _opened(path)
@@ -52,9 +63,8 @@ def listed(path: str, suffix: str) -> list[str]:
         raise FileNotFoundError(path)
     if info.is_file:
         return [path]
-    if files.get_file_info(f"{own}/{MANIFEST}").is_file:
-        with files.open_input_stream(f"{own}/{MANIFEST}") as f:
-            return [f"{path}/{p['name']}" for p in json.loads(f.read())]
+    if (said := manifest(path)) is not None:
+        return [f"{path}/{p['name']}" for p in said]
     return sorted(f"{path}/{i.base_name}" for i in files.get_file_info(pafs.FileSelector(own)) if i.is_file and i.base_name.endswith(suffix) and not i.base_name.startswith(("_", ".")))
 
 
@@ -70,6 +80,7 @@ class Part(WriterCommitMessage):
     order: int
     path: str
     rows: int
+    marks: list[int]
 
 
 class PartsWriter(DataSourceArrowWriter):
@@ -90,13 +101,17 @@ class PartsWriter(DataSourceArrowWriter):
         context = TaskContext.get()
         files, own = _opened(self.path)
         part = f"{own}/{self.staging}/{context.partitionId()}-{context.taskAttemptId()}"
-        rows = 0
+        rows, size, marks = 0, 0, [0]
         with files.open_output_stream(part) as out:
             for batch in iterator:
                 for first in range(0, batch.num_rows, SLICE):
-                    out.write(self.pack(batch.slice(first, SLICE)))
+                    if size - marks[-1] >= MARK:
+                        marks.append(size)
+                    data = self.pack(batch.slice(first, SLICE))
+                    out.write(data)
+                    size += len(data)
                 rows += batch.num_rows
-        return Part(context.partitionId(), part, rows)
+        return Part(context.partitionId(), part, rows, [*marks, size])
 
     def commit(self, messages: list[Part | None]) -> None:
         files, own = _opened(self.path)
@@ -109,7 +124,7 @@ class PartsWriter(DataSourceArrowWriter):
         for k, part in enumerate(sorted((m for m in messages if m and m.rows), key=lambda m: m.order)):
             name = f"part-{k:05}-{run}{self.suffix}"
             files.move(part.path, f"{own}/{name}")
-            said.append({"name": name, "rows": part.rows})
+            said.append({"name": name, "rows": part.rows, "marks": part.marks})
         with files.open_output_stream(f"{own}/{self.staging}/{MANIFEST}") as out:
             out.write(json.dumps(said).encode())
         # from here on the new files are the ones that are read
@@ -167,15 +182,31 @@ class Records:
         return [*out, end] if out else []
 
 
+def thinned(marks: list[int], part: int) -> list[int]:
+    """Ascending places, of which the last is the end: the first, others ``part`` bytes apart at least, and the end."""
+    out: list[int] = []
+    for place in marks[:-1]:
+        if not out or place - out[-1] >= part:
+            out.append(place)
+    return [*out, marks[-1]]
+
+
+def _size(path: str) -> int:
+    files, own = _opened(path)
+    return files.get_file_info(own).size
+
+
 class StreamReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.longest, self.part = options["path"].rstrip("/"), int(options.get("longest", LONGEST)), int(options.get("part", PART))
 
     def partitions(self) -> list[Range]:
-        """Records have no marks between them, so their borders are found once, before the tasks read between them."""
-        out = []
-        for path in listed(self.path, ".stream"):
-            borders = Records(path, self.longest).borders(self.part)
+        """Records have no marks between them: a manifest tells where some begin, and of other files the borders are found once, before the tasks read between them."""
+        out, files_ = [], listed(self.path, ".stream")
+        told = {f"{self.path}/{p['name']}": p["marks"] for p in manifest(self.path) or () if "marks" in p}
+        part = max(self.part, sum(_size(p) for p in files_) // MOST_PARTS)
+        for path in files_:
+            borders = thinned(told[path], part) if path in told else Records(path, self.longest).borders(part)
             out += [Range(path, a, b) for a, b in zip(borders, borders[1:], strict=False)]
         return out or [Range("", 0, 0)]
 

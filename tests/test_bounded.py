@@ -26,3 +26,17 @@ def test_statements_are_read_in_bounded_batches(tmp_path):
     assert all(b.nbytes < 2 * files.CHUNK for b in batches) and len(batches) > 2
     rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("part", "number", "statement")), strict=True)]
     assert rows == [(4, k, s) for k, s in enumerate(said)]
+
+
+def test_streams_are_cut_at_the_marks_of_their_manifest(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "stream")
+    docs = spark.range(30_000).selectExpr("id AS pmid", "20200101 AS date_key", "array(1, cast(id % 90 + 2 AS int)) AS features")
+    files.write_feature_stream(docs.coalesce(1), path)
+    got = files.read_feature_stream(spark, path, part=64 << 10)
+    assert got.exceptAll(docs).isEmpty() and got.count() == 30_000
+    monkeypatch.setattr(files.Records, "borders", None)  # the heads are not walked on the driver
+    reader = files.StreamReader({"path": path, "part": str(64 << 10)})
+    ranges = reader.partitions()
+    assert len(ranges) > 2 and sum(b.num_rows for r in ranges for b in reader.read(r)) == 30_000
+    monkeypatch.setattr(files, "MOST_PARTS", 2)
+    assert len(reader.partitions()) <= 3
