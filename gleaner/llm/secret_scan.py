@@ -10,7 +10,7 @@ copied to other owners counts once. Base spans stay whatever their values' owner
 Offsets come without a UDF: the text split at a pattern and the pattern's matches alternate,
 so their lengths add up to the places. What is found is written without texts; counting
 and joining read that. Values are counted by partial sums, so a value with a third of all
-finds is one row of each task; the join on values is one that can be split.
+finds is one row of each task; the join on values is one that can be split. Joins are by merge: the driver builds no table of finds.
 
 Defined results: a null text counts as empty; a null owner or repository is an owner or
 repository of its own; repeated rows give repeated results; extra columns are ignored.
@@ -112,12 +112,12 @@ def secrets(docs: DataFrame, key: str = "doc_id", owner: str = "source", reposit
     shape = "array<struct<start:int,end:int,place:int,kind:string,owners:long,repositories:long,live:boolean>>"
     empty = rows.where(none).select(F.col("id").alias(key), F.array().cast(shape).alias("base"), F.array().cast(shape).alias("spans"))
     finds = rows.where(~none).select("row", "id", "owner", "repository", F.explode(F.concat("base", "more")).alias("f")).select("row", "id", "owner", "repository", "f.*")
-    judged = finds.join(ownership(finds), "hash").withColumn("live", F.col("live") & (F.col("owners") < COPIED) & (F.col("repositories") < SPREAD))
+    judged = finds.join(ownership(finds).hint("merge"), "hash").withColumn("live", F.col("live") & (F.col("owners") < COPIED) & (F.col("repositories") < SPREAD))
     kept = judged.where((F.col("kind") != "owned") | F.col("live"))
     spans = kept.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "place", "kind", "owners", "repositories", "live"))).alias("spans"))
     # by start and then kind: no two spans of a kind start together
     ordered = F.array_sort("spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["place"] - b["place"]))
-    held = rows.where(~none).join(spans, "row", "left").withColumn("spans", F.coalesce(ordered, F.array().cast(shape)))
+    held = rows.where(~none).join(spans.hint("merge"), "row", "left").withColumn("spans", F.coalesce(ordered, F.array().cast(shape)))
     base = F.filter("spans", lambda x: x["kind"] != "owned")
     return held.select(F.col("id").alias(key), base.alias("base"), F.col("spans").cast(shape)).unionByName(empty)
 
@@ -189,7 +189,7 @@ def without_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", co
     hits = hits.select(F.col(own), F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(found_))
     hits = Cuts(docs.sparkSession, "hits").write(hits)
     marked = marked_rows(told, own, hits, hit)
-    got = marked.where(F.col(hit)).join(hits, own, "left")
+    got = marked.where(F.col(hit)).join(hits.hint("merge"), own, "left")
     spotted = F.col(found_).isNotNull()
     got = got.withColumn(text, F.when(spotted, blanked(F.col(text), F.col(found_))).otherwise(F.col(text)))
     if count and count in columns:

@@ -124,3 +124,10 @@ def test_stages_tell_rows_apart_that_share_an_id(spark, ids):
     taken = {r.row: r.taken for r in mixing.mix(docs.withColumn("mark", F.monotonically_increasing_id()), row="mark")[0].collect()}
     wanted = sum(-(-n // 2) for n in taken.values())
     assert corpus_pipeline.source_mix(spark, docs, "").count() == wanted and len(set(taken.values())) > 1
+
+
+def test_the_driver_builds_no_table_of_finds(spark):
+    docs = spark.createDataFrame([(k, f"token=abcdefghijkl{k % 7}", "s") for k in range(50)], "doc_id long, text string, source string")
+    got = secret_scan.secrets(docs)
+    got.collect()
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
