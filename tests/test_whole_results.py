@@ -1,8 +1,9 @@
 """Whole results of queries that have a limit of their own, and plans that keep tasks small."""
 
 from gleaner.config import SPACES, Params
-from gleaner.operators import dense, features, index, model, retrieve, sweep
+from gleaner.operators import blocks, dense, features, index, model, retrieve, sweep
 from gleaner.plans import catalog, files
+from gleaner.session import Cuts
 from gleaner.sources import corpora
 
 
@@ -62,3 +63,22 @@ def test_a_space_is_extracted_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(features, "extract", lambda articles, space: made.append(space) or real(articles, space))
     files.QUERIES["space_codes"](spark, sf_dir)
     assert sorted(made) == sorted({space for space, _ in SPACES.values()})
+
+
+def test_word_indexes_shuffle_a_row_per_block_and_name(spark, tmp_path, monkeypatch):
+    """Null, empty and repeated texts; names of blocks, not of documents, meet the vocabulary; the index is that of a join."""
+    shape = "pmid long, date_key int, names array<struct<ftype string, fname string>>"
+    rows = [(k, 1, [("w", f"{x}:é{x % 7}") for x in sorted({k % 5, k % 3 + 10, k % 2 + 20})]) for k in range(300)]
+    sets = spark.createDataFrame([*rows, (300, 2, None), (301, 2, []), (302, 2, [("w", "once")]), (7, 3, [("w", "0:é0"), ("a", "b:c")])], shape)
+    monkeypatch.setattr(blocks, "BLOCK", 40)
+    docs, terms = blocks.coded_names(sets.coalesce(2), Cuts(spark, "blocks"))
+    want = index.document_frequency(index.long_of(sets))
+    assert sorted(map(tuple, blocks.document_frequency(terms).collect())) == sorted(map(tuple, want.collect()))
+    # a batch is never cut, so two tasks of one batch are two blocks
+    assert terms.count() <= 2 * want.count() < index.long_of(sets).count() and docs.count() == sets.count()
+    tables = catalog.word_index_tables(spark, sets, 2)
+    vocab = tables["vocabulary"]
+    assert {r.fname for r in vocab.collect()} == {r.fname for r in want.where("df > 1").collect()}
+    ids = {(r.ftype, r.fname): r.fid for r in vocab.collect()}
+    made = sorted((r.pmid, r.date_key, sorted({ids[tuple(x)] for x in r.names or [] if tuple(x) in ids})) for r in sets.collect())
+    assert sorted(map(tuple, tables["vectors"].collect())) == made
