@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.config import Params
-from gleaner.operators import dense
+from gleaner.operators import blocks, dense
 from gleaner.operators.model import Model, train
 from gleaner.session import Cuts
 
@@ -41,8 +41,7 @@ def score_all(docs: DataFrame, model: Model) -> DataFrame:
     if (weights := dense.table(useful, own)) is not None:
         sums = dense.summed(docs, weights, own)
     else:
-        rows = docs.select("pmid", F.explode_outer(F.array_distinct("features")).alias("fid")).join(useful, "fid", "left")
-        sums = rows.groupBy("pmid").agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in own))
+        sums = blocks.summed(docs, useful, own)
     sums, out = cuts.write(sums), None
     for c, n in zip(own, names, strict=True):
         one = sums.select(F.lit(n).alias("config"), "pmid", (F.col(c) + F.lit(scalars[n][0]) + F.lit(scalars[n][1])).alias("score"))

@@ -82,3 +82,15 @@ def test_word_indexes_shuffle_a_row_per_block_and_name(spark, tmp_path, monkeypa
     ids = {(r.ftype, r.fname): r.fid for r in vocab.collect()}
     made = sorted((r.pmid, r.date_key, sorted({ids[tuple(x)] for x in r.names or [] if tuple(x) in ids})) for r in sets.collect())
     assert sorted(map(tuple, tables["vectors"].collect())) == made
+
+
+def test_weights_are_sent_in_slices(spark, monkeypatch):
+    """A model over several slices gives the scores of one; a join by blocks too."""
+    docs = spark.createDataFrame([(k, 19990101, [k % 7, k % 11, 30, 99]) for k in range(50)] + [(50, 19990101, None)], "pmid long, date_key int, features array<int>")
+    m = model.Model(spark.createDataFrame([(k, k / 8 - 1) for k in range(31)], "fid int, score double"), spark.createDataFrame([(0.25, -1.0)], "base double, prior double"))
+    want = sorted(retrieve.score(docs, m).collect())
+    monkeypatch.setattr(dense, "SLICE", 4)
+    assert len(dense.table(m.weights, ["score"])) == 8
+    assert sorted(retrieve.score(docs, m).collect()) == want
+    monkeypatch.setattr(dense, "MOST", 0)
+    assert sorted(retrieve.score(docs, m).collect()) == want
