@@ -1,5 +1,7 @@
 """Whole results of queries that have a limit of their own, and plans that keep tasks small."""
 
+import re
+
 from gleaner.config import SPACES, Params
 from gleaner.operators import blocks, dense, features, index, model, retrieve, sweep
 from gleaner.plans import catalog, files
@@ -94,3 +96,28 @@ def test_weights_are_sent_in_slices(spark, monkeypatch):
     assert sorted(retrieve.score(docs, m).collect()) == want
     monkeypatch.setattr(dense, "MOST", 0)
     assert sorted(retrieve.score(docs, m).collect()) == want
+
+
+def test_positives_are_met_without_a_shuffle_of_documents(spark, sf_dir, monkeypatch):
+    """Ids are joined by their own size: a table too large to be broadcast whole has few positives, which are."""
+    docs, vocab, positives = catalog.basket(spark, sf_dir)
+    plans = []
+    real = Cuts.write
+    monkeypatch.setattr(Cuts, "write", lambda self, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(self, df))
+    want = sorted(retrieve.query(docs, vocab, positives, Params(limit=50))[0].collect())
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "2000")
+        plans.clear()
+        got = retrieve.query(docs, vocab, positives, Params(limit=50))[0]
+        assert sorted(got.collect()) == want
+        joins = re.findall("(BroadcastHash|SortMerge)Join .*Left(?:Semi|Anti)", "\n".join([*plans, got._jdf.queryExecution().executedPlan().toString()]))
+        assert set(joins) == {"BroadcastHash"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_sets_of_orders_come_from_plain_rows(spark, sf_dir):
+    """Line items are shuffled before sets are made of them, not as sets of one or two."""
+    plan = corpora.basket_sets(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("collect_set") < plan.index("REPARTITION_BY_COL") and "collect_set" not in plan[plan.index("REPARTITION_BY_COL"):]
