@@ -121,3 +121,32 @@ def test_sets_of_orders_come_from_plain_rows(spark, sf_dir):
     """Line items are shuffled before sets are made of them, not as sets of one or two."""
     plan = corpora.basket_sets(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("collect_set") < plan.index("REPARTITION_BY_COL") and "collect_set" not in plan[plan.index("REPARTITION_BY_COL"):]
+
+
+def test_line_items_are_shuffled_as_codes(spark, sf_dir, tmp_path, monkeypatch):
+    """Names that are null, empty or long, repeated lines and lines without a part: the sets of strings, from one long a line item."""
+    names = [None, "", "a", "é" * 40, "b", "a b"]
+    parts = [(k, names[k % 6], names[k % 5], None if k % 7 == 0 else k % 4) for k in range(60)]
+    lines = [(k % 40, (k * 17) % 70, names[k % 3]) for k in range(400)] + [(99, None, "x"), (None, 3, "x"), (98, 0, None)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+
+    def made():
+        got = [(r.pmid, [tuple(x) for x in r.names]) for r in corpora.basket_sets(spark, str(tmp_path)).collect()]
+        assert all(len(set(n)) == len(n) for _, n in got)
+        return sorted(((p, sorted(n)) for p, n in got), key=str)
+
+    by_part = {p[0]: p[1:] for p in parts}
+    want = {}
+    for order, part, flag in lines:
+        if part in by_part:
+            brand, kind, size = by_part[part]
+            said = {"brand": brand, "type": kind, "size": None if size is None else str(size), "flag": flag}
+            want.setdefault(order, set()).update((k, v) for k, v in said.items() if v is not None)
+    want = sorted(((p, sorted(n)) for p, n in want.items()), key=str)
+    assert made() == want
+    plan = corpora.basket_sets(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set(code" in plan and "collect_set(p_" not in plan and "ObjectHashAggregate" not in plan
+    # more names than codes
+    monkeypatch.setattr(corpora, "MOST_CODES", 3)
+    assert made() == want
